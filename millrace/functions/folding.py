@@ -38,3 +38,14 @@ def fold_tables() -> tuple[str, str, tuple[tuple[str, str], ...]]:
         elif ASCII_WORD & set(out):
             many.append((ch, out))
     return "".join(single_from + deleted), "".join(single_to), tuple(many)
+
+
+def char_class(chars: list[str]) -> str:
+    """Regex class of the characters, neighbours joined to ranges."""
+    runs: list[list[int]] = []
+    for code in sorted(map(ord, chars)):
+        if runs and code == runs[-1][1] + 1:
+            runs[-1][1] = code
+        else:
+            runs.append([code, code])
+    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in runs) + "]"

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.columns import let, num1
-from millrace.functions.folding import fold_tables
+from millrace.functions.folding import char_class, fold_tables
 
 TOKEN = "[a-z0-9_]+"
 # Patterns that facts, stations and numbers of an answer are read with.
@@ -47,13 +47,14 @@ def fold(text: Column) -> Column:
     replaced only in rows that contain one.
     """
     source, target, many = fold_tables()
-    rare = "[" + "".join(re.escape(ch) for ch, _ in many) + "]"
+    rare = char_class([c for c, _ in many])
     pairs = F.from_json(
         F.lit(json.dumps([{"c": c, "x": x} for c, x in many])), "array<struct<c: string, x: string>>"
     )
 
     def expand(low: Column) -> Column:
-        full = F.aggregate(pairs, low, lambda acc, p: F.replace(acc, p["c"], p["x"]))
+        present = F.filter(pairs, lambda p: low.contains(p["c"]))
+        full = F.aggregate(present, low, lambda acc, p: F.replace(acc, p["c"], p["x"]))
         return F.when(low.rlike(rare), full).otherwise(low)
 
     return let(F.translate(F.lower(text), source, target), expand)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,11 +52,15 @@ def token_dimension(token: Column, dim: int) -> Column:
 
 
 def text_vector(text: Column, dim: int) -> Column:
-    """Hashed term frequencies with unit length. Row-local: no explode and no shuffle."""
+    """Hashed term frequencies with unit length. Row-local: no explode, no shuffle, no Python.
+
+    A count is the length lost by removing a value, which runs as one native array pass.
+    """
     places = F.sequence(F.lit(0), F.lit(dim - 1))
 
     def counts(hashed: Column) -> Column:
-        return F.transform(places, lambda d: F.size(F.filter(hashed, lambda h: h == d)).cast("double"))
+        n = lambda d: F.size(hashed) - F.size(F.array_remove(hashed, d))
+        return F.transform(places, lambda d: n(d).cast("double"))
 
     def unit(n: Column) -> Column:
         norm = F.sqrt(F.aggregate(n, F.lit(0.0), lambda a, x: a + x * x))
@@ -66,8 +72,14 @@ def text_vector(text: Column, dim: int) -> Column:
     return let(let(hashed, counts), unit)
 
 
-def with_text_vectors(rows: DataFrame, text: str, dim: int, name: str = "embedding") -> DataFrame:
-    return rows.withColumn(name, text_vector(F.col(text), dim))
+def with_text_vectors(
+    rows: DataFrame, text: str, dim: int, name: str = "embedding",
+    embedder: Callable[[Column], Column] | None = None,
+) -> DataFrame:
+    """Add a vector of `text`. `embedder` is the hook for another model, e.g. a pandas UDF from
+    string to array<double>; by default hashed term frequencies."""
+    column = F.col(text)
+    return rows.withColumn(name, text_vector(column, dim) if embedder is None else embedder(column))
 
 
 def index_rows(episodes: DataFrame, ready: int = READY_SAMPLE) -> DataFrame:
@@ -90,11 +102,17 @@ def index_rows(episodes: DataFrame, ready: int = READY_SAMPLE) -> DataFrame:
     )
 
 
-def write_index(rows: DataFrame, path: str) -> None:
+def write_index(
+    rows: DataFrame, path: str, dim: int, embedder: Callable[[Column], Column] | None = None
+) -> None:
     """Parquet by station, sorted by start: a station filter prunes folders, a time filter row
-    groups. The range layout splits a station that holds much of the table over many files."""
-    (
-        rows.repartitionByRange("station", "start_ts", "event_id")
-        .sortWithinPartitions("station", "start_ts")
-        .write.mode("overwrite").partitionBy("station").parquet(path)
+    groups. The range layout splits a station that holds much of the table over many files.
+
+    Vectors are computed after the layout: its sampling pass would otherwise compute them twice.
+    """
+    laid = rows.repartitionByRange("station", "start_ts", "event_id").sortWithinPartitions(
+        "station", "start_ts"
     )
+    with_text_vectors(laid, "embed_text", dim, embedder=embedder).write.mode(
+        "overwrite"
+    ).partitionBy("station").parquet(path)

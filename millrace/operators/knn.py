@@ -15,6 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Probes that one task holds as a matrix; more of them go through `_by_blocks`.
 MAX_BROADCAST_PROBES = 8192
@@ -178,3 +179,38 @@ def _empty() -> pa.Table:
         "probe_id": pa.array([], pa.string()), "event_id": pa.array([], pa.string()),
         "score": pa.array([], pa.float64()), "in_window": pa.array([], pa.bool_()),
     })
+
+
+# Lists of an inverted index that one task holds as a matrix.
+MAX_LISTS = 65_536
+
+
+def nearest_lists(rows: DataFrame, centroids: DataFrame, n: int, name: str) -> DataFrame:
+    """Add the n nearest lists by cosine as array<int>, best first, ties to the smaller number.
+
+    One pass: every batch is multiplied with the centroid matrix. The number of centroids is an
+    index setting; it is checked before the matrix is sent to the tasks.
+    """
+    head = centroids.orderBy("list_id").limit(MAX_LISTS + 1).toPandas()
+    if len(head) > MAX_LISTS:
+        raise ValueError(f"more than {MAX_LISTS} lists")
+    ids = head["list_id"].to_numpy(dtype=np.int32)
+    matrix = rows.sparkSession.sparkContext.broadcast(
+        _unit(np.array(head["centroid"].tolist(), dtype=np.float64))
+    )
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
+            vectors = flat.reshape(batch.num_rows, -1).astype(np.float64)
+            scores = np.round(_unit(vectors) @ matrix.value.T, SCORE_DIGITS)
+            best = np.argsort(-scores, axis=1, kind="stable")[:, :n]
+            lists = pa.array(ids[best].tolist(), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, lists], names=[*batch.schema.names, name]
+            )
+
+    schema = T.StructType([*rows.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))])
+    return rows.mapInArrow(assign, schema)

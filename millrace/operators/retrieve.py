@@ -269,28 +269,10 @@ def ablation_hits(
 
 
 def assign_lists(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
-    """Nearest centroid per vector as `list_id`. Centroids number nlist by configuration."""
-    table = centroids.agg(
-        F.sort_array(F.collect_list(F.struct("list_id", F.col("centroid").alias("c")))).alias("_cs")
-    )
-    scored = F.transform("_cs", lambda c: F.struct(
-        F.round(_cosine(F.col("embedding"), c["c"]), knn.SCORE_DIGITS).alias("s"),
-        (-c["list_id"]).alias("neg"),
-    ))
-    return vectors.join(F.broadcast(table)).withColumn(
-        "list_id", (-F.array_max(scored)["neg"]).cast("int")
-    ).drop("_cs")
-
-
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(
-        F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")),
-        F.lit(0.0), lambda acc, x: acc + x,
-    )
-
-
-def _cosine(a: Column, b: Column) -> Column:
-    return _dot(a, b) / F.sqrt(_dot(a, a) * _dot(b, b))
+    """Nearest centroid per vector as `list_id`."""
+    return knn.nearest_lists(vectors, centroids, 1, "_lists").withColumn(
+        "list_id", F.col("_lists")[0]
+    ).drop("_lists")
 
 
 def mean_centroids(vectors: DataFrame, group: str) -> DataFrame:
@@ -306,16 +288,7 @@ def mean_centroids(vectors: DataFrame, group: str) -> DataFrame:
 
 def probe_lists(questions: DataFrame, centroids: DataFrame, nprobe: int) -> DataFrame:
     """The nprobe nearest lists of each question as an array."""
-    table = centroids.agg(
-        F.collect_list(F.struct("list_id", F.col("centroid").alias("c"))).alias("_cs")
-    )
-    ranked = F.sort_array(F.transform("_cs", lambda c: F.struct(
-        (-F.round(_cosine(F.col("embedding"), c["c"]), knn.SCORE_DIGITS)).alias("s"),
-        c["list_id"].cast("int").alias("list_id"),
-    )))
-    return questions.join(F.broadcast(table)).withColumn(
-        "lists", F.transform(F.slice(ranked, 1, nprobe), lambda x: x["list_id"])
-    ).drop("_cs")
+    return knn.nearest_lists(questions, centroids, nprobe, "lists")
 
 
 def ann_search(

@@ -11,6 +11,7 @@ from millrace.functions.columns import hash_number, hash_order
 from millrace.operators.ordered import (
     evenly_spaced, group_sizes, hash_row_numbers, row_numbers, running_total,
 )
+from millrace.session import materialise, shuffle_partitions
 
 REPLICATES = 10_000
 SEED = 42
@@ -18,6 +19,7 @@ SEED = 42
 DIGITS = 9
 LOW, HIGH = 0.025, 0.975
 MIN_TOLERANCE = 0.05
+MAX_BROADCAST_ROWS = 500_000
 
 
 def resample(
@@ -32,6 +34,8 @@ def resample(
     digest = rows.withColumn("_digest", hash_order(seed, F.col(key)))
     numbered = hash_row_numbers(digest, by, "_digest", key, "_no").drop("_digest")
     sized = numbered.select(*by, "_no").join(group_sizes(rows, by, "_n"), list(by))
+    # Each row turns into `replicates` draws: spread the small input before it grows.
+    sized = sized.repartition(shuffle_partitions(rows.sparkSession), *by, "_no")
     draws = sized.withColumn(
         "rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))
     ).select(
@@ -39,6 +43,10 @@ def resample(
         (hash_number(F.lit(str(seed)), F.col("rep").cast("string"), F.col("_no").cast("string"))
          % F.col("_n") + 1).alias("_no"),
     )
+    # The planner takes the exploded draws for small and would broadcast them. The rows are the
+    # smaller side by the factor `replicates`: broadcast them only if counted as few.
+    few = rows.count() <= MAX_BROADCAST_ROWS
+    numbered = F.broadcast(numbered) if few else numbered.hint("shuffle_hash")
     return draws.join(numbered, [*by, "_no"]).drop("_no")
 
 
@@ -54,7 +62,8 @@ def poisson_resample(
         total += p
         steps.append(total)
     weight = sum(((u >= s).cast("int") for s in steps), F.lit(0))
-    return rows.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn(
+    spread = rows.repartition(shuffle_partitions(rows.sparkSession), key)
+    return spread.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn(
         "weight", weight
     ).where("weight > 0")
 
@@ -72,6 +81,8 @@ def bootstrap_ci(
 ) -> DataFrame:
     """Mean, n and 95 % percentile interval of the mean per group; null values are dropped."""
     rows = rows.where(f"{value} is not null and not isnan({value})").select(*by, key, value)
+    # Numbering, sizes, draws and the plain mean all read the values: compute them once.
+    rows = materialise(rows, "values")
     if poisson:
         means = poisson_resample(rows, by, key, replicates, seed).groupBy(*by, "rep").agg(
             F.round(F.sum(F.col(value) * F.col("weight")) / F.sum("weight"), DIGITS).alias("_m")
@@ -89,7 +100,9 @@ def paired_bootstrap(
     replicates: int = REPLICATES, seed: int = SEED,
 ) -> DataFrame:
     """Mean of a-b with interval and p = min(1, 2·min(share <= 0, share >= 0))."""
-    rows = pairs.select(*by, key, (F.col("a") - F.col("b")).alias("_d"))
+    rows = materialise(
+        pairs.select(*by, key, (F.col("a") - F.col("b")).alias("_d")), "differences"
+    )
     means = resample(rows, by, key, replicates, seed).groupBy(*by, "rep").agg(
         F.round(F.avg("_d"), DIGITS).alias("_m")
     )
@@ -117,6 +130,7 @@ def statistic_bootstrap(
 
     `statistic(rows, by)` returns one row per group with a column `stat`.
     """
+    rows = materialise(rows, "pairs")
     base = statistic(rows, by).withColumnRenamed("stat", "estimate")
     per_rep = statistic(resample(rows, by, key, replicates, seed), [*by, "rep"])
     valid = per_rep.where("stat is not null").withColumn("stat", F.round("stat", DIGITS))

@@ -30,6 +30,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, spread over the cores if the file has fewer splits than there are cores.
+
+    Text work is bound by the processor, and a test file is one row group; a table of many files
+    is left where it is.
+    """
+    rows = table(spark, sf_dir, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def _station(code: Column) -> Column:
     return F.element_at(F.array(*[F.lit(s) for s in STATIONS]), (code % len(STATIONS) + 1).cast("int"))
 

@@ -530,8 +530,27 @@ for _r in ("vector_ranked", "filtered_ranked", "vector_ranked_fused", "filtered_
 _WORD = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 
 
+def round6(sql: str) -> str:
+    """Let every round(x, 6) go through decimal(18,9), as the Spark side does."""
+    at = 0
+    while (at := sql.find("round(", at)) >= 0:
+        depth, end = 0, at + 5
+        while True:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            if depth == 0:
+                break
+            end += 1
+        inner = sql[at + 6:end]
+        if inner.endswith(", 6") and not inner.startswith("cast("):
+            new = f"round(cast({inner[:-3]} as decimal(18,9)), 6)::double"
+            sql = sql[:at] + new + sql[end + 1:]
+        at += 6
+    return sql
+
+
 def compose(sql: str) -> str:
     """Prefix `sql` with the views it uses, in dependency order."""
+    sql = round6(sql)
     done: list[str] = []
 
     def visit(text: str, inside: tuple[str, ...]) -> None:

@@ -497,7 +497,7 @@ RAW: dict[str, str] = {
           select item_id, doc_id, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.5
             / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avg_len))), 9) bm25
           from qt join tf using (term) join dfs using (term) cross join size group by 1, 2)) where rank <= 20)""",
-    "rrf_fuse": hits("vector_ranked_fused", ", dense_rank, round(bm25, 6) bm25, bm25_rank, round(rrf_score, 9) rrf_score"),
+    "rrf_fuse": hits("vector_ranked_fused", ", dense_rank, round(bm25, 6) bm25, bm25_rank, round(rrf_score * 1000, 6) rrf_score"),
     "retrieve_vector": hits("vector_ranked_fused_kept"),
     "retrieve_filtered": hits("filtered_ranked_fused_kept"),
     "retrieval_ablation": f"""
@@ -611,11 +611,11 @@ RAW: dict[str, str] = {
         select *, list_filter(list_distinct(list_concat(regexp_extract_all(reference, '\d+\.\d'),
             regexp_extract_all(reference, '\b[A-Z]{2,3}_\d\b'))),
             lambda f: not contains(lower(replace(question, ',', '.')), lower(f))) fl,
-          lower(replace(array_to_string(retrieved_contexts, ' '), ',', '.')) ctx from generations
+          lower(replace(array_to_string(retrieved_contexts, ' '), ',', '.')) shown from generations
         where s > 0 and len(retrieved_contexts) > 0)
       where len(fl) > 0 and len(list_filter(fl, lambda f: case when regexp_full_match(f, '\d+\.\d')
-          then not regexp_matches(' ' || ctx || ' ', '[^\d.]' || replace(f, '.', '\.') || '[^\d]')
-          else not contains(ctx, lower(f)) end)) = 0
+          then not regexp_matches(' ' || shown || ' ', '[^\d.]' || replace(f, '.', '\.') || '[^\d]')
+          else not contains(shown, lower(f)) end)) = 0
       order by id, system, run limit 60""",
     "stream_silver": f"""
       select id, station, {ts('event_timestamp')} event_timestamp, current_state, current_task, current_sub_task from silver""",

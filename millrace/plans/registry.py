@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import text as tx
-from millrace.functions.columns import map_text, ts_text
+from millrace.functions.columns import map_text, micros, ts_text
 from millrace.operators import episodes as ep
 from millrace.operators import golden as gs
 from millrace.operators import index as ix
@@ -42,7 +42,9 @@ def query(fn: Query) -> Query:
 
 
 def r6(col: Column | str) -> Column:
-    return F.round(F.col(col) if isinstance(col, str) else col, 6)
+    """Six digits by way of a decimal, so that both engines round the same number."""
+    value = F.col(col) if isinstance(col, str) else col
+    return F.round(value.cast("decimal(18,9)"), 6).cast("double")
 
 
 def joined(col: Column | str) -> Column:
@@ -116,7 +118,7 @@ def gold_rebuild(s, d):
 @query
 def index_table(s, d):
     path = scratch_path(s, "index")
-    ix.write_index(ix.with_text_vectors(ix.index_rows(fx.gold(s, d)), "embed_text", 64), path)
+    ix.write_index(ix.index_rows(fx.gold(s, d)), path, 64)
     return s.read.parquet(path).select(
         "event_id", "station", ts_text("start_ts").alias("start_ts"),
         ts_text("end_ts").alias("end_ts"), "current_state", "current_task", "current_sub_task",
@@ -400,7 +402,7 @@ def episode_summary(s, d):
 
 @query
 def bm25_corpus_stats(s, d):
-    return lx.corpus_stats(fx.table(s, d, "documents")).select(
+    return lx.corpus_stats(fx.documents(s, d)).select(
         "term", "df", "n_docs", r6("avg_len").alias("avg_len")
     )
 
@@ -456,7 +458,7 @@ def paired_bootstrap(s, d):
 @query
 def statistic_bootstrap(s, d):
     pairs = fx.judge_pairs(s, d).withColumn("key", F.lpad(F.col("doc_id").cast("string"), 9, "0"))
-    cut = materialise(st.cuts(pairs), "cuts")
+    cut = st.cuts(pairs)
     out = None
     for name, stat in (("accuracy", st.accuracy_stat), ("balanced_accuracy", st.balanced_stat),
                        ("kappa", st.kappa_stat)):
@@ -633,7 +635,7 @@ def greedy_time_dedup(s, d):
 
 @query
 def bm25_score(s, d):
-    out = lx.bm25_topk(fx.table(s, d, "benchmark"), fx.table(s, d, "documents"), 20)
+    out = lx.bm25_topk(fx.table(s, d, "benchmark"), fx.documents(s, d), 20)
     return out.select("item_id", "doc_id", "rank", r6("bm25").alias("bm25"))
 
 
@@ -643,7 +645,7 @@ def rrf_fuse(s, d):
     hits = rt.pool(rt.nearest(index, rt.vector_probes(questions)))
     return _hits_view(
         lx.fuse(lx.score_hits(hits, questions, index)).withColumn("bm25", r6("bm25"))
-        .withColumn("rrf_score", F.round("rrf_score", 9)),
+        .withColumn("rrf_score", r6(F.col("rrf_score") * 1000)),
         "dense_rank", "bm25", "bm25_rank", "rrf_score",
     )
 
@@ -820,9 +822,9 @@ def text_vectors(s, d):
 
 @query
 def tokenize(s, d):
-    return fx.table(s, d, "documents").select(
-        "doc_id", F.md5(joined(tx.tokenize(F.col("text")))).alias("digest"),
-        F.size(tx.tokenize(F.col("text"))).alias("n_tokens"),
+    rows = fx.documents(s, d).withColumn("tokens", tx.tokenize(F.col("text")))
+    return rows.select(
+        "doc_id", F.md5(joined("tokens")).alias("digest"), F.size("tokens").alias("n_tokens")
     )
 
 
@@ -995,11 +997,16 @@ def stream_silver(s, d):
 
 @query
 def stream_episodes(s, d):
-    """Two days of delay: files arrive in time order, one per micro-batch."""
+    """The log arrives in four files in time order, one per micro-batch, with two days of delay."""
     root, ck = scratch_path(s, "stream-episodes"), scratch_path(s, "stream-checkpoint")
     landing = scratch_path(s, "stream-landing")
     rows = _log(s, d).drop("event_id", "split")
-    rows.repartitionByRange(4, "event_timestamp").sortWithinPartitions("event_timestamp").write.parquet(landing)
+    at = micros("event_timestamp")
+    cuts = rows.agg(F.percentile_approx(at, [0.25, 0.5, 0.75], 10000)).first()[0]
+    bounds = [None, *cuts, None]
+    for lo, hi in zip(bounds, bounds[1:], strict=False):
+        part = rows if lo is None else rows.where(at > lo)
+        (part if hi is None else part.where(at <= hi)).write.mode("append").parquet(landing)
     stream = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(landing)
     last = inc.stream_episodes(stream, root, ck, 2 * 86400)
     out = inc.closed_episodes(s, root).unionByName(inc.flush_open(s, root, last, rows))

@@ -13,9 +13,16 @@ def tune(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    # Text work is bound by the processor: keep small shuffles on several cores. Has no effect
+    # once a partition holds more than this.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     return spark
 
 
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path under the folder that the cluster names in spark.checkpoint.dir."""
     base = spark.conf.get("spark.checkpoint.dir", None)
