@@ -47,6 +47,26 @@ def hash_number(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("bigint")
 
 
+# Fixed values of the draw generator: a prime below 2**31, strides and an increment.
+DRAW_PRIME = 2_147_483_647
+DRAW_STRIDES = (1_000_003, 7_368_787)
+DRAW_STEP = 1_013_904_223
+DRAW_ROUNDS = 3
+
+
+def draw_number(seed: int, rep: Column, no: Column) -> Column:
+    """Pseudo-random bigint below DRAW_PRIME from (seed, rep, no).
+
+    Rounds of squaring modulo a prime: plain integer arithmetic, so it stays in generated code,
+    is the same on any partitioning, and other engines can repeat it.
+    """
+    a, b = DRAW_STRIDES
+    x = (rep.cast("bigint") * a + no.cast("bigint") * b + seed) % DRAW_PRIME
+    for _ in range(DRAW_ROUNDS):
+        x = (x * x + DRAW_STEP) % DRAW_PRIME
+    return x
+
+
 def hash_order(seed: str | int, key: Column) -> Column:
     """Sort key that stands in for a seeded shuffle."""
     return F.md5(F.concat(F.lit(f"{seed}|"), key))

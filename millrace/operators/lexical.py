@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions.text import hit_text, tokenize
 
@@ -74,22 +80,107 @@ def bm25_topk(
 ) -> DataFrame:
     """The k best documents per query over the whole corpus.
 
-    Term frequencies are counted inside each document row, joined to the query terms, and summed
-    per (query, document). A pair lives in one input partition, so the map-side sum already
-    collapses it before the shuffle; the rank limit is applied on both sides of its shuffle.
+    While the query terms fit a matrix, documents stay where they are: a task multiplies the term
+    weights of its documents with the query matrix and keeps a running top k per query, so no
+    posting and no (query, document) pair is shuffled. Larger query sets go through a join.
     """
     tokens = docs.select(doc_id, tokenize(F.col(text)).alias("tokens"))
     terms = query_terms(queries, tokens, query_id, text)
+    scored = _scores_by_matrix(tokens, terms, k, query_id, doc_id)
+    if scored is None:
+        scored = _scores_by_join(tokens, terms, query_id, doc_id)
+    w = Window.partitionBy(query_id).orderBy(F.col("bm25").desc(), doc_id)
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _scores_by_join(
+    tokens: DataFrame, terms: DataFrame, query_id: str, doc_id: str
+) -> DataFrame:
+    """Scores of all pairs that share a term. A pair lives in one input partition, so the map-side
+    sum collapses its terms before the shuffle."""
     postings = tokens.select(
         doc_id, F.size("tokens").alias("_len"), F.explode("tokens").alias("term")
     ).join(terms.select("term").distinct(), "term", "left_semi").groupBy(
         doc_id, "_len", "term"
     ).agg(F.count(F.lit(1)).alias("_tf"))
-    scored = postings.join(terms, "term").groupBy(query_id, doc_id).agg(
+    return postings.join(terms, "term").groupBy(query_id, doc_id).agg(
         F.sum(term_weight(F.col("idf"), F.col("_tf"), F.col("_len"), F.col("avg_len"))).alias("_s")
     ).select(query_id, doc_id, F.round("_s", 9).alias("bm25"))
-    w = Window.partitionBy(query_id).orderBy(F.col("bm25").desc(), doc_id)
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+# Cells of the (term, query) matrix that a task may hold, and of a block of documents.
+MAX_QUERY_CELLS = 16_000_000
+MAX_QUERY_TERMS = 1_000_000
+BLOCK_CELLS = 4_000_000
+
+
+def _scores_by_matrix(
+    tokens: DataFrame, terms: DataFrame, k: int, query_id: str, doc_id: str
+) -> DataFrame | None:
+    """Top k per query and input partition; None if the query matrix is over the bound."""
+    rows = terms.select(query_id, "term", "idf", "avg_len").limit(MAX_QUERY_TERMS + 1).toPandas()
+    names, term_no = np.unique(rows["term"].to_numpy(dtype=str), return_inverse=True)
+    ids, query_no = np.unique(rows[query_id].to_numpy(), return_inverse=True)
+    if len(rows) > MAX_QUERY_TERMS or len(names) * len(ids) > MAX_QUERY_CELLS or rows.empty:
+        return None
+    matrix = np.zeros((len(names), len(ids)))
+    matrix[term_no, query_no] = rows["idf"]
+    shared = tokens.sparkSession.sparkContext.broadcast(
+        (names.tolist(), ids, matrix, float(rows["avg_len"].iloc[0]))
+    )
+    schema = T.StructType([
+        terms.schema[query_id], tokens.schema[doc_id], T.StructField("bm25", T.DoubleType()),
+    ])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, ids, matrix, avg_len = shared.value
+        value_set = pa.array(names)
+        step = max(1, BLOCK_CELLS // max(1, len(names)))
+        best = [(np.array([]), None)] * len(ids)
+        doc_type = None
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                block = batch.slice(at, step)
+                docs = block.column(0).to_numpy(zero_copy_only=False)
+                doc_type = block.column(0).type
+                scores = np.round(_block_weights(block, value_set, avg_len) @ matrix, 9)
+                for j in range(len(ids)):
+                    best[j] = _keep_best(best[j], scores[:, j], docs, k)
+        for j, (top, docs) in enumerate(best):
+            if docs is not None and len(top):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([ids[j]] * len(top)), pa.array(docs, doc_type), pa.array(top)],
+                    names=[query_id, doc_id, "bm25"],
+                )
+
+    return tokens.select(doc_id, "tokens").mapInArrow(score, schema)
+
+
+def _block_weights(block: pa.RecordBatch, value_set: pa.Array, avg_len: float) -> np.ndarray:
+    """(documents, terms) matrix of saturated term frequencies."""
+    column = block.column(1)
+    lengths = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    where = pc.index_in(column.flatten(), value_set=value_set).to_numpy(zero_copy_only=False)
+    doc_no = np.repeat(np.arange(block.num_rows), lengths)
+    known = ~np.isnan(where) if where.dtype.kind == "f" else np.ones(len(where), dtype=bool)
+    cell = doc_no[known] * len(value_set) + where[known].astype(np.int64)
+    tf = np.bincount(cell, minlength=block.num_rows * len(value_set)).reshape(block.num_rows, -1)
+    norm = K1 * (1.0 - B + B * lengths / avg_len)
+    return tf * (K1 + 1.0) / (tf + norm[:, None])
+
+
+def _keep_best(kept, scores: np.ndarray, docs: np.ndarray, k: int):
+    """Merge a block into the k best (score, document) of one query; ties to the smaller id."""
+    top, top_docs = kept
+    floor = top[-1] if top_docs is not None and len(top) >= k else 0.0
+    near = np.flatnonzero((scores > 0) & (scores >= floor))
+    if not len(near):
+        return kept
+    scores, docs = scores[near], docs[near]
+    if top_docs is not None:
+        scores, docs = np.concatenate([top, scores]), np.concatenate([top_docs, docs])
+    order = np.lexsort((docs, -scores))[:k]
+    return scores[order], docs[order]
 
 
 def score_hits(hits: DataFrame, questions: DataFrame, index: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from millrace.functions.text import (
 )
 from millrace.operators.ordered import row_numbers
 from millrace.operators.stats import evenly_spaced_subset
+from millrace.session import materialise
 
 # Shifts tried in turn for a swapped number.
 SHIFTS = ("7.3", "11.9", "4.6", "23.1")
@@ -138,29 +139,31 @@ def foreign_context(answers: DataFrame) -> DataFrame:
     answer station set the admissible pool is numbered once; shared ids are subtracted as the
     (few) positions that an answer's own ids rule out, so no list of pairs is built.
     """
-    pool = answers.where(
-        F.col("system").startswith("rag_") & (F.size("retrieved_contexts") > 0)
-    ).select(
-        "run", "id", "system", "retrieved_ids",
-        F.array_sort(stations_in(F.array_join("retrieved_contexts", " "))).alias("ctx_set"),
-    )
-    asked = answers.select(
-        "run", "id", "system", F.coalesce("retrieved_ids", F.array().cast("array<string>"))
-        .alias("retrieved_ids"),
-        F.length("answer").alias("_len"),
-        F.array_sort(stations_in(F.col("answer"))).alias("ans_set"),
-    ).withColumn("ans_key", F.array_join("ans_set", "|"))
+    slim = materialise(
+        answers.select(
+            "run", "id", "system",
+            F.coalesce("retrieved_ids", F.array().cast("array<string>")).alias("retrieved_ids"),
+            F.size("retrieved_contexts").alias("_contexts"),
+            F.array_sort(stations_in(F.array_join("retrieved_contexts", " "))).alias("ctx_set"),
+            F.length("answer").alias("_len"),
+            F.array_sort(stations_in(F.col("answer"))).alias("ans_set"),
+        ),
+        "station-sets",
+    )
+    pool = slim.where(F.col("system").startswith("rag_") & (F.col("_contexts") > 0))
+    asked = slim.withColumn("ans_key", F.array_join("ans_set", "|")).drop("ctx_set", "_contexts")
     sets = asked.select("run", "ans_key", "ans_set").distinct()
     # Station sets on both sides are few; the join is on the run and compares sets, not rows.
     ctx_sets = pool.select("run", "ctx_set").distinct()
     allowed = sets.join(ctx_sets, "run").where(~F.arrays_overlap("ans_set", "ctx_set")).select(
         "run", "ans_key", "ctx_set"
     )
-    numbered = row_numbers(
+    # Read for sizes, for shared ids and for the pick: written once.
+    numbered = materialise(row_numbers(
         pool.select("run", "id", "system", "ctx_set").join(allowed, ["run", "ctx_set"])
         .select("run", "ans_key", "id", "system"),
         ["run", "ans_key"], ["id", "system"], "_no",
-    )
+    ), "numbered-pool")
     sizes = numbered.groupBy("run", "ans_key").agg(F.count(F.lit(1)).alias("_pool"))
     ruled_out = _shared_positions(asked, pool, numbered)
     rows = (

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.columns import hash_number, hash_order
+from millrace.functions.columns import draw_number, hash_number, hash_order
 from millrace.operators.ordered import (
     evenly_spaced, group_sizes, hash_row_numbers, row_numbers, running_total,
 )
@@ -27,7 +27,7 @@ def resample(
 ) -> DataFrame:
     """`replicates` draws with replacement per group, each as large as the group.
 
-    Draw d of replicate r picks row hash(seed, r, d) mod n. Rows are numbered in md5 order, which
+    Draw d of replicate r picks row draw_number(seed, r, d) mod n. Rows are numbered in md5 order, which
     needs no task per group; picks spread evenly, so the join has no hot key. The sums of a
     caller merge on the map side, so what leaves a task is one row per (group, replicate).
     """
@@ -36,12 +36,9 @@ def resample(
     sized = numbered.select(*by, "_no").join(group_sizes(rows, by, "_n"), list(by))
     # Each row turns into `replicates` draws: spread the small input before it grows.
     sized = sized.repartition(shuffle_partitions(rows.sparkSession), *by, "_no")
-    draws = sized.withColumn(
-        "rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))
-    ).select(
+    draws = sized.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).select(
         *by, "rep",
-        (hash_number(F.lit(str(seed)), F.col("rep").cast("string"), F.col("_no").cast("string"))
-         % F.col("_n") + 1).alias("_no"),
+        (draw_number(seed, F.col("rep"), F.col("_no")) % F.col("_n") + 1).alias("_no"),
     )
     # The planner takes the exploded draws for small and would broadcast them. The rows are the
     # smaller side by the factor `replicates`: broadcast them only if counted as few.

@@ -30,17 +30,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents, spread over the cores if the file has fewer splits than there are cores.
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows over all cores if the source has fewer splits than there are cores.
 
-    Text work is bound by the processor, and a test file is one row group; a table of many files
-    is left where it is.
+    Parsing is bound by the processor, and a test file is one row group; a table of many files is
+    left where it is.
     """
-    rows = table(spark, sf_dir, "documents")
-    cores = spark.sparkContext.defaultParallelism
+    cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def _station(code: Column) -> Column:
     return F.element_at(F.array(*[F.lit(s) for s in STATIONS]), (code % len(STATIONS) + 1).cast("int"))
 
@@ -95,7 +98,7 @@ def bronze_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     # A second copy of some rows arrives with the test file.
     copies = F.when(n % 50 == 0, F.array("split", F.lit("test"))).otherwise(F.array("split"))
-    return ev.select(value.alias("value"), F.explode(copies).alias("split"))
+    return spread(ev.select(value.alias("value"), F.explode(copies).alias("split")))
 
 
 _GOLD: dict[tuple[str, str], DataFrame] = {}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from millrace.functions.columns import DRAW_PRIME, DRAW_ROUNDS, DRAW_STEP, DRAW_STRIDES
 from millrace.functions.process_rules import RULES, STATIONS
 from millrace.plans.fixtures import (
     DEDUP_S, PAIR_WINDOW_S, RUNS, SYSTEMS, WINDOW_S, WORK_TASKS,
@@ -33,8 +34,12 @@ def hash_order(seed: str, key: str) -> str:
     return f"md5('{seed}|' || {key})"
 
 
-def hash_number(*parts: str) -> str:
-    return f"cast('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8) as bigint)"
+def draw_number(seed: int, rep: str, no: str) -> str:
+    a, b = DRAW_STRIDES
+    x = f"(({rep}::bigint * {a} + {no}::bigint * {b} + {seed}) % {DRAW_PRIME})"
+    for _ in range(DRAW_ROUNDS):
+        x = f"list_transform([{x}], lambda x: (x * x + {DRAW_STEP}) % {DRAW_PRIME})[1]"
+    return x
 
 
 def _in_list(items) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from millrace.operators import prompts as pr
 from millrace.plans.oracle_views import (
     ANOMALY_QUESTION, ANOMALY_REFERENCE, CONTEXT_LINE, FACT, MOTOR, TIME_QUESTION, compose,
-    hash_number, hash_order, num1, ordered_distinct, quote, sec, similar, tokens, ts,
+    draw_number, hash_order, num1, ordered_distinct, quote, sec, similar, tokens, ts,
 )
 from millrace.plans.registry import QUOTA, REPLICATES, SPACED
 from millrace.sources.results import JUDGE_METRICS
@@ -28,7 +28,7 @@ def resampled(rows: str, by: str, key: str, cols: str) -> str:
     by_list = ", ".join(f"x.{b.strip()}" for b in by.split(","))
     return f"""
       select {by_list}, d.rep, {cols} from (
-        select {by}, rep, {hash_number("'42'", 'cast(rep as varchar)', 'cast(no as varchar)')} % n + 1 pick
+        select {by}, rep, {draw_number(42, 'rep', 'no')} % n + 1 pick
         from (select *, row_number() over (partition by {by} order by md5('42|' || {key}), {key}) no,
                 count(*) over (partition by {by}) n from {rows}),
           unnest(range(1, {REPLICATES + 1})) r(rep)) d

@@ -37,21 +37,27 @@ def tagged_union(frames: Mapping[str, DataFrame]) -> DataFrame:
 
 def classified(lines: DataFrame) -> DataFrame:
     """Every line with its Silver columns and the reason for a rejection (null when accepted)."""
-    text = F.btrim("value", F.lit(_BLANKS))
     doc = F.from_json("_text", "map<string,string>")
-    get = lambda key: F.try_element_at("_doc", F.lit(key))
-    rows = lines.withColumn("_text", text).withColumn("_doc", doc)
-    rows = rows.select(
-        F.substring(F.coalesce(get("id"), F.lit("")), 1, 36).alias("id"),
-        F.substring(F.coalesce(get("station"), F.lit("")), 1, 20).alias("station"),
-        get("timestamp").try_cast("timestamp").alias("event_timestamp"),
-        F.substring(F.coalesce(get("current_state"), F.lit("")), 1, 20).alias("current_state"),
-        get("current_task").alias("current_task"),
-        get("current_task_duration").try_cast("double").alias("current_task_duration"),
-        get("current_sub_task").alias("current_sub_task"),
-        F.map_filter("_doc", lambda k, _: ~k.isin(*KNOWN_KEYS)).alias("sensors"),
+
+    def columns(d: Column) -> Column:
+        get = lambda key: F.try_element_at(d, F.lit(key))
+        cut = lambda key, n: F.substring(F.coalesce(get(key), F.lit("")), 1, n)
+        return F.struct(
+            cut("id", 36).alias("id"), cut("station", 20).alias("station"),
+            get("timestamp").try_cast("timestamp").alias("event_timestamp"),
+            cut("current_state", 20).alias("current_state"),
+            get("current_task").alias("current_task"),
+            get("current_task_duration").try_cast("double").alias("current_task_duration"),
+            get("current_sub_task").alias("current_sub_task"),
+            F.map_filter(d, lambda k, _: ~k.isin(*KNOWN_KEYS)).alias("sensors"),
+            d.isNull().alias("_no_object"),
+        )
+
+    # The generator makes the parsed line a row of its own: a filter on it is not pushed below
+    # the parser, which would read the document again for every column the filter names.
+    rows = lines.withColumn("_text", F.btrim("value", F.lit(_BLANKS))).select(
         "split", F.col("value").alias("line"), "_text",
-        F.col("_doc").isNull().alias("_no_object"),
+        F.inline(F.transform(F.array(doc), columns)),
     )
     reason = (
         F.when(F.col("_text") == "", "blank")
