@@ -18,6 +18,7 @@ DESCRIBED_STATIONS = ("HBW_1", "OV_1", "VGR_1", "MM_1", "SM_1")
 PAIR_QUOTAS = (("HBW_1", "VGR_1", 4), ("MM_1", "SM_1", 2), ("SM_1", "VGR_1", 1), ("HBW_1", "OV_1", 1))
 MOTOR = "calibrating motor 4"
 N_POSITIVE, N_NEGATIVE = 3, 2
+IMPACT = "impacto_bpm"
 MICROS = 1_000_000
 
 
@@ -403,7 +404,7 @@ def causal_items(episodes: DataFrame, n: int = TIER_SIZE) -> DataFrame:
         anomaly_question(motor, second), anomaly_reference(motor), F.array("episode_id"), "all",
         F.array("station"), second, F.col("is_anomaly"),
     ).unionByName(_item(
-        impact, "impacto_bpm", impact_question(), impact_reference(),
+        impact, IMPACT, impact_question(), impact_reference(),
         F.lit(None).cast("array<string>"), "any", F.array("station"), F.lit(None), F.lit(None),
     ))
 
@@ -412,7 +413,7 @@ def golden_evidence(golden: DataFrame, episodes: DataFrame) -> DataFrame:
     """(id, episode_id) rows. Any episode of an impact item's group is evidence; such a group may
     be a large part of the table, so it stays a join result and is never collected into a list."""
     listed = golden.select("id", F.explode("evidence_episode_ids").alias("episode_id"))
-    impact = golden.where("subtype = 'impact_bpm'").select(
+    impact = golden.where(F.col("subtype") == IMPACT).select(
         "id", F.element_at("meta.stations", 1).alias("station")
     )
     groups = impact_groups(episodes, SEED).select("station", "episode_id")

@@ -131,73 +131,72 @@ def distinct_claims(text: Column, pattern: str = DECIMAL) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
 
 
-def foreign_context(answers: DataFrame) -> DataFrame:
-    """For each answer the (id, system) of another question of its run that shares no retrieved id
-    and whose contexts name none of the answer's stations: number len(answer) mod n in id order.
-
-    Answers and contexts only matter through their station sets, of which there are few. Per
-    answer station set the admissible pool is numbered once; shared ids are subtracted as the
-    (few) positions that an answer's own ids rule out, so no list of pairs is built.
+def _station_sets(answers: DataFrame) -> DataFrame:
+    return answers.select(
+        "run", "id", "system",
+        F.coalesce("retrieved_ids", F.array().cast("array<string>")).alias("retrieved_ids"),
+        F.size("retrieved_contexts").alias("_contexts"),
+        F.array_sort(stations_in(F.array_join("retrieved_contexts", " "))).alias("ctx_set"),
+        F.length("answer").alias("_len"),
+        F.array_join(F.array_sort(stations_in(F.col("answer"))), "|").alias("ans_key"),
+    )
+
+
+def foreign_context(asked: DataFrame, answers: DataFrame) -> DataFrame:
+    """For each asked answer the (id, system) of another question of its run that shares no
+    retrieved id and whose contexts name none of the answer's stations: number len(answer) mod n
+    in (id, system) order.
+
+    `asked` is the sample under study, `answers` the whole pool. The admissible pool depends only
+    on the station set of the answer, of which there are few, and is numbered once per set. An
+    answer's own ids rule out further positions p_1 < p_2 < …; the r-th admissible position is
+    then r plus the number of j with p_j - j < r, a plain count, so nothing is collected.
     """
-    slim = materialise(
-        answers.select(
-            "run", "id", "system",
-            F.coalesce("retrieved_ids", F.array().cast("array<string>")).alias("retrieved_ids"),
-            F.size("retrieved_contexts").alias("_contexts"),
-            F.array_sort(stations_in(F.array_join("retrieved_contexts", " "))).alias("ctx_set"),
-            F.length("answer").alias("_len"),
-            F.array_sort(stations_in(F.col("answer"))).alias("ans_set"),
-        ),
-        "station-sets",
-    )
-    pool = slim.where(F.col("system").startswith("rag_") & (F.col("_contexts") > 0))
-    asked = slim.withColumn("ans_key", F.array_join("ans_set", "|")).drop("ctx_set", "_contexts")
-    sets = asked.select("run", "ans_key", "ans_set").distinct()
-    # Station sets on both sides are few; the join is on the run and compares sets, not rows.
-    ctx_sets = pool.select("run", "ctx_set").distinct()
-    allowed = sets.join(ctx_sets, "run").where(~F.arrays_overlap("ans_set", "ctx_set")).select(
-        "run", "ans_key", "ctx_set"
-    )
-    # Read for sizes, for shared ids and for the pick: written once.
+    pool = materialise(_station_sets(answers.where(
+        F.col("system").startswith("rag_") & (F.size("retrieved_contexts") > 0)
+    )), "foreign-pool")
+    asked = materialise(_station_sets(asked).drop("ctx_set", "_contexts"), "foreign-asked")
+    key = ["run", "ans_key"]
+    who = ["run", "id", "system"]
+    sets = asked.select(*key).distinct().withColumn(
+        "_ans", F.filter(F.split("ans_key", r"\|"), lambda c: c != "")
+    )
+    # Distinct station sets on both sides, so this compares sets and not rows.
+    allowed = sets.join(pool.select("run", "ctx_set").distinct(), "run").where(
+        ~F.arrays_overlap("_ans", "ctx_set")
+    ).select(*key, "ctx_set")
     numbered = materialise(row_numbers(
-        pool.select("run", "id", "system", "ctx_set").join(allowed, ["run", "ctx_set"])
-        .select("run", "ans_key", "id", "system"),
-        ["run", "ans_key"], ["id", "system"], "_no",
-    ), "numbered-pool")
-    sizes = numbered.groupBy("run", "ans_key").agg(F.count(F.lit(1)).alias("_pool"))
-    ruled_out = _shared_positions(asked, pool, numbered)
-    rows = (
-        asked.join(sizes, ["run", "ans_key"])
-        .join(ruled_out, ["run", "id", "system"], "left")
-        .withColumn("_out", F.coalesce("_out", F.array().cast("array<bigint>")))
-        .withColumn("_n", F.col("_pool") - F.size("_out")).where("_n > 0")
+        pool.select(*who, "ctx_set").join(allowed, ["run", "ctx_set"]).select(*key, "id", "system"),
+        key, ["id", "system"], "_no",
+    ), "foreign-numbered")
+    sizes = numbered.groupBy(*key).agg(F.count(F.lit(1)).alias("_pool"))
+    shared = lambda df, *cols: df.select(
+        *cols, F.explode(F.array_distinct(
+            F.concat("retrieved_ids", F.array(F.concat(F.lit("q:"), "id")))
+        )).alias("_shared"),
     )
-    start = (F.col("_len") % F.col("_n") + 1).cast("bigint")
-    position = F.aggregate(
-        "_out", start, lambda pos, out: F.when(out <= pos, pos + 1).otherwise(pos)
+    places = shared(pool, *who).join(numbered, who).select(*key, "_shared", "_no")
+    ruled_out = materialise(
+        shared(asked, *who, "ans_key").join(places, [*key, "_shared"]).select(*who, "_no").distinct(),
+        "foreign-shared",
     )
-    target = numbered.select(
-        "run", "ans_key", "_no", F.col("id").alias("foreign_id"),
-        F.col("system").alias("foreign_system"),
+    n_out = ruled_out.groupBy(*who).agg(F.count(F.lit(1)).alias("_out"))
+    targets = (
+        asked.select(*who, "ans_key", "_len").join(sizes, key).join(n_out, who, "left")
+        .withColumn("_n", F.col("_pool") - F.coalesce("_out", F.lit(0))).where("_n > 0")
+        .withColumn("_r", (F.col("_len") % F.col("_n") + 1).cast("bigint"))
     )
-    return rows.withColumn("_no", position).join(target, ["run", "ans_key", "_no"]).select(
-        "run", "id", "system", "foreign_id", "foreign_system"
+    before = (
+        row_numbers(ruled_out, who, ["_no"], "_j").join(targets.select(*who, "_r"), who)
+        .groupBy(*who).agg(F.count_if(F.col("_no") - F.col("_j") < F.col("_r")).alias("_skip"))
     )
-
-
-def _shared_positions(asked: DataFrame, pool: DataFrame, numbered: DataFrame) -> DataFrame:
-    """Sorted pool positions that share a retrieved id (or the question) with the answer."""
-    ids = lambda df: df.select(
-        *[c for c in ("run", "ans_key", "id", "system") if c in df.columns],
-        F.explode(F.array_distinct(F.concat("retrieved_ids", F.array(F.concat(F.lit("q:"), "id")))))
-        .alias("_shared"),
+    place = targets.join(before, who, "left").withColumn(
+        "_no", F.col("_r") + F.coalesce("_skip", F.lit(0))
     )
-    positions = ids(pool).join(numbered, ["run", "id", "system"]).select(
-        "run", "ans_key", "_shared", "_no"
+    chosen = numbered.select(
+        *key, "_no", F.col("id").alias("foreign_id"), F.col("system").alias("foreign_system")
     )
-    return ids(asked).join(positions, ["run", "ans_key", "_shared"]).groupBy(
-        "run", "id", "system"
-    ).agg(F.sort_array(F.collect_set("_no")).alias("_out"))
+    return place.join(chosen, [*key, "_no"]).select(*who, "foreign_id", "foreign_system")
 
 
 def variants(answers: DataFrame, n: int) -> DataFrame:
@@ -210,7 +209,8 @@ def variants(answers: DataFrame, n: int) -> DataFrame:
     ).withColumn("estacao", swap_station(a, q, c, F.col("universe"))).drop("universe")
     usable = swapped.where("numero is not null and estacao is not null")
     picked = evenly_spaced_subset(usable, ["faithfulness", "run", "id", "system"], n)
-    foreign = foreign_context(answers)
+    picked = materialise(picked, "picked")
+    foreign = foreign_context(picked, answers)
     rows = picked.withColumn("neutra", neutral(a)).join(foreign, ["run", "id", "system"], "left")
     cond = lambda name, text, other: F.struct(
         F.lit(name).alias("cond"), text.alias("answer"), other.alias("context_of")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from millrace.functions.columns import micros
 from millrace.operators import knn, lexical
 from millrace.operators.questions import FILTERED, NO_RETRIEVAL, VECTOR, checked_mode, parse_questions
+from millrace.session import materialise
 
 # Over-fetch before dedup, and the dedup window.
 OVERFETCH = 4
@@ -254,7 +255,8 @@ def ablation_hits(
     )
     pooled = pool(nearest(index, probes, k))
     both = named(questions, "vetorial").unionByName(named(questions, "filtrado"))
-    scored = lexical.score_hits(pooled, both, index)
+    # A bounded number of candidates per question, read by both rankings: scored once.
+    scored = materialise(lexical.score_hits(pooled, both, index), "candidates")
     config = lambda df, mark: df.withColumn(
         "question_id", F.concat("question_id", F.lit(mark))
     )

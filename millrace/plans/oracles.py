@@ -7,7 +7,7 @@ from millrace.plans.oracle_views import (
     ANOMALY_QUESTION, ANOMALY_REFERENCE, CONTEXT_LINE, FACT, MOTOR, TIME_QUESTION, compose,
     draw_number, hash_order, num1, ordered_distinct, quote, sec, similar, tokens, ts,
 )
-from millrace.plans.registry import QUOTA, REPLICATES, SPACED
+from millrace.plans.registry import FOREIGN_SAMPLE, QUOTA, REPLICATES, SPACED
 from millrace.sources.results import JUDGE_METRICS
 
 SILVER = f"""id, station, {ts('event_timestamp')} event_timestamp, current_state, current_task,
@@ -369,14 +369,15 @@ RAW: dict[str, str] = {
     "paired_join": f"select run, id, tier, metric, round(a, 6) a, round(b, 6) b from ({PAIRS})",
     "evidence_match": """
       select question_id, rank, event_id from vector_ranked join (select distinct * from evidence) using (question_id, event_id)""",
-    "foreign_context": r"""
+    "foreign_context": rf"""
       select run, id, system, foreign_id, foreign_system from (
-        with pool as (select *, regexp_extract_all(array_to_string(retrieved_contexts, ' '), '\b[A-Z]{2,3}_\d\b') cs,
-          regexp_extract_all(answer, '\b[A-Z]{2,3}_\d\b') ans from generations where s > 0)
+        with pool as (select *, regexp_extract_all(array_to_string(retrieved_contexts, ' '), '\b[A-Z]{{2,3}}_\d\b') cs,
+          regexp_extract_all(answer, '\b[A-Z]{{2,3}}_\d\b') ans from generations where s > 0),
+          asked as ({spaced('select * from pool', 'run', 'id, system', str(FOREIGN_SAMPLE))})
         select g.run, g.id, g.system, o.id foreign_id, o.system foreign_system, length(any_value(g.answer)) len,
           row_number() over (partition by g.run, g.id, g.system order by o.id, o.system) rn,
           count(*) over (partition by g.run, g.id, g.system) n
-        from pool g join pool o on o.run = g.run and o.id <> g.id and len(o.retrieved_contexts) > 0
+        from asked g join pool o on o.run = g.run and o.id <> g.id and len(o.retrieved_contexts) > 0
           and not list_has_any(o.retrieved_ids, g.retrieved_ids) and not list_has_any(o.cs, g.ans)
         group by g.run, g.id, g.system, o.id, o.system)
       where rn = len % n + 1""",

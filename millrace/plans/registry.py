@@ -34,6 +34,7 @@ QUERIES: dict[str, Query] = {}
 REPLICATES = 200
 SPACED = 20
 QUOTA = 30
+FOREIGN_SAMPLE = 200
 
 
 def query(fn: Query) -> Query:
@@ -332,7 +333,13 @@ def evidence_match(s, d):
 
 @query
 def foreign_context(s, d):
-    return pt.foreign_context(fx.generations(s, d).where("system <> 'baseline'"))
+    """The study's sample of answers against the pool of all answers."""
+    answers = fx.generations(s, d).where("system <> 'baseline'").select(
+        "run", "id", "system", "answer", "retrieved_ids", "retrieved_contexts"
+    )
+    answers = materialise(answers, "answers").withColumn("quota", F.lit(FOREIGN_SAMPLE))
+    asked = evenly_spaced(answers, ["run"], ["id", "system"], "quota")
+    return pt.foreign_context(asked, answers)
 
 
 @query
