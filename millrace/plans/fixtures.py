@@ -49,7 +49,7 @@ def _station(code: Column) -> Column:
 
 
 def factory_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "events")
+    ev = spread(table(spark, sf_dir, "events"))
     work = F.create_map(*[F.lit(x) for kv in WORK_TASKS.items() for x in kv])
     kind = F.col("event_type")
     return ev.select(
@@ -98,7 +98,7 @@ def bronze_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     # A second copy of some rows arrives with the test file.
     copies = F.when(n % 50 == 0, F.array("split", F.lit("test"))).otherwise(F.array("split"))
-    return spread(ev.select(value.alias("value"), F.explode(copies).alias("split")))
+    return ev.select(value.alias("value"), F.explode(copies).alias("split"))
 
 
 _GOLD: dict[tuple[str, str], DataFrame] = {}
