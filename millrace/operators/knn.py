@@ -118,6 +118,12 @@ def _add_batch(state: RunningTopK, batch: pa.RecordBatch) -> None:
         )
 
 
+def few_tasks(df: DataFrame) -> DataFrame:
+    """At most four tasks per core, so that a task merges many input splits before it emits its
+    top rows. Narrow: no shuffle, and no effect on a table with fewer splits."""
+    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def candidates(vectors: DataFrame, probes: DataFrame) -> DataFrame:
     """Top `lim` rows per probe and partition: inside the window (flag) and without it.
 
@@ -140,7 +146,7 @@ def candidates(vectors: DataFrame, probes: DataFrame) -> DataFrame:
                 _add_batch(state, batch)
         yield state.rows()
 
-    return vectors.mapInArrow(score, CANDIDATE_SCHEMA)
+    return few_tasks(vectors).mapInArrow(score, CANDIDATE_SCHEMA)
 
 
 def _by_blocks(vectors: DataFrame, probes: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.text import hit_text, tokenize
+from millrace.operators.knn import few_tasks
 
 # Usual constants of BM25 and of rank fusion.
 K1 = 1.5
@@ -153,7 +154,7 @@ def _scores_by_matrix(
                     names=[query_id, doc_id, "bm25"],
                 )
 
-    return tokens.select(doc_id, "tokens").mapInArrow(score, schema)
+    return few_tasks(tokens.select(doc_id, "tokens")).mapInArrow(score, schema)
 
 
 def _block_weights(block: pa.RecordBatch, value_set: pa.Array, avg_len: float) -> np.ndarray:

@@ -281,7 +281,7 @@ def perturb_report(
     rows: DataFrame, replicates: int = REPLICATES, seed: int = SEED
 ) -> DataFrame:
     """Per condition: means, change with interval, fell/same/rose, detection rate with interval."""
-    changed = with_changes(rows)
+    changed = materialise(with_changes(rows), "changes")
     base = changed.groupBy("cond").agg(
         F.count(F.lit(1)).alias("n"),
         F.max("tolerance").alias("tolerance"),

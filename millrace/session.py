@@ -23,14 +23,19 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+# Scratch folder of local sessions that name none, by application.
+_LOCAL_SCRATCH: dict[str, str] = {}
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path under the folder that the cluster names in spark.checkpoint.dir."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        base = _LOCAL_SCRATCH.setdefault(app, "") or tempfile.mkdtemp(prefix="millrace-")
+        _LOCAL_SCRATCH[app] = base
     return f"{base.rstrip('/')}/millrace/{label}-{uuid.uuid4().hex}"
 
 
