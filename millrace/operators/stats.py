@@ -120,24 +120,26 @@ def paired_bootstrap(
 def statistic_bootstrap(
     rows: DataFrame, by: Sequence[str], key: str,
     statistic: Callable[[DataFrame, Sequence[str]], DataFrame],
-    replicates: int = REPLICATES, seed: int = SEED,
+    replicates: int = REPLICATES, seed: int = SEED, names: Sequence[str] = (),
 ) -> DataFrame:
     """Interval of any grouped statistic; undefined replicates are left out, and with fewer than
     half of them defined the interval is null.
 
-    `statistic(rows, by)` returns one row per group with a column `stat`.
+    `statistic(rows, by)` returns one row per group with a column `stat`, or several rows told
+    apart by the columns `names`, which then share one set of draws.
     """
+    out = [*by, *names]
     rows = materialise(rows, "pairs")
     base = statistic(rows, by).withColumnRenamed("stat", "estimate")
     per_rep = statistic(resample(rows, by, key, replicates, seed), [*by, "rep"])
     valid = per_rep.where("stat is not null").withColumn("stat", F.round("stat", DIGITS))
     enough = F.count("stat") >= replicates * 0.5
-    interval = valid.groupBy(*by).agg(
+    interval = valid.groupBy(*out).agg(
         F.when(enough, F.expr(f"percentile(stat, {LOW})")).alias("ci_low"),
         F.when(enough, F.expr(f"percentile(stat, {HIGH})")).alias("ci_high"),
         F.count("stat").alias("n_valid"),
     )
-    return base.join(interval, list(by), "left")
+    return base.join(interval, out, "left")
 
 
 def average_ranks(counted: DataFrame, by: Sequence[str], value: str, count: str) -> DataFrame:
@@ -202,16 +204,11 @@ def agreement(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
-def accuracy_stat(rows: DataFrame, by: Sequence[str]) -> DataFrame:
-    return agreement(rows, by).select(*by, F.col("accuracy").alias("stat"))
-
-
-def balanced_stat(rows: DataFrame, by: Sequence[str]) -> DataFrame:
-    return agreement(rows, by).select(*by, F.col("balanced_accuracy").alias("stat"))
-
-
-def kappa_stat(rows: DataFrame, by: Sequence[str]) -> DataFrame:
-    return agreement(rows, by).select(*by, F.col("kappa").alias("stat"))
+def agreement_stats(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Accuracy, balanced accuracy and kappa as rows (by, statistic, stat)."""
+    return agreement(rows, by).unpivot(
+        list(by), ["accuracy", "balanced_accuracy", "kappa"], "statistic", "stat"
+    )
 
 
 def cuts(rows: DataFrame) -> DataFrame:

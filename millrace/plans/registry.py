@@ -465,14 +465,9 @@ def paired_bootstrap(s, d):
 @query
 def statistic_bootstrap(s, d):
     pairs = fx.judge_pairs(s, d).withColumn("key", F.lpad(F.col("doc_id").cast("string"), 9, "0"))
-    cut = st.cuts(pairs)
-    out = None
-    for name, stat in (("accuracy", st.accuracy_stat), ("balanced_accuracy", st.balanced_stat),
-                       ("kappa", st.kappa_stat)):
-        one = st.statistic_bootstrap(cut, ["cut"], "key", stat, REPLICATES).withColumn(
-            "statistic", F.lit(name)
-        )
-        out = one if out is None else out.unionByName(one)
+    out = st.statistic_bootstrap(
+        st.cuts(pairs), ["cut"], "key", st.agreement_stats, REPLICATES, names=["statistic"]
+    )
     rank = lambda df, by: st.spearman(df, by, "human", "judge").drop("n")
     ordinal = st.statistic_bootstrap(
         pairs.withColumn("cut", F.lit("ordinal")), ["cut"], "key", rank, REPLICATES
@@ -1004,7 +999,7 @@ def stream_silver(s, d):
 
 @query
 def stream_episodes(s, d):
-    """The log arrives in four files in time order, one per micro-batch, with two days of delay."""
+    """The log arrives in four parts in time order; the job runs after each, with two days of delay."""
     root, ck = scratch_path(s, "stream-episodes"), scratch_path(s, "stream-checkpoint")
     landing = scratch_path(s, "stream-landing")
     rows = _log(s, d).drop("event_id", "split")
@@ -1014,8 +1009,8 @@ def stream_episodes(s, d):
     for lo, hi in zip(bounds, bounds[1:], strict=False):
         part = rows if lo is None else rows.where(at > lo)
         (part if hi is None else part.where(at <= hi)).write.mode("append").parquet(landing)
-    stream = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(landing)
-    last = inc.stream_episodes(stream, root, ck, 2 * 86400)
+        stream = s.readStream.schema(rows.schema).parquet(landing)
+        last = inc.stream_episodes(stream, root, ck, 2 * 86400)
     out = inc.closed_episodes(s, root).unionByName(inc.flush_open(s, root, last, rows))
     return out.select(
         "episode_id", "station", "current_state", "n_events", "duration_s",
