@@ -32,7 +32,7 @@ def test_stream_of_rows_equals_batch_and_counts_late_rows(spark, tmp_path):
     for lo, hi in ((0, 8), (8, 16), (16, 40)):
         rows.where((days > lo) & (days <= hi)).write.mode("append").parquet(landing)
         time.sleep(0.05)
-        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(landing)
+        stream = spark.readStream.schema(schema).parquet(landing)
         last = inc.stream_episodes(stream, root, ck, 86400)
     got = inc.closed_episodes(spark, root).unionByName(inc.flush_open(spark, root, last, rows))
     cols = ["episode_id", "n_events", "duration_s"]
@@ -42,5 +42,5 @@ def test_stream_of_rows_equals_batch_and_counts_late_rows(spark, tmp_path):
 
     rows.where(days == 2).write.mode("append").parquet(landing)
     inc.stream_episodes(
-        spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(landing), root, ck, 86400)
+        spark.readStream.schema(schema).parquet(landing), root, ck, 86400)
     assert inc.late_rows(spark, root).count() == rows.where(days == 2).count()
