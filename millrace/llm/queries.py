@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import token_counts
+from millrace.llm import packing, token_counts
 from millrace.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,3 +32,11 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
         "n_tokens", (F.col("n_tokens") > CONTEXT_TOKENS).alias("over_limit"),
     )
+
+
+@query
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.tokenised(table(spark, sf_dir, "documents"), TOKENIZER, CONTEXT_TOKENS)
+    return packing.packed(pieces, CONTEXT_TOKENS).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
+    )
