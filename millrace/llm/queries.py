@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import packing, quality, token_counts
+from millrace.llm import line_dedup, mixing, packing, quality, token_counts
 from millrace.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,3 +50,53 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score",
         (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
     )
+
+
+@query
+def op4_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mixed(mixing.sizes_of(docs), (5, 2, 1)).select(
+        F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken")
+    )
+
+
+@query
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs, drop_emptied=False).select("doc_id", "removed_lines", "text")
+
+
+#: Rows of op8: lines, marks, chunks, and the chunks that are not the first of their text.
+LINE_DEDUP_SQL = """
+WITH lines AS (
+  SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS line
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)
+), hashed AS (
+  SELECT *, ('0x' || substr(md5(line), 1, 7))::BIGINT AS h FROM lines
+), rolled AS (
+  SELECT *, h + 31 * lag(h) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM hashed
+), marked AS (
+  SELECT *, coalesce(r % 3 = 0, false) AS m FROM rolled
+), borders AS (
+  SELECT *, m AND NOT coalesce(lag(m) OVER (PARTITION BY doc_id ORDER BY i), true) AS b FROM marked
+), numbered AS (
+  SELECT *, coalesce(sum(b::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c
+  FROM borders
+), chunks AS (
+  SELECT doc_id, c, min(i) AS start, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body
+  FROM numbered GROUP BY doc_id, c
+), ranked AS (
+  SELECT doc_id, c, n, row_number() OVER (PARTITION BY body ORDER BY doc_id, start) AS k FROM chunks WHERE n > 1
+), gone AS (
+  SELECT doc_id, c, n FROM ranked WHERE k > 1
+), kept AS (
+  SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.i) AS text
+  FROM numbered l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.c = g.c WHERE g.c IS NULL GROUP BY l.doc_id
+), lost AS (
+  SELECT doc_id, sum(n) AS n FROM gone GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(lost.n, 0)::BIGINT AS removed_lines,
+       CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text
+FROM documents d LEFT JOIN kept ON d.doc_id = kept.doc_id LEFT JOIN lost ON d.doc_id = lost.doc_id
+"""
+ORACLE_SQL["op8_line_dedup"] = LINE_DEDUP_SQL
