@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import line_dedup, mixing, packing, quality, token_counts
+from millrace.llm import line_dedup, mixing, ngram_join, packing, quality, token_counts
 from millrace.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,3 +100,9 @@ SELECT d.doc_id, coalesce(lost.n, 0)::BIGINT AS removed_lines,
 FROM documents d LEFT JOIN kept ON d.doc_id = kept.doc_id LEFT JOIN lost ON d.doc_id = lost.doc_id
 """
 ORACLE_SQL["op8_line_dedup"] = LINE_DEDUP_SQL
+
+
+@query
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return ngram_join.join(docs).withColumnRenamed("id", "doc_id")
