@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import line_dedup, mixing, ngram_join, packing, quality, token_counts
+from millrace.llm import embed_dedup, line_dedup, mixing, ngram_join, packing, quality, token_counts
 from millrace.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,3 +106,32 @@ ORACLE_SQL["op8_line_dedup"] = LINE_DEDUP_SQL
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     return ngram_join.join(docs).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+#: Rows of op6: all pairs, in double precision, and the ids each reaches over links.
+EMBED_DEDUP_SQL = """
+WITH RECURSIVE able AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM able a JOIN able b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.9
+), reach AS (
+  SELECT vec_id AS u, vec_id AS r FROM embeddings
+  UNION SELECT l.v, reach.r FROM reach JOIN links l ON reach.u = l.u
+), components AS (
+  SELECT u, min(r) AS component_id FROM reach GROUP BY u
+), counts AS (
+  SELECT u, count(*) AS n FROM links GROUP BY u
+)
+SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN components c ON e.vec_id = c.u LEFT JOIN counts ON e.vec_id = counts.u
+"""
+ORACLE_SQL["op6_embedding_near_dedup"] = EMBED_DEDUP_SQL
