@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import embed_dedup, line_dedup, mixing, ngram_join, packing, quality, token_counts
+from millrace.llm import embed_dedup, line_dedup, mixing, ngram_join, packing, quality, substring, token_counts
 from millrace.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -135,3 +135,9 @@ SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, e.vec_id = com
 FROM embeddings e JOIN components c ON e.vec_id = c.u LEFT JOIN counts ON e.vec_id = counts.u
 """
 ORACLE_SQL["op6_embedding_near_dedup"] = EMBED_DEDUP_SQL
+
+
+@query
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring.dedup(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
