@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import embed_dedup, line_dedup, mixing, ngram_join, packing, quality, substring, token_counts
+from millrace.llm import embed_dedup, line_dedup, mixing, ngram_join, packing, quality, substring, token_counts, topk
 from millrace.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -141,3 +141,25 @@ ORACLE_SQL["op6_embedding_near_dedup"] = EMBED_DEDUP_SQL
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring.dedup(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+#: Rows of op2: every query with every other vector, ranked.
+TOPK_SQL = """
+WITH able AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+  FROM able q JOIN able c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+ORACLE_SQL["op2_exact_topk"] = TOPK_SQL
