@@ -10,6 +10,7 @@ are dealt anew into fewer shards, so shards leave no row of half-empty bins behi
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -48,6 +49,7 @@ class Ids:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core already
         self.library = _library(path)
         self.known: dict[str, bytes] = {"": b""}
 
