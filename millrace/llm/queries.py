@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import embed_dedup, line_dedup, mixing, ngram_join, packing, quality, substring, token_counts, topk
+from millrace.llm import embed_dedup, html_blocks, line_dedup, mixing, ngram_join, packing, quality, substring, token_counts, topk
 from millrace.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,8 @@ ORACLE_SQL: dict[str, str] = {}
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 CONTEXT_TOKENS = 2048
+#: Weights of sources in code point order, repeating.
+WEIGHTS = (5, 2, 1)
 
 
 def query(fn: Query) -> Query:
@@ -55,7 +57,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixing.mixed(mixing.sizes_of(docs), (5, 2, 1)).select(
+    return mixing.mixed(mixing.sizes_of(docs), WEIGHTS).select(
         F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken")
     )
 
@@ -163,3 +165,10 @@ WITH able AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 ORACLE_SQL["op2_exact_topk"] = TOPK_SQL
+
+
+@query
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    extracted = html_blocks.main_text(pages, html_blocks.fit(pages))
+    return extracted.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
