@@ -96,6 +96,11 @@ def runs(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.
         yield whole(held)
 
 
+def of_two_blocks(group: pa.RecordBatch) -> bool:
+    """Whether only pairs across blocks belong to this run of `in_blocks` rows; pairs within a block have their own."""
+    return group.column("_b1")[0] != group.column("_b2")[0]
+
+
 def in_blocks(df: DataFrame, keys: Sequence[str], member: str, blocks: str) -> DataFrame:
     """Rows of large groups dealt over pairs of blocks (_b1 <= _b2), so that any two rows of a group meet once.
 

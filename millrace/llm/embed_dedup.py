@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import materialise
-from millrace.llm.components import components, in_blocks, local_roots, runs
+from millrace.llm.components import components, in_blocks, local_roots, of_two_blocks, runs
 
 THRESHOLD = 0.9
 TARGET_RECALL = 0.9999
@@ -170,7 +170,7 @@ def _verified(threshold: float):
                 x = _unit(some.column("embedding").to_pylist(), int(size))
                 block, c, copies = (some.column(k).to_numpy() for k in ("_b", "c", "n"))
                 i, j = np.nonzero(np.triu(x @ x.T >= threshold, 1))
-                if (block != block[0]).any():
+                if of_two_blocks(group):
                     once = block[i] != block[j]
                     i, j = i[once], j[once]
                 if len(i):

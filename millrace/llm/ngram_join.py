@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import materialise, slices
-from millrace.llm.components import components, in_blocks, local_roots, runs
+from millrace.llm.components import components, in_blocks, local_roots, of_two_blocks, runs
 from millrace.llm.words import Runs, mix, windows, word_hashes
 
 N = 5
@@ -115,7 +115,7 @@ def _tied(least: float):
             c = group.column("c").to_numpy()
             block = group.column("_b").to_numpy()
             s = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(n, -1)
-            apart = block[0] != block[-1] or (block != block[0]).any()
+            apart = of_two_blocks(group)
             root = np.arange(n)
             for i in range(n - 1):
                 rest = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
@@ -177,8 +177,8 @@ def _verified(threshold: float, n_gram: int):
             grams, owner, _, _ = shingles(texts, n_gram)
             cuts = np.searchsorted(owner, np.arange(n + 1))
             i, j = linked_pairs([np.unique(grams[a:b]) for a, b in zip(cuts[:-1], cuts[1:])], threshold)
-            if (block != block[0]).any():
-                once = block[i] != block[j]  # pairs within a block belong to the block's own group
+            if of_two_blocks(group):
+                once = block[i] != block[j]
                 i, j = i[once], j[once]
             if len(i):
                 links = np.bincount(i, copies[j], minlength=n) + np.bincount(j, copies[i], minlength=n)
