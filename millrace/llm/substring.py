@@ -27,7 +27,7 @@ from millrace.llm.common import materialise, slices
 from millrace.llm.words import Runs, mix, windows, word_hashes
 
 LENGTH = 50
-ANCHOR = 12
+ANCHOR = 18
 BATCH_BYTES = 2 << 20
 _LAST = (1 << 63) - 1
 
@@ -122,14 +122,13 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR
     """
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("key"), "text")
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    found = materialise(
-        texts.mapInArrow(_compacted(length, anchor), f"gram long, path long, doc_id {id_type}, key long, low int, high int"),
-        "paths",
-    ).withColumn("ord", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)))
-    shared = (
-        found.groupBy("gram").agg(F.min("ord").alias("a"), F.max("ord").alias("b")).where("a < b").select("gram")
+    # Read twice and not stored: the paths of all texts are as large as the texts.
+    found = texts.mapInArrow(
+        _compacted(length, anchor), f"gram long, path long, doc_id {id_type}, key long, low int, high int"
     )
-    found = materialise(found.join(shared, "gram"), "shared_paths")
+    order = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
+    shared = found.groupBy("gram").agg(F.min(order).alias("a"), F.max(order).alias("b")).where("a < b").select("gram")
+    found = materialise(found.join(shared, "gram"), "shared_paths").withColumn("ord", order)
 
     place = F.struct("ord", "doc_id", "key", "low", "high")
     merged = materialise(found.groupBy("gram", "path").agg(F.min(place).alias("source")), "merged_paths")
@@ -140,17 +139,15 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR
                 F.col("source.doc_id").alias("w_id"), F.col("source.key").alias("w_key"))
         .groupBy("w_id", "w_key").agg(F.collect_list(F.struct("gram", "path", "least", "low", "high")).alias("wanted"))
     )
-    once = texts.join(wanted, _same_text("doc_id", "key", "w_id", "w_key")).dropDuplicates(["doc_id", "key"])
+    sources = texts.join(wanted, _same_text("doc_id", "key", "w_id", "w_key")).select("text", "wanted")
     edges = materialise(
-        once.select("text", "wanted").mapInArrow(
-            _expanded(length), "gram long, path long, least long, offset int, window long"
-        ),
-        "windows",
+        sources.mapInArrow(_expanded(length), "gram long, path long, least long, offset int, window long"), "windows"
     )
-    least = edges.groupBy("gram", "window").agg(F.min("least").alias("first_doc"))
+    least = edges.groupBy("gram", "window").agg(F.min("least").alias("first_doc"), F.max("least").alias("last_doc"))
+    # only windows whose document comes before the path's own least document say more than that
     parted = (
-        edges.join(least, ["gram", "window"]).groupBy("gram", "path")
-        .agg(F.collect_list(F.struct("offset", "first_doc")).alias("parts"))
+        edges.join(least.where("first_doc < last_doc").drop("last_doc"), ["gram", "window"]).where("first_doc < least")
+        .groupBy("gram", "path").agg(F.collect_set(F.struct("offset", "first_doc")).alias("parts"))
     )
     # one record per path: its least document, and for a path at a fork the least one of each window
     known = merged.select("gram", "path", F.col("source.ord").alias("least")).join(parted, ["gram", "path"], "left")
