@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import math
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -47,24 +47,45 @@ def hash_number(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("bigint")
 
 
-# Fixed values of the draw generator: a prime below 2**31, strides and an increment.
+# Up to this mean a Poisson count comes from its cumulative probabilities, above it from a normal number.
+POISSON_EXACT = 6
+
+
+def poisson_steps(mean: int) -> list[float]:
+    """Cumulative probabilities of a Poisson count, until less than 2**-33 is left."""
+    p, total, out = math.exp(-mean), 0.0, []
+    while 1 - total > 2.0**-33:
+        total += p
+        out.append(total)
+        p *= mean / len(out)
+    return out
+
+
+# Fixed values of the draw generator: a prime for which x**5 is a permutation, and two strides.
 DRAW_PRIME = 2_147_483_647
-DRAW_STRIDES = (1_000_003, 7_368_787)
-DRAW_STEP = 1_013_904_223
-DRAW_ROUNDS = 3
+DRAW_STRIDES = (1_103_515_245, 1_013_904_223)
+
 
+def key_numbers(key: Column) -> list[Column]:
+    """Three numbers below DRAW_PRIME from the digest of a text; the first is not 0."""
+    digest = F.md5(key)
+    part = lambda at: F.conv(F.substring(digest, at, 8), 16, 10).cast("bigint")
+    return [part(1) % (DRAW_PRIME - 1) + 1, part(9) % DRAW_PRIME, part(17) % DRAW_PRIME]
 
-def draw_number(seed: int, rep: Column, no: Column) -> Column:
-    """Pseudo-random bigint below DRAW_PRIME from (seed, rep, no).
 
-    Rounds of squaring modulo a prime: plain integer arithmetic, so it stays in generated code,
-    is the same on any partitioning, and other engines can repeat it.
+def poisson_count(mean: Column, u: Column, v: Column) -> Column:
+    """A Poisson count of a whole-numbered mean from two uniform numbers.
+
+    A small mean uses the inverse of the distribution, a large one a normal number with the first skewness
+    correction.
     """
-    a, b = DRAW_STRIDES
-    x = (rep.cast("bigint") * a + no.cast("bigint") * b + seed) % DRAW_PRIME
-    for _ in range(DRAW_ROUNDS):
-        x = (x * x + DRAW_STEP) % DRAW_PRIME
-    return x
+    out = F.lit(None).cast("bigint")
+    for c in range(POISSON_EXACT, 0, -1):
+        passed = sum(((u >= F.lit(x)).cast("int") for x in poisson_steps(c)), F.lit(0))
+        out = F.when(mean == c, passed.cast("bigint")).otherwise(out)
+    z = F.sqrt(-2.0 * F.log(u)) * F.cos(2.0 * math.pi * v)
+    large = F.floor(mean + F.sqrt(mean.cast("double")) * z + (z * z - 1.0) / 6.0 + 0.5)
+    return F.when(mean <= POISSON_EXACT, out).otherwise(F.greatest(F.lit(0), large).cast("bigint"))
 
 
 def hash_order(seed: str | int, key: Column) -> Column:
@@ -72,14 +93,6 @@ def hash_order(seed: str | int, key: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), key))
 
 
-def all_of(*conditions: Column) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
-
-
-def any_of(*conditions: Column) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
-
-
 def map_text(col: Column) -> Column:
     """A map<string,string> as `k=v` pairs in key order (for comparison and display)."""
     return F.array_join(

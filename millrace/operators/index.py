@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from millrace.functions.columns import hash_order, let
+from millrace.functions.columns import hash_order
 from millrace.functions.text import tokenize
 from millrace.operators.rules import context_sentence, with_context
 
-# Longest text per index column.
-MAX_LENGTHS = {
-    "event_id": 64, "station": 20, "current_state": 20, "current_task": 500,
-    "current_sub_task": 300, "log_text": 2000,
-}
 DOCUMENT_PREFIX = "search_document: "
 QUERY_PREFIX = "search_query: "
 READY_SAMPLE = 0
@@ -51,25 +49,21 @@ def token_dimension(token: Column, dim: int) -> Column:
     return (F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("bigint") % dim).cast("int")
 
 
-def text_vector(text: Column, dim: int) -> Column:
-    """Hashed term frequencies with unit length. Row-local: no explode, no shuffle, no Python.
+def _unit_counts(dim: int, name: str):
+    """Append unit-length counts of the token places in the last column, which goes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = batch.column(batch.num_columns - 1)
+            owner = np.repeat(np.arange(batch.num_rows), places.value_lengths().to_numpy())
+            cells = owner * dim + places.flatten().to_numpy()
+            n = np.bincount(cells, minlength=batch.num_rows * dim).reshape(-1, dim).astype(float)
+            norm = np.sqrt((n * n).sum(1, keepdims=True))
+            unit = n / np.where(norm == 0, 1.0, norm)
+            ends = np.arange(batch.num_rows + 1, dtype=np.int32) * dim
+            vectors = pa.ListArray.from_arrays(pa.array(ends), pa.array(unit.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], vectors], [*batch.schema.names[:-1], name])
 
-    A count is the length lost by removing a value, which runs as one native array pass.
-    """
-    places = F.sequence(F.lit(0), F.lit(dim - 1))
-
-    def counts(hashed: Column) -> Column:
-        n = lambda d: F.size(hashed) - F.size(F.array_remove(hashed, d))
-        return F.transform(places, lambda d: n(d).cast("double"))
-
-    def unit(n: Column) -> Column:
-        norm = F.sqrt(F.aggregate(n, F.lit(0.0), lambda a, x: a + x * x))
-        return let(
-            norm, lambda v: F.transform(n, lambda x: F.when(v > 0, x / v).otherwise(F.lit(0.0)))
-        )
-
-    hashed = F.transform(tokenize(text), lambda t: token_dimension(t, dim))
-    return let(let(hashed, counts), unit)
+    return run
 
 
 def with_text_vectors(
@@ -77,27 +71,28 @@ def with_text_vectors(
     embedder: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Add a vector of `text`. `embedder` is the hook for another model, e.g. a pandas UDF from
-    string to array<double>; by default hashed term frequencies."""
-    column = F.col(text)
-    return rows.withColumn(name, text_vector(column, dim) if embedder is None else embedder(column))
+    string to array<double>; by default hashed term frequencies with unit length, counted in one pass
+    over the tokens of a batch."""
+    if embedder is not None:
+        return rows.withColumn(name, embedder(F.col(text)))
+    tokens = tokenize(F.coalesce(F.col(text), F.lit("")))
+    hashed = rows.withColumn("_places", F.transform(tokens, lambda t: token_dimension(t, dim)))
+    schema = T.StructType([*rows.schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))])
+    return hashed.mapInArrow(_unit_counts(dim, name), schema)
 
 
 def index_rows(episodes: DataFrame, ready: int = READY_SAMPLE) -> DataFrame:
-    """Truncated columns of the searchable table, with the bare and the embedded text."""
+    """Columns of the searchable table, whole, with the bare and the embedded text."""
     rows = with_context(index_selection(episodes, ready))
-    cut = lambda source, target: F.substring(
-        F.coalesce(source, F.lit("")), 1, MAX_LENGTHS[target]
-    ).alias(target)
+    text = lambda source, target: F.coalesce(source, F.lit("")).alias(target)
     return rows.select(
-        cut(F.col("episode_id"), "event_id"),
-        cut(F.col("station"), "station"),
+        text("episode_id", "event_id"), text("station", "station"),
         "start_ts", "end_ts",
-        cut(F.col("current_state"), "current_state"),
-        cut(F.col("current_task"), "current_task"),
-        cut(F.col("current_sub_task"), "current_sub_task"),
+        text("current_state", "current_state"), text("current_task", "current_task"),
+        text("current_sub_task", "current_sub_task"),
         F.col("duration_s").cast("float").alias("duration_s"),
         "is_anomaly",
-        cut(F.col("text"), "log_text"),
+        text("text", "log_text"),
         embed_text(F.col("text"), context_sentence()).alias("embed_text"),
     )
 

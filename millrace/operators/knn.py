@@ -47,6 +47,8 @@ class ProbeBlock:
         self.hi = probes["hi_us"].fillna(np.iinfo(np.int64).max).astype("int64").to_numpy()
         self.lists = [None if x is None else np.array(x) for x in probes["lists"]]
         self.lim = probes["lim"].to_numpy()
+        # Probes by station: a row is scored against those of its own station, and the open ones (-1).
+        self.of_station = {c: np.flatnonzero(self.station == c) for c in np.unique(self.station).tolist()}
 
 
 class RunningTopK:
@@ -71,23 +73,26 @@ class RunningTopK:
         order = np.lexsort((ids, -scores))[:k]
         self.best[(j, in_window)] = (scores[order], ids[order])
 
-    def add(self, ids, stations, start_us, lists, vectors) -> None:
+    def add(self, ids, stations: pa.DictionaryArray, start_us, lists, vectors) -> None:
         block = self.block
-        codes = np.array([block.codes.get(s, -2) for s in stations])
-        scores = np.round(_unit(vectors) @ block.matrix.T, SCORE_DIGITS)
-        for j in range(len(block.ids)):
-            keep = np.ones(len(ids), dtype=bool)
-            if block.station[j] >= 0:
-                keep &= codes == block.station[j]
-            if block.lists[j] is not None:
-                keep &= np.isin(lists, block.lists[j])
-            if not keep.any():
+        names = np.array([block.codes.get(s, -2) for s in stations.dictionary.to_pylist()] + [-2])
+        codes = names[stations.indices.fill_null(len(names) - 1).to_numpy()]
+        unit = _unit(vectors)
+        for code, probes in block.of_station.items():
+            rows = np.arange(len(ids)) if code < 0 else np.flatnonzero(codes == code)
+            if not len(rows):
                 continue
-            self.offer(j, False, scores[keep, j], ids[keep])
-            if block.windowed[j]:
-                keep &= (start_us >= block.lo[j]) & (start_us <= block.hi[j])
-                if keep.any():
-                    self.offer(j, True, scores[keep, j], ids[keep])
+            scores = np.round(unit[rows] @ block.matrix[probes].T, SCORE_DIGITS)
+            for column, j in enumerate(probes.tolist()):
+                keep = np.ones(len(rows), bool) if block.lists[j] is None else np.isin(lists[rows], block.lists[j])
+                if not keep.any():
+                    continue
+                self.offer(j, False, scores[keep, column], ids[rows[keep]])
+                if block.windowed[j]:
+                    at = start_us[rows]
+                    keep &= (at >= block.lo[j]) & (at <= block.hi[j])
+                    if keep.any():
+                        self.offer(j, True, scores[keep, column], ids[rows[keep]])
 
     def rows(self) -> pa.RecordBatch:
         out = {"probe_id": [], "event_id": [], "score": [], "in_window": []}
@@ -110,20 +115,14 @@ def _add_batch(state: RunningTopK, batch: pa.RecordBatch) -> None:
         part = batch.slice(at, ROWS_PER_PRODUCT)
         flat = part.column("embedding").flatten().to_numpy(zero_copy_only=False)
         state.add(
-            np.array(part.column("event_id").to_pylist(), dtype=object),
-            part.column("station").to_pylist(),
+            part.column("event_id").to_numpy(zero_copy_only=False),
+            part.column("station").dictionary_encode(),
             part.column("start_us").to_numpy(zero_copy_only=False),
             part.column("list_id").to_numpy(zero_copy_only=False),
             flat.reshape(part.num_rows, -1).astype(np.float64),
         )
 
 
-def few_tasks(df: DataFrame) -> DataFrame:
-    """At most four tasks per core, so that a task merges many input splits before it emits its
-    top rows. Narrow: no shuffle, and no effect on a table with fewer splits."""
-    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
-
-
 def candidates(vectors: DataFrame, probes: DataFrame) -> DataFrame:
     """Top `lim` rows per probe and partition: inside the window (flag) and without it.
 
@@ -146,7 +145,7 @@ def candidates(vectors: DataFrame, probes: DataFrame) -> DataFrame:
                 _add_batch(state, batch)
         yield state.rows()
 
-    return few_tasks(vectors).mapInArrow(score, CANDIDATE_SCHEMA)
+    return vectors.mapInArrow(score, CANDIDATE_SCHEMA)
 
 
 def _by_blocks(vectors: DataFrame, probes: DataFrame) -> DataFrame:

@@ -45,11 +45,14 @@ def evidence_match(hits: DataFrame, evidence: DataFrame) -> DataFrame:
     ).select("question_id", "rank", "event_id")
 
 
-def metrics_from_hits(hits: DataFrame, questions: DataFrame, evidence: DataFrame) -> DataFrame:
+def metrics_from_hits(
+    hits: DataFrame, questions: DataFrame, evidence: DataFrame, configs: Sequence[str] = ()
+) -> DataFrame:
     """Retrieval metrics per question for ranked hits; questions without hits count as zero.
 
     Evidence is a table of (question_id, event_id), so a question whose evidence is a large part
-    of the index needs no list. `hits` may carry a config column; metrics are then per config.
+    of the index needs no list. If `hits` carries a config column, metrics are per configuration of
+    `configs`, also of one that found nothing.
     """
     key = [c for c in ("config", "question_id") if c in hits.columns]
     pairs = evidence.select("question_id", "event_id").distinct()
@@ -59,7 +62,7 @@ def metrics_from_hits(hits: DataFrame, questions: DataFrame, evidence: DataFrame
     )
     asked = questions.select("question_id", "tier", "evidence_mode")
     if "config" in key:
-        asked = asked.join(F.broadcast(hits.select("config").distinct()))
+        asked = asked.withColumn("config", F.explode(F.array(*map(F.lit, configs))))
     rows = asked.join(sizes, "question_id", "left").join(found, key, "left")
     hit = F.when(F.col("_first").isNotNull(), 1.0).otherwise(0.0)
     return rows.select(
@@ -85,19 +88,46 @@ def answer_checks(answers: DataFrame) -> DataFrame:
     )
 
 
-def report_rows(generations: DataFrame, golden: DataFrame, scores: DataFrame) -> DataFrame:
+def evidence_table(golden: DataFrame) -> DataFrame:
+    """(id, episode_id) from the lists of a question set; questions without a list have no row here."""
+    return golden.select("id", F.explode("evidence_episode_ids").alias("episode_id")).distinct()
+
+
+def found_evidence(answers: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(run, id, system, first_rank, n_found) of answers whose retrieved ids hold evidence.
+
+    The evidence of an impact question may be a third of all episodes: it is joined on both ids
+    and never gathered into a list.
+    """
+    ids = answers.select("run", "id", "system", F.posexplode("retrieved_ids").alias("_pos", "episode_id"))
+    return ids.join(evidence.select("id", "episode_id").distinct(), ["id", "episode_id"]).groupBy("run", "id", "system").agg(
+        (F.min("_pos") + 1).alias("first_rank"), F.count_distinct("episode_id").alias("n_found")
+    )
+
+
+def report_rows(
+    generations: DataFrame, golden: DataFrame, scores: DataFrame, evidence: DataFrame | None = None
+) -> DataFrame:
     """One row per (run, id, system): answer and retrieval metrics plus judge scores.
 
-    The joins are on the question id and on (run, id, system); no broadcast is forced, so the
-    engine picks one only for a table it has measured as small.
+    evidence: (id, episode_id) of all questions, by default from the lists in `golden`. The joins are on the
+    question id and on (run, id, system); no broadcast is forced, so the engine picks one only for a
+    table it has measured as small.
     """
-    evidence = golden.select("id", "evidence_episode_ids", "evidence_mode")
-    rows = generations.join(evidence, "id").join(
-        scores.drop("tier", "judge"), ["run", "id", "system"], "left"
+    evidence = evidence_table(golden) if evidence is None else evidence
+    sizes = evidence.groupBy("id").agg(F.count_distinct("episode_id").alias("_evidence"))
+    key = ["run", "id", "system"]
+    rows = (
+        generations.join(golden.select("id", "evidence_mode"), "id").join(sizes, "id", "left")
+        .join(found_evidence(generations, evidence), key, "left")
+        .join(scores.drop("tier", "judge"), key, "left")
     )
     rag = F.col("system") != BASELINE
-    measured = retrieval_metrics(
-        F.col("retrieved_ids"), F.col("evidence_episode_ids"), F.col("evidence_mode")
+    hit = F.when(F.col("first_rank").isNotNull(), 1.0).otherwise(0.0)
+    measured = F.struct(
+        hit.alias("hit_at_k"), F.coalesce(1.0 / F.col("first_rank"), F.lit(0.0)).alias("mrr"),
+        F.when(F.col("evidence_mode") == "any", hit)
+        .otherwise(F.coalesce(F.col("n_found") / F.col("_evidence"), F.lit(0.0))).alias("recall_at_k"),
     )
     expected = F.when(F.col("subtype") == "anomalia_sim", "sim").when(
         F.col("subtype") == "anomalia_nao", "nao"
@@ -160,16 +190,19 @@ def common_questions(rows: DataFrame) -> DataFrame:
     return seen.join(F.broadcast(runs)).where("_n = _runs").select("system", "id")
 
 
-def refusal_matrix(answers: DataFrame, golden: DataFrame) -> DataFrame:
-    """Evidence in context against answer behaviour, per run and system over common questions."""
+def refusal_matrix(answers: DataFrame, golden: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
+    """Evidence in context against answer behaviour, per run and system over common questions.
+
+    evidence: (id, episode_id) of all questions, by default from the lists in `golden`.
+    """
+    evidence = evidence_table(golden) if evidence is None else evidence
     rag = answers.where(F.col("system") != BASELINE)
-    shared = rag.join(common_questions(rag), ["system", "id"], "left_semi")
-    rows = answer_checks(
-        shared.join(golden.select("id", "evidence_episode_ids", "evidence_mode"), "id")
-    ).withColumn(
-        "hit",
-        F.size(hit_ranks(F.col("retrieved_ids"), F.col("evidence_episode_ids"))) > 0,
+    shared = rag.join(common_questions(rag), ["system", "id"], "left_semi").join(
+        golden.select("id").distinct(), "id", "left_semi"
     )
+    rows = answer_checks(
+        shared.join(found_evidence(shared, evidence).drop("n_found"), ["run", "id", "system"], "left")
+    ).withColumn("hit", F.col("first_rank").isNotNull())
     hit, refusal = F.col("hit"), F.col("kind") == tx.REFUSAL
     return rows.groupBy("run", "system").agg(
         F.count(F.lit(1)).alias("n"),
@@ -246,7 +279,7 @@ def metric_compare(
     (system, run). The pivot list is fixed, so no extra job looks for its values."""
     chosen = rows.where(F.col("system").isin(*systems))
     by = ["run", "system", "metric"]
-    ci = bootstrap_ci(long_metrics(chosen, metrics), by, "id", "value", replicates)
+    ci = bootstrap_ci(long_metrics(chosen, metrics), by, "value", replicates)
     text = F.concat(
         F.round(F.col("mean").cast("decimal(18,9)"), 2).cast("string"), F.lit(" ["),
         F.round(F.col("ci_low").cast("decimal(18,9)"), 2).cast("string"), F.lit("; "),

@@ -13,26 +13,25 @@ from millrace.operators.ordered import row_numbers
 from millrace.operators.stats import evenly_spaced_subset
 from millrace.session import materialise
 
-# Shifts tried in turn for a swapped number.
+# Shifts tried in turn for a swapped number; patterns of numbers, labels, bullets and sentence ends.
 SHIFTS = ("7.3", "11.9", "4.6", "23.1")
 NUMBER = r"(?<![\d.,])\d+[.,]\d+(?!\d)"
 MAX_SWAPS = 2
-MAX_CLAIMS = 12
 MIN_WORDS = 4
 MARKUP = r"[*#`_]+"
 LABEL = (
-    r"(?iu)^\s*(?:\d+[.)]\s*)?(?:[-•]\s*)?"
+    r"(?iuU)^\s*(?:\d+[.)]\s*)?(?:[-•]\s*)?"
     r"(?:diagn[óo]stico|causa prov[áa]vel|a[çc][ãa]o corretiva)[^:\n]{0,60}:\s*"
 )
-BULLET = r"^\s*(?:\d+[.)]|[-•])\s*"
-SENTENCE_END = r"(?<=[.!?])\s+(?=[A-ZÁÉÍÓÚÂÊÔÃÕÇ0-9'\"(])"
-EDGE_SPACE = r"^\s+|\s+$"
+BULLET = r"(?U)^\s*(?:\d+[.)]|[-•])\s*"
+SENTENCE_END = r"(?U)(?<=[.!?])\s+(?=[A-ZÁÉÍÓÚÂÊÔÃÕÇ0-9'\"(])"
+EDGE_SPACE = r"(?U)^\s+|\s+$"
 
 
 def neutral(answer: Column) -> Column:
     """Paragraphs in reverse order; null with fewer than two."""
     parts = F.filter(
-        F.split(F.regexp_replace(answer, EDGE_SPACE, ""), r"\n\s*\n"),
+        F.split(F.regexp_replace(answer, EDGE_SPACE, ""), r"(?U)\n\s*\n"),
         lambda p: F.trim(p) != "",
     )
     return F.when(F.size(parts) >= 2, F.array_join(F.reverse(parts), "\n\n"))
@@ -113,16 +112,17 @@ def split_claims(answer: Column) -> Column:
     ))
     sentences = F.flatten(F.transform(clean, lambda line: F.split(line, SENTENCE_END)))
     sentences = F.transform(sentences, lambda s: F.regexp_replace(s, EDGE_SPACE, ""))
-    return F.filter(sentences, lambda s: (s != "") & (F.size(F.split(s, r"\s+")) >= MIN_WORDS))
+    return F.filter(sentences, lambda s: (s != "") & (F.size(F.split(s, r"(?U)\s+")) >= MIN_WORDS))
 
 
 def claims(answers: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per claim (the first twelve), with the number of declining sentences."""
+    """One row per claim, with the number of declining sentences; an answer without a claim keeps
+    one row with a null claim."""
     rows = answers.withColumn("_s", split_claims(F.col("answer")))
     rows = rows.withColumn("_claims", F.filter("_s", lambda s: ~dotted(s).rlike(DECLINE)))
     rows = rows.withColumn("n_declined", F.size("_s") - F.size("_claims"))
     return rows.select(
-        *keys, "n_declined", F.posexplode(F.slice("_claims", 1, MAX_CLAIMS)).alias("_pos", "claim")
+        *keys, "n_declined", F.posexplode_outer("_claims").alias("_pos", "claim")
     ).select(*keys, "n_declined", (F.col("_pos") + 1).alias("claim_no"), "claim")
 
 

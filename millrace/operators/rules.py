@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.columns import hash_order
+from millrace.functions.columns import hash_order, let
 from millrace.functions.process_rules import NO_NEXT, RULE_SCHEMA, rule_rows
 
 
@@ -39,13 +39,25 @@ def task_context(pairs: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     return best.select("station", "current_task", "_rule.*")
 
 
-def with_context(rows: DataFrame, rules: DataFrame | None = None) -> DataFrame:
-    """Attach activity, process and next_station; rows without a rule get nulls.
+def first_rule(station: Column, task: Column) -> Column:
+    """struct<activity, process, next_station> of the first rule that applies, from the rules as a literal."""
+    entry = lambda s, k, a, p, n: F.struct(
+        F.lit(s).alias("station"), F.array(*map(F.lit, k)).alias("keywords"), F.lit(a).alias("activity"),
+        F.lit(p).alias("process"), F.lit(n).alias("next_station"),
+    )
+    rules = F.array(*[entry(*row[1:]) for row in rule_rows()])
 
-    One rule application per distinct task; adaptive execution broadcasts that table while it is
-    small and splits a skewed station otherwise.
-    """
-    return rows.join(task_context(rows, rules), ["station", "current_task"], "left")
+    def applies(low: Column) -> Column:
+        hits = F.filter(rules, lambda r: (r["station"] == station) & F.forall(r["keywords"], lambda k: low.contains(k)))
+        return F.try_element_at(hits, F.lit(1))
+
+    return F.when(task != "", let(normalised_task(task), applies))
+
+
+def with_context(rows: DataFrame) -> DataFrame:
+    """Attach activity, process and next_station, row by row; rows without a rule get nulls."""
+    found = rows.withColumn("_rule", first_rule(F.col("station"), F.col("current_task")))
+    return found.select(*rows.columns, "_rule.activity", "_rule.process", "_rule.next_station")
 
 
 def context_sentence() -> Column:

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from millrace.functions.columns import draw_number, hash_number, hash_order
+from millrace.functions.columns import (
+    DRAW_PRIME, DRAW_STRIDES, POISSON_EXACT, hash_order, key_numbers, poisson_count, poisson_steps,
+)
 from millrace.operators.ordered import (
     evenly_spaced, group_sizes, hash_row_numbers, row_numbers, running_total,
 )
@@ -19,119 +25,177 @@ SEED = 42
 DIGITS = 9
 LOW, HIGH = 0.025, 0.975
 MIN_TOLERANCE = 0.05
-MAX_BROADCAST_ROWS = 500_000
+# Values of a mean are counted in units of this size.
+UNIT = 1e-9
+WEIGHT = "_w"
+
+
+def units(value: Column | str) -> Column:
+    value = F.col(value) if isinstance(value, str) else value
+    return F.round(value.cast("double") / UNIT).cast("bigint")
+
+
+def folded(rows: DataFrame, by: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """One row per group and distinct values, with their number `_n`: all that a replicate has to know."""
+    return rows.groupBy(*by, *values).agg(F.count(F.lit(1)).alias("_n"))
 
 
-def resample(
-    rows: DataFrame, by: Sequence[str], key: str, replicates: int = REPLICATES, seed: int = SEED
+def replicated(
+    counts: DataFrame, by: Sequence[str], values: Sequence[str], replicates: int = REPLICATES, seed: int = SEED
 ) -> DataFrame:
-    """`replicates` draws with replacement per group, each as large as the group.
+    """Poisson bootstrap on counts: each replicate draws a weight `_w` for each distinct value.
 
-    Draw d of replicate r picks row draw_number(seed, r, d) mod n. Rows are numbered in md5 order, which
-    needs no task per group; picks spread evenly, so the join has no hot key. The sums of a
-    caller merge on the map side, so what leaves a task is one row per (group, replicate).
+    n rows of a value that weigh Poisson(1) each weigh Poisson(n) together, so rows are neither drawn nor
+    joined. The work is replicates x distinct values, whatever the number of rows.
+
+    A draw mixes three numbers from the digest of (seed, group, value) with two permutations of the
+    replicate's number, by products and fifth powers modulo a prime: whole numbers that any engine repeats, in
+    generated code, and no shift of one replicate is another.
     """
-    digest = rows.withColumn("_digest", hash_order(seed, F.col(key)))
-    numbered = hash_row_numbers(digest, by, "_digest", key, "_no").drop("_digest")
-    sized = numbered.select(*by, "_no").join(group_sizes(rows, by, "_n"), list(by))
-    # Each row turns into `replicates` draws: spread the small input before it grows.
-    sized = sized.repartition(shuffle_partitions(rows.sparkSession), *by, "_no")
-    draws = sized.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).select(
-        *by, "rep",
-        (draw_number(seed, F.col("rep"), F.col("_no")) % F.col("_n") + 1).alias("_no"),
+    few = _keyed(counts, by, values, seed).withColumn("rep", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(replicates).cast("bigint"))))
+    p = DRAW_PRIME
+    drawn = _fifth(few.withColumn("_r", (F.col("rep") * DRAW_STRIDES[0]) % p), "_r", "_r")
+    drawn = _fifth(drawn.withColumn("_x", (F.col("_a") * F.col("_r") + F.col("_b")) % p), "_x", "_x")
+    drawn = _fifth(drawn.withColumn("_x", (F.col("_x") + F.col("_c") + F.col("rep") * DRAW_STRIDES[1]) % p), "_x", "_x")
+    drawn = _fifth(drawn.withColumn("_y", (F.col("_x") + F.col("_r") + 1) % p), "_y", "_y")
+    uniform = lambda c: (F.col(c) + 0.5) / float(p)
+    weight = poisson_count(F.col("_n"), F.col("_u"), F.col("_v"))
+    # A generator: a filter on its column isn't pushed below the steps and multiplied with them.
+    weighed = drawn.withColumn("_u", uniform("_x")).withColumn("_v", uniform("_y")).select(
+        *by, *values, "rep", F.explode(F.array(weight)).alias(WEIGHT)
     )
-    # The planner takes the exploded draws for small and would broadcast them. The rows are the
-    # smaller side by the factor `replicates`: broadcast them only if counted as few.
-    few = rows.count() <= MAX_BROADCAST_ROWS
-    numbered = F.broadcast(numbered) if few else numbered.hint("shuffle_hash")
-    return draws.join(numbered, [*by, "_no"]).drop("_no")
+    return weighed.where(f"{WEIGHT} > 0")
 
 
-def poisson_resample(
-    rows: DataFrame, by: Sequence[str], key: str, replicates: int = REPLICATES, seed: int = SEED
-) -> DataFrame:
-    """Join-free variant for large groups: every row has a Poisson(1) weight per replicate."""
-    u = hash_number(F.lit(str(seed)), F.col("rep").cast("string"), F.col(key)) / float(2**32)
-    # Cumulative Poisson(1) probabilities up to 9; larger counts are below 1e-6.
-    steps, p, total = [], 2.718281828459045 ** -1, 0.0
-    for k in range(10):
-        p = p if k == 0 else p / k
-        total += p
-        steps.append(total)
-    weight = sum(((u >= s).cast("int") for s in steps), F.lit(0))
-    spread = rows.repartition(shuffle_partitions(rows.sparkSession), key)
-    return spread.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn(
-        "weight", weight
-    ).where("weight > 0")
-
-
-def _interval(stats: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+def _keyed(counts: DataFrame, by: Sequence[str], values: Sequence[str], seed: int) -> DataFrame:
+    """Three numbers (_a, _b, _c) per distinct value, from which its draws come; spread over all tasks."""
+    kind = dict(counts.dtypes)
+    text = [F.col(v).cast("int" if kind[v] == "boolean" else kind[v]).cast("string") for v in (*by, *values)]
+    a, b, c = key_numbers(F.concat_ws("|", F.lit(str(seed)), *text))
+    few = counts.withColumns({"_a": a, "_b": b, "_c": c})
+    return few.repartition(shuffle_partitions(counts.sparkSession), *by, *values)
+
+
+def _fifth(df: DataFrame, column: str, name: str) -> DataFrame:
+    """column ** 5 modulo the prime, in steps that stay within 64 bits."""
+    square = lambda c: (F.col(c) * F.col(c)) % DRAW_PRIME
+    return (
+        df.withColumn("_2", square(column)).withColumn("_4", square("_2"))
+        .withColumn(name, (F.col("_4") * F.col(column)) % DRAW_PRIME).drop("_2", "_4")
+    )
+
+
+def _interval(stats: DataFrame, by: Sequence[str], value: str, *more: Column) -> DataFrame:
     return stats.groupBy(*by).agg(
         F.expr(f"percentile({value}, {LOW})").alias("ci_low"),
-        F.expr(f"percentile({value}, {HIGH})").alias("ci_high"),
+        F.expr(f"percentile({value}, {HIGH})").alias("ci_high"), *more,
+    )
+
+
+# Distinct values that a task weighs at once.
+VALUES_PER_STEP = 64
+
+
+def _fifths(x: np.ndarray) -> np.ndarray:
+    square = x * x % DRAW_PRIME
+    return square * square % DRAW_PRIME * x % DRAW_PRIME
+
+
+def _counts(n: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Poisson counts of the means n, one row each."""
+    out = np.empty(u.shape, np.int64)
+    for c in np.unique(n[n <= POISSON_EXACT]).tolist():
+        out[n == c] = np.searchsorted(poisson_steps(c), u[n == c], side="right")
+    large = n > POISSON_EXACT
+    m = n[large, None].astype(float)
+    z = np.sqrt(-2.0 * np.log(u[large])) * np.cos(2.0 * math.pi * v[large])
+    out[large] = np.maximum(0, np.floor(m + np.sqrt(m) * z + (z * z - 1.0) / 6.0 + 0.5))
+    return out
+
+
+def _replicate_sums(by: Sequence[str], replicates: int):
+    """Per group of a batch and replicate the sum of weights and of weighted values: the draws of
+    `replicated`, summed where they are made."""
+    names = [*by, "rep", "_sum_w", "_sum_wu"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rep = np.arange(1, replicates + 1, dtype=np.int64)
+        r = _fifths(rep * DRAW_STRIDES[0] % DRAW_PRIME)
+        step = rep * DRAW_STRIDES[1]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            group = batch.select(list(by)).to_pandas().groupby(list(by), dropna=False).ngroup().to_numpy()
+            a, b, c, n, value = (batch.column(k).to_numpy() for k in ("_a", "_b", "_c", "_n", "_units"))
+            for g in np.unique(group):
+                rows = np.flatnonzero(group == g)
+                weights, weighted = np.zeros(replicates, np.int64), np.zeros(replicates, np.int64)
+                for at in range(0, len(rows), VALUES_PER_STEP):
+                    k = rows[at : at + VALUES_PER_STEP]
+                    x = _fifths((a[k, None] * r + b[k, None]) % DRAW_PRIME)
+                    x = _fifths((x + c[k, None] + step) % DRAW_PRIME)
+                    y = _fifths((x + r + 1) % DRAW_PRIME)
+                    w = _counts(n[k], (x + 0.5) / float(DRAW_PRIME), (y + 0.5) / float(DRAW_PRIME))
+                    weights += w.sum(0)
+                    weighted += (w * value[k, None]).sum(0)
+                first = pa.array(np.full(replicates, rows[0]))
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c).take(first) for c in by), pa.array(rep), pa.array(weights), pa.array(weighted)], names
+                )
+
+    return run
+
+
+def _means(rows: DataFrame, by: Sequence[str], value: Column, replicates: int, seed: int) -> DataFrame:
+    """(by, rep, _m): the mean of each replicate; sums are whole numbers, so their order doesn't show."""
+    counts = folded(rows.withColumn("_units", units(value)), by, ["_units"])
+    kept = counts.select(*by)
+    schema = T.StructType([*kept.schema.fields, *(T.StructField(c, T.LongType()) for c in ("rep", "_sum_w", "_sum_wu"))])
+    sums = _keyed(counts, by, ["_units"], seed).mapInArrow(_replicate_sums(by, replicates), schema)
+    total = lambda c: F.sum(F.col(c).cast("decimal(38,0)")).cast("double")
+    return sums.groupBy(*by, "rep").agg(total("_sum_w").alias("_w"), total("_sum_wu").alias("_wu")).where("_w > 0").select(
+        *by, "rep", F.round(F.col("_wu") / F.col("_w") * UNIT, DIGITS).alias("_m")
     )
 
 
 def bootstrap_ci(
-    rows: DataFrame, by: Sequence[str], key: str, value: str = "value",
-    replicates: int = REPLICATES, seed: int = SEED, poisson: bool = False,
+    rows: DataFrame, by: Sequence[str], value: str = "value", replicates: int = REPLICATES, seed: int = SEED,
 ) -> DataFrame:
     """Mean, n and 95 % percentile interval of the mean per group; null values are dropped."""
-    rows = rows.where(f"{value} is not null and not isnan({value})").select(*by, key, value)
-    # Numbering, sizes, draws and the plain mean all read the values: compute them once.
-    rows = materialise(rows, "values")
-    if poisson:
-        means = poisson_resample(rows, by, key, replicates, seed).groupBy(*by, "rep").agg(
-            F.round(F.sum(F.col(value) * F.col("weight")) / F.sum("weight"), DIGITS).alias("_m")
-        )
-    else:
-        means = resample(rows, by, key, replicates, seed).groupBy(*by, "rep").agg(
-            F.round(F.avg(value), DIGITS).alias("_m")
-        )
+    rows = rows.where(f"{value} is not null and not isnan({value})").select(*by, value)
     base = rows.groupBy(*by).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
-    return base.join(_interval(means, by, "_m"), list(by))
+    return base.join(_interval(_means(rows, by, F.col(value), replicates, seed), by, "_m"), list(by))
 
 
 def paired_bootstrap(
-    pairs: DataFrame, by: Sequence[str], key: str,
-    replicates: int = REPLICATES, seed: int = SEED,
+    pairs: DataFrame, by: Sequence[str], replicates: int = REPLICATES, seed: int = SEED,
 ) -> DataFrame:
     """Mean of a-b with interval and p = min(1, 2·min(share <= 0, share >= 0))."""
-    rows = materialise(
-        pairs.select(*by, key, (F.col("a") - F.col("b")).alias("_d")), "differences"
-    )
-    means = resample(rows, by, key, replicates, seed).groupBy(*by, "rep").agg(
-        F.round(F.avg("_d"), DIGITS).alias("_m")
-    )
-    tails = means.groupBy(*by).agg(
-        F.expr(f"percentile(_m, {LOW})").alias("ci_low"),
-        F.expr(f"percentile(_m, {HIGH})").alias("ci_high"),
-        F.least(
-            F.lit(1.0),
-            2.0 * F.least(
-                F.avg((F.col("_m") <= 0).cast("double")), F.avg((F.col("_m") >= 0).cast("double"))
-            ),
-        ).alias("p_approx"),
+    rows = pairs.select(*by, (F.col("a") - F.col("b")).alias("_d"))
+    share = lambda c: F.avg(c.cast("double"))
+    tails = _interval(
+        _means(rows, by, F.col("_d"), replicates, seed), by, "_m",
+        F.least(F.lit(1.0), 2.0 * F.least(share(F.col("_m") <= 0), share(F.col("_m") >= 0))).alias("p_approx"),
     )
     base = rows.groupBy(*by).agg(F.avg("_d").alias("diff"), F.count(F.lit(1)).alias("n"))
     return base.join(tails, list(by))
 
 
 def statistic_bootstrap(
-    rows: DataFrame, by: Sequence[str], key: str,
+    rows: DataFrame, by: Sequence[str], values: Sequence[str],
     statistic: Callable[[DataFrame, Sequence[str]], DataFrame],
     replicates: int = REPLICATES, seed: int = SEED, names: Sequence[str] = (),
 ) -> DataFrame:
-    """Interval of any grouped statistic; undefined replicates are left out, and with fewer than
-    half of them defined the interval is null.
+    """Interval of any grouped statistic of `values`; undefined replicates are left out, and with fewer
+    than half of them defined the interval is null.
 
-    `statistic(rows, by)` returns one row per group with a column `stat`, or several rows told
-    apart by the columns `names`, which then share one set of draws.
+    `statistic(rows, by)` reads weighted rows (column `_w`) and returns one row per group with a column
+    `stat`, or several rows told apart by the columns `names`, which then share one set of draws.
     """
     out = [*by, *names]
-    rows = materialise(rows, "pairs")
-    base = statistic(rows, by).withColumnRenamed("stat", "estimate")
-    per_rep = statistic(resample(rows, by, key, replicates, seed), [*by, "rep"])
+    counts = folded(rows, by, values)
+    base = statistic(counts.withColumnRenamed("_n", WEIGHT), by).withColumnRenamed("stat", "estimate")
+    per_rep = statistic(replicated(counts, by, values, replicates, seed), [*by, "rep"])
     valid = per_rep.where("stat is not null").withColumn("stat", F.round("stat", DIGITS))
     enough = F.count("stat") >= replicates * 0.5
     interval = valid.groupBy(*out).agg(
@@ -153,10 +217,11 @@ def average_ranks(counted: DataFrame, by: Sequence[str], value: str, count: str)
 def spearman(rows: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     """Rank correlation per group; null with fewer than three rows or a constant side.
 
-    Rows are folded to distinct (x, y) pairs with counts first; ranks are half integers, so the
-    sums are exact in any order.
+    Rows are folded to distinct (x, y) pairs with counts first (or weights, if they have some); ranks
+    are half integers, so the sums are exact in any order.
     """
-    pairs = rows.groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("_c"))
+    weight = F.sum(WEIGHT) if WEIGHT in rows.columns else F.count(F.lit(1))
+    pairs = rows.groupBy(*by, x, y).agg(weight.alias("_c"))
     def ranks(col: str, name: str) -> DataFrame:
         counted = pairs.groupBy(*by, col).agg(F.sum("_c").alias("_c"))
         return average_ranks(counted, by, col, "_c").withColumnRenamed("rank", name)
@@ -179,17 +244,17 @@ def spearman(rows: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     )
 
 
-def _shares(yes: Column, judged: Column) -> dict[str, Column]:
-    return {
-        "tp": F.count_if(yes & judged), "fn": F.count_if(yes & ~judged),
-        "fp": F.count_if(~yes & judged), "tn": F.count_if(~yes & ~judged),
-    }
+def _shares(yes: Column, judged: Column, weight: Column) -> dict[str, Column]:
+    of = lambda c: F.sum(F.when(c, weight).otherwise(0))
+    return {"tp": of(yes & judged), "fn": of(yes & ~judged), "fp": of(~yes & judged), "tn": of(~yes & ~judged)}
 
 
 def agreement(rows: DataFrame, by: Sequence[str]) -> DataFrame:
-    """2×2 counts, accuracy, balanced accuracy and kappa of boolean `y_true`, `y_pred`."""
+    """2×2 counts (sums of `_w`, if there is one), accuracy, balanced accuracy and kappa of boolean
+    `y_true`, `y_pred`."""
+    weight = F.col(WEIGHT) if WEIGHT in rows.columns else F.lit(1).cast("bigint")
     m = rows.groupBy(*by).agg(
-        *[c.alias(k) for k, c in _shares(F.col("y_true"), F.col("y_pred")).items()]
+        *[c.alias(k) for k, c in _shares(F.col("y_true"), F.col("y_pred"), weight).items()]
     )
     tp, fn, fp, tn = (F.col(c) for c in ("tp", "fn", "fp", "tn"))
     n = tp + fn + fp + tn
@@ -296,7 +361,7 @@ def perturb_report(
     ).select("cond", "key", "_v.*").where(
         f"not (cond = '{NEUTRAL}' and measure = 'detection')"
     )
-    ci = bootstrap_ci(both, ["cond", "measure"], "key", "value", replicates, seed)
+    ci = bootstrap_ci(both, ["cond", "measure"], "value", replicates, seed)
     side = lambda m: ci.where(F.col("measure") == m).select(
         "cond", *[F.col(c).alias(f"{m}_{c}") for c in ("mean", "ci_low", "ci_high")]
     )

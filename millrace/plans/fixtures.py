@@ -317,10 +317,7 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tidy_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = scores(spark, sf_dir)
-    return rs.judge_scores(raw.withColumn("system", F.concat_ws("#", "run", "system"))).withColumn(
-        "run", F.substring_index("system", "#", 1)
-    ).withColumn("system", F.substring_index("system", "#", -1))
+    return rs.judge_scores(scores(spark, sf_dir))
 
 
 def report(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import re
 
-from millrace.functions.columns import DRAW_PRIME, DRAW_ROUNDS, DRAW_STEP, DRAW_STRIDES
+from millrace.functions.columns import DRAW_PRIME, DRAW_STRIDES, POISSON_EXACT, poisson_steps
 from millrace.functions.process_rules import RULES, STATIONS
 from millrace.plans.fixtures import (
     DEDUP_S, PAIR_WINDOW_S, RUNS, SYSTEMS, WINDOW_S, WORK_TASKS,
@@ -34,12 +35,41 @@ def hash_order(seed: str, key: str) -> str:
     return f"md5('{seed}|' || {key})"
 
 
-def draw_number(seed: int, rep: str, no: str) -> str:
-    a, b = DRAW_STRIDES
-    x = f"(({rep}::bigint * {a} + {no}::bigint * {b} + {seed}) % {DRAW_PRIME})"
-    for _ in range(DRAW_ROUNDS):
-        x = f"list_transform([{x}], lambda x: (x * x + {DRAW_STEP}) % {DRAW_PRIME})[1]"
-    return x
+def units(value: str) -> str:
+    return f"cast(round({value}::double / 1e-9) as bigint)"
+
+
+def fifth(rows: str, name: str) -> str:
+    """`rows` with column `name` raised to its fifth power modulo the prime, step by step."""
+    p = DRAW_PRIME
+    return f"""
+      select * exclude (q2, q4) replace ((q4 * {name}) % {p} as {name}) from (
+        select *, (q2 * q2) % {p} q4 from (select *, ({name} * {name}) % {p} q2 from ({rows})))"""
+
+
+def drawn(counts: str, key: str, replicates: int) -> str:
+    """`counts` (with n) times replicates: two uniform numbers u1, u2 per row."""
+    p = DRAW_PRIME
+    part = lambda at: f"('0x' || substr(digest, {at}, 8))::bigint"
+    rows = f"""
+      select *, (rep * {DRAW_STRIDES[0]}) % {p} r from (
+        select * exclude (digest), {part(1)} % {p - 1} + 1 ka, {part(9)} % {p} kb, {part(17)} % {p} kc
+        from (select *, md5({key}) digest from ({counts}))), unnest(range(1, {replicates + 1})) t(rep)"""
+    rows = fifth(f"select *, (ka * r + kb) % {p} x from ({fifth(rows, 'r')})", "x")
+    rows = fifth(f"select * replace ((x + kc + rep * {DRAW_STRIDES[1]}) % {p} as x) from ({rows})", "x")
+    rows = fifth(f"select *, (x + r + 1) % {p} y from ({rows})", "y")
+    return f"select *, (x + 0.5) / {p}.0::double u1, (y + 0.5) / {p}.0::double u2 from ({rows})"
+
+
+def poisson_count(mean: str) -> str:
+    """From the columns u1 and u2."""
+    exact = " ".join(
+        f"when {mean} = {c} then " + " + ".join(f"(u1 >= {x!r}::double)::int" for x in poisson_steps(c))
+        for c in range(1, POISSON_EXACT + 1)
+    )
+    normal = f"(sqrt(-2.0 * ln(u1)) * cos(2.0 * {math.pi!r} * u2))"
+    large = f"greatest(0.0, floor({mean} + sqrt({mean}::double) * {normal} + ({normal} * {normal} - 1.0) / 6.0 + 0.5))"
+    return f"case {exact} else {large} end::bigint"
 
 
 def _in_list(items) -> str:
@@ -142,10 +172,10 @@ VIEWS = {
           when kind <> 'OBJECT' then 'not_object' when id = '' then 'no_id'
           when event_timestamp is null then 'bad_timestamp' end reason
         from (select line, split, t, kind,
-          substr(coalesce(json_extract_string(doc, '$.id'), ''), 1, 36) id,
-          substr(coalesce(json_extract_string(doc, '$.station'), ''), 1, 20) station,
+          coalesce(json_extract_string(doc, '$.id'), '') id,
+          coalesce(json_extract_string(doc, '$.station'), '') station,
           try_cast(json_extract_string(doc, '$.timestamp') as timestamp) event_timestamp,
-          substr(coalesce(json_extract_string(doc, '$.current_state'), ''), 1, 20) current_state,
+          coalesce(json_extract_string(doc, '$.current_state'), '') current_state,
           json_extract_string(doc, '$.current_task') current_task,
           try_cast(json_extract_string(doc, '$.current_task_duration') as double)
             current_task_duration,

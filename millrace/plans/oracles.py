@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from millrace.operators import prompts as pr
 from millrace.plans.oracle_views import (
-    ANOMALY_QUESTION, ANOMALY_REFERENCE, CONTEXT_LINE, FACT, MOTOR, TIME_QUESTION, compose,
-    draw_number, hash_order, num1, ordered_distinct, quote, sec, similar, tokens, ts,
+    ANOMALY_QUESTION, ANOMALY_REFERENCE, CONTEXT_LINE, FACT, MOTOR, TIME_QUESTION, compose, drawn, poisson_count, units,
+    hash_order, num1, ordered_distinct, quote, sec, similar, tokens, ts,
 )
-from millrace.plans.registry import FOREIGN_SAMPLE, QUOTA, REPLICATES, SPACED
+from millrace.plans.registry import COMPARED, QUOTA, REPLICATES, SPACED
 from millrace.sources.results import JUDGE_METRICS
 
 SILVER = f"""id, station, {ts('event_timestamp')} event_timestamp, current_state, current_task,
@@ -23,24 +23,25 @@ def hits(view: str, extra: str = "") -> str:
     return f"select question_id, rank, event_id, round(score, 6) score{extra} from {view}"
 
 
-def resampled(rows: str, by: str, key: str, cols: str) -> str:
-    """CTE body: B draws with replacement per group, by the same hash rule."""
-    by_list = ", ".join(f"x.{b.strip()}" for b in by.split(","))
+def replicated(rows: str, by: str, values: dict[str, str]) -> str:
+    """Distinct values (name: its text) of each group with a Poisson weight per replicate."""
+    names = ", ".join(values)
+    key = " || '|' || ".join(["'42'", *(b.strip() for b in by.split(",")), *values.values()])
+    counts = f"select {by}, {names}, count(*) n from ({rows}) group by {by}, {names}"
     return f"""
-      select {by_list}, d.rep, {cols} from (
-        select {by}, rep, {draw_number(42, 'rep', 'no')} % n + 1 pick
-        from (select *, row_number() over (partition by {by} order by md5('42|' || {key}), {key}) no,
-                count(*) over (partition by {by}) n from {rows}),
-          unnest(range(1, {REPLICATES + 1})) r(rep)) d
-      join (select *, row_number() over (partition by {by} order by md5('42|' || {key}), {key}) no from {rows}) x
-        on {" and ".join(f"x.{b.strip()} = d.{b.strip()}" for b in by.split(","))} and x.no = d.pick"""
+      select * from (select {by}, {names}, rep, {poisson_count('n')} w from ({drawn(counts, key, REPLICATES)}))
+      where w > 0"""
 
 
-def ci(rows: str, by: str, key: str, value: str) -> str:
+def replicate_means(rows: str, by: str, value: str) -> str:
+    weighted = replicated(f"select *, {units(value)} u from {rows}", by, {"u": "u::varchar"})
+    return f"select {by}, rep, round(sum(w * u)::double / sum(w)::double * 1e-9, 9) m from ({weighted}) group by {by}, rep"
+
+
+def ci(rows: str, by: str, value: str) -> str:
     return f"""
-      select {by}, quantile_cont(m, 0.025) ci_low, quantile_cont(m, 0.975) ci_high from (
-        select {by}, rep, round(avg({value}), 9) m from ({resampled(rows, by, key, 'x.' + value)}) group by {by}, rep)
-      group by {by}"""
+      select {by}, quantile_cont(m, 0.025) ci_low, quantile_cont(m, 0.975) ci_high
+      from ({replicate_means(rows, by, value)}) group by {by}"""
 
 
 def metrics_of(view: str) -> str:
@@ -69,21 +70,22 @@ ROUTED = """
 PAIRS = """
   select run, id, tier, metric, max(value) filter (system = 'rag_filtrado') a,
     max(value) filter (system = 'rag_vetorial') b
-  from long_metrics where metric in ('key_fact_recall', 'answer_relevancy', 'mrr') group by all
+  from long_metrics group by all
   having a is not null and b is not null"""
 CUTS = """
   select doc_id, run, lpad(cast(doc_id as varchar), 9, '0') as key, human, judge::double judge, 'A' cut, human = 2 yt, judge >= 0.999 yp from judge_pairs
   union all select doc_id, run, lpad(cast(doc_id as varchar), 9, '0'), human, judge::double, 'B', human >= 1, judge >= 0.5 from judge_pairs"""
 
 
-def agreement(rows: str, by: str) -> str:
+def agreement(rows: str, by: str, w: str = "1") -> str:
     return f"""
       select *, (tp + tn) / (tp + fn + fp + tn) accuracy,
         case when tp + fn > 0 and fp + tn > 0 then 0.5 * (tp / (tp + fn) + tn / (fp + tn)) end balanced_accuracy,
         case when pe < 1 then ((tp + tn) / (tp + fn + fp + tn) - pe) / (1 - pe) end kappa
       from (select *, ((tp + fn) * (tp + fp) + (fp + tn) * (fn + tn)) / ((tp + fn + fp + tn) * (tp + fn + fp + tn)) pe
-        from (select {by}, count(*) filter (yt and yp) tp, count(*) filter (yt and not yp) fn,
-          count(*) filter (not yt and yp) fp, count(*) filter (not yt and not yp) tn from ({rows}) group by {by}))"""
+        from (select {by}, {', '.join(f"sum(case when {c} then {w} else 0 end)::bigint {n}" for n, c in (
+            ('tp', 'yt and yp'), ('fn', 'yt and not yp'), ('fp', 'not yt and yp'), ('tn', 'not yt and not yp')))}
+          from ({rows}) group by {by}))"""
 
 
 def ranked(rows: str, by: str) -> str:
@@ -105,24 +107,39 @@ def _boot_stat(rows: str, by: str, name: str, expr_rows: str, base_rows: str) ->
         quantile_cont(round(v, 9), 0.975) hi from ({expr_rows}) where v is not null group by cut) i using (cut)"""
 
 
+def ranked_weights(rows: str, by: str) -> str:
+    """Rank correlation of weighted pairs: ties share the mean of their places."""
+    part = lambda c: (
+        f"select {by}, {c}, sum(sum(w)) over (partition by {by} order by {c}) - (sum(w) - 1) / 2.0 r"
+        f" from ({rows}) group by {by}, {c}"
+    )
+    n = "sum(w)"
+    v = lambda a, b: f"({n} * sum(w * {a} * {b}) - sum(w * {a}) * sum(w * {b}))::double"
+    return f"""
+      select {by}, case when {n} >= 3 and {v('h.r', 'h.r')} > 0 and {v('j.r', 'j.r')} > 0
+        then {v('h.r', 'j.r')} / sqrt({v('h.r', 'h.r')} * {v('j.r', 'j.r')}) end s
+      from ({rows}) x join ({part('human')}) h using ({by}, human) join ({part('u')}) j using ({by}, u) group by {by}"""
+
+
 def statistic_bootstrap() -> str:
-    drawn = resampled("cuts", "cut", "key", "x.human, x.judge, x.yt, x.yp")
+    weighted = replicated("select * from cuts", "cut", {"yt": "(yt::int)::varchar", "yp": "(yp::int)::varchar"})
+    drawn_ordinal = replicated("select * from ordinal", "cut", {"human": "human::varchar", "u": "u::varchar"})
     parts = []
     for name in ("accuracy", "balanced_accuracy", "kappa"):
         parts.append(_boot_stat(
             "cuts", "cut", name,
-            f"select cut, rep, {name} v from ({agreement('select * from drawn', 'cut, rep')})",
+            f"select cut, rep, {name} v from ({agreement('select * from drawn', 'cut, rep', 'w')})",
             f"select cut, {name} v from ({agreement('select * from cuts', 'cut')})",
         ))
-    ordinal = "select * replace ('ordinal' as cut) from cuts where cut = 'A'"
+    ordinal = f"select * replace ('ordinal' as cut), {units('judge')} u from cuts where cut = 'A'"
     parts.append(_boot_stat(
         "ordinal", "cut", "spearman",
-        f"select cut, rep, s v from ({ranked('select * from drawn_ordinal', 'cut, rep')})",
+        f"select cut, rep, s v from ({ranked_weights('select * from drawn_ordinal', 'cut, rep')})",
         f"select cut, s v from ({ranked('select * from ordinal', 'cut')})",
     ))
     return (
-        f"select * from (with cuts as ({CUTS}), drawn as ({drawn}), ordinal as ({ordinal}), drawn_ordinal as "
-        f"({resampled('ordinal', 'cut', 'key', 'x.human, x.judge')}) " + " union all ".join(parts) + ")"
+        f"select * from (with cuts as ({CUTS}), drawn as ({weighted}), ordinal as ({ordinal}), drawn_ordinal as "
+        f"({drawn_ordinal}) " + " union all ".join(parts) + ")"
     )
 
 
@@ -149,14 +166,14 @@ def spaced(rows: str, by: str, order: str, quota: str) -> str:
 
 def compare_text() -> str:
     f2 = lambda c: f"cast(round(cast({c} as decimal(18,9)), 2) as varchar)"
-    base = """long_metrics where metric in ('key_fact_recall', 'verdict_correct')
+    base = f"""long_metrics where metric in ({', '.join(quote(m) for m in COMPARED)})
         and system in ('rag_filtrado', 'rag_vetorial')"""
+    wide = ", ".join(f"max(t) filter (metric = '{m}') {m}" for m in COMPARED)
     return f"""
       select w.*, round(c.l, 6) latency_s_mean, round(c.t, 6) total_tokens_mean from (
-        select run, system, max(t) filter (metric = 'key_fact_recall') key_fact_recall,
-          max(t) filter (metric = 'verdict_correct') verdict_correct
+        select run, system, {wide}
         from (select i.run, i.system, i.metric, {f2('m.mean')} || ' [' || {f2('ci_low')} || '; ' || {f2('ci_high')} || ']' t
-          from ({ci(f'(select * from {base})', 'run, system, metric', 'id', 'value')}) i
+          from ({ci(f'(select * from {base})', 'run, system, metric', 'value')}) i
           join (select run, system, metric, avg(value) mean from {base} group by all) m using (run, system, metric))
         group by run, system) w
       join (select run, system, avg(latency_s) l, avg(total_tokens) t from report_rows group by all) c using (run, system)"""
@@ -274,14 +291,13 @@ def golden() -> str:
 DRAWN_CI = {
     "bootstrap_ci": f"""
       select i.run, i.system, i.metric, n, round(mean, 6) mean, round(ci_low, 6) ci_low, round(ci_high, 6) ci_high
-      from ({ci("(select * from long_metrics where metric in ('mrr', 'key_fact_recall'))", 'run, system, metric', 'id', 'value')}) i
+      from ({ci("(select * from long_metrics)", 'run, system, metric', 'value')}) i
       join (select run, system, metric, avg(value) mean, count(*) n from long_metrics group by all) b using (run, system, metric)""",
     "paired_bootstrap": f"""
       select i.*, b.n, round(b.diff, 6) diff from (
         select run, metric, round(quantile_cont(m, 0.025), 6) ci_low, round(quantile_cont(m, 0.975), 6) ci_high,
           round(least(1.0, 2.0 * least(avg((m <= 0)::int::double), avg((m >= 0)::int::double))), 6) p_approx
-        from (select run, metric, rep, round(avg(d), 9) m from (
-          {resampled(f'(select run, metric, id, a - b d from ({PAIRS}))', 'run, metric', 'id', 'x.d')}) group by all)
+        from ({replicate_means(f'(select run, metric, a - b d from ({PAIRS}))', 'run, metric', 'd')})
         group by run, metric) i
       join (select run, metric, avg(a - b) diff, count(*) n from ({PAIRS}) group by all) b using (run, metric)""",
     "perturb_report": f"""
@@ -292,10 +308,10 @@ DRAWN_CI = {
           round(any_value(tolerance), 6) tolerance, round(avg(original), 6) mean_original,
           round(avg(perturbed), 6) mean_perturbed from ({CHANGES}) group by cond) b
       join (select cond, avg(delta) dm from ({CHANGES}) group by 1) using (cond)
-      join (select cond, ci_low dl, ci_high dh from ({ci(f"(select cond, key, delta from ({CHANGES}))", 'cond', 'key', 'delta')})) using (cond)
+      join (select cond, ci_low dl, ci_high dh from ({ci(f"(select cond, 'delta' measure, delta from ({CHANGES}))", 'cond, measure', 'delta')})) using (cond)
       left join (select cond, avg(v) tm from (select cond, (delta < -tolerance)::int::double v from ({CHANGES})
         where cond <> 'neutra') group by 1) using (cond)
-      left join (select cond, ci_low tl, ci_high th from ({ci(f"(select cond, key, (delta < -tolerance)::int::double v from ({CHANGES}) where cond <> 'neutra')", 'cond', 'key', 'v')})) using (cond)""",
+      left join (select cond, ci_low tl, ci_high th from ({ci(f"(select cond, 'detection' measure, (delta < -tolerance)::int::double v from ({CHANGES}) where cond <> 'neutra')", 'cond, measure', 'v')})) using (cond)""",
 }
 
 RAW: dict[str, str] = {
@@ -313,22 +329,22 @@ RAW: dict[str, str] = {
     "gold_rebuild": "select episode_id, station, n_events, duration_s, text from gold",
     "index_table": f"""
       select e.episode_id event_id, e.station, {ts('start_ts')} start_ts, {ts('end_ts')} end_ts, current_state,
-        e.current_task, current_sub_task, round(duration_s::float::double, 3) duration_s, is_anomaly, substr(e.text, 1, 2000) log_text, {EMBED} embed_text,
+        e.current_task, current_sub_task, round(duration_s::float::double, 3) duration_s, is_anomaly, e.text log_text, {EMBED} embed_text,
         cast(64 as integer) dim
       from {WITH_RULES} where current_state = 'not ready'""",
     "read_generations": """
       select run, id, system, tier, subtype, question, reference, answer, array_to_string(retrieved_ids, '|') retrieved_ids,
         array_to_string(retrieved_contexts, '|') retrieved_contexts, cast(len(scores) as integer) n_scores, total_tokens,
         round(latency_s, 6)::double latency_s from generations""",
-    "append_results": "select id, system, answer from generations where r = 0",
+    "append_results": "select model, id, system, answer from generations",
     "read_labels": """
       select label_kind, label, comentario, count(*) n from label_kinds group by all""",
     "process_activities": f"""
       select activityId, processDefinitionKey, {ts('startTime')} startTime, {ts('endTime')} endTime, durationInMillis
       from activities""",
-    "judge_scores": "select 'phi4' judge, g.id, g.system, g.tier, "
+    "judge_scores": "select 'phi4' judge, g.run, g.id, g.system, g.tier, "
     + ", ".join(f"round(sc.{m}, 6)::double {m}" for m in JUDGE_METRICS)
-    + " from generations g join score_rows sc using (run, id, system) where g.r = 0",
+    + " from generations g join score_rows sc using (run, id, system)",
     "filter_split": f"""
       select id, station, {ts('event_timestamp')} event_timestamp, current_state, current_task, current_sub_task
       from factory_events where split = 'train'""",
@@ -373,7 +389,7 @@ RAW: dict[str, str] = {
       select run, id, system, foreign_id, foreign_system from (
         with pool as (select *, regexp_extract_all(array_to_string(retrieved_contexts, ' '), '\b[A-Z]{{2,3}}_\d\b') cs,
           regexp_extract_all(answer, '\b[A-Z]{{2,3}}_\d\b') ans from generations where s > 0),
-          asked as ({spaced('select * from pool', 'run', 'id, system', str(FOREIGN_SAMPLE))})
+          asked as (select * from pool)
         select g.run, g.id, g.system, o.id foreign_id, o.system foreign_system, length(any_value(g.answer)) len,
           row_number() over (partition by g.run, g.id, g.system order by o.id, o.system) rn,
           count(*) over (partition by g.run, g.id, g.system) n

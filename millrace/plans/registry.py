@@ -31,10 +31,11 @@ from millrace.streaming import incremental as inc
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-REPLICATES = 200
+REPLICATES = st.REPLICATES
 SPACED = 20
 QUOTA = 30
-FOREIGN_SAMPLE = 200
+#: Columns of the comparison of runs.
+COMPARED = ("key_fact_recall", "faithfulness", "factual_correctness", "verdict_correct")
 
 
 def query(fn: Query) -> Query:
@@ -158,10 +159,10 @@ def append_results(s, d):
     """Two appends of overlapping result sets; the second adds only what is new."""
     path = scratch_path(s, "append")
     rows = fx.generations(s, d)
-    columns = _generation_columns(rows.where("r = 0"))
-    rs.append_new(columns.where("system <> 'baseline'"), path, ["id", "system"], rs.GENERATION_SCHEMA)
-    rs.append_new(columns, path, ["id", "system"], rs.GENERATION_SCHEMA)
-    return rs.read_log(s, path, rs.GENERATION_SCHEMA).select("id", "system", "answer")
+    columns, key = _generation_columns(rows), ["model", "prompt", "rerank", "id", "system"]
+    rs.append_new(columns.where("system <> 'baseline'"), path, key, rs.GENERATION_SCHEMA)
+    rs.append_new(columns, path, key, rs.GENERATION_SCHEMA)
+    return rs.read_log(s, path, rs.GENERATION_SCHEMA).select("model", "id", "system", "answer")
 
 
 @query
@@ -195,11 +196,11 @@ def process_activities(s, d):
 @query
 def judge_scores(s, d):
     path = scratch_path(s, "judge")
-    raw = fx.scores(s, d).where("run = 'alpha:7b[estrito]'").drop("run")
+    raw = fx.scores(s, d)
     raw.write.json(path)
     read = s.read.schema(raw.schema).json(path)
     return rs.judge_scores(read, "phi4").select(
-        "judge", "id", "system", "tier", *[r6(m).alias(m) for m in rs.JUDGE_METRICS]
+        "judge", "run", "id", "system", "tier", *[r6(m).alias(m) for m in rs.JUDGE_METRICS]
     )
 
 
@@ -316,7 +317,7 @@ def report_rows(s, d):
 
 
 def _pairs(s: SparkSession, d: str) -> DataFrame:
-    long = mt.long_metrics(fx.report(s, d), ["key_fact_recall", "answer_relevancy", "mrr"])
+    long = mt.long_metrics(fx.report(s, d))
     return mt.paired(long, "system", "rag_filtrado", "rag_vetorial")
 
 
@@ -333,13 +334,12 @@ def evidence_match(s, d):
 
 @query
 def foreign_context(s, d):
-    """The study's sample of answers against the pool of all answers."""
+    """Every answer against the pool of all answers."""
     answers = fx.generations(s, d).where("system <> 'baseline'").select(
         "run", "id", "system", "answer", "retrieved_ids", "retrieved_contexts"
     )
-    answers = materialise(answers, "answers").withColumn("quota", F.lit(FOREIGN_SAMPLE))
-    asked = evenly_spaced(answers, ["run"], ["id", "system"], "quota")
-    return pt.foreign_context(asked, answers)
+    answers = materialise(answers, "answers")
+    return pt.foreign_context(answers, answers)
 
 
 @query
@@ -451,26 +451,26 @@ def _ci(df: DataFrame, keys: list[str], *rounded: str) -> DataFrame:
 
 @query
 def bootstrap_ci(s, d):
-    long = mt.long_metrics(fx.report(s, d), ["mrr", "key_fact_recall"])
-    out = st.bootstrap_ci(long, ["run", "system", "metric"], "id", "value", REPLICATES)
+    out = st.bootstrap_ci(mt.long_metrics(fx.report(s, d)), ["run", "system", "metric"], "value", REPLICATES)
     return _ci(out, ["run", "system", "metric"], "mean", "ci_low", "ci_high")
 
 
 @query
 def paired_bootstrap(s, d):
-    out = st.paired_bootstrap(_pairs(s, d), ["run", "metric"], "id", REPLICATES)
+    out = st.paired_bootstrap(_pairs(s, d), ["run", "metric"], REPLICATES)
     return _ci(out, ["run", "metric"], "diff", "ci_low", "ci_high", "p_approx")
 
 
 @query
 def statistic_bootstrap(s, d):
-    pairs = fx.judge_pairs(s, d).withColumn("key", F.lpad(F.col("doc_id").cast("string"), 9, "0"))
+    pairs = fx.judge_pairs(s, d)
     out = st.statistic_bootstrap(
-        st.cuts(pairs), ["cut"], "key", st.agreement_stats, REPLICATES, names=["statistic"]
+        st.cuts(pairs), ["cut"], ["y_true", "y_pred"], st.agreement_stats, REPLICATES, names=["statistic"]
     )
-    rank = lambda df, by: st.spearman(df, by, "human", "judge").drop("n")
+    rank = lambda df, by: st.spearman(df, by, "human", "judge_units").drop("n")
     ordinal = st.statistic_bootstrap(
-        pairs.withColumn("cut", F.lit("ordinal")), ["cut"], "key", rank, REPLICATES
+        pairs.withColumn("cut", F.lit("ordinal")).withColumn("judge_units", st.units("judge")),
+        ["cut"], ["human", "judge_units"], rank, REPLICATES,
     ).withColumn("statistic", F.lit("spearman"))
     return out.unionByName(ordinal).select(
         "cut", "statistic", "n_valid",
@@ -542,7 +542,7 @@ def tier_subtype_counts(s, d):
 @query
 def metric_compare(s, d):
     rows = materialise(fx.report(s, d), "report")
-    return mt.metric_compare(rows, ["key_fact_recall", "verdict_correct"], REPLICATES)
+    return mt.metric_compare(rows, COMPARED, REPLICATES)
 
 
 # E. Window functions
@@ -671,7 +671,7 @@ def _ablation(s: SparkSession, d: str) -> DataFrame:
     hits = materialise(rt.ablation_hits(
         questions, fx.index_table(s, d), rt.TOP_K, fx.WINDOW_S, fx.DEDUP_S
     ), "ablation")
-    return mt.metrics_from_hits(hits, questions, fx.evidence(s, d))
+    return mt.metrics_from_hits(hits, questions, fx.evidence(s, d), [name for name, *_ in rt.CONFIGS])
 
 
 @query

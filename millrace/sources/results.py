@@ -134,18 +134,21 @@ def read_activities(spark: SparkSession, path: str) -> DataFrame:
 
 
 def judge_scores(raw: DataFrame, judge: str | None = None) -> DataFrame:
-    """External judge output to one row per (judge, id, system): known metrics only, NaN to null.
+    """External judge output to one row per (judge, run, id, system): known metrics only, NaN to null.
 
-    A metric column may carry a suffix after the known name, e.g. a mode in brackets.
+    The run is part of the key if there is such a column. A metric column may carry a suffix after the
+    known name, e.g. a mode in brackets.
     """
+    key = [c for c in ("judge", "run", "id", "system") if c in raw.columns]
+
     def pick(metric: str) -> Column:
         names = [c for c in raw.columns if c == metric or c.startswith(metric + "(")]
         values = [F.col(f"`{c}`").try_cast("double") for c in names]
         cleaned = [F.when(~F.isnan(v), v) for v in values]
         return (F.coalesce(*cleaned) if cleaned else F.lit(None).cast("double")).alias(metric)
 
-    out = raw.select("judge", "id", "system", "tier", *[pick(m) for m in JUDGE_METRICS])
-    out = out.groupBy("judge", "id", "system").agg(
+    out = raw.select(*key, "tier", *[pick(m) for m in JUDGE_METRICS])
+    out = out.groupBy(*key).agg(
         F.max("tier").alias("tier"), *[F.max(m).alias(m) for m in JUDGE_METRICS]
     )
     return out if judge is None else out.where(F.col("judge") == judge)

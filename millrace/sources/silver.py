@@ -41,11 +41,11 @@ def classified(lines: DataFrame) -> DataFrame:
 
     def columns(d: Column) -> Column:
         get = lambda key: F.try_element_at(d, F.lit(key))
-        cut = lambda key, n: F.substring(F.coalesce(get(key), F.lit("")), 1, n)
+        text = lambda key: F.coalesce(get(key), F.lit("")).alias(key)
         return F.struct(
-            cut("id", 36).alias("id"), cut("station", 20).alias("station"),
+            text("id"), text("station"),
             get("timestamp").try_cast("timestamp").alias("event_timestamp"),
-            cut("current_state", 20).alias("current_state"),
+            text("current_state"),
             get("current_task").alias("current_task"),
             get("current_task_duration").try_cast("double").alias("current_task_duration"),
             get("current_sub_task").alias("current_sub_task"),

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import text as tx
-from millrace.functions.columns import draw_number, num1
+from millrace.functions.columns import num1
 from millrace.operators import metrics as mt
 from millrace.operators import perturb as pt
 from millrace.operators import rules as ru
@@ -81,6 +81,10 @@ def test_claims(spark):
     rows = pt.claims(df, ["id"]).orderBy("claim_no").collect()
     assert [r.claim for r in rows] == ["A estação parou por 3.2s.", "Outra frase com cinco palavras!"]
     assert rows[0].n_declined == 1
+    declined = spark.createDataFrame([("q", "Não há informação suficiente nos episódios."), ("r", " ".join(f"Esta é a frase número {i}." for i in range(40)))], "id string, answer string")
+    got = pt.claims(declined, ["id"]).orderBy("id", "claim_no").collect()
+    assert (got[0].claim, got[0].n_declined) == (None, 1)
+    assert [r.claim_no for r in got[1:]] == list(range(1, 41))
 
 
 def test_swaps(spark):
@@ -148,26 +152,66 @@ def test_running_total_with_one_hot_key(spark):
     assert row_numbers(rows, [], ["id"], "n").where("n <> id + 1").count() == 0
 
 
-def test_draws_are_uniform(spark):
-    draws = spark.range(200).select(F.explode(F.sequence(F.lit(1), F.lit(500))).alias("r"), F.col("id").alias("d")).select(
-        "r", (draw_number(42, F.col("r"), F.col("d") + 1) % 200).alias("i"))
-    counts = np.array([r["count"] for r in draws.groupBy("i").count().collect()])
-    assert len(counts) == 200 and abs(((counts - 500) ** 2 / 500).sum() - 200) < 80
-    distinct = draws.groupBy("r").agg(F.count_distinct("i").alias("n")).agg(F.avg("n")).first()[0]
-    assert distinct == pytest.approx(200 * (1 - math.exp(-1)), rel=0.02)
+def test_weights_are_poisson_and_replicates_share_nothing(spark):
+    """Means and variances of the weights, and no two replicates more alike than chance."""
+    counts = spark.range(300).select(F.lit("g").alias("g"), F.col("id").alias("v"), (F.col("id") % 15 + 1).alias("_n"))
+    rows = st.replicated(counts, ["g"], ["v"], 400).collect()
+    weights = np.zeros((400, 300))
+    for r in rows:
+        weights[r.rep - 1, r.v] = r._w
+    mean = np.arange(300) % 15 + 1
+    assert np.allclose(weights.mean(0), mean, atol=5 * np.sqrt(mean.max() / 400))
+    assert abs((weights.var(0) / mean).mean() - 1) < 0.05
+    z = (weights - mean) / np.sqrt(mean)
+    like = z @ z.T / 300
+    np.fill_diagonal(like, 0)
+    assert np.abs(like).max() < 6 / np.sqrt(300)
+    shifted = [np.corrcoef(z[0, :-k], z[r, k:])[0, 1] for k in (1, 2, 5) for r in range(1, 400, 7)]
+    assert np.abs(shifted).max() < 6 / np.sqrt(290)
 
 
 def test_bootstrap_interval(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(5, 2, 300)
-    rows = table(spark, [("g", f"{i:04d}", float(v)) for i, v in enumerate(x)] + [("k", f"{i}", 1.0) for i in range(50)],
-                 "g string, id string, value double")
-    for poisson in (False, True):
-        got = {r.g: r for r in st.bootstrap_ci(rows, ["g"], "id", "value", 1000, poisson=poisson).collect()}
-        half = 1.96 * x.std() / math.sqrt(300)
-        assert got["g"].ci_low == pytest.approx(x.mean() - half, abs=0.08)
-        assert got["g"].ci_high == pytest.approx(x.mean() + half, abs=0.08)
-        assert got["k"].ci_low == got["k"].ci_high == 1.0
+    rows = table(spark, [("g", float(v)) for v in x] + [("k", 1.0)] * 50 + [("k", None), ("k", float("nan"))], "g string, value double")
+    got = {r.g: r for r in st.bootstrap_ci(rows, ["g"], "value", 2000).collect()}
+    half = 1.96 * x.std() / math.sqrt(300)
+    assert got["g"].ci_low == pytest.approx(x.mean() - half, abs=0.08)
+    assert got["g"].ci_high == pytest.approx(x.mean() + half, abs=0.08)
+    assert got["k"].ci_low == got["k"].ci_high == 1.0 and got["k"].n == 50
+
+
+def test_both_ways_to_sum_replicates_agree(spark):
+    rows = table(spark, [("a", i % 5 / 4) for i in range(90)] + [("b", i % 3 - 1.0) for i in range(40)], "g string, value double")
+    counts = st.folded(rows.withColumn("u", st.units("value")), ["g"], ["u"])
+    exploded = st.replicated(counts, ["g"], ["u"], 50).groupBy("g", "rep").agg(
+        F.round(F.sum(F.col("_w") * F.col("u")) / F.sum("_w") * st.UNIT, 9).alias("m"))
+    summed = st._means(rows, ["g"], F.col("value"), 50, st.SEED)
+    assert sorted(map(tuple, exploded.collect())) == sorted(map(tuple, summed.collect()))
+
+
+def test_impact_evidence_counts(spark):
+    """Questions whose evidence is a table of its own: one found episode is a full hit."""
+    answers = spark.createDataFrame(
+        [("r", "cau-08", "rag_filtrado", ["e9", "e1"], "x"), ("r", "cau-08", "rag_vetorial", ["e7"], "x"), ("r", "cau-08", "baseline", [], "x")],
+        "run string, id string, system string, retrieved_ids array<string>, answer string",
+    ).select("*", *[F.lit(v).alias(n) for n, v in (("tier", "causal"), ("subtype", "impacto_bpm"), ("question", "q"), ("reference", "r"), ("latency_s", 1.0))],
+             F.array(F.lit("c")).alias("retrieved_contexts"), F.expr("named_struct('prompt_tokens', 1L, 'total_tokens', 2L)").alias("usage"))
+    golden = spark.createDataFrame([("cau-08", None, "any")], "id string, evidence_episode_ids array<string>, evidence_mode string")
+    evidence = spark.createDataFrame([("cau-08", f"e{i}") for i in (1, 2, 3)], "id string, episode_id string")
+    scores = spark.createDataFrame([], "judge string, run string, id string, system string, tier string, " + ", ".join(f"{m} double" for m in mt.JUDGE_METRICS))
+    got = {r.system: (r.hit_at_k, r.mrr, r.recall_at_k) for r in mt.report_rows(answers, golden, scores, evidence).collect()}
+    assert got == {"rag_filtrado": (1.0, 0.5, 1.0), "rag_vetorial": (0.0, 0.0, 0.0), "baseline": (None, None, None)}
+    matrix = {r.system: r.with_evidence for r in mt.refusal_matrix(answers, golden, evidence).collect()}
+    assert matrix == {"rag_filtrado": 1, "rag_vetorial": 0}
+
+
+def test_configurations_without_hits_stay(spark):
+    hits = spark.createDataFrame([], "config string, question_id string, rank int, event_id string")
+    questions = spark.createDataFrame([("q1", "t", "all")], "question_id string, tier string, evidence_mode string")
+    evidence = spark.createDataFrame([("q1", "e")], "question_id string, event_id string")
+    got = sorted(tuple(r) for r in mt.metrics_from_hits(hits, questions, evidence, ["a", "b"]).collect())
+    assert got == [("a", "q1", "t", 0.0, 0.0, 0.0), ("b", "q1", "t", 0.0, 0.0, 0.0)]
 
 
 def test_foreign_context_against_brute_force(spark):

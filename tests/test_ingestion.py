@@ -17,10 +17,12 @@ def test_parse_good_line(spark):
     assert str(row.event_timestamp) == "2023-04-11 09:57:48.720000"
 
 
-def test_truncation(spark):
-    text = GOOD.replace('"a"', '"' + "x" * 50 + '"').replace("MM_1", "S" * 30)
-    row = sv.parse(lines(spark, text)).first()
-    assert (len(row.id), len(row.station)) == (36, 20)
+def test_long_values_stay_whole(spark):
+    """Ids that agree in their first 36 characters are different rows."""
+    texts = [GOOD.replace('"a"', '"' + "x" * 50 + tail + '"').replace('"MM_1"', '"' + "S" * 30 + '"') for tail in "12"]
+    rows = sv.parse(lines(spark, *texts))
+    assert {(len(r.id), len(r.station)) for r in rows.collect()} == {(51, 30)}
+    assert sv.dedup(rows).count() == 2
 
 
 def test_reject_reasons(spark):
