@@ -8,16 +8,20 @@ about the same number of rows whatever the key distribution, and only one summar
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.session import materialise
+from millrace.session import materialise, shuffle_partitions
 
 SLICE = "_slice"
-# Prefix length of an md5 sort key used as slice number: 16**3 = 4096 even slices.
-HASH_PREFIX = 3
+
+
+def digest_prefix(df: DataFrame) -> int:
+    """Characters of an md5 sort key used as slice number: at least 64 even slices per shuffle partition."""
+    return max(2, math.ceil(math.log(64 * shuffle_partitions(df.sparkSession), 16)))
 
 
 def range_slices(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -64,7 +68,7 @@ def hash_row_numbers(
     A digest is uniform by construction, so its first characters are even slices that need no
     sampling: two evaluations of the plan always agree and nothing has to be written.
     """
-    cut = df.withColumn(SLICE, F.substring(digest, 1, HASH_PREFIX))
+    cut = df.withColumn(SLICE, F.substring(digest, 1, digest_prefix(df)))
     totals = cut.groupBy(*by, SLICE).agg(F.count(F.lit(1)).alias("_total"))
     before = _totals_before(totals, by, SLICE, "_total")
     inside = Window.partitionBy(*by, SLICE).orderBy(digest, tie)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.columns import micros
 from millrace.operators import knn, lexical
-from millrace.operators.questions import FILTERED, NO_RETRIEVAL, VECTOR, checked_mode, parse_questions
+from millrace.operators.questions import FILTERED, VECTOR, checked_mode, parse_questions
 from millrace.session import materialise
 
 # Over-fetch before dedup, and the dedup window.
@@ -208,11 +208,11 @@ def filter_counts(parsed: DataFrame, index: DataFrame, bucket_s: int = 600) -> D
 
 def route_by_mode(
     questions: DataFrame, index: DataFrame, k: int = TOP_K, window_s: int = 5,
-    dedup_s: float = DEDUP_S,
+    dedup_s: float = DEDUP_S, rerank: bool = False,
 ) -> DataFrame:
     """Questions carry a `mode`; the answerless mode retrieves nothing, an unknown mode fails.
 
-    Both searches run as probes of one pass over the index.
+    Both searches run as probes of one pass over the index; with `rerank` both pass through the fusion.
     """
     parsed = parse_questions(questions, window_s).withColumn("mode", checked_mode(F.col("mode")))
     plain = (F.col("mode") == VECTOR) | (
@@ -221,11 +221,7 @@ def route_by_mode(
     probes = station_probes(parsed.where(F.col("mode") == FILTERED), k).unionByName(
         vector_probes(parsed.where(plain), k)
     )
-    return time_dedup(with_fields(pool(nearest(index, probes, k)), index), k, dedup_s)
-
-
-def unanswered_mode(questions: DataFrame) -> DataFrame:
-    return questions.where(F.col("mode") == NO_RETRIEVAL)
+    return _finish(pool(nearest(index, probes, k)), questions, index, k, rerank, dedup_s)
 
 
 CONFIGS = (

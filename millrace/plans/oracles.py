@@ -7,6 +7,7 @@ from millrace.plans.oracle_views import (
     ANOMALY_QUESTION, ANOMALY_REFERENCE, CONTEXT_LINE, FACT, MOTOR, TIME_QUESTION, compose, drawn, poisson_count, units,
     hash_order, num1, ordered_distinct, quote, sec, similar, tokens, ts,
 )
+from millrace.plans.fixtures import RUNS
 from millrace.plans.registry import COMPARED, QUOTA, REPLICATES, SPACED
 from millrace.sources.results import JUDGE_METRICS
 
@@ -67,6 +68,12 @@ ROUTED = """
     where mode = 'vetorial' or (mode = 'filtrada' and len(stations) = 0)
   union all select f.* from filtered_ranked_kept f join parsed p using (question_id)
     where mode = 'filtrada' and len(stations) > 0"""
+RERANKED = ROUTED.replace("vector_ranked_kept", "vector_ranked_fused_kept").replace("filtered_ranked_kept", "filtered_ranked_fused_kept")
+RUN_PAIRS = f"""
+  select system, id, tier, metric, max(value) filter (run = '{RUNS[1]}[estrito]') a,
+    max(value) filter (run = '{RUNS[0]}[estrito]') b
+  from long_metrics where metric in ({', '.join(quote(m) for m in COMPARED)}) group by all
+  having a is not null and b is not null"""
 PAIRS = """
   select run, id, tier, metric, max(value) filter (system = 'rag_filtrado') a,
     max(value) filter (system = 'rag_vetorial') b
@@ -300,6 +307,13 @@ DRAWN_CI = {
         from ({replicate_means(f'(select run, metric, a - b d from ({PAIRS}))', 'run, metric', 'd')})
         group by run, metric) i
       join (select run, metric, avg(a - b) diff, count(*) n from ({PAIRS}) group by all) b using (run, metric)""",
+    "run_difference": f"""
+      select i.*, b.n, round(b.diff, 6) diff from (
+        select system, metric, round(quantile_cont(m, 0.025), 6) ci_low, round(quantile_cont(m, 0.975), 6) ci_high,
+          round(least(1.0, 2.0 * least(avg((m <= 0)::int::double), avg((m >= 0)::int::double))), 6) p_approx
+        from ({replicate_means(f'(select system, metric, a - b d from ({RUN_PAIRS}))', 'system, metric', 'd')})
+        group by system, metric) i
+      join (select system, metric, avg(a - b) diff, count(*) n from ({RUN_PAIRS}) group by all) b using (system, metric)""",
     "perturb_report": f"""
       select b.*, round(dm, 6) delta_mean, round(dl, 6) delta_ci_low, round(dh, 6) delta_ci_high,
         round(tm, 6) detection_mean, round(tl, 6) detection_ci_low, round(th, 6) detection_ci_high
@@ -367,6 +381,11 @@ RAW: dict[str, str] = {
     "min_events_filter": """
       select count(*) filter (n_events >= 2) kept, count(*) filter (n_events < 2) dropped from all_episodes""",
     "mode_routing": hits(f"({ROUTED})"),
+    "mode_routing_reranked": hits(f"({RERANKED})"),
+    "positive_control_summary": """
+      select count(*) n, round(avg(perturbed), 6) mean, round(avg((perturbed >= 0.8)::int::double), 6) share_ge_08,
+        round(min(perturbed), 6)::double min, round(max(perturbed), 6)::double max
+      from perturb where cond = 'referencia' and perturbed is not null""",
     "bpm_context": f"""
       select e.episode_id, e.station, e.current_task, activity, process, next_station from {WITH_RULES}""",
     "subtask_stats_join": "select episode_id, median_ms, threshold_ms from flagged",

@@ -516,6 +516,21 @@ def perturb_report(s, d):
     return out.select("cond", "n", "fell", "same", "rose", *[r6(c).alias(c) for c in keep])
 
 
+@query
+def positive_control_summary(s, d):
+    out = st.positive_control_summary(fx.perturb_rows(s, d))
+    return out.select("n", *[r6(c).alias(c) for c in ("mean", "share_ge_08", "min", "max")])
+
+
+@query
+def run_difference(s, d):
+    """Every later run against the first one, question by question."""
+    first, later = (f"{m}[estrito]" for m in fx.RUNS)
+    pairs = mt.paired(mt.long_metrics(fx.report(s, d), COMPARED), "run", later, first)
+    out = st.paired_bootstrap(pairs, ["system", "metric"], REPLICATES)
+    return _ci(out, ["system", "metric"], "diff", "ci_low", "ci_high", "p_approx")
+
+
 @query
 def refusal_matrix(s, d):
     out = mt.refusal_matrix(fx.generations(s, d), fx.answered_golden(s, d))
@@ -591,6 +606,13 @@ def cell_row_number(s, d):
 
 # F. Sort, limit, top-k, retrieval
 
+@query
+def mode_routing_reranked(s, d):
+    return _hits_view(rt.route_by_mode(
+        fx.questions(s, d), fx.index_table(s, d), rt.TOP_K, fx.WINDOW_S, fx.DEDUP_S, rerank=True
+    ))
+
+
 @query
 def knn_topk(s, d):
     hits = rt.nearest(fx.index_table(s, d), rt.vector_probes(fx.questions(s, d)))
