@@ -13,7 +13,8 @@ from millrace.llm.common import materialise
 
 
 def _least(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("m"))
+    """Stored, so that the join with it reads plain exchanges, whose skewed partitions can be split."""
+    return materialise(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -209,7 +209,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, target: fl
         "buckets",
     )
     sizes = members.groupBy("tree", "code").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"), F.count(F.lit(1)).alias("m"))
-    crowded = members.join(sizes.where("m > 1").drop("m"), ["tree", "code"])
+    sizes = materialise(sizes.where("m > 1").drop("m"), "crowded")  # plain inputs let a hot bucket be split
+    crowded = members.join(sizes, ["tree", "code"])
     differ = math.acos(threshold) / math.pi
     most = math.ceil(BITS * differ + DEVIATIONS * math.sqrt(BITS * differ * (1 - differ)))
     star = in_blocks(crowded, ["tree", "code"], "c", "blocks").mapInArrow(_tied(most), "u long, v long")

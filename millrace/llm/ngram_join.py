@@ -214,6 +214,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, target: floa
 
     leaves = classes.where(F.col("words") >= n).select("c", F.posexplode("codes").alias("tree", "code"))
     buckets = leaves.groupBy("tree", "code").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    buckets = materialise(buckets, "buckets")  # plain inputs let the join's partition of a hot bucket be split
     members = (
         leaves.join(buckets, ["tree", "code"])
         .withColumn("blocks", F.ceil(F.col("m") / BLOCK_CLASSES)).drop("m")

@@ -128,6 +128,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR
     )
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
     shared = found.groupBy("gram").agg(F.min(order).alias("a"), F.max(order).alias("b")).where("a < b").select("gram")
+    shared = materialise(shared, "shared_grams")  # so that the join's partition of a hot gram can be split
     found = materialise(found.join(shared, "gram"), "shared_paths").withColumn("ord", order)
 
     place = F.struct("ord", "doc_id", "key", "low", "high")
@@ -151,6 +152,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR
     )
     # one record per path: its least document, and for a path at a fork the least one of each window
     known = merged.select("gram", "path", F.col("source.ord").alias("least")).join(parted, ["gram", "path"], "left")
+    known = materialise(known, "judged_paths")
     judged = found.join(known, ["gram", "path"])
     spans = F.when(F.col("least") < F.col("ord"), F.array(F.struct(F.col("low").alias("first"), F.col("high").alias("last")))).when(
         F.col("parts").isNotNull(),
