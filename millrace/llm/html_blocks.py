@@ -392,12 +392,14 @@ def _composed(texts: list[str], rng: np.random.Generator) -> str:
 
 def fit(pages: DataFrame, html: str = "html") -> Labeller:
     """A labeller taught on a bounded sample of `pages`, the first by a hash of their content."""
-    size = F.length(html)
-    sample = (
-        pages.where((size > 0) & (size <= SAMPLE_CHARS)).select(html)
-        .orderBy(F.xxhash64(html), html).limit(SAMPLE_PAGES).collect()
-    )
-    seen = [blocks_of(r[0]) for r in sample]
+    grain = 1 << 20
+    mark = F.xxhash64(html)
+    share = min(1.0, 8 * SAMPLE_PAGES / max(1, pages.count()))
+    able = pages.where(F.length(html).between(1, SAMPLE_CHARS) & (F.pmod(mark, F.lit(grain)) < int(share * grain)))
+    marks = [r[0] for r in able.select(mark.alias("mark")).distinct().orderBy("mark").limit(SAMPLE_PAGES).collect()]
+    chosen = able.where(mark.isin(marks)).groupBy(mark.alias("mark")).agg(F.first(html).alias(html))
+    sample = [r[1] for r in sorted(map(tuple, chosen.collect()))]
+    seen = [blocks_of(page) for page in sample]
     texts = sorted({b.text for page in seen for b in page})
     rng = np.random.default_rng(SEED)
     if texts:
