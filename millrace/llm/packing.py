@@ -11,7 +11,9 @@ are dealt anew into fewer shards, so shards leave no row of half-empty bins behi
 from __future__ import annotations
 
 import os
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import materialise, slices
+from millrace.llm.token_counts import byte_alphabet
 
 #: Pieces a shard holds on average; one task packs one shard in memory.
 SHARD_PIECES = 16_384
@@ -29,12 +32,19 @@ REOPEN = 0.95
 #: Chunks of text whose ids a task remembers before it starts anew, and bytes of text handled at once.
 REMEMBERED = 500_000
 BATCH_BYTES = 2 << 20
+SHORT = 8
+#: Marks that form one pre-token of their own behind letters.
+MARKS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
 
 PIECES = "doc_id {id}, piece int, start long, length long, ids array<int>, ids_crc32 long"
 
 
 # Tokens
 
+#: Character that byte-level vocabularies show for each byte.
+_SHOWN = dict(enumerate(byte_alphabet()))
+
+
 @lru_cache(maxsize=2)
 def _library(path: str):
     from tokenizers import Tokenizer
@@ -54,28 +64,56 @@ class Ids:
         self.known: dict[str, bytes] = {"": b""}
 
     def _encode(self, chunks: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(chunks, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        """A word of Latin-1 letters is one pre-token, which goes to the library's model as it is;
+        any other chunk goes through the library's whole chain."""
+        tokenize, encode = self.library.model.tokenize, self.library.encode
+        out = []
+        for c in chunks:
+            if c.isalpha() and (c.isascii() or max(c) <= "\xff"):
+                ids = [t.id for t in tokenize(c.lower().encode().decode("latin-1").translate(_SHOWN))]
+            else:
+                ids = encode(c, add_special_tokens=False).ids
+            out.append(np.array(ids, "<u4").tobytes() if sys.byteorder == "big" else array("I", ids).tobytes())
+        return out
 
     def _learn(self, chunks: set[str]) -> None:
         known = self.known
         new = [c for c in chunks if c not in known]
-        # A word with one final mark is two pre-tokens, each with ids of its own.
-        marked = [c for c in new if c[-1] in ",." and c[:-1].isalpha()]
-        plain = {c[:-1] for c in marked} | {",", "."}
-        plain.update(set(new).difference(marked))
+        # Letters with marks behind them are two pre-tokens, each with ids of its own.
+        plain, marked = set(), []
+        for c in new:
+            base = c.rstrip(MARKS)
+            if len(base) < len(c) and base.isalpha():
+                tail = c[len(base) :]
+                marked.append((c, base, tail))
+                plain.add(base)
+                plain.add(tail)
+            else:
+                plain.add(c)
         todo = [c for c in plain if c not in known]
         known.update(zip(todo, self._encode(todo)))
-        known.update((c, known[c[:-1]] + known[c[-1]]) for c in marked)
+        for c, base, tail in marked:
+            known[c] = known[base] + known[tail]
+
+    def _forget(self) -> None:
+        """Keep short chunks, which come back most often; all go if these alone are too many."""
+        short = {c: ids for c, ids in self.known.items() if len(c) <= SHORT}
+        self.known = short if len(short) < REMEMBERED // 2 else {"": b""}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [_folded(t).split(" ") for t in texts]
         if len(self.known) > REMEMBERED:
-            self.known = {"": b""}
+            self._forget()
         self._learn(set().union(*split))
         return [b"".join(map(self.known.__getitem__, chunks)) for chunks in split]
 
 
+@lru_cache(maxsize=1)
+def _ids(path: str) -> Ids:
+    """One memory per Python worker: what a task has learned serves the worker's next one."""
+    return Ids(path)
+
+
 def _folded(text: str) -> str:
     """Line ends as blanks; lower case where that can't change an id: Latin-1 without special strings."""
     if "<|" not in text:
@@ -100,7 +138,7 @@ def tokenised(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0) -
     step = 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = Ids(tokenizer)
+        ids_of = _ids(tokenizer)
         for batch in batches:
             for part in slices(batch, "text", BATCH_BYTES):
                 docs_ids = [x + end for x in ids_of([t or "" for t in part.column("text").to_pylist()])]

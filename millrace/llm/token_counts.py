@@ -175,6 +175,12 @@ class Counter:
         return [sum(map(get, chunks)) for chunks in split]
 
 
+@lru_cache(maxsize=1)
+def counter(path: str) -> Counter:
+    """One memory per Python worker: what a task has learned serves the worker's next one."""
+    return Counter(path)
+
+
 def with_token_counts(docs: DataFrame, tokenizer: str, text: str = "text", name: str = "n_tokens") -> DataFrame:
     """`docs` with the number of tokens of each whole text, all other columns as they are.
 
@@ -188,7 +194,7 @@ def with_token_counts(docs: DataFrame, tokenizer: str, text: str = "text", name:
     schema = kept.withColumn(out, F.lit(0).cast("long")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = Counter(tokenizer)
+        count = counter(tokenizer)
         for batch in batches:
             for part in slices(batch, text, BATCH_BYTES):
                 texts = [t or "" for t in part.column(text).to_pylist()]
