@@ -404,18 +404,30 @@ RAW: dict[str, str] = {
     "paired_join": f"select run, id, tier, metric, round(a, 6) a, round(b, 6) b from ({PAIRS})",
     "evidence_match": """
       select question_id, rank, event_id from vector_ranked join (select distinct * from evidence) using (question_id, event_id)""",
-    "foreign_context": rf"""
-      select run, id, system, foreign_id, foreign_system from (
-        with pool as (select *, regexp_extract_all(array_to_string(retrieved_contexts, ' '), '\b[A-Z]{{2,3}}_\d\b') cs,
-          regexp_extract_all(answer, '\b[A-Z]{{2,3}}_\d\b') ans from generations where s > 0),
-          asked as (select * from pool)
-        select g.run, g.id, g.system, o.id foreign_id, o.system foreign_system, length(any_value(g.answer)) len,
-          row_number() over (partition by g.run, g.id, g.system order by o.id, o.system) rn,
-          count(*) over (partition by g.run, g.id, g.system) n
-        from asked g join pool o on o.run = g.run and o.id <> g.id and len(o.retrieved_contexts) > 0
-          and not list_has_any(o.retrieved_ids, g.retrieved_ids) and not list_has_any(o.cs, g.ans)
-        group by g.run, g.id, g.system, o.id, o.system)
-      where rn = len % n + 1""",
+    "foreign_context": r"""
+      select * from (with pool as (
+          select run, id, system, answer, list_distinct(list_concat(retrieved_ids, ['q:' || id])) keys, len(retrieved_contexts) n_ctx,
+            list_sort(list_distinct(regexp_extract_all(array_to_string(retrieved_contexts, ' '), '\b[A-Z]{2,3}_\d\b'))) cs,
+            list_sort(list_distinct(regexp_extract_all(answer, '\b[A-Z]{2,3}_\d\b'))) ans
+          from generations where s > 0),
+        allowed as (select a.run, a.ans, c.cs from (select distinct run, ans from pool) a
+          join (select distinct run, cs from pool where n_ctx > 0) c using (run) where not list_has_any(c.cs, a.ans)),
+        numbered as (select p.run, a.ans, p.id, p.system, p.keys,
+            row_number() over (partition by p.run, a.ans order by p.id, p.system) no
+          from allowed a join pool p on p.run = a.run and p.cs = a.cs where n_ctx > 0),
+        sizes as (select run, ans, count(*) n from numbered group by run, ans),
+        places as (select run, ans, no, unnest(keys) k from numbered),
+        ruled as (select distinct q.run, q.id, q.system, p.no
+          from (select run, id, system, ans, unnest(keys) k from pool) q join places p using (run, ans, k)),
+        outs as (select *, row_number() over (partition by run, id, system order by no) j from ruled),
+        free as (select q.run, q.id, q.system, q.ans, length(any_value(q.answer)) len, any_value(s.n) - count(o.no) n
+          from pool q join sizes s using (run, ans) left join outs o on o.run = q.run and o.id = q.id and o.system = q.system
+          group by q.run, q.id, q.system, q.ans),
+        chosen as (select f.run, f.id, f.system, f.ans, any_value(f.len % f.n + 1) + count(o.no) no
+          from free f left join outs o on o.run = f.run and o.id = f.id and o.system = f.system and o.no - o.j < f.len % f.n + 1
+          where f.n > 0 group by f.run, f.id, f.system, f.ans)
+      select c.run, c.id, c.system, t.id foreign_id, t.system foreign_system
+      from chosen c join numbered t using (run, ans, no))""",
     "limit_semi_join": """
       select run, id, system from generations where id in (
         select episode_id from gold where current_state = 'not ready' order by episode_id limit 50)""",
