@@ -19,6 +19,7 @@ HEADLINE = (
     "text_vectors", "knn_topk", "knn_filtered", "ann_partitioned", "retrieve_filtered",
     "retrieval_ablation", "bm25_corpus_stats", "bm25_score", "rrf_fuse", "report_rows",
     "metrics_report", "bootstrap_ci", "paired_bootstrap", "foreign_context", "stream_silver",
+    "statistic_bootstrap", "metric_compare", "perturb_report", "rank_changes",
 )
 
 
