@@ -1,9 +1,9 @@
-"""Jaccard join of word n-gram sets: MinHash LSH forest, then exact verification.
+"""Jaccard join of word n-gram sets: banded MinHash LSH, then exact verification.
 
-Texts with the same words are one class. A class has TREES signatures of MAX_DEPTH MinHash values; each tree
-is the sorted trie of one of them. Matching starts with the whole prefix and shortens it level by level until
-the expected recall of pairs at the threshold reaches the target; what shares the prefix left in some
-tree is a bucket. The shuffle key is that shortest prefix, which all longer matches share.
+Texts with the same words are one class. A class has TREES signatures (bands) of MAX_DEPTH MinHash values. Bands
+are cut to the longest prefix at which the expected recall of pairs at the threshold reaches the target; what
+shares this prefix in some band is a bucket. That depth follows from threshold, target and TREES alone, so no trie
+is built: all longer matches share the prefix too. The values after it only enter the sketch.
 
 Within a bucket, classes whose signatures agree far less than any linked pair's would are parted again.
 What is left connected is verified exactly: shingle sets as bit rows, intersections by popcount, in blocks of
