@@ -6,7 +6,7 @@ path (tags, classes, ids, roles), hashed vectors of all its words and a few figu
 whole page as context.
 
 Pages carry no labels, so the network learns from a teacher: structural rules on a bounded sample of pages
-(SAMPLE_PAGES, none above SAMPLE_CHARS), and as many pages composed of the sample's blocks with parts that the sample may
+(SAMPLE_PAGES, none above SAMPLE_CHARS unless all are), and as many pages composed of the sample's blocks with parts that the sample may
 lack (side bars, notices, forms, comments). Weights are small and go to the tasks; every page is then labelled whole.
 """
 
@@ -54,6 +54,11 @@ CLOSES = {
 #: Elements that such a start tag doesn't reach beyond.
 SCOPE = frozenset("ul ol dl table select menu article section div body main".split())
 
+#: Composed pages are made of these if the sample has no text.
+SPARE_TEXTS = tuple(
+    " ".join(f"{a}{b}" for a in "bdfgklmn"[: 1 + k % 8] for b in ("a", "en", "ir", "ost", "u")[: 1 + k % 5]) for k in range(40)
+)
+
 # The teacher's words.
 AWAY_TAGS = frozenset(
     "head title nav header footer aside form button select option textarea label legend fieldset noscript template iframe"
@@ -391,19 +396,30 @@ def _composed(texts: list[str], rng: np.random.Generator) -> str:
 
 
 def fit(pages: DataFrame, html: str = "html") -> Labeller:
-    """A labeller taught on a bounded sample of `pages`, the first by a hash of their content."""
-    grain = 1 << 20
-    mark = F.xxhash64(html)
-    share = min(1.0, 8 * SAMPLE_PAGES / max(1, pages.count()))
-    able = pages.where(F.length(html).between(1, SAMPLE_CHARS) & (F.pmod(mark, F.lit(grain)) < int(share * grain)))
-    marks = [r[0] for r in able.select(mark.alias("mark")).distinct().orderBy("mark").limit(SAMPLE_PAGES).collect()]
-    chosen = able.where(mark.isin(marks)).groupBy(mark.alias("mark")).agg(F.first(html).alias(html))
-    sample = [r[1] for r in sorted(map(tuple, chosen.collect()))]
-    seen = [blocks_of(page) for page in sample]
-    texts = sorted({b.text for page in seen for b in page})
+    """A labeller taught on a bounded sample of `pages`, the first by a hash of their content, copies counted once.
+
+    If no page of up to SAMPLE_CHARS has text, the shortest of the longer ones are taken, up to the same sum of
+    characters, one at least. Composed pages are always added, so that a table without text teaches too.
+    """
+    mark, size = F.xxhash64(html), F.length(html)
+
+    def blocks(some: DataFrame, marks: list[int]) -> list[list[Block]]:
+        chosen = some.where(mark.isin(marks)).groupBy(mark.alias("mark")).agg(F.first(html).alias(html))
+        return [blocks_of(page) for _, page in sorted(map(tuple, chosen.collect()))]
+
+    short = pages.where(size.between(1, SAMPLE_CHARS))
+    seen = blocks(short, [r[0] for r in short.select(mark.alias("mark")).distinct().orderBy("mark").limit(SAMPLE_PAGES).collect()])
+    if not any(seen):
+        long = pages.where(size > SAMPLE_CHARS)
+        marks, left = [], SAMPLE_PAGES * SAMPLE_CHARS
+        for n, m in long.select(size.alias("size"), mark.alias("mark")).distinct().orderBy("size", "mark").limit(SAMPLE_PAGES).collect():
+            left -= n
+            if left >= 0 or not marks:
+                marks.append(m)
+        seen = blocks(long, marks) if marks else seen
+    texts = sorted({b.text for page in seen for b in page}) or list(SPARE_TEXTS)
     rng = np.random.default_rng(SEED)
-    if texts:
-        seen += [blocks_of(_composed(texts, rng)) for _ in range(SAMPLE_PAGES)]
+    seen += [blocks_of(_composed(texts, rng)) for _ in range(SAMPLE_PAGES)]
     features = Features()
     return Labeller().fit([(features([page])[0], teacher(page)) for page in seen if page])
 

@@ -91,3 +91,35 @@ def test_rows(spark, model):
     assert found[1] == "" and found[2] == "" and len(found[3]) == 219_999 and found[None] == "Head\nBody text of some length here."
     assert hb.main_text(spark.createDataFrame([], schema), model).count() == 0
     assert len(hb.fit(spark.createDataFrame([], schema)).labels(np.zeros((1, hb.INPUT), np.float32), np.array([1]))) == 1
+
+
+def right(model, page):
+    """Share of a page's blocks labelled as the teacher does."""
+    blocks = hb.blocks_of(page)
+    return (model.labels(*hb.Features()([blocks])) == (hb.teacher(blocks) > 0)).mean()
+
+
+PAGE = "<nav><a href=x>menu</a></nav><article><h1>Head</h1>{}</article><footer><p>Foot</p></footer>"
+
+
+def test_sample_of_copies_of_one_page(spark, monkeypatch):
+    """200 000 rows of three pages: all three are taught, however rare among the rows."""
+    taught = []
+    monkeypatch.setattr(hb.Labeller, "fit", lambda self, pages: taught.extend(pages) or self)
+    monkeypatch.setattr(hb, "SAMPLE_PAGES", 3)
+    three = "concat('<article><p>page ', id % 3, '</p></article>') AS html"
+    hb.fit(spark.range(200_000).selectExpr(three))
+    assert len(taught) == 6
+
+
+def test_long_pages_are_taught_if_none_is_short(spark):
+    page = PAGE.format("<p>A paragraph of the text.</p>" * 8000)
+    assert len(page) > hb.SAMPLE_CHARS
+    model = hb.fit(spark.createDataFrame([(page,)], "html string"))
+    assert right(model, page) > 0.99
+
+
+def test_a_table_without_text_teaches_from_composed_pages(spark):
+    page = PAGE.format("<p>A paragraph of the text.</p>" * 9)
+    for rows in ([], [("",)], [("<p></p>",)]):
+        assert right(hb.fit(spark.createDataFrame(rows, "html string")), page) > 0.9
