@@ -8,7 +8,8 @@ differ from its target by half a document at most. Longer documents go first, wh
 
 Pairs are formed in blocks of about BLOCK documents, dealt by a hash within their source; each block leaves one
 document with a fractional probability, and BLOCK blocks at a time meet on the next level of a reduction tree.
-A source of any size therefore takes log(n) levels, and no group grows with it.
+A source of any size therefore takes log(n) levels, and no group grows with it. Rows of equal content, if more than
+BLOCK, are numbered, and their numbers deal them over the blocks.
 """
 
 from __future__ import annotations
@@ -118,6 +119,20 @@ def _block(items: Column) -> Column:
     return F.aggregate(F.slice(items, F.lit(2), F.greatest(F.size(items) - 1, F.lit(0))), start, step)
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """`rows` with an h of its own for each row whose h more than BLOCK rows have.
+
+    Rows of one h are interchangeable, so it doesn't matter which of them gets which number.
+    """
+    many = rows.groupBy("h").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > BLOCK).select("h")
+    many = materialise(many, "many")  # plain inputs let a join's hot partition be split
+    if many.isEmpty():
+        return rows
+    alike = materialise(rows.join(many, "h").withColumn("_row", F.monotonically_increasing_id()), "alike")
+    numbered = row_numbers(alike, ["h"], ["size", "_row"], "_k").withColumn("h", F.xxhash64("h", "_k"))
+    return rows.join(many, "h", "left_anti").unionByName(numbered.select(*rows.columns))
+
+
 def mixed(sizes: DataFrame, weights: Sequence[float], most: int = MOST) -> DataFrame:
     """(id, source, size, source_size, target, copies) for each row of `sizes` (id, source, size, h).
 
@@ -138,7 +153,7 @@ def mixed(sizes: DataFrame, weights: Sequence[float], most: int = MOST) -> DataF
     out = rows.where(whole).select("id", *keys[:1], F.col("size").cast("long"), *keys[1:], F.col("base").alias("copies"))
 
     blocks = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("n_docs") / F.lit(float(BLOCK)), F.lit(1.0)))))
-    level = rows.where(~whole).select(
+    level = _spread(rows.where(~whole)).select(
         *keys, F.pmod(F.xxhash64("h", F.lit(SEED)), blocks.cast("long")).alias("block"),
         F.struct(F.col("size").cast("double").alias("size"), "h", "id", "base", "p").alias("item"),
     )

@@ -74,3 +74,29 @@ def test_rows_are_repeated_with_all_columns(spark):
     assert mixed.columns == docs.columns
     assert mixed.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 9
     assert mixing.mix(docs.limit(0), WEIGHTS).count() == 0
+
+
+def test_equal_rows_are_dealt_over_blocks(spark, make, monkeypatch):
+    """20 000 equal rows, with a null id or (in mix) with row numbers: no block holds many of them."""
+    largest = []
+
+    def stored(df, name):
+        out = kept(df, name)
+        if name == "mixed":
+            largest.append(out.agg(F.max(F.size("state.settled"))).first()[0])
+        return out
+
+    kept = mixing.materialise
+    monkeypatch.setattr(mixing, "materialise", stored)
+    rows = [(None, "one two three", None)] * 20_000 + [(i, "w " * (1 + i % 9), "abc"[i % 3]) for i in range(4000)]
+    docs = make(rows)
+    runs = []
+    for frame in (docs, docs.repartition(7)):
+        got = mixing.mixed(mixing.sizes_of(frame), WEIGHTS).collect()
+        assert len(got) == len(rows)
+        alike = [r for r in got if r["id"] is None]
+        assert abs(sum(r["copies"] * r["size"] for r in alike) - alike[0]["target"]) <= 1.5 + 1e-6
+        runs.append(Counter((r["id"], r["size"], r["copies"]) for r in got))
+    assert runs[0] == runs[1]
+    assert abs(mixing.mix(docs, WEIGHTS).where("source IS NULL").count() * 3 - alike[0]["target"]) <= 1.5 + 1e-6
+    assert max(largest) < 4 * mixing.BLOCK
