@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import embed_dedup, html_blocks, line_dedup, mixing, ngram_join, packing, quality, substring, token_counts, topk
+from millrace.llm import digest_index, embed_dedup, html_blocks, line_dedup, mixing, ngram_join, packing, quality, substring, token_counts, topk
 from millrace.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -172,3 +172,22 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     extracted = html_blocks.main_text(pages, html_blocks.fit(pages))
     return extracted.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return digest_index.dedup(docs, digest_index.DigestIndex.create(spark)).select(
+        F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
+    )
+
+
+#: Rows of op11: groups of equal normalised texts.
+EXACT_DEDUP_SQL = r"""
+WITH normal AS (
+  SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
+)
+SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, text_sha256
+FROM normal WINDOW g AS (PARTITION BY text_sha256)
+"""
+ORACLE_SQL["op11_exact_dedup"] = EXACT_DEDUP_SQL

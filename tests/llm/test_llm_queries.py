@@ -11,7 +11,7 @@ SMALL = "/root/testdata/sf0.001"
 
 def test_each_operator_is_registered_once():
     numbers = sorted(int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries())
     assert set(queries.ORACLE_SQL) <= set(entry.oracle_sql())
 
