@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import digest_index, embed_dedup, html_blocks, line_dedup, mixing, ngram_join, packing, quality, substring, token_counts, topk
-from millrace.llm.common import table
+from millrace.llm import digest_index, embed_dedup, html_blocks, line_dedup, mixing, ngram_join, packing, periods, quality, spelling, substring, token_counts, topk
+from millrace.llm.common import WORD, table
+from millrace.llm.mixing import let
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -191,3 +192,45 @@ SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc
 FROM normal WINDOW g AS (PARTITION BY text_sha256)
 """
 ORACLE_SQL["op11_exact_dedup"] = EXACT_DEDUP_SQL
+
+
+def spelled_words(docs: DataFrame) -> DataFrame:
+    """(word): one row per run of letters of (doc_id, text); runs whose checksum 97 divides lose a letter, as the contract says."""
+    runs = docs.select("doc_id", F.explode(spelling.letter_runs(F.col("text"))).alias("run"))
+    h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("run")))
+    shorter = F.expr("concat(left(run, cast(h % char_length(run) as int)), substr(run, cast(h % char_length(run) as int) + 2))")
+    return runs.withColumn("h", h).select(F.when(F.col("h") % 97 == 0, shorter).otherwise(F.col("run")).alias("word"))
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spelling.variants(spelling.vocabulary(spelled_words(docs)))
+
+
+def periodic_text(doc_id: Column, text: Column) -> Column:
+    """The texts of op12: of every tenth document by checksum, the words from one on repeat with a period."""
+    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    h = F.crc32(doc_id.cast("string"))
+
+    def repeated(s: Column) -> Column:
+        a = (s["g"] % s["n"]).cast("int")
+        p = (1 + F.floor((s["n"] - a) / (3 + s["g"] % 8))).cast("int")
+        whole = F.transform(F.sequence(F.lit(0), s["n"] - 1), lambda i: F.get(s["words"], F.when(i < a, i).otherwise(a + (i - a) % p)))
+        return F.array_join(whole, " ")
+
+    changed = let(words, lambda w: F.when(F.size(w) > 0, let(
+        F.struct(w.alias("words"), F.size(w).alias("n"), F.floor(h / 10).alias("g")), repeated)).otherwise(text))
+    return F.when(h % 10 == 0, changed).otherwise(text)
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), periodic_text(F.col("doc_id"), F.col("text")).alias("text"))
+    best = periods.longest(F.col("runs"))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return periods.with_runs(docs).withColumn("best", best).select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), "collapsed_sha256",
+    )
