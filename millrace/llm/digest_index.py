@@ -21,9 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import materialise
-from millrace.session import scratch_path
+from millrace.session import scratch_path, shuffle_partitions
 
-BUCKETS = 32
 SPACE = r"[\x20\x09-\x0D]+"
 _SCHEMA = "digest BINARY, batch INT, keep STRUCT<none: BOOLEAN, id: BIGINT, run: BIGINT, row: BIGINT>"
 
@@ -55,7 +54,9 @@ class DigestIndex:
     name: str
 
     @classmethod
-    def create(cls, spark: SparkSession, path: str | None = None, buckets: int = BUCKETS) -> DigestIndex:
+    def create(cls, spark: SparkSession, path: str | None = None, buckets: int | None = None) -> DigestIndex:
+        """An empty index; by default of as many buckets as the session's shuffles have partitions."""
+        buckets = buckets or shuffle_partitions(spark)
         path = path or scratch_path(spark, "digest_index")
         spark.createDataFrame([(json.dumps({"buckets": buckets}),)], "value string").coalesce(1).write.text(f"{path}/meta")
         return cls._register(spark, path, buckets)
