@@ -1,12 +1,14 @@
 """Groups of spelling variants: words one edit apart, found by a frontier that descends a trie stored as a table.
 
 The vocabulary's trie is an edge table (depth, node, ch, child, end), distributed by node; a node is the hash of its
-prefix. A state says that a word's own node (so its prefix and position) and another node of the trie are one edit
-apart; words that share a prefix share their states, so no state is kept per word. States start at siblings, where the
-edit happens, and a level joins them with the edges of both nodes by equal characters. What ends in two words is a pair
-of neighbours. A replaced character starts at two children of a node; an inserted one is read as late as it can stand
-(the next character differs), so every pair is found once. A node has at most one child per letter, so no key of
-these joins is hot. One stored table per level, at most LEVELS of them.
+prefix. An edge also has two masks of 64 bits of the hashes of all endings below it. A state says that a word's own
+node (so its prefix and position) and another node of the trie are one edit apart; words that share a prefix share
+their states, so no state is kept per word. States start at siblings, where the edit happens, and a level joins them
+with the edges of both nodes by equal characters. What ends in two words is a pair of neighbours. A replaced character
+starts at two children of a node; an inserted one is read as late as it can stand (the next character differs), so
+every pair is found once. A state lives only while the masks of its nodes share bits: what follows must be equal, and
+equal endings have equal bits, so no pair is lost. A node has at most one child per letter, so no key of these joins
+is hot. One stored table per level, at most LEVELS of them.
 
 Words longer than LEVELS (no language has many) are joined by the hashes of all their one-character deletions instead,
 computed along prefix sums, and compared exactly.
@@ -51,30 +53,43 @@ def _node(prefix: Column) -> Column:
 
 
 def trie_edges(words: DataFrame) -> DataFrame:
-    """(depth, node, ch, child, end), stored by depth: one row per different prefix; `end` if the child is a word."""
+    """(depth, node, ch, child, end, ma, mb), stored: one row per different prefix; `end` if the child is a word."""
     at = F.explode(F.sequence(F.lit(0), F.char_length("word") - 1))
     steps = words.select("word", at.alias("depth"))
     edge = steps.select(
         "depth", _node(F.expr("left(word, depth)")).alias("node"), F.expr("substr(word, depth + 1, 1)").alias("ch"),
         _node(F.expr("left(word, depth + 1)")).alias("child"), (F.char_length("word") == F.col("depth") + 1).alias("end"),
+        F.xxhash64(F.expr("substr(word, depth + 2)")).alias("below"),
     )
-    return materialise(edge.groupBy("depth", "node", "ch", "child").agg(F.max("end").alias("end")), "trie")
+    bit = lambda shift: F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned(below, {shift}) & 63 as int)))")
+    return materialise(edge.groupBy("depth", "node", "ch", "child").agg(F.max("end").alias("end"), bit(0).alias("ma"), bit(6).alias("mb")), "trie")
 
 
-def _renamed(edges: DataFrame, side: str) -> DataFrame:
-    return edges.select("node", "ch", F.col("child").alias(side), F.col("end").alias(f"{side}_end"))
+def _child(edges: DataFrame, mark: str, **columns: str) -> DataFrame:
+    """Edges with the child's columns renamed by a mark, so that two of them can meet."""
+    return edges.select(*[F.col(c).alias(name) for c, name in columns.items()], *[
+        F.col(c).alias(f"{mark}{c}") for c in ("child", "end", "ma", "mb")])
+
+
+def _alive(a: str, b: str) -> Column:
+    meets = [F.col(f"{a}{m}").bitwiseAND(F.col(f"{b}{m}")) != 0 for m in ("ma", "mb")]
+    return meets[0] & meets[1]
+
+
+def _state(a: str, b: str) -> list[Column]:
+    return [F.col(f"{a}child").alias("u"), F.col(f"{b}child").alias("v"), F.col(f"{a}end").alias("u_end"), F.col(f"{b}end").alias("v_end")]
 
 
 def starts(edges: DataFrame) -> DataFrame:
     """States (depth of u, u, v, ...) right after their edit, of all nodes, stored."""
-    one = edges.select("depth", "node", F.col("ch").alias("c1"), F.col("child").alias("x1"), F.col("end").alias("e1"))
-    two = edges.select("node", F.col("ch").alias("c2"), F.col("child").alias("x2"), F.col("end").alias("e2"))
+    one = _child(edges, "x", depth="depth", node="node", ch="c1")
+    two = _child(edges, "y", node="node", ch="c2")
     siblings = one.join(two, "node").where("c1 <> c2")
-    replaced = siblings.where("c1 < c2").select(
-        (F.col("depth") + 1).alias("depth"), F.col("x1").alias("u"), F.col("x2").alias("v"), F.col("e1").alias("u_end"), F.col("e2").alias("v_end"))
-    below = edges.select(F.col("node").alias("x1"), F.col("ch").alias("c2"), F.col("child").alias("x3"), F.col("end").alias("e3"))
-    inserted = siblings.join(below, ["x1", "c2"]).select(
-        (F.col("depth") + 1).alias("depth"), F.col("x2").alias("u"), F.col("x3").alias("v"), F.col("e2").alias("u_end"), F.col("e3").alias("v_end"))
+    below = _child(edges, "z", node="xchild", ch="c2")
+    after = (F.col("depth") + 1).alias("depth")
+    replaced = siblings.where("c1 < c2").where(_alive("x", "y")).select(after, *_state("x", "y"))
+    inserted = siblings.select("depth", "xchild", "c2", "ychild", "yend", "yma", "ymb").join(below, ["xchild", "c2"]).where(
+        _alive("y", "z")).select(after, *_state("y", "z"))
     return materialise(replaced.unionByName(inserted), "starts")
 
 
@@ -91,12 +106,10 @@ def frontier(words: DataFrame) -> DataFrame:
         met.append(states.where("u_end AND v_end").select("u", "v"))
         if depth == deepest:
             break
-        mine = edges.where(F.col("depth") == depth).select(F.col("node").alias("u"), "ch", F.col("child").alias("u2"), F.col("end").alias("u2_end"))
-        other = edges.where(F.col("depth").between(depth, depth + 1)).select(
-            F.col("node").alias("v"), "ch", F.col("child").alias("v2"), F.col("end").alias("v2_end"))
-        moved = states.select("u", "v").join(mine, "u").join(other, ["v", "ch"])
-        next_states = moved.select(*[F.col(c.replace("u", "u2").replace("v", "v2")).alias(c) for c in _STATE])
-        states = materialise(next_states.unionByName(begun.where(F.col("depth") == depth + 1).select(*_STATE)), "frontier")
+        mine = _child(edges.where(F.col("depth") == depth), "x", node="u", ch="ch")
+        other = _child(edges.where(F.col("depth").between(depth, depth + 1)), "y", node="v", ch="ch")
+        moved = states.select("u", "v").join(mine, "u").join(other, ["v", "ch"]).where(_alive("x", "y")).select(*_state("x", "y"))
+        states = materialise(moved.unionByName(begun.where(F.col("depth") == depth + 1).select(*_STATE)), "frontier")
     return reduce(DataFrame.unionByName, met)
 
 
