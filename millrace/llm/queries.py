@@ -69,34 +69,23 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs, drop_emptied=False).select("doc_id", "removed_lines", "text")
 
 
-#: Rows of op8: lines, marks, chunks, and the chunks that are not the first of their text.
+#: Rows of op8: lines, every two in a row that are not both blank, and the lines of those that stood so earlier.
 LINE_DEDUP_SQL = """
 WITH lines AS (
   SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS line
   FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)
-), hashed AS (
-  SELECT *, ('0x' || substr(md5(line), 1, 7))::BIGINT AS h FROM lines
-), rolled AS (
-  SELECT *, h + 31 * lag(h) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM hashed
-), marked AS (
-  SELECT *, coalesce(r % 3 = 0, false) AS m FROM rolled
-), borders AS (
-  SELECT *, m AND NOT coalesce(lag(m) OVER (PARTITION BY doc_id ORDER BY i), true) AS b FROM marked
-), numbered AS (
-  SELECT *, coalesce(sum(b::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c
-  FROM borders
-), chunks AS (
-  SELECT doc_id, c, min(i) AS start, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body
-  FROM numbered GROUP BY doc_id, c
+), pairs AS (
+  SELECT doc_id, i, line, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS after FROM lines
 ), ranked AS (
-  SELECT doc_id, c, n, row_number() OVER (PARTITION BY body ORDER BY doc_id, start) AS k FROM chunks WHERE n > 1
+  SELECT doc_id, i, row_number() OVER (PARTITION BY line, after ORDER BY doc_id, i) AS k
+  FROM pairs WHERE after IS NOT NULL AND NOT (trim(line, ' ') = '' AND trim(after, ' ') = '')
 ), gone AS (
-  SELECT doc_id, c, n FROM ranked WHERE k > 1
+  SELECT DISTINCT doc_id, unnest([i, i + 1]) AS i FROM ranked WHERE k > 1
 ), kept AS (
   SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.i) AS text
-  FROM numbered l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.c = g.c WHERE g.c IS NULL GROUP BY l.doc_id
+  FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.i = g.i WHERE g.i IS NULL GROUP BY l.doc_id
 ), lost AS (
-  SELECT doc_id, sum(n) AS n FROM gone GROUP BY doc_id
+  SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id
 )
 SELECT d.doc_id, coalesce(lost.n, 0)::BIGINT AS removed_lines,
        CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text
