@@ -8,7 +8,7 @@ with the edges of both nodes by equal characters. What ends in two words is a pa
 starts at two children of a node; an inserted one is read as late as it can stand (the next character differs), so
 every pair is found once. A state lives only while the masks of its nodes share bits: what follows must be equal, and
 equal endings have equal bits, so no pair is lost. A node has at most one child per letter, so no key of these joins
-is hot. One stored table per level, at most LEVELS of them.
+is hot. One stored table per level, down to DEPTHS; below, a state's two nodes are joined by equal endings at once.
 
 Words longer than LEVELS (no language has many) are joined by the hashes of all their one-character deletions instead,
 computed along prefix sums, and compared exactly.
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import materialise
 
+DEPTHS = 8
 LEVELS = 32
 LETTERS = "[a-zÀ-ÿ]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -93,8 +94,19 @@ def starts(edges: DataFrame) -> DataFrame:
     return materialise(replaced.unionByName(inserted), "starts")
 
 
-def frontier(words: DataFrame) -> DataFrame:
-    """(u, v): hashes of words one edit apart, each pair once, of words (word) up to LEVELS code points."""
+def _tails(words: DataFrame, depth: int) -> DataFrame:
+    """(node, rest, word_node): for each prefix from `depth` on, what of a word follows it, as hashes."""
+    at = F.explode(F.sequence(F.lit(depth), F.char_length("word"))).alias("at")
+    return words.where(F.char_length("word") >= depth).select("word", at).select(
+        _node(F.expr("left(word, at)")).alias("node"), F.xxhash64(F.expr("substr(word, at + 1)")).alias("rest"), _node(F.col("word")).alias("word_node"))
+
+
+def frontier(words: DataFrame, depths: int = DEPTHS) -> DataFrame:
+    """(u, v): hashes of words one edit apart, each pair once, of words (word).
+
+    Levels are joined one by one down to `depths`. There most nodes have a single word, so what states lack is joined
+    whole: the endings of both nodes must be equal.
+    """
     edges = trie_edges(words)
     begun = starts(edges)
     deepest = words.agg(F.max(F.char_length("word"))).first()[0] or 0
@@ -102,14 +114,17 @@ def frontier(words: DataFrame) -> DataFrame:
     appended = edges.where("end").join(last, "node").select(F.col("node").alias("u"), F.col("child").alias("v"))
     met = [appended]
     states = begun.where("depth = 1").drop("depth")
-    for depth in range(1, deepest + 1):
+    for depth in range(1, min(depths, deepest)):
         met.append(states.where("u_end AND v_end").select("u", "v"))
-        if depth == deepest:
-            break
         mine = _child(edges.where(F.col("depth") == depth), "x", node="u", ch="ch")
         other = _child(edges.where(F.col("depth").between(depth, depth + 1)), "y", node="v", ch="ch")
         moved = states.select("u", "v").join(mine, "u").join(other, ["v", "ch"]).where(_alive("x", "y")).select(*_state("x", "y"))
         states = materialise(moved.unionByName(begun.where(F.col("depth") == depth + 1).select(*_STATE)), "frontier")
+    deep = states.select("u", "v").unionByName(begun.where(F.col("depth") > max(1, min(depths, deepest))).select("u", "v"))
+    tails = materialise(_tails(words, max(1, min(depths, deepest))), "tails")
+    mine = tails.select(F.col("node").alias("u"), "rest", F.col("word_node").alias("u_word"))
+    other = tails.select(F.col("node").alias("v"), "rest", F.col("word_node").alias("v_word"))
+    met.append(deep.join(mine, "u").join(other, ["v", "rest"]).select(F.col("u_word").alias("u"), F.col("v_word").alias("v")))
     return reduce(DataFrame.unionByName, met)
 
 

@@ -67,6 +67,13 @@ def test_words_beyond_the_levels_match_brute_force(spark):
     check(spark, counts, levels=7)
 
 
+def test_depths_do_not_change_the_result(spark, monkeypatch):
+    counts = dense(5, 500, "abé", 1, 7)
+    words = spark.createDataFrame([(w,) for w in counts], "word string")
+    found = [sorted(map(tuple, spelling.frontier(words, d).collect())) for d in (1, 3, 30)]
+    assert found[0] == found[1] == found[2] and len(found[0]) == len(set(found[0])) > 100
+
+
 def test_very_long_words_and_chains(spark):
     w = "abcdefghij" * 2_000
     counts = {w: 9, w[:15_000] + w[15_001:]: 3, w[:77] + "z" + w[78:]: 4, w + "q": 20, "kitten": 1, "kittens": 2, "mittens": 4, "mitten": 8}
