@@ -1,221 +1,226 @@
-"""Exact nearest neighbours of many probes in one pass over the vectors.
+"""Exact nearest neighbours for whole tables of probes: filter first, then score.
 
-A probe is a question, optionally limited to a station and, inside it, to a time window. Vectors
-stay where they are: every task scores its rows against the block of probes as a matrix product
-and keeps a running top-k per probe, so a partition emits at most k rows per probe whatever its
-size and no (question, vector) pair is ever materialised.
+A probe is a question, optionally limited to a station, to a time window, or to lists of an approximate index.
+
+Vectors are stored with unit length under folders of station and day, with a time slot on every row. A windowed probe
+becomes one key per slot it touches; days without a probe are pruned from the scan, and vectors meet probes in an
+equi-join on the key and a range condition before any product. So what is scored grows with the windows, not with the
+index.
+
+Probes without a window are searched in tiles. Vectors stay where they are and are packed into chunks as they are
+read; probes are packed into blocks, and blocks into groups of at most GROUP_BYTES. A group is broadcast, so
+its size is bounded by construction, and more probes mean more groups. A tile is one chunk against one block of the
+same key: a matrix product that keeps at most `lim` rows per probe. A first pass over one row in LEAD finds a floor
+for every probe; the full pass returns only rows that reach it. There is no other plan for few or for many probes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial, reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-# Probes that one task holds as a matrix; more of them go through `_by_blocks`.
-MAX_BROADCAST_PROBES = 8192
-VECTORS_PER_BLOCK = 200_000
-ROWS_PER_PRODUCT = 4096
+from millrace.functions.columns import micros
+from millrace.session import materialise
+
+DAY_US = 86_400_000_000
+SLOT_US = 600_000_000
+GROUP_BYTES = 32 << 20
+TILE_BYTES = 1 << 20
+LEAD = 64
 SCORE_DIGITS = 9
+NO_TIME = -(2**62)
+
+HITS = "probe_id string, event_id string, score double"
+CHUNK = "key string, ids array<string>, data binary"
+_BLOCK = "block string, `group` string, q_key string, probe_ids array<string>, lims array<int>, q_data binary"
+
 
-CANDIDATE_SCHEMA = "probe_id string, event_id string, score double, in_window boolean"
-_VECTOR_COLUMNS = ("event_id", "station", "start_us", "list_id", "embedding")
-_PROBE_COLUMNS = ("probe_id", "station", "lo_us", "hi_us", "lists", "lim", "embedding")
-
-
-def _unit(rows: np.ndarray) -> np.ndarray:
-    norm = np.linalg.norm(rows, axis=1, keepdims=True)
-    return rows / np.where(norm == 0, 1.0, norm)
-
-
-class ProbeBlock:
-    """Probes as arrays. Missing bounds are open, a missing station accepts every row."""
-
-    def __init__(self, probes: pd.DataFrame) -> None:
-        self.ids = probes["probe_id"].tolist()
-        self.matrix = _unit(np.array(probes["embedding"].tolist(), dtype=np.float64))
-        self.stations = [None if pd.isna(s) else s for s in probes["station"]]
-        self.codes = {s: i for i, s in enumerate(sorted({s for s in self.stations if s}))}
-        self.station = np.array([-1 if s is None else self.codes[s] for s in self.stations])
-        self.windowed = (probes["lo_us"].notna() & probes["hi_us"].notna()).to_numpy()
-        self.lo = probes["lo_us"].fillna(np.iinfo(np.int64).min).astype("int64").to_numpy()
-        self.hi = probes["hi_us"].fillna(np.iinfo(np.int64).max).astype("int64").to_numpy()
-        self.lists = [None if x is None else np.array(x) for x in probes["lists"]]
-        self.lim = probes["lim"].to_numpy()
-        # Probes by station: a row is scored against those of its own station, and the open ones (-1).
-        self.of_station = {c: np.flatnonzero(self.station == c) for c in np.unique(self.station).tolist()}
-
-
-class RunningTopK:
-    """Best rows per (probe, window flag); ties go to the smaller event id."""
-
-    def __init__(self, block: ProbeBlock) -> None:
-        self.block = block
-        self.best: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray]] = {}
-
-    def offer(self, j: int, in_window: bool, scores: np.ndarray, ids: np.ndarray) -> None:
-        k = self.block.lim[j]
-        kept = self.best.get((j, in_window))
-        if kept is not None:
-            if len(kept[0]) >= k:
-                near = scores >= kept[0][-1]
-                scores, ids = scores[near], ids[near]
-            scores = np.concatenate([kept[0], scores])
-            ids = np.concatenate([kept[1], ids])
-        if len(scores) > k:
-            near = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
-            scores, ids = scores[near], ids[near]
-        order = np.lexsort((ids, -scores))[:k]
-        self.best[(j, in_window)] = (scores[order], ids[order])
-
-    def add(self, ids, stations: pa.DictionaryArray, start_us, lists, vectors) -> None:
-        block = self.block
-        names = np.array([block.codes.get(s, -2) for s in stations.dictionary.to_pylist()] + [-2])
-        codes = names[stations.indices.fill_null(len(names) - 1).to_numpy()]
-        unit = _unit(vectors)
-        for code, probes in block.of_station.items():
-            rows = np.arange(len(ids)) if code < 0 else np.flatnonzero(codes == code)
-            if not len(rows):
-                continue
-            scores = np.round(unit[rows] @ block.matrix[probes].T, SCORE_DIGITS)
-            for column, j in enumerate(probes.tolist()):
-                keep = np.ones(len(rows), bool) if block.lists[j] is None else np.isin(lists[rows], block.lists[j])
-                if not keep.any():
-                    continue
-                self.offer(j, False, scores[keep, column], ids[rows[keep]])
-                if block.windowed[j]:
-                    at = start_us[rows]
-                    keep &= (at >= block.lo[j]) & (at <= block.hi[j])
-                    if keep.any():
-                        self.offer(j, True, scores[keep, column], ids[rows[keep]])
-
-    def rows(self) -> pa.RecordBatch:
-        out = {"probe_id": [], "event_id": [], "score": [], "in_window": []}
-        for (j, flag), (scores, ids) in self.best.items():
-            out["probe_id"] += [self.block.ids[j]] * len(ids)
-            out["event_id"] += ids.tolist()
-            out["score"] += scores.tolist()
-            out["in_window"] += [flag] * len(ids)
-        return pa.RecordBatch.from_pydict(
-            out,
-            schema=pa.schema([
-                ("probe_id", pa.string()), ("event_id", pa.string()),
-                ("score", pa.float64()), ("in_window", pa.bool_()),
-            ]),
-        )
-
-
-def _add_batch(state: RunningTopK, batch: pa.RecordBatch) -> None:
-    for at in range(0, batch.num_rows, ROWS_PER_PRODUCT):
-        part = batch.slice(at, ROWS_PER_PRODUCT)
-        flat = part.column("embedding").flatten().to_numpy(zero_copy_only=False)
-        state.add(
-            part.column("event_id").to_numpy(zero_copy_only=False),
-            part.column("station").dictionary_encode(),
-            part.column("start_us").to_numpy(zero_copy_only=False),
-            part.column("list_id").to_numpy(zero_copy_only=False),
-            flat.reshape(part.num_rows, -1).astype(np.float64),
-        )
-
-
-def candidates(vectors: DataFrame, probes: DataFrame) -> DataFrame:
-    """Top `lim` rows per probe and partition: inside the window (flag) and without it.
-
-    `vectors`: event_id, station, start_us, list_id, embedding. `probes`: probe_id, station,
-    lo_us, hi_us, lists, lim, embedding. The caller merges the partitions.
+def unit(vector: Column) -> Column:
+    x = F.transform(vector, lambda v: v.cast("double"))
+    norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v))
+    return F.when(norm == 0, x).otherwise(F.transform(x, lambda v: v / norm))
+
+
+def laid_out(index: DataFrame) -> DataFrame:
+    """An index table with day, slot, start_us and the vector with unit length; rows without a vector go.
+
+    A stored layout is returned as it is.
     """
-    vectors = vectors.select(*_VECTOR_COLUMNS)
-    probes = probes.select(*_PROBE_COLUMNS)
-    head = probes.limit(MAX_BROADCAST_PROBES + 1).toPandas()
-    if len(head) > MAX_BROADCAST_PROBES:
-        return _by_blocks(vectors, probes)
-    if head.empty:
-        return vectors.sparkSession.createDataFrame([], CANDIDATE_SCHEMA)
-    block = vectors.sparkSession.sparkContext.broadcast(ProbeBlock(head))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = RunningTopK(block.value)
-        for batch in batches:
-            if batch.num_rows:
-                _add_batch(state, batch)
-        yield state.rows()
-
-    return vectors.mapInArrow(score, CANDIDATE_SCHEMA)
-
-
-def _by_blocks(vectors: DataFrame, probes: DataFrame) -> DataFrame:
-    """Too many probes for one matrix: hash both sides to blocks and score block against block.
-
-    Each vector is sent to every probe block and each probe to every vector block, so a group
-    holds a bounded number of rows of both sides and nothing passes through the driver.
+    if "unit" in index.columns:
+        return index
+    start = micros("start_ts")
+    return index.where(F.col("embedding").isNotNull()).withColumns({
+        "day": F.floor(start / DAY_US), "slot": F.floor(start / SLOT_US), "start_us": F.coalesce(start, F.lit(NO_TIME)),
+        "unit": unit(F.col("embedding")),
+    }).drop("embedding")
+
+
+def store(index: DataFrame, path: str, folders: tuple[str, ...] = ("station", "day")) -> None:
+    """Write the layout once, by range, so that a station or list with much of the table has many files."""
+    order = [*folders, *[c for c in ("start_us", "event_id") if c not in folders]]
+    laid = laid_out(index).repartitionByRange(*order).sortWithinPartitions(*order)
+    laid.write.mode("overwrite").partitionBy(*folders).parquet(path)
+
+
+def open_store(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def only(vectors: DataFrame, keys: DataFrame, folders: list[str]) -> DataFrame:
+    """Rows in folders that `keys` names. Broadcast: as many rows at most as the store has folders, which the driver
+    lists anyway; the scan's partition filter comes from the same broadcast."""
+    return vectors.join(F.broadcast(keys.select(*folders).distinct()), folders, "left_semi")
+
+
+def window_keys(probes: DataFrame) -> DataFrame:
+    """One row per probe with a station and a window, and time slot that the window touches; empty windows have none."""
+    asked = probes.where("station IS NOT NULL AND lo_us <= hi_us")
+    slots = F.sequence(F.floor(F.col("lo_us") / SLOT_US), F.floor(F.col("hi_us") / SLOT_US))
+    keyed = asked.select(
+        "probe_id", "station", "lo_us", "hi_us", "lim", unit(F.col("embedding")).alias("probe"), F.explode(slots).alias("slot"))
+    return keyed.withColumn("day", F.floor(F.col("slot") * SLOT_US / DAY_US))
+
+
+def window_pairs(vectors: DataFrame, probes: DataFrame) -> DataFrame:
+    """All rows inside the window of a probe, with lim and both vectors; nothing else is joined."""
+    keys = window_keys(probes)
+    near = only(vectors, keys, ["station", "day"]).select("event_id", "station", "slot", "start_us", "unit")
+    inside = F.col("start_us").between(F.col("lo_us"), F.col("hi_us"))
+    return near.join(keys.drop("day"), ["station", "slot"]).where(inside).select("probe_id", "event_id", "lim", "unit", "probe")
+
+
+def window_hits(vectors: DataFrame, probes: DataFrame) -> DataFrame:
+    """(probe_id, event_id, score): the best `lim` rows inside each probe's window."""
+    product = F.aggregate(F.zip_with("unit", "probe", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    scored = window_pairs(vectors, probes).select("probe_id", "event_id", F.round(product, SCORE_DIGITS).alias("score"), "lim")
+    return best(scored, F.col("lim")).drop("lim", "probe_rank")
+
+
+def best(hits: DataFrame, lim: Column) -> DataFrame:
+    """`hits` with probe_rank by score, ties to the smaller event id, up to lim."""
+    order = Window.partitionBy("probe_id").orderBy(F.col("score").desc(), "event_id")
+    return hits.withColumn("probe_rank", F.row_number().over(order)).where(F.col("probe_rank") <= lim)
+
+
+def _matrix(column: pa.Array, rows: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1)
+
+
+def _changes(keys: list) -> list[int]:
+    return [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
+
+
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (event_id, key, unit) as chunks of one key."""
+    for batch in batches:
+        keys = batch.column("key").to_pylist()
+        for lo, hi in zip(_changes(keys)[:-1], _changes(keys)[1:]):
+            size = len(batch.column("unit")[lo]) if hi > lo else 1
+            step = max(1, TILE_BYTES // (8 * max(1, size)))
+            for at in range(lo, hi, step):
+                part = batch.slice(at, min(step, hi - at))
+                data = _matrix(part.column("unit"), part.num_rows)
+                yield pa.RecordBatch.from_pydict({
+                    "key": pa.array([keys[at]], pa.string()), "ids": pa.array([part.column("event_id").to_pylist()], pa.list_(pa.string())),
+                    "data": pa.array([data.tobytes()], pa.binary())})
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (task, key, probe_id, lim, unit) as blocks of one key; a group's blocks stay under GROUP_BYTES."""
+    number = held = group = 0
+    for batch in batches:
+        keys, tasks = batch.column("key").to_pylist(), batch.column("task").to_pylist()
+        for lo, hi in zip(_changes(keys)[:-1], _changes(keys)[1:]):
+            size = len(batch.column("unit")[lo]) if hi > lo else 1
+            step = max(1, TILE_BYTES // (8 * max(1, size)))
+            for at in range(lo, hi, step):
+                part = batch.slice(at, min(step, hi - at))
+                data = _matrix(part.column("unit"), part.num_rows).tobytes()
+                if held and held + len(data) > GROUP_BYTES:
+                    held, group = 0, group + 1
+                held += len(data) + 64 * part.num_rows
+                number += 1
+                yield pa.RecordBatch.from_pydict({
+                    "block": pa.array([f"{tasks[at]}-{number}"]), "group": pa.array([f"{tasks[at]}-{group}"]),
+                    "q_key": pa.array([keys[at]], pa.string()), "probe_ids": pa.array([part.column("probe_id").to_pylist()], pa.list_(pa.string())),
+                    "lims": pa.array([part.column("lim").to_pylist()], pa.list_(pa.int32())), "q_data": pa.array([data], pa.binary())})
+
+
+def _tiles(batches: Iterator[pa.RecordBatch], full: bool) -> Iterator[pa.RecordBatch]:
+    """The best `lim` rows per probe of each tile that reach the probe's floor, which rises with every tile seen.
+
+    full: return only the lim-th score of tiles' probes that have so many rows, for floors.
     """
-    n_probe_blocks = max(1, -(-probes.count() // MAX_BROADCAST_PROBES))
-    n_vector_blocks = max(1, -(-vectors.count() // VECTORS_PER_BLOCK))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    spread = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    left = vectors.withColumn("_vb", spread("event_id", n_vector_blocks)).withColumn(
-        "_pb", every(n_probe_blocks)
-    )
-    right = probes.withColumn("_pb", spread("probe_id", n_probe_blocks)).withColumn(
-        "_vb", every(n_vector_blocks)
-    )
-
-    def score(v: pa.Table, p: pa.Table) -> pa.Table:
-        if not v.num_rows or not p.num_rows:
-            return _empty()
-        state = RunningTopK(ProbeBlock(p.to_pandas()))
-        for batch in v.combine_chunks().to_batches():
-            _add_batch(state, batch)
-        return pa.Table.from_batches([state.rows()])
-
-    return (
-        left.groupBy("_vb", "_pb").cogroup(right.groupBy("_vb", "_pb"))
-        .applyInArrow(score, CANDIDATE_SCHEMA)
-    )
-
-
-def _empty() -> pa.Table:
-    return pa.table({
-        "probe_id": pa.array([], pa.string()), "event_id": pa.array([], pa.string()),
-        "score": pa.array([], pa.float64()), "in_window": pa.array([], pa.bool_()),
-    })
-
-
-# Lists of an inverted index that one task holds as a matrix.
-MAX_LISTS = 65_536
-
-
-def nearest_lists(rows: DataFrame, centroids: DataFrame, n: int, name: str) -> DataFrame:
-    """Add the n nearest lists by cosine as array<int>, best first, ties to the smaller number.
-
-    One pass: every batch is multiplied with the centroid matrix. The number of centroids is an
-    index setting; it is checked before the matrix is sent to the tasks.
+    floors: dict[str, np.ndarray] = {}
+    for batch in batches:
+        for n in range(batch.num_rows):
+            row = {c: batch.column(c)[n] for c in batch.schema.names}
+            lims = np.array(row["lims"].as_py())
+            q = np.frombuffer(row["q_data"].as_buffer(), np.float64).reshape(len(lims), -1)
+            ids = np.array(row["ids"].as_py(), dtype=object)
+            x = np.frombuffer(row["data"].as_buffer(), np.float64).reshape(len(ids), -1)
+            block = row["block"].as_py()
+            if block not in floors:
+                given = row["floors"].as_py() or []
+                floors[block] = np.full(len(lims), -np.inf)
+                for f in given:
+                    floors[block][f["at"]] = f["floor"]
+            floor = floors[block]
+            scores = np.round(q @ x.T, SCORE_DIGITS)
+            most = int(lims.max())
+            if len(ids) >= most:
+                at = len(ids) - most
+                np.maximum(floor, np.partition(scores, at, axis=1)[:, at], out=floor)
+            i, j = np.nonzero(scores >= floor[:, None])
+            order = np.lexsort((ids[j], -scores[i, j], i))
+            i, j = i[order], j[order]
+            place = np.arange(len(i)) - np.searchsorted(i, i)
+            keep = place < lims[i]
+            i, j = i[keep], j[keep]
+            names = np.array(row["probe_ids"].as_py(), dtype=object)
+            out = {"probe_id": pa.array(names[i], pa.string()), "event_id": pa.array(ids[j], pa.string()), "score": pa.array(scores[i, j])}
+            if full:
+                out |= {"block": pa.array([block] * len(i), pa.string()), "at": pa.array(i.astype(np.int32)), "lim": pa.array(lims[i].astype(np.int32))}
+            yield pa.RecordBatch.from_pydict(out)
+
+
+def packed_probes(probes: DataFrame) -> DataFrame:
+    """Blocks of (probe_id, key, lim, embedding), stored; keys stay together and a key with many probes has many blocks."""
+    size = probes.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
+    tasks = max(1, -(-size["n"] * 8 * max(1, size["d"] or 1) // GROUP_BYTES))
+    rows = probes.repartitionByRange(tasks, "key", "probe_id").sortWithinPartitions("key", "probe_id").select(
+        F.spark_partition_id().alias("task"), "key", "probe_id", F.col("lim").cast("int").alias("lim"), unit(F.col("embedding")).alias("unit"))
+    return materialise(rows.mapInArrow(_blocks, _BLOCK), "probe_blocks")
+
+
+def tile_hits(vectors: DataFrame, probes: DataFrame, key: str = "station") -> DataFrame:
+    """(probe_id, event_id, score, lim): a superset of the best `lim` rows of each probe among rows of its key.
+
+    A probe (probe_id, key, lim, embedding) without a key meets all rows.
     """
-    head = centroids.orderBy("list_id").limit(MAX_LISTS + 1).toPandas()
-    if len(head) > MAX_LISTS:
-        raise ValueError(f"more than {MAX_LISTS} lists")
-    ids = head["list_id"].to_numpy(dtype=np.int32)
-    matrix = rows.sparkSession.sparkContext.broadcast(
-        _unit(np.array(head["centroid"].tolist(), dtype=np.float64))
-    )
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
-            vectors = flat.reshape(batch.num_rows, -1).astype(np.float64)
-            scores = np.round(_unit(vectors) @ matrix.value.T, SCORE_DIGITS)
-            best = np.argsort(-scores, axis=1, kind="stable")[:, :n]
-            lists = pa.array(ids[best].tolist(), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, lists], names=[*batch.schema.names, name]
-            )
-
-    schema = T.StructType([*rows.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))])
-    return rows.mapInArrow(assign, schema)
+    blocks = packed_probes(probes)
+    groups = [r["group"] for r in blocks.select("group").distinct().collect()]
+    if not groups:
+        return vectors.sparkSession.createDataFrame([], HITS)
+    rows = vectors.select("event_id", F.col(key).cast("string").alias("key"), "unit")
+
+    def pass_over(rows: DataFrame, blocks: DataFrame, full: bool) -> DataFrame:
+        packed = rows.mapInArrow(chunks, CHUNK)
+        schema = HITS + (", block string, at int, lim int" if full else "")
+        meets = F.col("q_key").isNull() | (F.col("q_key") == F.col("key"))
+        return reduce(DataFrame.unionByName, [
+            packed.join(F.broadcast(blocks.where(F.col("group") == g).drop("group")), meets).mapInArrow(partial(_tiles, full=full), schema)
+            for g in groups
+        ])
+
+    none = F.lit(None).cast("array<struct<at:int,floor:double>>")
+    lead = pass_over(rows.where(F.pmod(F.xxhash64("event_id"), F.lit(LEAD)) == 0), blocks.withColumn("floors", none), True)
+    order = Window.partitionBy("block", "at").orderBy(F.col("score").desc())
+    floors = lead.withColumn("n", F.row_number().over(order)).where("n = lim").groupBy("block").agg(
+        F.collect_list(F.struct("at", F.col("score").alias("floor"))).alias("floors"))
+    return pass_over(rows, blocks.join(materialise(floors, "floors"), "block", "left"), False)

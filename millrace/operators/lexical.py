@@ -1,4 +1,16 @@
-"""BM25 statistics and scores, reciprocal rank fusion."""
+"""BM25 over a stored inverted index, and reciprocal rank fusion.
+
+The index has three tables. `texts` holds each text's different terms with their counts, from one tokenisation.
+`terms` holds how many texts a term occurs in and the highest weight it gives any text. `blocks` holds the postings of a
+term by falling weight, BLOCK to a row, with the block's highest weight; a term of more than SHARD texts is dealt over
+shards, so that no task sorts or reads a frequent term alone.
+
+A search finds a floor first: the k best texts by the first blocks of a query's few weightiest terms, scored in full,
+give a score that the k-th best reaches at least. Terms whose highest weights add up to less than the floor can't bring
+a text there alone; their postings aren't read. Of the others, a block is read only if its highest weight and those of all
+other terms reach the floor. Every posting of a text above the floor lies in such a block, so sums over them bound what remains;
+texts still in reach are scored in full from `texts`. Results equal those of scoring everything.
+"""
 
 from __future__ import annotations
 
@@ -6,39 +18,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from millrace.functions.text import hit_text, tokenize
+from millrace.session import materialise, scratch_path
 
 # Usual constants of BM25 and of rank fusion.
 K1 = 1.5
 B = 0.75
 RRF_K = 60
 
-
-def corpus_size(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
-    """One row: n_docs (at least 1) and mean length (1.0 for an empty corpus)."""
-    return docs.agg(
-        F.greatest(F.count(F.lit(1)), F.lit(1)).alias("n_docs"),
-        F.coalesce(F.avg(F.size(tokens)), F.lit(1.0)).alias("avg_len"),
-    )
-
-
-def document_frequency(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
-    """Documents per term; counts merge on the map side, so frequent terms do not pile up."""
-    return (
-        docs.select(F.explode(F.array_distinct(tokens)).alias("term"))
-        .groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    )
-
-
-def corpus_stats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Per term: df, with the corpus size on every row."""
-    tokens = docs.select(tokenize(F.col(text)).alias("tokens"))
-    return document_frequency(tokens).join(F.broadcast(corpus_size(tokens)))
+BLOCK = 256
+SHARD = 65_536
+LEADING_TERMS = 8
+#: Room for the order of additions in comparisons with bounds.
+SLACK = 1e-6
 
 
 def idf(n_docs: Column, df: Column) -> Column:
@@ -50,167 +45,164 @@ def term_weight(weight: Column, tf: Column, doc_len: Column, avg_len: Column) ->
     return weight * tf * (K1 + 1.0) / (tf + norm)
 
 
-def query_terms(queries: DataFrame, docs: DataFrame, query_id: str, text: str) -> DataFrame:
-    """(query, term, idf, avg_len): distinct query terms weighed by the whole corpus.
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Different terms of each text, sorted, with their counts, instead of its tokens (the last column)."""
+    for batch in batches:
+        tokens = batch.column(batch.num_columns - 1)
+        codes = tokens.flatten().dictionary_encode()
+        names = codes.dictionary.to_numpy(zero_copy_only=False)
+        order = np.argsort(names)
+        rank = np.empty(len(names), np.int64)
+        rank[order] = np.arange(len(names))
+        owner = np.repeat(np.arange(batch.num_rows), tokens.value_lengths().to_numpy())
+        cells, counts = np.unique(owner * max(1, len(names)) + rank[codes.indices.to_numpy()], return_counts=True)
+        ends = np.searchsorted(cells, np.arange(batch.num_rows + 1) * max(1, len(names))).astype(np.int32)
+        terms = pa.array(names[order][cells % max(1, len(names))], pa.string())
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns[:-1], pa.array(np.diff(np.append(0, np.cumsum(tokens.value_lengths().to_numpy()))).astype(np.int64)),
+             pa.ListArray.from_arrays(pa.array(ends), terms), pa.ListArray.from_arrays(pa.array(ends), pa.array(counts))],
+            names=[*batch.schema.names[:-1], "len", "terms", "tfs"])
+
+
+def counted(docs: DataFrame, doc_id: str, text: Column) -> DataFrame:
+    """(doc_id, len, terms, tfs): every text tokenised once."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), tokenize(text).alias("tokens"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(_counted, f"doc_id {kind}, len long, terms array<string>, tfs array<long>")
+
+
+def term_queries(queries: DataFrame, query_id: str, text: str) -> DataFrame:
+    return queries.select(query_id, F.explode(F.array_distinct(tokenize(F.col(text)))).alias("term"))
+
+
+class TextIndex:
+    """An index under a path, written by `build`."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.texts = spark.read.parquet(f"{path}/texts")
+        self.terms = spark.read.parquet(f"{path}/terms")
+        self.blocks = spark.read.parquet(f"{path}/blocks")
+        self.size = spark.read.parquet(f"{path}/size")
+
+    def corpus_stats(self) -> DataFrame:
+        """Per term: df, with the corpus size on every row (one row, hence the broadcast)."""
+        return self.terms.select("term", "df").join(F.broadcast(self.size))
+
+    def scored(self, pairs: DataFrame, terms: DataFrame, query_id: str, doc_id: str) -> DataFrame:
+        """Add `bm25` to (query, text) pairs: all terms (query, term, idf) of the query in one expression."""
+        per_query = terms.groupBy(query_id).agg(F.sort_array(F.collect_list(F.struct("term", "idf"))).alias("_terms"))
+
+        def add(total: Column, q: Column) -> Column:
+            at = F.array_position("_words", q["term"]).cast("int")
+            tf = F.get("_tfs", at - 1)
+            return total + F.when(at > 0, term_weight(q["idf"], tf, F.col("_len"), F.col("avg_len"))).otherwise(0.0)
+
+        texts = self.texts.select(
+            F.col("doc_id").alias(doc_id), F.col("len").alias("_len"), F.col("terms").alias("_words"), F.col("tfs").alias("_tfs"))
+        score = F.coalesce(F.aggregate("_terms", F.lit(0.0), add), F.lit(0.0))
+        joined = pairs.join(texts, doc_id, "left").join(per_query, query_id, "left").join(F.broadcast(self.size.select("avg_len")))
+        return joined.withColumn("bm25", F.round(score, 9)).drop("_terms", "_len", "_words", "_tfs", "avg_len")
+
+    def search(self, queries: DataFrame, k: int, query_id: str, text: str) -> DataFrame:
+        """(query, doc_id, bm25, rank): the k best texts that share a term with the query, ties to the smaller id."""
+        asked = materialise(term_queries(queries, query_id, text).join(self.terms, "term").select(query_id, "term", "idf", "top", "shards"), "query_terms")
+        floors = materialise(self.floors(asked, k, query_id), "floors")
+        pairs = materialise(self.in_reach(asked, floors, query_id), "in_reach")
+        full = self.scored(pairs.select(query_id, "doc_id"), asked, query_id, "doc_id").where("bm25 > 0")
+        return _top(full, k, query_id)
+
+    def floors(self, asked: DataFrame, k: int, query_id: str) -> DataFrame:
+        """(query, floor): a score that the k-th best text reaches; queries with fewer texts in view have none."""
+        leading = Window.partitionBy(query_id).orderBy(F.col("top").desc(), "term")
+        few = asked.withColumn("_n", F.row_number().over(leading)).where(F.col("_n") <= LEADING_TERMS).select(query_id, "term")
+        first = self.blocks.where("shard = 0 AND block = 0").join(few, "term").select(query_id, F.inline("postings"))
+        partial = first.groupBy(query_id, "doc_id").agg(F.sum("w").alias("bm25"))
+        seen = _top(partial, k, query_id).drop("bm25", "rank")
+        full = self.scored(seen, asked, query_id, "doc_id")
+        return full.groupBy(query_id).agg(F.min("bm25").alias("floor"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).drop("n")
+
+    def blocks_to_read(self, asked: DataFrame, floors: DataFrame, query_id: str) -> DataFrame:
+        """(query, term, shard, others, rest): terms to read with what all other terms, and the unread ones, can add."""
+        light = Window.partitionBy(query_id).orderBy("top", "term").rowsBetween(Window.unboundedPreceding, 0)
+        whole = Window.partitionBy(query_id)
+        floor = F.coalesce("floor", F.lit(0.0)) - SLACK
+        told = asked.join(floors, query_id, "left").withColumns({"_up_to": F.sum("top").over(light), "_floor": floor})
+        unread = F.col("_up_to") < F.col("_floor")
+        told = told.withColumns({
+            "others": F.sum("top").over(whole) - F.col("top"), "rest": F.sum(F.when(unread, F.col("top")).otherwise(0.0)).over(whole)})
+        read = told.where(~unread)
+        return read.select(query_id, "term", "others", "rest", "_floor", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
+
+    def in_reach(self, asked: DataFrame, floors: DataFrame, query_id: str) -> DataFrame:
+        """(query, doc_id, part): texts whose read postings and the bound of the unread terms reach the floor."""
+        wanted = self.blocks_to_read(asked, floors, query_id)
+        blocks = self.blocks.join(wanted, ["term", "shard"]).where(F.col("top") + F.col("others") >= F.col("_floor"))
+        postings = blocks.select(query_id, "rest", "_floor", F.inline("postings"))
+        summed = postings.groupBy(query_id, "doc_id", "rest", "_floor").agg(F.sum("w").alias("part"))
+        return summed.where(F.col("part") + F.col("rest") >= F.col("_floor")).select(query_id, "doc_id", "part")
+
+
+def _top(scored: DataFrame, k: int, query_id: str) -> DataFrame:
+    order = Window.partitionBy(query_id).orderBy(F.col("bm25").desc(), "doc_id")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def build(docs: DataFrame, path: str, doc_id: str = "doc_id", text: Column | str = "text") -> TextIndex:
+    """Write the index of all texts; doc_id must be unique. Null texts are empty."""
+    spark = docs.sparkSession
+    counted(docs, doc_id, F.col(text) if isinstance(text, str) else text).write.mode("overwrite").parquet(f"{path}/texts")
+    texts = spark.read.parquet(f"{path}/texts")
+    texts.agg(
+        F.greatest(F.count(F.lit(1)), F.lit(1)).alias("n_docs"), F.coalesce(F.avg("len"), F.lit(1.0)).alias("avg_len")
+    ).write.mode("overwrite").parquet(f"{path}/size")
+    size = F.broadcast(spark.read.parquet(f"{path}/size"))  # one row
+    df = materialise(texts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")), "df")
+    told = df.join(size).select(
+        "term", "df", idf(F.col("n_docs"), F.col("df")).alias("idf"), F.ceil(F.col("df") / SHARD).cast("int").alias("shards"), "avg_len")
+    each = texts.select("doc_id", "len", F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select(
+        "doc_id", "len", F.col("p.terms").alias("term"), F.col("p.tfs").alias("tf"))
+    weighed = each.join(told, "term").select(
+        "term", F.pmod(F.xxhash64("doc_id"), F.col("shards")).cast("int").alias("shard"), "doc_id",
+        term_weight(F.col("idf"), F.col("tf"), F.col("len"), F.col("avg_len")).alias("w"))
+    falling = Window.partitionBy("term", "shard").orderBy(F.col("w").desc(), "doc_id")
+    numbered = weighed.repartition("term", "shard").withColumn("block", F.floor((F.row_number().over(falling) - 1) / BLOCK).cast("int"))
+    numbered.groupBy("term", "shard", "block").agg(
+        F.max("w").alias("top"), F.collect_list(F.struct("doc_id", "w")).alias("postings")
+    ).write.mode("overwrite").parquet(f"{path}/blocks")
+    heads = spark.read.parquet(f"{path}/blocks").where("block = 0").groupBy("term").agg(F.max("top").alias("top"))
+    told.join(heads, "term").select("term", "df", "idf", "shards", "top").write.mode("overwrite").parquet(f"{path}/terms")
+    return TextIndex(spark, path)
+
+
+def of_hits(index: DataFrame, path: str | None = None) -> TextIndex:
+    """The index of the texts that the lexical score sees of an index table's rows."""
+    return build(index, path or scratch_path(index.sparkSession, "hit_texts"), "event_id", hit_text())
 
-    `docs` carries `tokens`. Only terms of some query are counted: the term list is semi-joined
-    before the count, not after.
-    """
-    terms = queries.select(query_id, F.explode(F.array_distinct(tokenize(F.col(text)))).alias("term"))
-    wanted = terms.select("term").distinct()
-    counted = (
-        docs.select(F.explode(F.array_distinct("tokens")).alias("term"))
-        .join(wanted, "term", "left_semi")
-        .groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    )
-    # One row, hence the broadcast.
-    size = F.broadcast(corpus_size(docs))
-    return (
-        terms.join(counted, "term", "left").join(size)
-        .select(
-            query_id, "term", "avg_len",
-            idf(F.col("n_docs"), F.coalesce("df", F.lit(0))).alias("idf"),
-        )
-    )
+
+def corpus_stats(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Statistics of texts without an index: per term df, with the corpus size on every row."""
+    texts = materialise(counted(docs.withColumn("_id", F.lit(0)), "_id", F.col(text)).select("len", "terms"), "counted")
+    size = texts.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("n_docs"), F.coalesce(F.avg("len"), F.lit(1.0)).alias("avg_len"))
+    return texts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(size))
 
 
 def bm25_topk(
-    queries: DataFrame, docs: DataFrame, k: int,
+    queries: DataFrame, docs: DataFrame | TextIndex, k: int,
     query_id: str = "item_id", doc_id: str = "doc_id", text: str = "text",
 ) -> DataFrame:
-    """The k best documents per query over the whole corpus.
+    """The k best texts per query; `docs` is an index, or a table that is indexed for this call."""
+    index = docs if isinstance(docs, TextIndex) else build(docs, scratch_path(docs.sparkSession, "texts"), doc_id, text)
+    return index.search(queries, k, query_id, text).withColumnRenamed("doc_id", doc_id)
 
-    While the query terms fit a matrix, documents stay where they are: a task multiplies the term
-    weights of its documents with the query matrix and keeps a running top k per query, so no
-    posting and no (query, document) pair is shuffled. Larger query sets go through a join.
-    """
-    tokens = docs.select(doc_id, tokenize(F.col(text)).alias("tokens"))
-    terms = query_terms(queries, tokens, query_id, text)
-    scored = _scores_by_matrix(tokens, terms, k, query_id, doc_id)
-    if scored is None:
-        scored = _scores_by_join(tokens, terms, query_id, doc_id)
-    w = Window.partitionBy(query_id).orderBy(F.col("bm25").desc(), doc_id)
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
-
-def _scores_by_join(
-    tokens: DataFrame, terms: DataFrame, query_id: str, doc_id: str
-) -> DataFrame:
-    """Scores of all pairs that share a term. A pair lives in one input partition, so the map-side
-    sum collapses its terms before the shuffle."""
-    postings = tokens.select(
-        doc_id, F.size("tokens").alias("_len"), F.explode("tokens").alias("term")
-    ).join(terms.select("term").distinct(), "term", "left_semi").groupBy(
-        doc_id, "_len", "term"
-    ).agg(F.count(F.lit(1)).alias("_tf"))
-    return postings.join(terms, "term").groupBy(query_id, doc_id).agg(
-        F.sum(term_weight(F.col("idf"), F.col("_tf"), F.col("_len"), F.col("avg_len"))).alias("_s")
-    ).select(query_id, doc_id, F.round("_s", 9).alias("bm25"))
-
-
-# Cells of the (term, query) matrix that a task may hold, and of a block of documents.
-MAX_QUERY_CELLS = 16_000_000
-MAX_QUERY_TERMS = 1_000_000
-BLOCK_CELLS = 4_000_000
-
-
-def _scores_by_matrix(
-    tokens: DataFrame, terms: DataFrame, k: int, query_id: str, doc_id: str
-) -> DataFrame | None:
-    """Top k per query and input partition; None if the query matrix is over the bound."""
-    rows = terms.select(query_id, "term", "idf", "avg_len").limit(MAX_QUERY_TERMS + 1).toPandas()
-    names, term_no = np.unique(rows["term"].to_numpy(dtype=str), return_inverse=True)
-    ids, query_no = np.unique(rows[query_id].to_numpy(), return_inverse=True)
-    if len(rows) > MAX_QUERY_TERMS or len(names) * len(ids) > MAX_QUERY_CELLS or rows.empty:
-        return None
-    matrix = np.zeros((len(names), len(ids)))
-    matrix[term_no, query_no] = rows["idf"]
-    shared = tokens.sparkSession.sparkContext.broadcast(
-        (names.tolist(), ids, matrix, float(rows["avg_len"].iloc[0]))
-    )
-    schema = T.StructType([
-        terms.schema[query_id], tokens.schema[doc_id], T.StructField("bm25", T.DoubleType()),
-    ])
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, ids, matrix, avg_len = shared.value
-        value_set = pa.array(names)
-        step = max(1, BLOCK_CELLS // max(1, len(names)))
-        best = [(np.array([]), None)] * len(ids)
-        doc_type = None
-        for batch in batches:
-            for at in range(0, batch.num_rows, step):
-                block = batch.slice(at, step)
-                docs = block.column(0).to_numpy(zero_copy_only=False)
-                doc_type = block.column(0).type
-                scores = np.round(_block_weights(block, value_set, avg_len) @ matrix, 9)
-                for j in range(len(ids)):
-                    best[j] = _keep_best(best[j], scores[:, j], docs, k)
-        for j, (top, docs) in enumerate(best):
-            if docs is not None and len(top):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[j]] * len(top)), pa.array(docs, doc_type), pa.array(top)],
-                    names=[query_id, doc_id, "bm25"],
-                )
-
-    return tokens.select(doc_id, "tokens").mapInArrow(score, schema)
-
-
-def _block_weights(block: pa.RecordBatch, value_set: pa.Array, avg_len: float) -> np.ndarray:
-    """(documents, terms) matrix of saturated term frequencies."""
-    column = block.column(1)
-    lengths = pc.list_value_length(column).to_numpy(zero_copy_only=False)
-    where = pc.index_in(column.flatten(), value_set=value_set).to_numpy(zero_copy_only=False)
-    doc_no = np.repeat(np.arange(block.num_rows), lengths)
-    known = ~np.isnan(where) if where.dtype.kind == "f" else np.ones(len(where), dtype=bool)
-    cell = doc_no[known] * len(value_set) + where[known].astype(np.int64)
-    tf = np.bincount(cell, minlength=block.num_rows * len(value_set)).reshape(block.num_rows, -1)
-    norm = K1 * (1.0 - B + B * lengths / avg_len)
-    return tf * (K1 + 1.0) / (tf + norm[:, None])
-
-
-def _keep_best(kept, scores: np.ndarray, docs: np.ndarray, k: int):
-    """Merge a block into the k best (score, document) of one query; ties to the smaller id."""
-    top, top_docs = kept
-    floor = top[-1] if top_docs is not None and len(top) >= k else 0.0
-    near = np.flatnonzero((scores > 0) & (scores >= floor))
-    if not len(near):
-        return kept
-    scores, docs = scores[near], docs[near]
-    if top_docs is not None:
-        scores, docs = np.concatenate([top, scores]), np.concatenate([top_docs, docs])
-    order = np.lexsort((docs, -scores))[:k]
-    return scores[order], docs[order]
-
-
-def score_hits(hits: DataFrame, questions: DataFrame, index: DataFrame) -> DataFrame:
+def score_hits(hits: DataFrame, questions: DataFrame, index: DataFrame | TextIndex) -> DataFrame:
     """Add `bm25` to (question_id, event_id, …) candidates; statistics come from the whole index.
 
-    The candidates are few per question, so the score of a pair is one expression over the two
-    token lists: no postings table is shuffled.
+    Only the texts of candidates are read in full; terms weigh what the stored index says.
     """
-    docs = index.select("event_id", tokenize(hit_text()).alias("tokens"))
-    terms = query_terms(questions, docs, "question_id", "question")
-    per_question = terms.groupBy("question_id").agg(
-        F.sort_array(F.collect_list(F.struct("term", "idf"))).alias("_terms"),
-        F.max("avg_len").alias("_avg_len"),
-    )
-    score = F.aggregate(
-        "_terms",
-        F.lit(0.0),
-        lambda acc, q: acc + _term_score(q, F.col("tokens"), F.col("_avg_len")),
-    )
-    return (
-        hits.join(docs, "event_id")
-        .join(per_question, "question_id", "left")
-        .withColumn("bm25", F.round(F.coalesce(score, F.lit(0.0)), 9))
-        .drop("tokens", "_terms", "_avg_len")
-    )
-
-
-def _term_score(q: Column, tokens: Column, avg_len: Column) -> Column:
-    tf = F.size(F.filter(tokens, lambda t: t == q["term"]))
-    return F.when(tf > 0, term_weight(q["idf"], tf, F.size(tokens), avg_len)).otherwise(0.0)
+    texts = index if isinstance(index, TextIndex) else of_hits(index)
+    terms = term_queries(questions, "question_id", "question").join(texts.terms.select("term", "idf"), "term")
+    return texts.scored(hits, terms, "question_id", "event_id")
 
 
 def fuse(hits: DataFrame) -> DataFrame:

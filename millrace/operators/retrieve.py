@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.columns import micros
-from millrace.operators import knn, lexical
+from millrace.operators import ann, knn, lexical
 from millrace.operators.questions import FILTERED, VECTOR, checked_mode, parse_questions
 from millrace.session import materialise
 
@@ -19,28 +19,17 @@ OVERFETCH = 4
 DEDUP_S = 10
 TOP_K = 5
 HIT_FIELDS = ("station", "start_ts", "current_task")
-
-
-def vector_columns(index: DataFrame) -> DataFrame:
-    has_lists = "list_id" in index.columns
-    return index.select(
-        "event_id", "station",
-        F.coalesce(micros("start_ts"), F.lit(-(2**62))).alias("start_us"),
-        (F.col("list_id") if has_lists else F.lit(-1)).cast("int").alias("list_id"),
-        "embedding",
-    )
+Texts = lexical.TextIndex | None
 
 
 def _probe(questions: DataFrame, station: Column, lim: Column, bounded: bool) -> DataFrame:
     null_us = F.lit(None).cast("bigint")
-    lists = F.col("lists") if "lists" in questions.columns else F.lit(None).cast("array<int>")
     return questions.select(
         F.concat_ws("#", "question_id", station).alias("probe_id"),
         "question_id",
         station.alias("station"),
         (micros("window_lo") if bounded else null_us).alias("lo_us"),
         (micros("window_hi") if bounded else null_us).alias("hi_us"),
-        lists.cast("array<int>").alias("lists"),
         lim.cast("int").alias("lim"),
         F.col("embedding").cast("array<double>").alias("embedding"),
     )
@@ -60,34 +49,25 @@ def station_probes(parsed: DataFrame, k: int = TOP_K) -> DataFrame:
     return _probe(each, F.col("_st"), F.col("_lim"), True)
 
 
-def fetch_bound(k: int) -> int:
-    """Largest `lim` of any probe for top k."""
-    return max(k, 2) * OVERFETCH
-
-
 def nearest(index: DataFrame, probes: DataFrame, k: int = TOP_K, fallback: bool = True) -> DataFrame:
     """Ranked rows per probe; a probe whose window is empty falls back to its whole station.
 
-    A probe holds at most 2·lim rows per input partition here, and the rank limit is applied
-    before the shuffle as well as after it.
+    `index` is an index table or a stored layout (`knn.store`), whose folders are pruned. Windows are searched by key
+    first; only probes without a window, or with an empty one, go through the tiles.
     """
-    found = knn.candidates(vector_columns(index), probes)
-    per_flag = Window.partitionBy("probe_id", "in_window").orderBy(F.col("score").desc(), "event_id")
-    best = found.withColumn("_rn", F.row_number().over(per_flag))
-    best = best.where(F.col("_rn") <= fetch_bound(k))
-    any_inside = F.max("in_window").over(Window.partitionBy("probe_id"))
-    info = probes.select(
-        "probe_id", "question_id", "lim", F.col("lo_us").isNotNull().alias("windowed")
-    )
-    best = best.join(info, "probe_id").where(F.col("_rn") <= F.col("lim"))
-    best = best.withColumn("_any", any_inside)
-    use = F.when(F.col("windowed") & F.col("_any"), F.col("in_window")).otherwise(
-        ~F.col("in_window") & (F.lit(fallback) | ~F.col("windowed"))
-    )
-    return best.where(use).select(
-        "question_id", "probe_id", "event_id", "score",
-        F.col("_rn").alias("probe_rank"), "in_window",
-    )
+    vectors, probes = knn.laid_out(index), materialise(probes, "probes")
+    windowed = F.col("lo_us").isNotNull() & F.col("hi_us").isNotNull()
+    inside = materialise(knn.window_hits(vectors, probes), "window_hits")
+    empty = probes.where(windowed).join(inside.select("probe_id").distinct(), "probe_id", "left_anti")
+    rest = probes.where(~windowed).unionByName(empty) if fallback else probes.where(~windowed)
+    found = knn.tile_hits(vectors, rest.select("probe_id", F.col("station").alias("key"), "lim", "embedding"))
+    return _ranked(inside, probes, True).unionByName(_ranked(found, probes, False))
+
+
+def _ranked(hits: DataFrame, probes: DataFrame, in_window: bool) -> DataFrame:
+    info = probes.select("probe_id", "question_id", "lim")
+    ranked = knn.best(hits.join(info, "probe_id"), F.col("lim"))
+    return ranked.select("question_id", "probe_id", "event_id", "score", "probe_rank", F.lit(in_window).alias("in_window"))
 
 
 def pool(hits: DataFrame) -> DataFrame:
@@ -134,19 +114,20 @@ def time_dedup(hits: DataFrame, k: int = TOP_K, window_s: float = DEDUP_S) -> Da
 
 
 def _finish(
-    pooled: DataFrame, questions: DataFrame, index: DataFrame, k: int, rerank: bool, window_s: float
+    pooled: DataFrame, questions: DataFrame, index: DataFrame, k: int, rerank: bool, window_s: float, texts: Texts
 ) -> DataFrame:
+    """texts: the stored text index of the hits; without one it is built for this call."""
     if rerank:
-        pooled = lexical.fuse(lexical.score_hits(pooled, questions, index))
+        pooled = lexical.fuse(lexical.score_hits(pooled, questions, texts or index))
     return time_dedup(with_fields(pooled, index), k, window_s)
 
 
 def retrieve_vector(
     questions: DataFrame, index: DataFrame, k: int = TOP_K, rerank: bool = False,
-    dedup_s: float = DEDUP_S,
+    dedup_s: float = DEDUP_S, texts: Texts = None,
 ) -> DataFrame:
     hits = nearest(index, vector_probes(questions, k), k)
-    return _finish(pool(hits), questions, index, k, rerank, dedup_s)
+    return _finish(pool(hits), questions, index, k, rerank, dedup_s, texts)
 
 
 def filtered_candidates(parsed: DataFrame, index: DataFrame, k: int = TOP_K) -> DataFrame:
@@ -159,10 +140,10 @@ def filtered_candidates(parsed: DataFrame, index: DataFrame, k: int = TOP_K) ->
 
 def retrieve_filtered(
     questions: DataFrame, index: DataFrame, k: int = TOP_K, rerank: bool = False,
-    window_s: int = 5, dedup_s: float = DEDUP_S,
+    window_s: int = 5, dedup_s: float = DEDUP_S, texts: Texts = None,
 ) -> DataFrame:
     parsed = parse_questions(questions, window_s)
-    return _finish(filtered_candidates(parsed, index, k), questions, index, k, rerank, dedup_s)
+    return _finish(filtered_candidates(parsed, index, k), questions, index, k, rerank, dedup_s, texts)
 
 
 def filter_counts(parsed: DataFrame, index: DataFrame, bucket_s: int = 600) -> DataFrame:
@@ -208,7 +189,7 @@ def filter_counts(parsed: DataFrame, index: DataFrame, bucket_s: int = 600) -> D
 
 def route_by_mode(
     questions: DataFrame, index: DataFrame, k: int = TOP_K, window_s: int = 5,
-    dedup_s: float = DEDUP_S, rerank: bool = False,
+    dedup_s: float = DEDUP_S, rerank: bool = False, texts: Texts = None,
 ) -> DataFrame:
     """Questions carry a `mode`; the answerless mode retrieves nothing, an unknown mode fails.
 
@@ -221,7 +202,7 @@ def route_by_mode(
     probes = station_probes(parsed.where(F.col("mode") == FILTERED), k).unionByName(
         vector_probes(parsed.where(plain), k)
     )
-    return _finish(pool(nearest(index, probes, k)), questions, index, k, rerank, dedup_s)
+    return _finish(pool(nearest(index, probes, k)), questions, index, k, rerank, dedup_s, texts)
 
 
 CONFIGS = (
@@ -232,7 +213,7 @@ CONFIGS = (
 
 def ablation_hits(
     questions: DataFrame, index: DataFrame, k: int = TOP_K, window_s: int = 5,
-    dedup_s: float = DEDUP_S,
+    dedup_s: float = DEDUP_S, texts: Texts = None,
 ) -> DataFrame:
     """Hits of the four configurations: two candidate searches, each used with and without fusion.
 
@@ -252,7 +233,7 @@ def ablation_hits(
     pooled = pool(nearest(index, probes, k))
     both = named(questions, "vetorial").unionByName(named(questions, "filtrado"))
     # A bounded number of candidates per question, read by both rankings: scored once.
-    scored = materialise(lexical.score_hits(pooled, both, index), "candidates")
+    scored = materialise(lexical.score_hits(pooled, both, texts or index), "candidates")
     config = lambda df, mark: df.withColumn(
         "question_id", F.concat("question_id", F.lit(mark))
     )
@@ -267,10 +248,13 @@ def ablation_hits(
 
 
 def assign_lists(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
-    """Nearest centroid per vector as `list_id`."""
-    return knn.nearest_lists(vectors, centroids, 1, "_lists").withColumn(
-        "list_id", F.col("_lists")[0]
-    ).drop("_lists")
+    """(event_id, list_id, unit) of a layout's rows: the nearest of the given centroids (list_id, centroid)."""
+    placed = ann.nearest_cells(vectors.select("event_id", F.lit("").alias("key"), "unit"), _cells(centroids))
+    return placed.select("event_id", F.col("cells")[0].alias("list_id"), "unit")
+
+
+def _cells(centroids: DataFrame) -> DataFrame:
+    return centroids.select(F.lit("").alias("key"), F.col("list_id").cast("int").alias("cell"), knn.unit(F.col("centroid")).alias("centroid"))
 
 
 def mean_centroids(vectors: DataFrame, group: str) -> DataFrame:
@@ -284,17 +268,24 @@ def mean_centroids(vectors: DataFrame, group: str) -> DataFrame:
     ).withColumnRenamed(group, "list_id")
 
 
-def probe_lists(questions: DataFrame, centroids: DataFrame, nprobe: int) -> DataFrame:
-    """The nprobe nearest lists of each question as an array."""
-    return knn.nearest_lists(questions, centroids, nprobe, "lists")
-
-
 def ann_search(
     questions: DataFrame, index: DataFrame, centroids: DataFrame, nprobe: int, k: int
 ) -> DataFrame:
-    """Approximate search: only rows of the probed lists are scored (and, with the index
-    partitioned by list_id, only the lists probed by some question are read)."""
-    probed = probe_lists(questions, centroids, nprobe)
-    wanted = probed.select(F.explode("lists").alias("list_id")).distinct()
-    rows = assign_lists(index, centroids) if "list_id" not in index.columns else index
-    return nearest(rows.join(wanted, "list_id", "left_semi"), vector_probes(probed, k), k)
+    """Approximate search over given centroids: only rows of the probed lists are scored.
+
+    An index that is trained, stored by list and reused is `ann.build`.
+    """
+    rows = assign_lists(knn.laid_out(index), centroids)
+    probes = materialise(vector_probes(questions, k), "probes")
+    probed = ann.nearest_cells(
+        probes.select(F.col("probe_id").alias("event_id"), F.lit("").alias("key"), knn.unit(F.col("embedding")).alias("unit")),
+        _cells(centroids), nprobe)
+    keyed = probed.select(F.col("event_id").alias("probe_id"), F.explode(F.col("cells").cast("array<string>")).alias("key")).join(probes, "probe_id")
+    found = knn.tile_hits(rows, keyed.select("probe_id", "key", "lim", "embedding"), "list_id")
+    return _ranked(found, probes, False)
+
+
+def trained_search(questions: DataFrame, index: ann.ListIndex, nprobe: int, k: int) -> DataFrame:
+    """The same against a trained index: only folders that some question probes are read."""
+    probes = materialise(vector_probes(questions, k), "probes")
+    return _ranked(index.search(probes, nprobe).drop("probe_rank"), probes, False)

@@ -9,9 +9,11 @@ from millrace.functions import text as tx
 from millrace.functions.columns import num1, second_text, ts_text
 from millrace.functions.process_rules import STATIONS
 from millrace.operators import episodes as ep
+from millrace.operators import ann, knn
 from millrace.operators import golden as gs
+from millrace.operators import lexical as lx
 from millrace.operators import metrics as mt
-from millrace.session import materialise, tune
+from millrace.session import materialise, scratch_path, tune
 from millrace.sources import results as rs
 
 # Task of a working station, by station code.
@@ -157,6 +159,42 @@ def index_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str, name: str, write) -> str:
+    """Path of an index that `write(path)` makes once per session and folder, as the pipeline would keep it."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        path = scratch_path(spark, name)
+        write(path)
+        _STORED[key] = path
+    tune(spark)
+    return _STORED[key]
+
+
+def index_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The searchable table in folders of station and day."""
+    return knn.open_store(spark, _stored(spark, sf_dir, "vectors", lambda path: knn.store(index_table(spark, sf_dir), path)))
+
+
+def hit_texts(spark: SparkSession, sf_dir: str) -> lx.TextIndex:
+    return lx.TextIndex(spark, _stored(spark, sf_dir, "hit_texts", lambda path: lx.of_hits(index_table(spark, sf_dir), path)))
+
+
+def document_texts(spark: SparkSession, sf_dir: str) -> lx.TextIndex:
+    return lx.TextIndex(spark, _stored(spark, sf_dir, "document_texts", lambda path: lx.build(documents(spark, sf_dir), path)))
+
+
+# Trained lists: 8 cells of 8 lists. The given vectors have no clusters to speak of, so recall needs many of them.
+LIST_CELLS, LISTS_PER_CELL, NPROBE = 8, 8, 40
+
+
+def list_index(spark: SparkSession, sf_dir: str) -> ann.ListIndex:
+    return ann.ListIndex(spark, _stored(spark, sf_dir, "lists", lambda path: ann.build(
+        index_store(spark, sf_dir), path, LIST_CELLS, LISTS_PER_CELL)))
+
+
 def _pair_of(n: Column) -> Column:
     return n + 1 - 2 * (n % 2)
 

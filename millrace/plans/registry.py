@@ -261,7 +261,7 @@ def _hits_view(df: DataFrame, *extra: str) -> DataFrame:
 @query
 def mode_routing(s, d):
     return _hits_view(rt.route_by_mode(
-        fx.questions(s, d), fx.index_table(s, d), rt.TOP_K, fx.WINDOW_S, fx.DEDUP_S
+        fx.questions(s, d), fx.index_store(s, d), rt.TOP_K, fx.WINDOW_S, fx.DEDUP_S
     ))
 
 
@@ -328,7 +328,7 @@ def paired_join(s, d):
 
 @query
 def evidence_match(s, d):
-    hits = rt.pool(rt.nearest(fx.index_table(s, d), rt.vector_probes(fx.questions(s, d))))
+    hits = rt.pool(rt.nearest(fx.index_store(s, d), rt.vector_probes(fx.questions(s, d))))
     return mt.evidence_match(hits, fx.evidence(s, d))
 
 
@@ -409,7 +409,7 @@ def episode_summary(s, d):
 
 @query
 def bm25_corpus_stats(s, d):
-    return lx.corpus_stats(fx.documents(s, d)).select(
+    return fx.document_texts(s, d).corpus_stats().select(
         "term", "df", "n_docs", r6("avg_len").alias("avg_len")
     )
 
@@ -417,7 +417,7 @@ def bm25_corpus_stats(s, d):
 @query
 def retrieval_metrics(s, d):
     hits = rt.retrieve_filtered(
-        fx.questions(s, d), fx.index_table(s, d), rt.TOP_K, False, fx.WINDOW_S, fx.DEDUP_S
+        fx.questions(s, d), fx.index_store(s, d), rt.TOP_K, False, fx.WINDOW_S, fx.DEDUP_S
     )
     return mt.metrics_from_hits(hits, fx.questions(s, d), fx.evidence(s, d)).select(
         "question_id", "tier", *[r6(m).alias(m) for m in mt.RETRIEVAL_METRICS]
@@ -584,7 +584,7 @@ def range_count(s, d):
 
 @query
 def rank_in_question(s, d):
-    hits = rt.nearest(fx.index_table(s, d), rt.vector_probes(fx.questions(s, d)))
+    hits = rt.nearest(fx.index_store(s, d), rt.vector_probes(fx.questions(s, d)))
     return _hits_view(mt.rank_in_question(hits))
 
 
@@ -609,13 +609,13 @@ def cell_row_number(s, d):
 @query
 def mode_routing_reranked(s, d):
     return _hits_view(rt.route_by_mode(
-        fx.questions(s, d), fx.index_table(s, d), rt.TOP_K, fx.WINDOW_S, fx.DEDUP_S, rerank=True
+        fx.questions(s, d), fx.index_store(s, d), rt.TOP_K, fx.WINDOW_S, fx.DEDUP_S, rerank=True, texts=fx.hit_texts(s, d)
     ))
 
 
 @query
 def knn_topk(s, d):
-    hits = rt.nearest(fx.index_table(s, d), rt.vector_probes(fx.questions(s, d)))
+    hits = rt.nearest(fx.index_store(s, d), rt.vector_probes(fx.questions(s, d)))
     return _hits_view(rt.pool(hits))
 
 
@@ -623,14 +623,14 @@ def knn_topk(s, d):
 def knn_filtered(s, d):
     """Questions with one station: station and window filter, no fallback."""
     parsed = qs.parse_questions(fx.questions(s, d), fx.WINDOW_S).where(F.size("stations") == 1)
-    hits = rt.nearest(fx.index_table(s, d), rt.station_probes(parsed), rt.TOP_K, fallback=False)
+    hits = rt.nearest(fx.index_store(s, d), rt.station_probes(parsed), rt.TOP_K, fallback=False)
     return _hits_view(hits.withColumn("rank", F.col("probe_rank")))
 
 
 @query
 def window_fallback(s, d):
     parsed = qs.parse_questions(fx.questions(s, d), fx.WINDOW_S)
-    hits = rt.nearest(fx.index_table(s, d), rt.station_probes(parsed))
+    hits = rt.nearest(fx.index_store(s, d), rt.station_probes(parsed))
     return hits.select(
         "question_id", F.substring_index("probe_id", "#", -1).alias("station"), "event_id",
         r6("score").alias("score"), F.col("probe_rank").alias("rank"),
@@ -644,31 +644,37 @@ def ann_partitioned(s, d):
     return _hits_view(rt.pool(rt.ann_search(fx.questions(s, d), index, centroids, 3, rt.TOP_K)))
 
 
+@query
+def ann_trained(s, d):
+    """Hits of the trained list index; held against the exact ones by tests/test_retrieval.py."""
+    return _hits_view(rt.pool(rt.trained_search(fx.questions(s, d), fx.list_index(s, d), fx.NPROBE, rt.TOP_K)))
+
+
 @query
 def multi_station_merge(s, d):
     parsed = qs.parse_questions(fx.questions(s, d), fx.WINDOW_S).where(F.size("stations") > 1)
-    return _hits_view(rt.pool(rt.nearest(fx.index_table(s, d), rt.station_probes(parsed))))
+    return _hits_view(rt.pool(rt.nearest(fx.index_store(s, d), rt.station_probes(parsed))))
 
 
 @query
 def greedy_time_dedup(s, d):
-    index = fx.index_table(s, d)
+    index = fx.index_store(s, d)
     hits = rt.pool(rt.nearest(index, rt.vector_probes(fx.questions(s, d))))
     return _hits_view(rt.time_dedup(rt.with_fields(hits, index), rt.TOP_K, fx.DEDUP_S))
 
 
 @query
 def bm25_score(s, d):
-    out = lx.bm25_topk(fx.table(s, d, "benchmark"), fx.documents(s, d), 20)
+    out = lx.bm25_topk(fx.table(s, d, "benchmark"), fx.document_texts(s, d), 20)
     return out.select("item_id", "doc_id", "rank", r6("bm25").alias("bm25"))
 
 
 @query
 def rrf_fuse(s, d):
-    index, questions = fx.index_table(s, d), fx.questions(s, d)
+    index, questions = fx.index_store(s, d), fx.questions(s, d)
     hits = rt.pool(rt.nearest(index, rt.vector_probes(questions)))
     return _hits_view(
-        lx.fuse(lx.score_hits(hits, questions, index)).withColumn("bm25", r6("bm25"))
+        lx.fuse(lx.score_hits(hits, questions, fx.hit_texts(s, d))).withColumn("bm25", r6("bm25"))
         .withColumn("rrf_score", r6(F.col("rrf_score") * 1000)),
         "dense_rank", "bm25", "bm25_rank", "rrf_score",
     )
@@ -677,21 +683,21 @@ def rrf_fuse(s, d):
 @query
 def retrieve_vector(s, d):
     return _hits_view(rt.retrieve_vector(
-        fx.questions(s, d), fx.index_table(s, d), rt.TOP_K, True, fx.DEDUP_S
+        fx.questions(s, d), fx.index_store(s, d), rt.TOP_K, True, fx.DEDUP_S, fx.hit_texts(s, d)
     ))
 
 
 @query
 def retrieve_filtered(s, d):
     return _hits_view(rt.retrieve_filtered(
-        fx.questions(s, d), fx.index_table(s, d), rt.TOP_K, True, fx.WINDOW_S, fx.DEDUP_S
+        fx.questions(s, d), fx.index_store(s, d), rt.TOP_K, True, fx.WINDOW_S, fx.DEDUP_S, fx.hit_texts(s, d)
     ))
 
 
 def _ablation(s: SparkSession, d: str) -> DataFrame:
     questions = fx.questions(s, d)
     hits = materialise(rt.ablation_hits(
-        questions, fx.index_table(s, d), rt.TOP_K, fx.WINDOW_S, fx.DEDUP_S
+        questions, fx.index_store(s, d), rt.TOP_K, fx.WINDOW_S, fx.DEDUP_S, fx.hit_texts(s, d)
     ), "ablation")
     return mt.metrics_from_hits(hits, questions, fx.evidence(s, d), [name for name, *_ in rt.CONFIGS])
 

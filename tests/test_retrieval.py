@@ -1,3 +1,5 @@
+import math
+from collections import Counter
 from datetime import datetime
 
 import numpy as np
@@ -5,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import text as tx
-from millrace.operators import knn
+from millrace.operators import ann, knn
 from millrace.operators import lexical as lx
 from millrace.operators import questions as qs
 from millrace.operators import retrieve as rt
@@ -96,14 +98,58 @@ def test_knn_is_exact(world):
     assert _top(rt.pool(rt.nearest(index, rt.vector_probes(questions)))) == want
 
 
-def test_knn_by_blocks_is_the_same(world, monkeypatch):
+def test_knn_in_small_tiles_and_groups_is_the_same(world, monkeypatch):
     index, questions = world
     want = brute_force(index.collect(), questions.collect(), 20)
-    monkeypatch.setattr(knn, "MAX_BROADCAST_PROBES", 100)
-    monkeypatch.setattr(knn, "VECTORS_PER_BLOCK", 130)
+    monkeypatch.setattr(knn, "TILE_BYTES", 64 * 8 * 30)
+    monkeypatch.setattr(knn, "GROUP_BYTES", 64 * 8 * 45)
+    monkeypatch.setattr(knn, "LEAD", 2)
     assert _top(rt.pool(rt.nearest(index, rt.vector_probes(questions)))) == want
 
 
+def test_ties_go_to_the_smaller_id(spark):
+    vectors = spark.createDataFrame(
+        [(f"e{i:03}", "A", None, [1.0, float(i % 2)]) for i in range(300)] + [("z", "A", None, None)],
+        "event_id string, station string, start_ts timestamp, embedding array<double>").repartition(7)
+    probes = spark.createDataFrame([("p", "A", 3, [1.0, 0.0]), ("o", None, 4, [2.0, 2.0])], "probe_id string, key string, lim int, embedding array<double>")
+    hits = knn.tile_hits(knn.laid_out(vectors), probes).join(probes, "probe_id")
+    got = {(r.probe_id, r.probe_rank): r.event_id for r in knn.best(hits, F.col("lim")).collect()}
+    assert got == {("p", 1): "e000", ("p", 2): "e002", ("p", 3): "e004", ("o", 1): "e001", ("o", 2): "e003", ("o", 3): "e005", ("o", 4): "e007"}
+    assert knn.tile_hits(knn.laid_out(vectors), probes.limit(0)).count() == 0
+
+
+@pytest.fixture(scope="module")
+def stored(spark, world, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("vectors"))
+    knn.store(world[0], path)
+    return knn.open_store(spark, path)
+
+
+def test_stored_layout_gives_the_same_hits(world, stored):
+    index, questions = world
+    probes = rt.station_probes(qs.parse_questions(questions, fx.WINDOW_S))
+    rows = lambda hits: sorted(map(tuple, hits.collect()))
+    for fallback in (True, False):
+        assert rows(rt.nearest(stored, probes, fallback=fallback)) == rows(rt.nearest(index, probes, fallback=fallback))
+
+
+def test_windows_prune_folders_and_score_only_their_rows(spark, world, stored):
+    index, questions = world
+    probes = rt.station_probes(qs.parse_questions(questions, fx.WINDOW_S))
+    pairs = knn.window_pairs(stored, probes)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+    asked = [r.asDict() for r in probes.where("lo_us is not null").collect()]
+    rows = stored.select("station", "start_us").collect()
+    inside = sum(p["station"] == r.station and p["lo_us"] <= r.start_us <= p["hi_us"] for p in asked for r in rows)
+    assert pairs.count() == inside
+    # an index ten times as large, outside the windows: no more pairs
+    far = stored.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(9)))).select(
+        F.concat("event_id", F.lit("#"), "copy").alias("event_id"), "station", (F.col("day") + 9000).alias("day"),
+        (F.col("slot") + 9000 * 144).alias("slot"), (F.col("start_us") + 9000 * knn.DAY_US).alias("start_us"), "unit")
+    assert knn.window_pairs(stored.select(*far.columns).unionByName(far), probes).count() == inside
+
+
 def test_filtered_hits_obey_filter_or_fall_back(world):
     index, questions = world
     p = qs.parse_questions(questions, fx.WINDOW_S)
@@ -132,6 +178,23 @@ def test_all_lists_probed_is_exact(world):
     assert _top(hits) == brute_force(index.collect(), questions.collect(), 20)
 
 
+def test_trained_lists_recall_and_read_only_probed_folders(spark, world, tmp_path):
+    index, questions = world
+    vectors = knn.laid_out(index)
+    built = ann.build(vectors, str(tmp_path / "lists"), top=8, sub=8, rounds=4)
+    assert built.rows.count() == vectors.count() and built.rows.select("list_id").distinct().count() > 15
+    again = ann.ListIndex(spark, str(tmp_path / "lists"))
+    exact = _top(rt.pool(rt.nearest(index, rt.vector_probes(questions))))
+    near = _top(rt.trained_search(questions, again, 40, 5).withColumn("rank", F.col("probe_rank")))
+    recall = sum(len(set(near.get(q, [])) & set(ids)) for q, ids in exact.items()) / sum(map(len, exact.values()))
+    assert recall >= 0.9
+    every = _top(rt.trained_search(questions, again, 64, 5).withColumn("rank", F.col("probe_rank")))
+    assert every == exact
+    keys = spark.createDataFrame([(2,)], "top int")
+    plan = knn.only(again.rows, keys.where("top >= 0"), ["top"])._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan
+
+
 def test_unknown_mode_fails(world):
     index, questions = world
     with pytest.raises(Exception, match="unknown mode"):
@@ -158,14 +221,59 @@ def test_bm25_edges(spark):
     assert out[0].bm25 == pytest.approx(want, abs=1e-8)
 
 
-def test_bm25_join_and_matrix_agree(spark, monkeypatch):
+def exhaustive(docs, queries, k):
+    """Scores of all pairs, from token lists."""
+    n, avg = len(docs), sum(len(t) for t in docs.values()) / max(1, len(docs))
+    df = Counter(t for tokens in docs.values() for t in set(tokens))
+    out = []
+    for q, terms in queries.items():
+        scores = []
+        for d, tokens in docs.items():
+            tf = Counter(tokens)
+            parts = [(math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)), tf[t]) for t in sorted(set(terms)) if tf[t]]
+            s = sum(w * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * len(tokens) / avg)) for w, f in parts)
+            if s > 0:
+                scores.append((-round(s, 9), d))
+        out += [(q, d, i + 1, round(-s, 6)) for i, (s, d) in enumerate(sorted(scores)[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block,shard", [(256, 65_536), (4, 30)])
+def test_bounded_search_equals_exhaustive_scores(spark, monkeypatch, tmp_path, block, shard):
+    monkeypatch.setattr(lx, "BLOCK", block)
+    monkeypatch.setattr(lx, "SHARD", shard)
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    items = spark.read.parquet(f"{SMALL}/benchmark.parquet")
-    key = lambda rows: [(r.item_id, r.doc_id, r.rank, round(r.bm25, 6)) for r in rows]
-    order = ["item_id", "rank"]
-    a = key(lx.bm25_topk(items, docs, 10).orderBy(*order).collect())
-    monkeypatch.setattr(lx, "MAX_QUERY_CELLS", 1)
-    assert key(lx.bm25_topk(items, docs, 10).orderBy(*order).collect()) == a
+    items = spark.read.parquet(f"{SMALL}/benchmark.parquet").select("item_id", "text").unionByName(
+        spark.createDataFrame([(9001, "zzz nowhere"), (9002, None), (9003, "the the a")], "item_id long, text string"))
+    tokens = lambda df, key: {r[0]: r[1] for r in df.select(key, tx.tokenize(F.col("text"))).collect()}
+    index = lx.build(docs, str(tmp_path / "texts"))
+    want = exhaustive(tokens(docs, "doc_id"), tokens(items, "item_id"), 10)
+    got = lx.bm25_topk(items, lx.TextIndex(spark, str(tmp_path / "texts")), 10).collect()
+    assert sorted((r.item_id, r.doc_id, r.rank, round(r.bm25, 6)) for r in got) == want
+    stats = {r.term: r.df for r in index.corpus_stats().collect()}
+    assert stats == {r.term: r.df for r in lx.corpus_stats(docs).collect()}
+
+
+def test_blocks_below_the_floor_are_not_read(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lx, "BLOCK", 8)
+    common = [(i, "common words here " * (1 + i % 5) + f"own{i}") for i in range(400)]
+    rare = [(1000 + i, "rare find of common words") for i in range(5)]
+    index = lx.build(spark.createDataFrame(common + rare, "doc_id long, text string"), str(tmp_path / "texts"))
+    queries = spark.createDataFrame([(1, "rare find common words")], "item_id long, text string")
+    asked = lx.term_queries(queries, "item_id", "text").join(index.terms, "term")
+    floors = index.floors(asked, 5, "item_id")
+    read = index.blocks_to_read(asked, floors, "item_id")
+    assert {r.term for r in read.collect()} <= {"rare", "find"}
+    assert index.in_reach(asked, floors, "item_id").count() == 5
+    assert [r.doc_id for r in index.search(queries, 5, "item_id", "text").orderBy("rank").collect()] == [1000 + i for i in range(5)]
+
+
+def test_frequent_terms_lie_in_many_shards(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lx, "SHARD", 50)
+    monkeypatch.setattr(lx, "BLOCK", 10)
+    index = lx.build(spark.createDataFrame([(i, "all") for i in range(400)], "doc_id long, text string"), str(tmp_path / "texts"))
+    rows = index.blocks.groupBy("shard").agg(F.sum(F.size("postings")).alias("n"), F.max(F.size("postings")).alias("most")).collect()
+    assert len(rows) == 8 and sum(r.n for r in rows) == 400 and max(r.n for r in rows) < 100 and max(r.most for r in rows) <= 10
 
 
 def test_fusion_ties_follow_dense_order(spark):
