@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions.columns import num1
-from millrace.operators.ordered import SLICE, range_slices
+from millrace.operators.ordered import SLICE
 from millrace.session import materialise
 
 KEYS = ("current_state", "current_task", "current_sub_task")
@@ -28,86 +34,140 @@ def _keyed(silver: DataFrame) -> DataFrame:
     )
 
 
+def _laid(silver: DataFrame) -> DataFrame:
+    """Rows in order of (station, time, id), the one exchange of raw rows: range partitions of about equal size, whatever
+    the stations, so that a station or an instant with a third of all rows has many."""
+    order = ["station", "event_timestamp", "id"]
+    return _keyed(silver).repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def _openings(batch: pa.RecordBatch, last: pa.RecordBatch | None) -> tuple[np.ndarray, np.ndarray]:
+    """Where (station, keys) and where the station differ from the row before; `last` is the batch's predecessor row."""
+    key = np.zeros(batch.num_rows, bool)
+    station = np.zeros(batch.num_rows, bool)
+    for name in ("station", *KEYS):
+        column = batch.column(name)
+        before = pa.concat_arrays([last.column(name) if last is not None else column[:1], column[:-1]])
+        same = pc.coalesce(pc.equal(column, before), pc.and_(column.is_null(), before.is_null()))
+        differs = ~same.to_numpy(zero_copy_only=False).astype(bool)
+        key |= differs
+        if name == "station":
+            station = differs
+    if last is None:
+        key[0] = station[0] = True
+    return key, station
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the running number of openings in this partition and station; the partition's first row counts as none."""
+    last, number = None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        opens, fresh = _openings(batch, last)
+        steps = np.where(fresh, 0, opens).astype(np.int64)
+        total = number + np.cumsum(steps)
+        at = np.maximum.accumulate(np.where(fresh, np.arange(len(fresh)), -1))
+        numbers = np.where(at < 0, total, total - total[np.maximum(at, 0)])
+        number = int(numbers[-1])
+        last = batch.slice(batch.num_rows - 1)
+        columns = [*batch.columns, pa.array(fresh), pa.array(steps), pa.array(numbers)]
+        yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "_head", "_steps", "_number"])
+
+
 def boundaries(silver: DataFrame) -> DataFrame:
     """Per row: does it open an episode, and the running episode number of its station.
 
-    The slices are written once because rows and slice summaries must agree on the cut points.
-    Per station and slice one summary row carries the number of openings and the outer keys.
+    Raw rows move once. A stretch of rows (the rows of a station in one partition) is summed up by its outer keys and
+    the number of openings inside; only summaries are chained, and joined back to the stored stretches.
     """
-    laid = materialise(
-        range_slices(_keyed(silver).drop("sensors"), ["station"], ["event_timestamp", "id"]),
-        "boundaries",
-    )
-    key = F.struct(*KEYS)
-    at = F.struct("event_timestamp", "id")
-    w = Window.partitionBy(SLICE, "station").orderBy("event_timestamp", "id")
-    rows = laid.withColumn("_prev", F.lag(key).over(w)).withColumn(
-        "_inner", (F.col("_prev").isNotNull() & (F.col("_prev") != key)).cast("int")
-    )
+    laid = _laid(silver).drop("sensors").withColumn(SLICE, F.spark_partition_id())
+    schema = T.StructType([*laid.schema.fields, *[
+        T.StructField(n, t) for n, t in (("_head", T.BooleanType()), ("_steps", T.LongType()), ("_number", T.LongType()))]])
+    rows = materialise(laid.mapInArrow(_marked, schema), "boundaries")
+    key, at = F.struct(*KEYS), F.struct("event_timestamp", "id")
     summary = rows.groupBy(SLICE, "station").agg(
-        F.sum("_inner").alias("_opened"),
-        F.min_by(key, at).alias("_head"),
-        F.max_by(key, at).alias("_tail"),
-    )
+        F.max("_number").alias("_opened"), F.min_by(key, at).alias("_first"), F.max_by(key, at).alias("_tail"))
     per_station = Window.partitionBy("station").orderBy(SLICE)
     carried = F.lag("_tail").over(per_station)
-    summary = summary.withColumn(
-        "_opens", (carried.isNull() | (carried != F.col("_head"))).cast("int")
-    ).withColumn(
-        "_before",
-        F.sum(F.col("_opened") + F.col("_opens")).over(
-            per_station.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        ) - F.col("_opened"),
-    ).select(SLICE, "station", "_opens", "_before")
-    inside = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.join(summary, [SLICE, "station"]).select(
+    summary = summary.withColumn("_opens", (carried.isNull() | (carried != F.col("_first"))).cast("int"))
+    so_far = F.sum(F.col("_opened") + F.col("_opens")).over(per_station.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    summary = summary.withColumn("_before", so_far - F.col("_opened")).select(
+        F.col(SLICE).alias("_s"), F.col("station").alias("_st"), "_opens", "_before")
+    joined = rows.join(summary, (F.col(SLICE) == F.col("_s")) & F.col("station").eqNullSafe(F.col("_st")))
+    return joined.select(
         "id", "station", "event_timestamp",
-        F.when(F.col("_prev").isNull(), F.col("_opens")).otherwise(F.col("_inner"))
-        .alias("is_boundary"),
-        (F.col("_before") + F.sum("_inner").over(inside)).alias("episode_no"),
+        F.when(F.col("_head"), F.col("_opens")).otherwise(F.col("_steps")).cast("int").alias("is_boundary"),
+        (F.col("_before") + F.col("_number")).alias("episode_no"),
     )
 
 
+def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of equal keys in sorted rows; a run that reaches over batches is held until it ends."""
+    last = held = None
+
+    def runs(batch: pa.RecordBatch, first: np.ndarray, stop: np.ndarray) -> pa.Table:
+        head, tail = batch.take(pa.array(first)), batch.take(pa.array(stop - 1))
+        return pa.table({
+            **{c: head.column(c) for c in ("station", *KEYS)},
+            "from_ts": head.column("event_timestamp"), "from_id": head.column("id"), "to_ts": tail.column("event_timestamp"), "to_id": tail.column("id"),
+            "n": pa.array((stop - first).astype(np.int64)), "sensors_from": head.column("sensors"), "sensors_to": tail.column("sensors"),
+            "at_head": pa.array(np.zeros(len(first), bool)), "at_tail": pa.array(np.zeros(len(first), bool))})
+
+    def changed(table: pa.Table, **columns) -> pa.Table:
+        for name, value in columns.items():
+            table = table.set_column(table.schema.get_field_index(name), name, value)
+        return table
+
+    def joined(a: pa.Table, b: pa.Table) -> pa.Table:
+        return changed(a, to_ts=b.column("to_ts"), to_id=b.column("to_id"), sensors_to=b.column("sensors_to"), n=pc.add(a.column("n"), b.column("n")))
+
+    head = True
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        opens, _ = _openings(batch, last)
+        last = batch.slice(batch.num_rows - 1)
+        first = np.unique(np.concatenate([[0], np.flatnonzero(opens)]))
+        table = runs(batch, first, np.append(first[1:], batch.num_rows))
+        if held is not None and not opens[0]:
+            table = pa.concat_tables([joined(held, table[:1]), table[1:]])
+        elif held is not None:
+            table = pa.concat_tables([held, table])
+        if head:
+            table = changed(table, at_head=pa.array([True] + [False] * (table.num_rows - 1)))
+            head = False
+        held = table[-1:] if table.num_rows else None
+        yield from table[:-1].combine_chunks().to_batches()
+    if held is not None:
+        yield from changed(held, at_tail=pa.array([True])).combine_chunks().to_batches()
+
+
 def _slice_runs(silver: DataFrame) -> DataFrame:
-    """Runs of equal keys inside each slice, with a flag for runs that touch a slice edge.
+    """Runs of equal keys inside each partition, with flags for its first and its last run.
 
-    Only the first and the last row of a run survive the filter, so no aggregation over raw rows
-    is needed: the last row looks back one kept row for the start.
+    Raw rows move once and are read in order; a run becomes one row with its outer times, ids and sensors.
     """
-    sliced = range_slices(_keyed(silver), ["station"], ["event_timestamp", "id"])
-    w = Window.partitionBy(SLICE, "station").orderBy("event_timestamp", "id")
-    key = F.struct(*KEYS)
-    here = F.struct("event_timestamp", "id", "_rn", "sensors")
-    rows = (
-        sliced.withColumn("_prev", F.lag(key).over(w))
-        .withColumn("_next", F.lead(key).over(w))
-        .withColumn("_rn", F.row_number().over(w))
-        .withColumn("_first", F.col("_prev").isNull() | (F.col("_prev") != key))
-        .withColumn("_last", F.col("_next").isNull() | (F.col("_next") != key))
-        .where("_first or _last")
+    laid = _laid(silver)
+    kind = laid.schema["sensors"].dataType.simpleString()
+    time = "timestamp"
+    schema = (
+        "station string, " + ", ".join(f"{k} string" for k in KEYS) + f", from_ts {time}, from_id string, to_ts {time}, to_id string, "
+        f"n long, sensors_from {kind}, sensors_to {kind}, at_head boolean, at_tail boolean"
     )
-    return (
-        rows.withColumn("_start", F.when(F.col("_first"), here).otherwise(F.lag(here).over(w)))
-        .where("_last")
-        .select(
-            "station", *KEYS,
-            F.struct("_start.event_timestamp", "_start.id").alias("_from"),
-            F.struct("event_timestamp", "id").alias("_to"),
-            (F.col("_rn") - F.col("_start._rn") + 1).cast("bigint").alias("_n"),
-            F.col("_start.sensors").alias("_sensors_from"),
-            F.col("sensors").alias("_sensors_to"),
-            (F.col("_start._rn") == 1).alias("_at_head"),
-            F.col("_next").isNull().alias("_at_tail"),
-        )
+    place = lambda side: F.struct(F.col(f"{side}_ts").alias("event_timestamp"), F.col(f"{side}_id").alias("id"))
+    return laid.mapInArrow(_run_rows, schema).select(
+        "station", *KEYS, place("from").alias("_from"), place("to").alias("_to"), F.col("n").alias("_n"),
+        F.col("sensors_from").alias("_sensors_from"), F.col("sensors_to").alias("_sensors_to"),
+        F.col("at_head").alias("_at_head"), F.col("at_tail").alias("_at_tail"),
     )
 
 
 def all_episodes(silver: DataFrame) -> DataFrame:
     """Every run of equal (state, task, sub-task) of a station, single rows included.
 
-    Runs inside a slice are final. Runs at slice edges (at most two per slice and station) are
-    chained to their neighbours per station, so the chaining window grows with the number of
-    slices and not with the data.
+    Runs inside a partition are final. Its first and its last run are chained to their neighbours per station, so
+    the chaining window grows with the number of partitions and not with the data.
     """
     runs = _slice_runs(silver)
     edge = F.col("_at_head") | F.col("_at_tail")

@@ -153,7 +153,32 @@ def test_hot_instant_with_one_station(spark):
     assert got == [("a", 2500), ("b", 2500)]
 
 
-def test_raw_rows_have_no_window_per_station(spark):
-    plan = ep.build_episodes(fx.factory_events(spark, SMALL))._jdf.queryExecution().toString()
+def exchanges_of_rows(df):
+    """Exchanges below the first Python step of a plan: those that raw rows pass through."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan[plan.index("MapInArrow"):].count("Exchange ") if "MapInArrow" in plan else None
+
+
+def test_raw_rows_move_once(spark):
+    log_rows = spark.read.parquet(f"{SMALL}/events.parquet")
+    rows = fx.factory_events(spark, SMALL)
+    spreading = rows._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+    plan = ep._slice_runs(rows)._jdf.queryExecution().executedPlan().toString()
+    assert log_rows.count() > 0 and plan.count("Exchange rangepartitioning") == 1 and plan.count("Exchange ") == 1 + spreading
+    assert exchanges_of_rows(ep.build_episodes(rows)) == 1 + spreading
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-    assert "rangepartitioning" in plan
+
+
+@pytest.mark.parametrize("records", [1, 3, 10_000])
+def test_runs_reach_over_arrow_batches(spark, records):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(name)
+    rows = fx.factory_events(spark, SMALL)
+    base = sorted(map(tuple, ep.build_episodes(rows).select("episode_id", "n_events", "end_ts").collect()))
+    try:
+        spark.conf.set(name, records)
+        assert sorted(map(tuple, ep.build_episodes(rows).select("episode_id", "n_events", "end_ts").collect())) == base
+        numbers = ep.boundaries(rows).groupBy("station").agg(F.sum("is_boundary").alias("a"), F.max("episode_no").alias("b"))
+        assert numbers.where("a <> b").count() == 0
+    finally:
+        spark.conf.set(name, old)
