@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from millrace.functions.columns import num1
 from millrace.operators.ordered import SLICE
+from millrace.operators.selection import largest, middle_values
 from millrace.session import materialise
 
 KEYS = ("current_state", "current_task", "current_sub_task")
@@ -254,29 +255,22 @@ def _milliseconds(duration: Column) -> Column:
 def subtask_stats(episodes: DataFrame) -> DataFrame:
     """Exact median, MAD and threshold per sub-task over not-ready episodes.
 
-    Durations are folded to one row per (sub-task, millisecond) before the median, so a sub-task
-    that holds a third of the table arrives as its distinct durations only. Millisecond
-    arithmetic keeps median and MAD exact.
+    Durations are folded to one row per (sub-task, millisecond), and the middle values found by histogram bisection,
+    so no task holds the durations of a sub-task. Whole milliseconds, and halves counted twice, keep median and MAD
+    exact.
     """
-    ms = (
-        episodes.where(F.col("current_state") == NOT_READY)
-        .select("current_sub_task", _milliseconds(F.col("duration_s")).alias("_ms"))
-        .groupBy("current_sub_task", "_ms")
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    medians = ms.groupBy("current_sub_task").agg(
-        F.expr("percentile(_ms, 0.5, _n)").alias("median_ms"), F.sum("_n").alias("n_episodes")
-    )
-    spread = (
-        ms.join(medians, "current_sub_task")
-        .groupBy("current_sub_task", F.abs(F.col("_ms") - F.col("median_ms")).alias("_dev"))
-        .agg(F.sum("_n").alias("_n"))
-        .groupBy("current_sub_task")
-        .agg(F.expr("percentile(_dev, 0.5, _n)").alias("mad_ms"))
-    )
-    return medians.join(spread, "current_sub_task").withColumn(
-        "threshold_ms", F.col("median_ms") + MAD_FACTOR * F.col("mad_ms")
-    )
+    ms = episodes.where(F.col("current_state") == NOT_READY).select(
+        "current_sub_task", _milliseconds(F.col("duration_s")).alias("_ms")
+    ).groupBy("current_sub_task", "_ms").agg(F.count(F.lit(1)).alias("_n"))
+    ms = materialise(ms, "durations")
+    top = largest(ms, "_ms")
+    middle = middle_values(ms, "current_sub_task", "_ms", "_n", top)
+    twice = F.col("lower") + F.col("upper")
+    spread = ms.join(middle.select("current_sub_task", twice.alias("_twice")), "current_sub_task").select(
+        "current_sub_task", F.abs(2 * F.col("_ms") - F.col("_twice")).alias("_dev"), "_n")
+    off = middle_values(spread, "current_sub_task", "_dev", "_n", 2 * top).select("current_sub_task", (twice / 4.0).alias("mad_ms"))
+    medians = middle.select("current_sub_task", (twice / 2.0).alias("median_ms"), F.col("total").alias("n_episodes"))
+    return medians.join(off, "current_sub_task").withColumn("threshold_ms", F.col("median_ms") + MAD_FACTOR * F.col("mad_ms"))
 
 
 def _seconds(ms: str) -> Column:
