@@ -15,8 +15,10 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +54,10 @@ CLOSES = {
     "th": {"td", "th"}, "tbody": {"tr", "td", "th", "thead"}, "tfoot": {"tr", "td", "th", "tbody"}, "body": {"head"},
 }
 #: Elements that such a start tag doesn't reach beyond.
+# All of them are block elements.
 SCOPE = frozenset("ul ol dl table select menu article section div body main".split())
+NOTHING: frozenset[str] = frozenset(())
+_RAW_END = {tag: re.compile(f"</{tag}", re.IGNORECASE) for tag in RAW}
 
 #: Composed pages are made of these if the sample has no text.
 SPARE_TEXTS = tuple(
@@ -73,56 +78,162 @@ AWAY_WORDS = frozenset(
 MAIN_TAGS = frozenset("article main".split())
 MAIN_WORDS = frozenset("article main content post entry story".split())
 
-_TAG = re.compile(
-    r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>)", re.DOTALL,
-)
+_NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9:-]*)")
+_UNQUOTED = re.compile(r"[^\"'>]*+(?:(?:\"[^\"]*+\"|'[^']*+')[^\"'>]*+)*+")
+_QUOTED = re.compile(r"\"[^\"]*+\"|'[^']*+'")
 _ATTRIBUTE = re.compile(r"\b(class|id|role|style|aria-hidden)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b", re.IGNORECASE)
 _WORDS = re.compile(r"[a-z]+")
 
 
+@lru_cache(maxsize=50_000)
+def _facts(mark: str) -> tuple[str, int, bool, bool, bool]:
+    """Tag, places, and whether it is apart from main text (but for a header), a header, or main text."""
+    tag, *words = mark.split(".")
+    places = 0
+    for name in (f"t {tag}", *(f"w {w}" for w in words)):
+        places |= 1 << zlib.crc32(name.encode()) % PATH_SIZE
+    away = tag not in ("html", "body") and (tag in AWAY_TAGS and tag != "header" or bool(AWAY_WORDS.intersection(words)))
+    return tag, places, away, tag == "header", tag != "body" and (tag in MAIN_TAGS or bool(MAIN_WORDS.intersection(words)))
+
+
+class Node:
+    """An open element: a link to its parent, and what is true of the whole path down to it, so that a path of any depth costs
+    one step. places: bits of the path's hashed marks."""
+
+    __slots__ = ("parent", "mark", "tag", "depth", "places", "away", "header", "main")
+
+    def __init__(self, parent: "Node | None", mark: str):
+        self.parent, self.mark = parent, mark
+        self.tag, places, away, header, main = _facts(mark)
+        if parent is None:
+            self.depth, self.places, self.away, self.header, self.main = 1, places, away, header, main
+        else:
+            self.depth, self.places = parent.depth + 1, parent.places | places
+            self.away, self.header, self.main = parent.away or away, parent.header or header, parent.main or main
+
+    def path(self) -> tuple[str, ...]:
+        marks, node = [], self
+        while node is not None:
+            marks.append(node.mark)
+            node = node.parent
+        return tuple(reversed(marks))
+
+    def cells(self) -> list[int]:
+        """Places of the path, its last tag and its last two tags in a feature row."""
+        pair = f"{self.parent.tag} {self.tag}" if self.parent else self.tag
+        bits = self.places | 1 << zlib.crc32(f"leaf {self.tag}".encode()) % PATH_SIZE | 1 << zlib.crc32(f"pair {pair}".encode()) % PATH_SIZE
+        return [k for k in range(PATH_SIZE) if bits >> k & 1]
+
+
 @dataclass
 class Block:
     text: str
-    path: tuple[str, ...]
+    node: Node | None
     linked: int = 0
 
+    @property
+    def path(self) -> tuple[str, ...]:
+        return self.node.path() if self.node else ()
+
 
-@dataclass
 class _Reader:
-    """State of one pass over a page."""
+    """State of one pass over a page. Places of open elements are kept by tag, and of those that bound a scope, so that
+    closing one looks at no other."""
 
-    stack: list[str] = field(default_factory=list)  # tags
-    marks: list[str] = field(default_factory=list)  # path entries of the same elements
-    pieces: list[str] = field(default_factory=list)
-    linked: int = 0
-    blocks: list[Block] = field(default_factory=list)
-    path: tuple[str, ...] = ()
+    def __init__(self):
+        self.stack: list[Node] = []
+        self.places: dict[str, list[int]] = {}
+        self.bounds: dict[int, list[int]] = {id(BLOCK): [], id(SCOPE): [], id(NOTHING): []}
+        self.pieces: list[str] = []
+        self.linked = 0
+        self.blocks: list[Block] = []
+        self.node: Node | None = None
+
+    def open(self, mark: str) -> None:
+        node = Node(self.stack[-1] if self.stack else None, mark)
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag in BLOCK:
+            self.bounds[id(BLOCK)].append(len(self.stack))
+            if node.tag in SCOPE:
+                self.bounds[id(SCOPE)].append(len(self.stack))
+        self.stack.append(node)
 
     def text(self, raw: str) -> None:
         if not raw:
             return
         said = entities.unescape(raw) if "&" in raw else raw
-        if not self.pieces or not self.path:
-            self.path = tuple(self.marks)
+        if not self.pieces or self.node is None:
+            self.node = self.stack[-1] if self.stack else None
         self.pieces.append(said)
-        if "a" in self.stack:
+        if self.places.get("a"):
             self.linked += len(said.strip())
 
     def flush(self) -> None:
         if self.pieces:
             text = " ".join("".join(self.pieces).split())
             if text:
-                self.blocks.append(Block(text, self.path, self.linked))
-        self.pieces, self.linked, self.path = [], 0, ()
+                self.blocks.append(Block(text, self.node, self.linked))
+        self.pieces, self.linked, self.node = [], 0, None
 
     def close(self, names: set[str] | frozenset[str], within: frozenset[str]) -> None:
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k] in names:
-                del self.stack[k:], self.marks[k:]
-                return
-            if self.stack[k] in within:
-                return
+        """Close the last open element of `names`, unless one of `within` was opened after it."""
+        last = max((self.places[n][-1] for n in names if self.places.get(n)), default=-1)
+        bounds = self.bounds[id(within)]
+        if last < 0 or bounds and bounds[-1] > last:
+            return
+        while len(self.stack) > last:
+            node = self.stack.pop()
+            self.places[node.tag].pop()
+            if node.tag in BLOCK:
+                self.bounds[id(BLOCK)].pop()
+                if node.tag in SCOPE:
+                    self.bounds[id(SCOPE)].pop()
+
+
+class _Tags:
+    """Tags of a page, each found in one step from where the last ended.
+
+    A tag ends at the first > outside quotes, or at the first one if a quote never closes. Stretches that are known to run into
+    a quote that never closes are remembered with their quoted parts: a tag that starts in one isn't followed again.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.dead: list[tuple[int, int, list[int], list[int]]] = []
+        self.last = page.rfind(">")
+
+    def end(self, place: int) -> int:
+        """Place of the > that ends a tag whose name ends at `place`."""
+        for start, stop, opens, closes in self.dead:
+            if start <= place < stop:
+                k = bisect_right(opens, place) - 1
+                if k < 0 or place >= closes[k]:
+                    return self.page.find(">", place)
+        stop = _UNQUOTED.match(self.page, place).end()
+        if self.page[stop : stop + 1] == ">":
+            return stop
+        spans = [m.span() for m in _QUOTED.finditer(self.page, place, stop)]
+        self.dead.append((place, stop, [a for a, _ in spans], [b for _, b in spans]))
+        return self.page.find(">", place)
+
+    def next(self, place: int) -> tuple[int, int, str, bool, str] | None:
+        """(start, end, name, whether it closes, attributes) of the next tag; comments and declarations have no name."""
+        page = self.page
+        while 0 <= (at := page.find("<", place)):
+            if page.startswith("<!--", at):
+                stop = page.find("-->", at + 4)
+                return at, len(page) if stop < 0 else stop + 3, "", False, ""
+            if page[at + 1 : at + 2] in ("!", "?"):
+                stop = page.find(">", at)
+                return at, len(page) if stop < 0 else stop + 1, "", False, ""
+            if at > self.last:
+                return None
+            name = _NAME.match(page, at + 1)
+            if name:
+                stop = self.end(name.end())
+                return at, stop + 1, name[1].lower(), page[at + 1] == "/", page[name.end() : stop]
+            place = at + 1
+        return None
 
 
 def _mark(tag: str, attributes: str, known: dict[str, str]) -> str:
@@ -149,26 +260,20 @@ def _mark(tag: str, attributes: str, known: dict[str, str]) -> str:
 def blocks_of(page: str, known: dict[str, str] | None = None) -> list[Block]:
     """Leaf blocks of a page in order; white space is one space, character references are decoded."""
     known = {} if known is None else known
-    r = _Reader()
-    place = 0
-    for m in iter(lambda: _TAG.search(page, place), None):
-        r.text(page[place : m.start()])
-        place = m.end()
-        if place == m.start():
-            break
-        tag = (m[2] or m[5] or "").lower()
+    r, tags, place = _Reader(), _Tags(page), 0
+    while (found := tags.next(place)) is not None:
+        start, end, tag, closes, attributes = found
+        r.text(page[place:start])
+        place = end
         if not tag:
             continue
-        if m[1] or m[4]:
+        if closes:
             if tag in BLOCK:
                 r.flush()
-                if tag in r.stack:
-                    r.close({tag}, frozenset())
-            else:
-                r.close({tag}, BLOCK)
+            r.close({tag}, NOTHING if tag in BLOCK else BLOCK)
             continue
         if tag in RAW:
-            end = re.compile(f"</{tag}", re.IGNORECASE).search(page, place)
+            end = _RAW_END[tag].search(page, place)
             if end is None:
                 place = len(page)
                 break
@@ -183,8 +288,7 @@ def blocks_of(page: str, known: dict[str, str] | None = None) -> list[Block]:
         if tag == "br":
             r.text(" ")
         if tag not in VOID:
-            r.stack.append(tag)
-            r.marks.append(_mark(tag, m[3] or m[6] or "", known))
+            r.open(_mark(tag, attributes, known))
     r.text(page[place:])
     r.flush()
     return r.blocks
@@ -192,38 +296,23 @@ def blocks_of(page: str, known: dict[str, str] | None = None) -> list[Block]:
 
 def teacher(blocks: list[Block]) -> np.ndarray:
     """1 for blocks of the main text by structural rules, 0 for others."""
-    entries = [[(e.split(".")[0], e.split(".")[1:]) for e in b.path] for b in blocks]
-    away = [any(t in AWAY_TAGS or AWAY_WORDS.intersection(w) for t, w in e if t not in ("html", "body")) for e in entries]
-    main = [any(t in MAIN_TAGS or MAIN_WORDS.intersection(w) for t, w in e if t != "body") for e in entries]
+    nodes = [b.node for b in blocks]
+    away = [bool(n) and (n.away or n.header) for n in nodes]
+    main = [bool(n) and n.main for n in nodes]
     if not any(m and not a for m, a in zip(main, away)):
         main = [b.linked < 0.5 * len(b.text) for b in blocks]
     # a header within the article holds its heading
-    away = [a and not (m and e and e[-1][0] in ("h1", "h2") and "header" in [t for t, _ in e] and not any(
-        t in AWAY_TAGS - {"header"} or AWAY_WORDS.intersection(w) for t, w in e)) for a, m, e in zip(away, main, entries)]
+    away = [a and not (m and n and n.tag in ("h1", "h2") and n.header and not n.away) for a, m, n in zip(away, main, nodes)]
     return np.array([m and not a for m, a in zip(main, away)], float)
 
 
 # Features
 
-def _path_places(path: tuple[str, ...]) -> list[int]:
-    names = set()
-    tags = []
-    for entry in path:
-        tag, *words = entry.split(".")
-        tags.append(tag)
-        names.add(f"t {tag}")
-        names.update(f"w {w}" for w in words)
-    if tags:
-        names.add(f"leaf {tags[-1]}")
-        names.add(f"pair {' '.join(tags[-2:])}")
-    return sorted({zlib.crc32(n.encode()) % PATH_SIZE for n in names})
-
-
 class Features:
     """Input rows of blocks; remembers the places of paths it has seen."""
 
     def __init__(self):
-        self.known: dict[tuple[str, ...], list[int]] = {}
+        self.known: dict[tuple[int, str, str], list[int]] = {}
 
     def __call__(self, pages: list[list[Block]]) -> tuple[np.ndarray, np.ndarray]:
         """(rows of all blocks, number of blocks per page)."""
@@ -235,9 +324,12 @@ class Features:
         if len(self.known) > 50_000:
             self.known.clear()
         for k, b in enumerate(blocks):
-            places = self.known.get(b.path)
+            if b.node is None:
+                continue
+            key = (b.node.places, b.node.tag, b.node.parent.tag if b.node.parent else "")
+            places = self.known.get(key)
             if places is None:
-                places = self.known[b.path] = _path_places(b.path)
+                places = self.known[key] = b.node.cells()
             x[k, places] = 1
         texts = [b.text.encode() for b in blocks]
         hashes, first, _ = word_hashes(texts)
@@ -251,7 +343,7 @@ class Features:
         x[:, PATH_SIZE + WORD_SIZE : INPUT - 1] = np.column_stack([
             np.log1p(length) / 8, np.minimum(1, np.array([b.linked for b in blocks]) / np.maximum(length, 1)),
             np.log1p(count) / 6, np.array([b.text[-1] in ".!?:;" for b in blocks]),
-            (place + 1) / np.repeat(np.maximum(sizes, 1), sizes), np.array([len(b.path) for b in blocks]) / 16,
+            (place + 1) / np.repeat(np.maximum(sizes, 1), sizes), np.array([b.node.depth if b.node else 0 for b in blocks]) / 16,
         ])
         x[:, -1] = 1
         return x, sizes

@@ -1,6 +1,7 @@
 import html
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -25,6 +26,18 @@ def test_blocks(page, want):
     assert texts(page) == want
 
 
+@pytest.mark.parametrize("unit, tail", [
+    ("<a ", ""), ("<div>x", ""), ("<a \">\"", "'"), ("<b>x<i>y", "</u>" * 50_000), ("<u><div><b>", "</u>" * 100_000), ("<a '\">", "'"),
+    ("<p class='", ">"), ("<!-- ", ""), ("</div>", ""), ("<span>a</span> ", ""), ("<script>", ""), ("<li>x", ""), ("<p title=\"<a '\">x", "\""),
+])
+def test_a_megabyte_of_anything_is_read_in_seconds(unit, tail):
+    page = unit * (1_000_000 // len(unit)) + tail
+    start = time.time()
+    blocks = hb.blocks_of(page)
+    assert hb.teacher(blocks).sum() >= 0 and len(hb.Features()([blocks])[0]) == len(blocks)
+    assert time.time() - start < 10
+
+
 def test_paths_follow_omitted_tags():
     blocks = hb.blocks_of("<body><ul><li><b>a<li>b</ul><p><i>c<div class='ad Box'>d</div>")
     assert [b.path for b in blocks] == [("body", "ul", "li", "b"), ("body", "ul", "li"), ("body", "p", "i"), ("body", "div.ad.box")]
