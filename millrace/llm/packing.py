@@ -1,11 +1,12 @@
 """Packing token sequences by swap-based local search.
 
 Documents become pieces of at most `capacity` tokens. Pieces are dealt by a hash into shards of
-about SHARD_PIECES, so no source or group of copies makes a shard larger. Within a shard, a
-best-fit start is improved by local search: a piece moves to a fuller bin, or changes places with
+about SHARD_PIECES, so no source or group of copies makes a shard larger. Within a shard, pieces are put
+into bins as they come, unsorted, and local search packs them: a piece moves to a fuller bin, or changes places with
 one shorter piece or with two, or two pieces change places with one longer, whenever that raises the sum of
 squared fills, until bins run empty or nothing improves. Pieces of bins that are still far from full
-are dealt anew into fewer shards, so shards leave no row of half-empty bins behind.
+are dealt anew into fewer shards, so shards leave no row of half-empty bins behind; dealing stops when more than
+half of the pieces are left, since pieces of a kind that fills no bin won't in another deal either.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,9 @@ from millrace.llm.token_counts import byte_alphabet
 SHARD_PIECES = 16_384
 #: Bins filled less than this share of the capacity are dealt anew.
 REOPEN = 0.95
+#: Bins of a room that are tried for an exchange of one piece for two, and shortest pieces of a full bin that form pairs.
+TRIED_BINS = 4
+PAIRED_PIECES = 5
 #: Chunks of text whose ids a task remembers before it starts anew, and bytes of text handled at once.
 REMEMBERED = 500_000
 BATCH_BYTES = 2 << 20
@@ -163,23 +168,22 @@ def tokenised(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0) -
 
 # Bins
 
-def best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
-    """Bin of each piece, longest pieces first, each into the fullest bin that takes it."""
-    bins = np.zeros(len(lengths), np.int64)
+def as_they_come(lengths: np.ndarray, capacity: int) -> list[list[int]]:
+    """Pieces in the order of the deal, each into the fullest bin that takes it."""
+    bins: list[list[int]] = []
     by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
-    rooms = n = 0  # rooms: bit r is set if a bin has room r
-    for i in np.argsort(-lengths, kind="stable").tolist():
-        size = int(lengths[i])
+    rooms = 0  # bit r is set if a bin has room r
+    for i, size in enumerate(lengths.tolist()):
         above = rooms >> size
         if above:
             room = size + (above & -above).bit_length() - 1
             b = by_room[room].pop()
             if not by_room[room]:
                 rooms &= ~(1 << room)
+            bins[b].append(i)
         else:
-            room, b = capacity, n
-            n += 1
-        bins[i] = b
+            room, b = capacity, len(bins)
+            bins.append([i])
         left = room - size
         if left:
             by_room[left].append(b)
@@ -187,91 +191,207 @@ def best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
     return bins
 
 
+def _bits(mask: int) -> Iterator[int]:
+    while mask:
+        low = mask & -mask
+        yield low.bit_length() - 1
+        mask ^= low
+
+
 class Search:
-    """Local search over the underfull bins of a shard."""
+    """Local search over the underfull bins of a shard.
 
-    def __init__(self, lengths: np.ndarray, bins: np.ndarray, capacity: int):
-        self.lengths, self.bins, self.capacity = lengths, bins, capacity
-        fill = np.bincount(bins, lengths).astype(np.int64)
-        self.room = capacity - fill
-        self.least = -(-int(lengths.sum()) // capacity)
-        self.used = int((fill > 0).sum())
-        self.items = np.flatnonzero(self.room[bins] > 0)  # a full bin can't gain
-
-    def _shift(self, out: list[int], back: list[int], source: int, target: int) -> None:
-        """Pieces `out` go from source to target, `back` the other way."""
-        moved = int(self.lengths[out].sum() - self.lengths[back].sum())
-        self.bins[out], self.bins[back] = target, source
+    The emptiest bin gives to fuller ones: a piece moves to where it fits best, or it, or it and the bin's shortest piece, changes
+    places with a shorter one, or it with two that are shorter together. Every change raises the sum of squared fills, until bins
+    are empty. Bins are found by room, and pieces by the room of their bin and their length, as bits of whole numbers, so
+    a change is a look-up; full bins leave the index.
+    """
+
+    def __init__(self, lengths: np.ndarray, capacity: int):
+        self.length = lengths.tolist()
+        self.capacity = capacity
+        self.bins = as_they_come(lengths, capacity)
+        self.room = [capacity - sum(self.length[i] for i in b) for b in self.bins]
+        self.least = -(-sum(self.length) // capacity)
+        self.used = len(self.bins)
+        self.changes = {"move": 0, "one for one": 0, "two for one": 0, "split": 0}
+        self.members: list[set[int]] = [set() for _ in range(capacity + 1)]
+        self.fresh: list[set[int]] = [set() for _ in range(capacity + 1)]
+        self.rooms = self.fresh_rooms = 0
+        self.lengths_at = [0] * (capacity + 1)
+        self.holders: dict[int, set[int]] = {}
+        self.pairs: dict[int, list[int]] = {}  # full bins by sums of two of their shortest pieces
+        for b in range(len(self.bins)):
+            self._enter(b)
+
+    def squared_fill(self) -> int:
+        return sum((self.capacity - r) ** 2 for r in self.room)
+
+    def _enter(self, b: int) -> None:
+        r = self.room[b]
+        if not self.bins[b]:
+            return
+        if not r:
+            for x, y in combinations(self._shortest(b), 2):
+                self.pairs.setdefault(self.length[x] + self.length[y], []).append(b)
+            return
+        self.members[r].add(b)
+        self.fresh[r].add(b)
+        self.rooms |= 1 << r
+        self.fresh_rooms |= 1 << r
+        for size in {self.length[i] for i in self.bins[b]}:
+            self.holders.setdefault(r << 32 | size, set()).add(b)
+            self.lengths_at[r] |= 1 << size
+
+    def _leave(self, b: int) -> None:
+        r = self.room[b]
+        if b not in self.members[r]:
+            return
+        self.members[r].remove(b)
+        self._tried(b)
+        if not self.members[r]:
+            self.rooms &= ~(1 << r)
+        for size in {self.length[i] for i in self.bins[b]}:
+            held = self.holders[r << 32 | size]
+            held.remove(b)
+            if not held:
+                self.lengths_at[r] &= ~(1 << size)
+
+    def _tried(self, b: int) -> None:
+        r = self.room[b]
+        self.fresh[r].discard(b)
+        if not self.fresh[r]:
+            self.fresh_rooms &= ~(1 << r)
+
+    def _exchange(self, out: list[int], back: list[int], source: int, target: int) -> None:
+        if self.room[target]:
+            self._leave(target)
+        for i in out:
+            self.bins[source].remove(i)
+        for j in back:
+            self.bins[target].remove(j)
+        self.bins[target] += out
+        self.bins[source] += back
+        moved = sum(self.length[i] for i in out) - sum(self.length[j] for j in back)
         self.room[source] += moved
         self.room[target] -= moved
-
-    def _step(self, source: int) -> bool:
-        """One change that takes tokens out of `source`, the emptiest bin, into a fuller one."""
-        length, owner = self.lengths[self.items], self.bins[self.items]
-        own = self.items[owner == source]
-        own = own[np.argsort(-self.lengths[own], kind="stable")]
-        fuller = (self.capacity - self.room[owner] >= self.capacity - self.room[source]) & (owner != source)
-        others, length, owner = self.items[fuller], length[fuller], owner[fuller]
-        if not len(others):
-            return False
-        room = self.room[owner]
-        # shortest piece of each bin, as the second of two
-        order = np.lexsort((others, length, owner))
-        first = np.ones(len(order), bool)
-        first[1:] = owner[order][1:] != owner[order][:-1]
-        short = np.zeros(len(self.room), np.int64)
-        short[owner[order][first]] = others[order][first]
-        second = short[owner]
-        two = length + self.lengths[second]
-        whole = [(int(self.lengths[i]), [int(i)]) for i in own]
-        whole += [(int(self.lengths[i] + self.lengths[own[-1]]), [int(i), int(own[-1])]) for i in own[:-1]]
-        for size, out in whole:
-            if len(out) == 1:
-                fits = np.flatnonzero(room >= size)
-                if len(fits):  # move
-                    to = owner[fits[np.argmin(room[fits])]]
-                    self._shift(out, [], source, int(to))
+        self._enter(target)
+
+    def _one_back(self, size: int, room: int) -> tuple[int, int] | None:
+        """(room, length) of a piece shorter than `size` whose bin takes `size` in its place, with the most gain."""
+        rooms = self.rooms & ((1 << min(size, self.capacity + 1)) - 1)
+        best, where = 0, 0
+        while rooms:
+            r = rooms.bit_length() - 1
+            if r <= best:
+                break
+            rooms ^= 1 << r
+            found = self.lengths_at[r] >> (size - r)
+            if found:
+                gain = r + 1 - (found & -found).bit_length()
+                if gain > best and gain + room > r:  # squared fill must rise
+                    best, where = gain, r
+        return (where, size - best) if best else None
+
+    def _two_back(self, size: int, room: int) -> tuple[int, list[int]] | None:
+        """(bin, two of its shortest pieces) that are shorter together than `size` and leave room for it."""
+        for r in _bits(self.rooms & ((1 << min(size, self.capacity + 1)) - 1)):
+            for b in islice(self.members[r], TRIED_BINS):
+                for x, y in combinations(self._shortest(b), 2):
+                    gain = size - self.length[x] - self.length[y]
+                    if 0 < gain <= r and gain + room > r:
+                        return b, [x, y]
+        return None
+
+    def _give(self, source: int) -> bool:
+        """One change that takes tokens out of `source`, which has left the index."""
+        own = sorted(self.bins[source], key=self.length.__getitem__, reverse=True)
+        room = self.room[source]
+        seen = set()
+        for i in own:
+            size = self.length[i]
+            if size in seen:
+                continue
+            seen.add(size)
+            above = self.rooms >> size
+            if above:
+                r = size + (above & -above).bit_length() - 1
+                if r < room + size:
+                    self._exchange([i], [], source, next(iter(self.members[r])))
+                    self.changes["move"] += 1
                     return True
-            gain = size - length  # one, or two, for one
-            gain[(gain <= 0) | (gain > room)] = 0
-            if gain.any():
-                j = int(np.argmax(gain))
-                self._shift(out, [int(others[j])], source, int(owner[j]))
+            outs = [[i]] if i == own[-1] else [[i], [i, own[-1]]]
+            for out in outs:
+                found = self._one_back(sum(self.length[k] for k in out), room)
+                if found:
+                    r, wanted = found
+                    target = next(iter(self.holders[r << 32 | wanted]))
+                    back = next(j for j in self.bins[target] if self.length[j] == wanted)
+                    self._exchange(out, [back], source, target)
+                    self.changes["one for one" if len(out) == 1 else "two for one"] += 1
+                    return True
+            pair = self._two_back(size, room)
+            if pair:
+                self._exchange([i], pair[1], source, pair[0])
+                self.changes["two for one"] += 1
                 return True
-            if len(out) == 1:
-                gain = size - two  # one for two
-                gain[(gain <= 0) | (gain > room) | (second == others)] = 0
-                if gain.any():
-                    j = int(np.argmax(gain))
-                    self._shift(out, [int(others[j]), int(second[j])], source, int(owner[j]))
+        return False
+
+    def _shortest(self, b: int) -> list[int]:
+        return sorted(self.bins[b], key=self.length.__getitem__)[:PAIRED_PIECES]
+
+    def _split(self, source: int) -> bool:
+        """Change a piece for two of a full bin that are as long together: shorter pieces fit elsewhere."""
+        for i in sorted(self.bins[source], key=self.length.__getitem__, reverse=True):
+            size = self.length[i]
+            full = self.pairs.get(size, [])
+            while full:
+                target = full.pop()
+                back = next(([x, y] for x, y in combinations(self._shortest(target), 2) if self.length[x] + self.length[y] == size), None)
+                if back:  # the bin may have changed since it was noted
+                    self._exchange([i], back, source, target)
+                    self.changes["split"] += 1
                     return True
         return False
 
+    def _again(self) -> None:
+        """All open bins may try again: what they exchange with has changed."""
+        self.fresh = [set(m) for m in self.members]
+        self.fresh_rooms = self.rooms
+
     def run(self) -> np.ndarray:
-        emptied = True
-        while emptied and self.used > self.least:
-            emptied = False
-            stuck = np.zeros(len(self.room), bool)
-            while self.used > self.least:
-                open_ = (self.room < self.capacity) & (self.room > 0) & ~stuck
-                if open_.sum() < 2:
-                    break
-                source = int(np.argmax(np.where(open_, self.room, -1)))
-                while self.room[source] < self.capacity and self._step(source):
+        before = None
+        while self.used > self.least and self.used != before:
+            before = self.used
+            while self.used > self.least and self.fresh_rooms:
+                source = next(iter(self.fresh[self.fresh_rooms.bit_length() - 1]))
+                self._leave(source)
+                while self.bins[source] and (self._give(source) or self._split(source)):
                     pass
-                if self.room[source] == self.capacity:
-                    self.used -= 1
-                    emptied = True
+                if self.bins[source]:
+                    self._enter(source)
+                    self._tried(source)
                 else:
-                    stuck[source] = True
-        return self.bins
+                    self.used -= 1
+            self._again()
+        out = np.empty(len(self.length), np.int64)
+        for b, pieces in enumerate(self.bins):
+            out[pieces] = b
+        return out
 
 
 def pack_lengths(lengths: np.ndarray, capacity: int) -> np.ndarray:
     """Bin number of each piece, from 0 without gaps."""
     if not len(lengths):
         return np.zeros(0, np.int64)
-    bins = Search(lengths, best_fit(lengths, capacity), capacity).run()
+    search = Search(lengths, capacity)
+    bins = search.run()
+    if search.used > search.least:  # a second start, longest pieces first, may end elsewhere
+        order = np.argsort(-lengths, kind="stable")
+        other = Search(lengths[order], capacity)
+        found = other.run()
+        if other.used < search.used:
+            bins[order] = found
     return np.unique(bins, return_inverse=True)[1]
 
 

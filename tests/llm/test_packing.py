@@ -1,7 +1,9 @@
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -11,6 +13,30 @@ from millrace.llm import packing
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
+def best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
+    """Bin of each piece, longest pieces first, each into the fullest bin that takes it."""
+    bins = np.zeros(len(lengths), np.int64)
+    by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
+    rooms = n = 0  # rooms: bit r is set if a bin has room r
+    for i in np.argsort(-lengths, kind="stable").tolist():
+        size = int(lengths[i])
+        above = rooms >> size
+        if above:
+            room = size + (above & -above).bit_length() - 1
+            b = by_room[room].pop()
+            if not by_room[room]:
+                rooms &= ~(1 << room)
+        else:
+            room, b = capacity, n
+            n += 1
+        bins[i] = b
+        left = room - size
+        if left:
+            by_room[left].append(b)
+            rooms |= 1 << left
+    return bins
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 40), max_size=60))
 def test_bins_hold_every_piece(lengths):
@@ -19,18 +45,51 @@ def test_bins_hold_every_piece(lengths):
     if lengths:
         fill = np.bincount(bins, lengths)
         assert fill.max() <= 40 and fill.min() > 0
-        assert len(fill) <= packing.best_fit(np.array(lengths), 40).max() + 1
+        assert len(fill) <= best_fit(np.array(lengths), 40).max() + 1
 
 
 def test_search_improves_the_start():
     lengths = np.random.default_rng(0).integers(650, 720, 900)
-    start = packing.best_fit(lengths, 2048)
+    start = best_fit(lengths, 2048)
     found = packing.pack_lengths(lengths, 2048)
     assert found.max() < start.max()
     squares = [(np.bincount(b, lengths) ** 2.0).sum() for b in (start, found)]
     assert squares[1] > squares[0]
 
 
+@pytest.mark.parametrize("low, high", [(1, 2049), (200, 900), (300, 2049)])
+def test_changes_pack_the_pieces(low, high):
+    """The start is unsorted; exchanges of every kind happen, each raises the squared fill or keeps it, and bins run empty."""
+    lengths = np.random.default_rng(7).integers(low, high, 4000)
+    search = packing.Search(lengths, 2048)
+    bins, fill = search.used, [search.squared_fill()]
+    exchange = search._exchange
+
+    def watched(*args):
+        exchange(*args)
+        fill.append(search.squared_fill())
+
+    search._exchange = watched
+    found = search.run()
+    assert min(search.changes.values()) > 0 and (np.diff(fill) >= 0).all() and fill[-1] > fill[0]
+    assert search.used == len(np.unique(found)) < bins
+    assert search.used <= 1.01 * (best_fit(lengths, 2048).max() + 1)
+
+
+def test_given_documents_reach_the_bound(spark):
+    """As few sequences as the tokens need, on all documents of the small tables."""
+    for folder, most in (("sf0.01", 442),):
+        docs = spark.read.parquet(f"/root/testdata/{folder}/documents.parquet")
+        got = packing.packed(packing.tokenised(docs, PATH, 2048), 2048).select("sequence_id").distinct().count()
+        assert got <= most
+
+
+def test_a_shard_of_equal_pieces_is_quick():
+    start = time.time()
+    assert packing.pack_lengths(np.full(16_384, 1100), 2048).max() + 1 == 16_384
+    assert time.time() - start < 10
+
+
 def test_small_case_reaches_the_bound():
     # best fit pairs 6 with 4 and leaves 5 bins; 6+2+2, 5+5, 4+3+3 are 3
     assert packing.pack_lengths(np.array([6, 5, 5, 4, 3, 3, 2, 2]), 10).max() + 1 == 3
