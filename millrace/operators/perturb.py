@@ -142,15 +142,59 @@ def _station_sets(answers: DataFrame) -> DataFrame:
     )
 
 
+#: Branches of a node of the counting tree, as a power of two.
+FAN_BITS = 6
+
+
+def _subsets(items: Column) -> Column:
+    """array<struct<sign, part>>: the non-empty subsets of a short sorted array, as text, with the signs of inclusion and exclusion."""
+    def with_item(done: Column, x: Column) -> Column:
+        more = F.transform(done, lambda d: F.struct((-d["sign"]).alias("sign"), F.concat(d["part"], F.array(x)).alias("part")))
+        return F.concat(done, more)
+
+    none = F.array(F.struct(F.lit(-1).alias("sign"), F.array().cast("array<string>").alias("part")))
+    every = F.slice(F.aggregate(items, none, with_item), 2, 1 << 30)
+    return F.transform(every, lambda d: F.struct(d["sign"].alias("sign"), F.md5(F.array_join(d["part"], "\x1f")).alias("part")))
+
+
+def _marks(rows: DataFrame, *columns: str) -> DataFrame:
+    """One row per subset of what a row shares with others: its retrieved ids and its question."""
+    ids = F.filter("retrieved_ids", lambda x: x.isNotNull())
+    shared = F.array_sort(F.array_distinct(F.concat(ids, F.array(F.concat(F.lit("q:"), "id")))))
+    return rows.select(*columns, F.inline(_subsets(shared)))
+
+
+def _count_tree(places: DataFrame, key: list[str], levels: int) -> DataFrame:
+    """(key, part, level, prefix, counts): how many of a subset's places lie below each branch of a node, for nodes that have any."""
+    at = F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("level")
+    cells = places.select(*key, "part", "_no", at).select(
+        *key, "part", "level", F.expr(f"shiftright(_no, {FAN_BITS} * (level + 1))").alias("prefix"),
+        F.expr(f"cast(shiftright(_no, {FAN_BITS} * level) & {(1 << FAN_BITS) - 1} as int)").alias("branch"))
+    counted = cells.groupBy(*key, "part", "level", "prefix", "branch").agg(F.count(F.lit(1)).alias("n"))
+    nodes = counted.groupBy(*key, "part", "level", "prefix").agg(F.collect_list(F.struct("branch", "n")).alias("counts"))
+    return materialise(nodes, "foreign-tree")
+
+
+def _free_places(width: int):
+    """Of a branch of a node: its places in the pool that are not ruled out."""
+    def free(i: Column) -> Column:
+        start = (F.col("prefix") * (1 << FAN_BITS) + i) * width
+        inside = F.greatest(F.lit(0).cast("long"), F.least(F.lit(width).cast("long"), F.col("_pool") - start))
+        return inside - F.coalesce(F.try_element_at("out", i), F.lit(0))
+
+    return free
+
+
 def foreign_context(asked: DataFrame, answers: DataFrame) -> DataFrame:
     """For each asked answer the (id, system) of another question of its run that shares no
     retrieved id and whose contexts name none of the answer's stations: number len(answer) mod n
     in (id, system) order.
 
     `asked` is the sample under study, `answers` the whole pool. The admissible pool depends only
-    on the station set of the answer, of which there are few, and is numbered once per set. An
-    answer's own ids rule out further positions p_1 < p_2 < …; the r-th admissible position is
-    then r plus the number of j with p_j - j < r, a plain count, so nothing is collected.
+    on the station set of the answer, of which there are few, and is numbered once per set. How many
+    positions up to some point an answer's own few ids rule out is a sum over the subsets of these ids, with alternating signs,
+    of the rows that have the whole subset. These counts are kept in a tree over positions, and the wanted row is found by
+    descending it, one branch per level: nothing of the size (answers x answers that share an id) is made.
     """
     pool = materialise(_station_sets(answers.where(
         F.col("system").startswith("rag_") & (F.size("retrieved_contexts") > 0)
@@ -165,38 +209,44 @@ def foreign_context(asked: DataFrame, answers: DataFrame) -> DataFrame:
     allowed = sets.join(pool.select("run", "ctx_set").distinct(), "run").where(
         ~F.arrays_overlap("_ans", "ctx_set")
     ).select(*key, "ctx_set")
-    numbered = materialise(row_numbers(
-        pool.select(*who, "ctx_set").join(allowed, ["run", "ctx_set"]).select(*key, "id", "system"),
+    numbered = row_numbers(
+        pool.select(*who, "ctx_set", "retrieved_ids").join(allowed, ["run", "ctx_set"]).select(*key, "id", "system", "retrieved_ids"),
         key, ["id", "system"], "_no",
-    ), "foreign-numbered")
-    sizes = numbered.groupBy(*key).agg(F.count(F.lit(1)).alias("_pool"))
-    shared = lambda df, *cols: df.select(
-        *cols, F.explode(F.array_distinct(
-            F.concat("retrieved_ids", F.array(F.concat(F.lit("q:"), "id")))
-        )).alias("_shared"),
-    )
-    places = shared(pool, *who).join(numbered, who).select(*key, "_shared", "_no")
-    ruled_out = materialise(
-        shared(asked, *who, "ans_key").join(places, [*key, "_shared"]).select(*who, "_no").distinct(),
-        "foreign-shared",
-    )
-    n_out = ruled_out.groupBy(*who).agg(F.count(F.lit(1)).alias("_out"))
-    targets = (
-        asked.select(*who, "ans_key", "_len").join(sizes, key).join(n_out, who, "left")
-        .withColumn("_n", F.col("_pool") - F.coalesce("_out", F.lit(0))).where("_n > 0")
-        .withColumn("_r", (F.col("_len") % F.col("_n") + 1).cast("bigint"))
-    )
-    before = (
-        row_numbers(ruled_out, who, ["_no"], "_j").join(targets.select(*who, "_r"), who)
-        .groupBy(*who).agg(F.count_if(F.col("_no") - F.col("_j") < F.col("_r")).alias("_skip"))
-    )
-    place = targets.join(before, who, "left").withColumn(
-        "_no", F.col("_r") + F.coalesce("_skip", F.lit(0))
     )
+    numbered = materialise(numbered.withColumn("_no", F.col("_no") - 1), "foreign-numbered")  # from 0
+    sizes = materialise(numbered.groupBy(*key).agg(F.count(F.lit(1)).alias("_pool")), "foreign-sizes")
+    largest = sizes.agg(F.max("_pool")).first()[0] or 1
+    levels = max(1, -(-int(largest).bit_length() // FAN_BITS))
+    tree = _count_tree(_marks(numbered, *key, "_no").drop("sign"), key, levels)
+    marks = materialise(_marks(asked, *who, "ans_key"), "foreign-marks")
+
+    def ruled_out(state: DataFrame, level: int) -> DataFrame:
+        """(who, out): per answer, the ruled-out places below each branch of its node."""
+        nodes = tree.where(F.col("level") == level).drop("level")
+        met = marks.join(state.select(*who, "prefix"), who).join(nodes, [*key, "part", "prefix"])
+        cells = met.select(*who, "sign", F.inline("counts")).groupBy(*who, "branch").agg(F.sum(F.col("sign") * F.col("n")).alias("n"))
+        return cells.groupBy(*who).agg(F.map_from_entries(F.collect_list(F.struct("branch", "n"))).alias("out"))
+
+    top = asked.join(sizes, key).select(*who, "ans_key", "_len", "_pool", F.lit(0).cast("long").alias("prefix"))
+    branches = F.sequence(F.lit(0), F.lit((1 << FAN_BITS) - 1))
+    state = top
+    for level in range(levels - 1, -1, -1):
+        width = 1 << (FAN_BITS * level)
+        joined = state.join(ruled_out(state, level), who, "left")
+        joined = joined.withColumn("_free", F.transform(branches, _free_places(width)))
+        if level == levels - 1:
+            total = F.aggregate("_free", F.lit(0).cast("long"), lambda s, n: s + n)
+            joined = joined.withColumn("_n", total).where("_n > 0").withColumn("_r", (F.col("_len") % F.col("_n")).cast("long"))
+        up_to = F.transform(branches, lambda i: F.aggregate(F.slice("_free", 1, i + 1), F.lit(0).cast("long"), lambda s, n: s + n))
+        branch = F.size(F.filter(up_to, lambda n: n <= F.col("_r")))
+        joined = joined.withColumn("_up", up_to).withColumn("_branch", branch)
+        left = F.col("_r") - F.when(F.col("_branch") > 0, F.get("_up", F.col("_branch") - 1)).otherwise(F.lit(0))
+        state = materialise(joined.select(
+            *who, "ans_key", "_len", "_pool", left.alias("_r"), (F.col("prefix") * (1 << FAN_BITS) + F.col("_branch")).alias("prefix")), "foreign-search")
     chosen = numbered.select(
-        *key, "_no", F.col("id").alias("foreign_id"), F.col("system").alias("foreign_system")
+        *key, F.col("_no").alias("prefix"), F.col("id").alias("foreign_id"), F.col("system").alias("foreign_system")
     )
-    return place.join(chosen, [*key, "_no"]).select(*who, "foreign_id", "foreign_system")
+    return state.join(chosen, [*key, "prefix"]).select(*who, "foreign_id", "foreign_system")
 
 
 def variants(answers: DataFrame, n: int) -> DataFrame:

@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pytest
@@ -214,21 +215,44 @@ def test_configurations_without_hits_stay(spark):
     assert got == [("a", "q1", "t", 0.0, 0.0, 0.0), ("b", "q1", "t", 0.0, 0.0, 0.0)]
 
 
-def test_foreign_context_against_brute_force(spark):
-    rows = fx.generations(spark, SMALL).where("system <> 'baseline'")
-    got = {(r.run, r.id, r.system): (r.foreign_id, r.foreign_system) for r in pt.foreign_context(rows, rows).collect()}
+def foreign_by_hand(rows):
     import re
 
     station = lambda t: set(re.findall(r"\b[A-Z]{2,3}_\d\b", t))
     data = [(r.run, r.id, r.system, set(r.retrieved_ids), station(r.answer), station(" ".join(r.retrieved_contexts)),
-             len(r.answer), len(r.retrieved_contexts)) for r in rows.collect()]
+             len(r.answer), len(r.retrieved_contexts)) for r in rows]
     want = {}
     for run, qid, system, ids, ans, _, length, _ in data:
         pool = sorted((o[1], o[2]) for o in data if o[0] == run and o[1] != qid and o[7]
                       and not ids & o[3] and not ans & o[5])
         if pool:
             want[(run, qid, system)] = pool[length % len(pool)]
-    assert got == want
+    return want
+
+
+def test_foreign_context_against_brute_force(spark):
+    rows = fx.generations(spark, SMALL).where("system <> 'baseline'")
+    got = {(r.run, r.id, r.system): (r.foreign_id, r.foreign_system) for r in pt.foreign_context(rows, rows).collect()}
+    assert got == foreign_by_hand(rows.collect())
+
+
+@pytest.mark.parametrize("fan", [2, 6])
+def test_foreign_context_with_an_id_that_a_third_retrieves(spark, monkeypatch, fan):
+    """The counting tree holds subsets of rows' own ids only: its size doesn't grow with the answers that share one."""
+    monkeypatch.setattr(pt, "FAN_BITS", fan)
+    built = []
+    tree = pt._count_tree
+    monkeypatch.setattr(pt, "_count_tree", lambda places, *a: built.append(places) or tree(places, *a))
+    rng = random.Random(fan)
+    rows = [
+        ("r", f"q{k // 2:04}", ("rag_a", "rag_b")[k % 2], ["hot"] * (k % 3 == 0) + rng.sample([f"e{i}" for i in range(12)], rng.randint(0, 3)),
+         [f"em {rng.choice(['MM_1', 'EC_1', 'SM_1'])}"], "x" * rng.randint(0, 999) + rng.choice(["", " MM_1", " EC_1 MM_1"]))
+        for k in range(600)
+    ]
+    df = spark.createDataFrame(rows, "run string, id string, system string, retrieved_ids array<string>, retrieved_contexts array<string>, answer string")
+    got = {(r.run, r.id, r.system): (r.foreign_id, r.foreign_system) for r in pt.foreign_context(df, df).collect()}
+    assert got == foreign_by_hand(df.collect())
+    assert built[0].count() <= 600 * 3 * 31
 
 
 def test_common_questions_and_pairs(spark):
