@@ -665,8 +665,7 @@ RAW: dict[str, str] = {
           then not regexp_matches(' ' || shown || ' ', '[^\d.]' || replace(f, '.', '\.') || '[^\d]')
           else not contains(shown, lower(f)) end)) = 0
       order by id, system, run limit 60""",
-    "stream_silver": f"""
-      select id, station, {ts('event_timestamp')} event_timestamp, current_state, current_task, current_sub_task from silver""",
+    "stream_silver": f"select {SILVER} from silver",
     "stream_episodes": f"""
       select episode_id, station, current_state, n_events, duration_s, {ts('end_ts')} end_ts from episodes""",
     **DRAWN_CI,

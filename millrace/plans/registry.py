@@ -1018,11 +1018,8 @@ def _stream_log(s: SparkSession, d: str) -> str:
 @query
 def stream_silver(s, d):
     out, ck = scratch_path(s, "stream-silver"), scratch_path(s, "stream-checkpoint")
-    inc.stream_silver(s, _stream_log(s, d), out, ck, "60 days")
-    return s.read.parquet(out).select(
-        "id", "station", ts_text("event_timestamp").alias("event_timestamp"), "current_state",
-        "current_task", "current_sub_task",
-    )
+    inc.stream_silver(s, _stream_log(s, d), out, ck)
+    return _silver_view(s.read.parquet(out))
 
 
 @query

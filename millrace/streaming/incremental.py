@@ -6,6 +6,8 @@ a station may emit a third of all rows, and a keyed state would make that one ta
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,20 +16,53 @@ from millrace.sources import silver as sv
 from millrace.sources.results import read_log
 
 
-def stream_silver(
-    spark: SparkSession, log_folder: str, out: str, checkpoint: str, delay: str = "1 hour"
-) -> None:
-    """Parse new NDJSON files under <log_folder>/split=<name>/ and append first rows per id.
+LEDGER_BUCKETS = 32
+
 
-    Copies of an id count as duplicates while their event times lie within `delay`.
+class IdLedger:
+    """Ids that were ever kept: a table bucketed and sorted by id, one sorted file per bucket and batch.
+
+    A micro-batch is merged with it bucket by bucket, so only the batch is shuffled, and no streaming state grows with the log.
     """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = LEDGER_BUCKETS):
+        self.path, self.buckets, self.name = path, buckets, f"id_ledger_{uuid.uuid4().hex}"
+        spark.sql(
+            f"CREATE TABLE {self.name} (id STRING, batch BIGINT) USING parquet CLUSTERED BY (id) SORTED BY (id) "
+            f"INTO {buckets} BUCKETS LOCATION '{path}'"
+        )
+
+    def unseen(self, rows: DataFrame, batch: int) -> DataFrame:
+        """Rows whose id no earlier batch kept."""
+        seen = rows.sparkSession.table(self.name).where(F.col("batch") < batch).select("id")
+        return rows.repartition(self.buckets, "id").join(seen.hint("merge"), "id", "left_anti")
+
+    def note(self, rows: DataFrame, batch: int) -> None:
+        """A batch that is noted already (it was run again) is left alone."""
+        if rows.sparkSession.table(self.name).where(F.col("batch") == batch).limit(1).count():
+            return
+        ids = rows.select("id", F.lit(batch).cast("long").alias("batch")).repartition(self.buckets, "id")
+        ids.write.format("parquet").mode("append").bucketBy(self.buckets, "id").sortBy("id").option(
+            "path", self.path).saveAsTable(self.name)
+
+
+def stream_silver(spark: SparkSession, log_folder: str, out: str, checkpoint: str) -> None:
+    """Parse new NDJSON files under <log_folder>/split=<name>/ and append first rows per id to <out>/batch=<n>.
+
+    Within a micro-batch the first row by (split, time, line) stays, as in the batch job; an id that an earlier micro-batch
+    kept is a duplicate, however old. The ledger beside `out` holds the ids. Outputs are keyed by the batch
+    number, so a repeated batch gives the same result.
+    """
+    ledger = IdLedger(spark, f"{out.rstrip('/')}_ids")
+
+    def keep(lines: DataFrame, batch: int) -> None:
+        path = f"{out.rstrip('/')}/batch={batch}"
+        fresh = ledger.unseen(sv.dedup(sv.parse(lines)), batch)
+        fresh.select(*sv.SILVER_COLUMNS).write.mode("overwrite").parquet(path)
+        ledger.note(lines.sparkSession.read.parquet(path), batch)
+
     lines = spark.readStream.schema("value string, split string").format("text").load(log_folder)
-    rows = sv.parse(lines).withWatermark("event_timestamp", delay)
-    once = rows.dropDuplicatesWithinWatermark(["id"]).select(*sv.SILVER_COLUMNS)
-    query = (
-        once.writeStream.outputMode("append").format("parquet")
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out)
-    )
+    query = lines.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(keep).start()
     query.awaitTermination()
 
 
