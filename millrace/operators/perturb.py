@@ -154,7 +154,7 @@ def _subsets(items: Column) -> Column:
 
     none = F.array(F.struct(F.lit(-1).alias("sign"), F.array().cast("array<string>").alias("part")))
     every = F.slice(F.aggregate(items, none, with_item), 2, 1 << 30)
-    return F.transform(every, lambda d: F.struct(d["sign"].alias("sign"), F.md5(F.array_join(d["part"], "\x1f")).alias("part")))
+    return F.transform(every, lambda d: F.struct(d["sign"].alias("sign"), F.unhex(F.md5(F.array_join(d["part"], "\x1f"))).alias("part")))
 
 
 def _marks(rows: DataFrame, *columns: str) -> DataFrame:
@@ -185,6 +185,14 @@ def _free_places(width: int):
     return free
 
 
+def _step_over(at: Column, n: Column) -> Column:
+    """Pass a branch with n free places, unless the wanted one is among them."""
+    found = at["found"] | (at["left"] < n)
+    return F.struct(
+        F.when(found, at["branch"]).otherwise(at["branch"] + 1).alias("branch"),
+        F.when(found, at["left"]).otherwise(at["left"] - n).alias("left"), found.alias("found"))
+
+
 def foreign_context(asked: DataFrame, answers: DataFrame) -> DataFrame:
     """For each asked answer the (id, system) of another question of its run that shares no
     retrieved id and whose contexts name none of the answer's stations: number len(answer) mod n
@@ -210,15 +218,21 @@ def foreign_context(asked: DataFrame, answers: DataFrame) -> DataFrame:
         ~F.arrays_overlap("_ans", "ctx_set")
     ).select(*key, "ctx_set")
     numbered = row_numbers(
-        pool.select(*who, "ctx_set", "retrieved_ids").join(allowed, ["run", "ctx_set"]).select(*key, "id", "system", "retrieved_ids"),
+        pool.select(*who, "ctx_set").join(allowed, ["run", "ctx_set"]).select(*key, "id", "system"),
         key, ["id", "system"], "_no",
     )
     numbered = materialise(numbered.withColumn("_no", F.col("_no") - 1), "foreign-numbered")  # from 0
     sizes = materialise(numbered.groupBy(*key).agg(F.count(F.lit(1)).alias("_pool")), "foreign-sizes")
     largest = sizes.agg(F.max("_pool")).first()[0] or 1
     levels = max(1, -(-int(largest).bit_length() // FAN_BITS))
-    tree = _count_tree(_marks(numbered, *key, "_no").drop("sign"), key, levels)
     marks = materialise(_marks(asked, *who, "ans_key"), "foreign-marks")
+    # Only subsets that an answer of the station set asks for; most belong to one question and its own answers.
+    wanted = materialise(marks.select(*key, "part").distinct(), "foreign-parts")
+    asked_for = _marks(pool, *who).drop("sign").join(wanted, ["run", "part"]).select(*who, "ans_key", "part")
+    places = asked_for.join(numbered, [*who, "ans_key"]).select(*key, "part", "_no")
+    places = materialise(places, "foreign-places")
+    tree = _count_tree(places, key, levels)
+    marks = materialise(marks.join(places.select(*key, "part").distinct(), [*key, "part"], "left_semi"), "foreign-marks")
 
     def ruled_out(state: DataFrame, level: int) -> DataFrame:
         """(who, out): per answer, the ruled-out places below each branch of its node."""
@@ -237,12 +251,11 @@ def foreign_context(asked: DataFrame, answers: DataFrame) -> DataFrame:
         if level == levels - 1:
             total = F.aggregate("_free", F.lit(0).cast("long"), lambda s, n: s + n)
             joined = joined.withColumn("_n", total).where("_n > 0").withColumn("_r", (F.col("_len") % F.col("_n")).cast("long"))
-        up_to = F.transform(branches, lambda i: F.aggregate(F.slice("_free", 1, i + 1), F.lit(0).cast("long"), lambda s, n: s + n))
-        branch = F.size(F.filter(up_to, lambda n: n <= F.col("_r")))
-        joined = joined.withColumn("_up", up_to).withColumn("_branch", branch)
-        left = F.col("_r") - F.when(F.col("_branch") > 0, F.get("_up", F.col("_branch") - 1)).otherwise(F.lit(0))
+        joined = joined.withColumn("_at", F.aggregate("_free", F.struct(
+            F.lit(0).alias("branch"), F.col("_r").alias("left"), F.lit(False).alias("found")), _step_over))
         state = materialise(joined.select(
-            *who, "ans_key", "_len", "_pool", left.alias("_r"), (F.col("prefix") * (1 << FAN_BITS) + F.col("_branch")).alias("prefix")), "foreign-search")
+            *who, "ans_key", "_len", "_pool", F.col("_at.left").alias("_r"),
+            (F.col("prefix") * (1 << FAN_BITS) + F.col("_at.branch")).alias("prefix")), "foreign-search")
     chosen = numbered.select(
         *key, F.col("_no").alias("prefix"), F.col("id").alias("foreign_id"), F.col("system").alias("foreign_system")
     )
