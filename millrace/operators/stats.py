@@ -438,3 +438,39 @@ def label_sample(pool: DataFrame, n_per_cell: int, seed: int = SEED) -> DataFram
 
 def evenly_spaced_subset(rows: DataFrame, order: Sequence[str], n: int) -> DataFrame:
     return evenly_spaced(rows.withColumn("_q", F.lit(n)), [], order, "_q").drop("_q")
+
+
+def labelling_sheet(sample: DataFrame, answers: DataFrame) -> DataFrame:
+    """What a person labels: no run, system or score, only the sample's name joins it with the key."""
+    lines = F.transform("retrieved_contexts", lambda c, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), c))
+    return sample.select("sample", "run", "system", "id").join(answers, ["run", "system", "id"]).select(
+        F.col("sample").alias("amostra"), F.col("question").alias("pergunta"), F.array_join(lines, "\n").alias("contexto_recuperado"),
+        F.col("answer").alias("resposta"), F.lit("").alias("rotulo"), F.lit("").alias("comentario"))
+
+
+def labelling_key(sample: DataFrame, answers: DataFrame) -> DataFrame:
+    """Which answer a sample is, with the judge's score."""
+    return sample.select("sample", "run", "system", "id", "faithfulness").join(
+        answers.select("run", "system", "id", "tier"), ["run", "system", "id"]
+    ).select(F.col("sample").alias("amostra"), "run", "system", "id", "tier", F.col("faithfulness").alias("faithfulness_juiz"))
+
+
+def sheet_subset(sheet: DataFrame, key: DataFrame, n: int) -> DataFrame:
+    """At most n rows of an unlabelled sheet, evenly spaced over the judge's scores."""
+    scored = key.select("amostra", F.col("faithfulness_juiz").alias("_score"))
+    order = scored.withColumn("_no", F.substring("amostra", 2, 20).cast("long"))
+    return sheet.join(evenly_spaced_subset(order, ["_score", "_no"], n).select("amostra"), "amostra", "left_semi")
+
+
+def claim_scores(verdicts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Per answer: claims, declining sentences, verdicts that couldn't be read, and the share of supported claims.
+
+    verdicts: one row per claim (by, n_declined, claim_no, supported), claim_no null for an answer without claims and
+    supported null for an unreadable verdict. Answers without a readable verdict have no score.
+    """
+    claim = F.col("claim_no").isNotNull()
+    return verdicts.groupBy(*by).agg(
+        F.count_if(claim).alias("n_claims"), F.max("n_declined").cast("long").alias("n_declined"),
+        F.count_if(claim & F.col("supported").isNull()).alias("n_unparsed"),
+        F.avg(F.when(claim, F.col("supported").cast("double"))).alias("share_supported"),
+    )

@@ -354,6 +354,17 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def claim_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict per context line of an answer with retrieval, some unreadable, in the role of the external checker's."""
+    g = generations(spark, sf_dir).where("system <> 'baseline'")
+    rows = g.select("run", "id", "system", "x", F.posexplode_outer("retrieved_contexts").alias("pos", "claim"))
+    code = (F.col("x") + F.col("pos")) % 4
+    return rows.select(
+        "run", "id", "system", (F.col("x") % 3).cast("int").alias("n_declined"), (F.col("pos") + 1).cast("int").alias("claim_no"),
+        F.when(code == 3, F.lit(None)).otherwise(code > 0).alias("supported"),
+    )
+
+
 def tidy_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rs.judge_scores(scores(spark, sf_dir))
 

@@ -295,6 +295,19 @@ def golden() -> str:
         tier, subtype, question, reference, evidence, evidence_mode, stations, moment, is_anomaly from items)"""
 
 
+def label_sample(score: str) -> str:
+    """The blind sample: name, run, system, id and the score column as asked."""
+    return f"""
+      select * from (with p as (select * from ({POOL}) where kind <> 'recusa_total'),
+        cells as (select run, system, count(*) n from p group by 1, 2),
+        slots as (select run, system, unnest(range(1, n + 1)) slot from cells),
+        quotas as (select run, system, count(*) quota from (select * from slots order by slot, run, system
+          limit (select count(*) * {QUOTA} from cells)) group by 1, 2),
+        picked as ({spaced('select p.*, quota from p join quotas using (run, system)', 'run, system', 'faithfulness, id', 'quota')})
+      select 'A' || case when no < 10 then '0' else '' end || no sample, run, system, id, {score} faithfulness
+      from (select *, row_number() over (order by {hash_order('42', "run || '|' || system || '|' || id")}) no from picked))"""
+
+
 DRAWN_CI = {
     "bootstrap_ci": f"""
       select i.run, i.system, i.metric, n, round(mean, 6) mean, round(ci_low, 6) ci_low, round(ci_high, 6) ci_high
@@ -579,15 +592,30 @@ RAW: dict[str, str] = {
     "per_station_round_robin": 'select "position", station, episode_id from (' + round_robin(
         f"select * from mined where {NOT_CALIBRATING}", ("HBW_1", "VGR_1", "OV_1", "MM_1", "SM_1"), 12, "42a") + ")",
     "pair_quota_select": f"select * from (with keyed as ({KEYED}) {PICKED_PAIRS})",
-    "label_sample": f"""
-      select * from (with p as (select * from ({POOL}) where kind <> 'recusa_total'),
-        cells as (select run, system, count(*) n from p group by 1, 2),
-        slots as (select run, system, unnest(range(1, n + 1)) slot from cells),
-        quotas as (select run, system, count(*) quota from (select * from slots order by slot, run, system
-          limit (select count(*) * {QUOTA} from cells)) group by 1, 2),
-        picked as ({spaced('select p.*, quota from p join quotas using (run, system)', 'run, system', 'faithfulness, id', 'quota')})
-      select 'A' || case when no < 10 then '0' else '' end || no sample, run, system, id, round(faithfulness, 6) faithfulness
-      from (select *, row_number() over (order by {hash_order('42', "run || '|' || system || '|' || id")}) no from picked))""",
+    "label_sample": label_sample("round(faithfulness, 6)"),
+    "labelling_sheet": f"""
+      select l.sample amostra, g.question pergunta, array_to_string(list_transform(g.retrieved_contexts, lambda c, i: '[' || i || '] ' || c), chr(10))
+        contexto_recuperado, g.answer resposta, '' rotulo, '' comentario
+      from ({label_sample('faithfulness')}) l join generations g using (run, system, id)""",
+    "labelling_key": f"""
+      select l.sample amostra, l.run, l.system, l.id, g.tier, round(l.faithfulness, 6) faithfulness_juiz
+      from ({label_sample('faithfulness')}) l join generations g using (run, system, id)""",
+    "labelling_subset": f"""
+      select l.sample amostra, g.question pergunta, g.answer resposta
+      from ({spaced(f"select * from ({label_sample('faithfulness')})", "", "faithfulness, cast(substr(sample, 2) as bigint)", "25")}) l
+      join generations g using (run, system, id)""",
+    "claim_scores": """
+      select run, id, system, count(claim_no) n_claims, cast(max(x % 3) as bigint) n_declined,
+        count(claim_no) filter (code = 3) n_unparsed, round(avg(case when code < 3 then (code > 0)::int::double end), 6) share_supported
+      from (select run, id, system, x, claim_no, (x + claim_no - 1) % 4 code from (
+        select run, id, system, x, unnest(case when len(retrieved_contexts) = 0 then [null] else range(1, len(retrieved_contexts) + 1) end) claim_no
+        from generations where system <> 'baseline'))
+      group by run, id, system""",
+    "golden_evidence": f"""
+      select * from (with g as ({golden()}), task_rules_mined as ({RULES_MINED}), picks as (select station, current_task from {IMPACT_PICK})
+      select id, unnest(string_split(evidence, '|')) episode_id from g where evidence is not null
+      union all select g.id, m.episode_id from g join picks p on g.stations = p.station
+        join mined m on m.station = p.station and m.current_task = p.current_task where g.subtype = 'impacto_bpm')""",
     "index_union": f"""
       select station, current_state, count(*) n, max(episode_id) last_id from (
         select episode_id, station, current_state from gold where current_state = 'not ready'

@@ -774,6 +774,44 @@ def label_sample(s, d):
     )
 
 
+SUBSET = 25
+
+
+def _sample(s: SparkSession, d: str) -> DataFrame:
+    return st.label_sample(_label_pool(s, d), QUOTA)
+
+
+@query
+def labelling_sheet(s, d):
+    return st.labelling_sheet(_sample(s, d), fx.generations(s, d))
+
+
+@query
+def labelling_key(s, d):
+    return st.labelling_key(_sample(s, d), fx.generations(s, d)).withColumn("faithfulness_juiz", r6("faithfulness_juiz"))
+
+
+@query
+def labelling_subset(s, d):
+    sample = materialise(_sample(s, d), "sample")
+    answers = fx.generations(s, d)
+    sheet, key = st.labelling_sheet(sample, answers), st.labelling_key(sample, answers)
+    return st.sheet_subset(sheet, key, SUBSET).select("amostra", "pergunta", "resposta")
+
+
+@query
+def claim_scores(s, d):
+    scored = st.claim_scores(fx.claim_verdicts(s, d), ["run", "id", "system"])
+    return scored.withColumn("share_supported", r6("share_supported"))
+
+
+@query
+def golden_evidence(s, d):
+    """Every episode that counts as evidence of a question, those of impact groups too."""
+    mined = fx.mined(s, d)
+    return gs.golden_evidence(materialise(gs.golden_set(mined, fx.PAIR_WINDOW_S), "golden"), mined)
+
+
 # G. Set operations
 
 @query

@@ -18,7 +18,7 @@ DEFAULT = (
     "mode_routing", "bpm_context", "activity_interval_join", "report_rows", "bpm_impact_groups", "episodes",
     "anomaly_flag", "metrics_report", "paired_bootstrap", "agreement", "perturb_report", "refusal_matrix",
     "episode_boundaries", "window_fallback", "greedy_time_dedup", "rrf_fuse", "retrieve_filtered", "label_sample",
-    "pair_quota_select", "text_vectors", "assemble_prompts", "perturb_station", "golden_set",
+    "labelling_sheet", "labelling_subset", "claim_scores", "golden_evidence", "stream_silver", "pair_quota_select", "text_vectors", "assemble_prompts", "perturb_station", "golden_set",
 )
 SQL = {k: v for k, v in entry.oracle_sql().items() if k in registry.QUERIES}
 NAMES = sorted(SQL) if os.environ.get("MILLRACE_ALL_ORACLES") else DEFAULT
@@ -28,7 +28,7 @@ def test_every_query_is_named_once():
     assert set(SQL) <= set(entry.queries())
     assert set(registry.QUERIES) <= set(entry.queries())
     assert set(registry.QUERIES) - set(SQL) == {"split_claims", "perturb_numbers", "perturb_variants", "ann_trained"}
-    assert len(registry.QUERIES) == 118
+    assert len(registry.QUERIES) == 123
 
 
 @pytest.mark.parametrize("name", NAMES)
