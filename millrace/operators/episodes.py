@@ -280,7 +280,8 @@ def _seconds(ms: str) -> Column:
 def attach_stats(episodes: DataFrame, stats: DataFrame) -> DataFrame:
     """Left join of the sub-task statistics; ready episodes get nulls.
 
-    Ready rows carry a key of their own (their id), so that they do not meet in one null group
+    The statistics are stored first, so the planner knows their size: a table as small as sub-tasks are is broadcast
+    and episodes stay where they are. Ready rows carry a key of their own (their id), so that they do not meet in one null group
     if the statistics table is too large for a broadcast.
     """
     keyed = episodes.withColumn(
@@ -288,9 +289,9 @@ def attach_stats(episodes: DataFrame, stats: DataFrame) -> DataFrame:
         F.when(F.col("current_state") == NOT_READY, F.concat(F.lit("s:"), "current_sub_task"))
         .otherwise(F.concat(F.lit("e:"), "episode_id")),
     )
-    small = stats.select(
+    small = materialise(stats.select(
         F.concat(F.lit("s:"), "current_sub_task").alias("_key"), "median_ms", "threshold_ms"
-    )
+    ), "subtask_stats")
     return keyed.join(small, "_key", "left").drop("_key")
 
 

@@ -355,10 +355,15 @@ RAW: dict[str, str] = {
     "silver_export": f"select {SILVER} from silver",
     "gold_rebuild": "select episode_id, station, n_events, duration_s, text from gold",
     "index_table": f"""
-      select e.episode_id event_id, e.station, {ts('start_ts')} start_ts, {ts('end_ts')} end_ts, current_state,
+      select * from (with i as (select e.episode_id event_id, e.station, {ts('start_ts')} start_ts, {ts('end_ts')} end_ts, current_state,
         e.current_task, current_sub_task, round(duration_s::float::double, 3) duration_s, is_anomaly, e.text log_text, {EMBED} embed_text,
         cast(64 as integer) dim
-      from {WITH_RULES} where current_state = 'not ready'""",
+      from {WITH_RULES} where current_state = 'not ready'),
+        cells as (select event_id, cast(cast('0x' || substr(md5(tok), 1, 8) as bigint) % 64 as integer) d, count(*)::double n
+          from (select event_id, unnest({tokens('embed_text')}) tok from i) group by 1, 2),
+        weights as (select event_id, d, n / sqrt(sum(n * n) over (partition by event_id)) w from cells),
+        vectors as (select event_id, string_agg(d || ':' || cast(round(w * 1000000) as bigint), '|' order by d) vector from weights group by 1)
+      select i.*, coalesce(vector, '') vector from i left join vectors using (event_id))""",
     "read_generations": """
       select run, id, system, tier, subtype, question, reference, answer, array_to_string(retrieved_ids, '|') retrieved_ids,
         array_to_string(retrieved_contexts, '|') retrieved_contexts, cast(len(scores) as integer) n_scores, total_tokens,

@@ -121,11 +121,13 @@ def gold_rebuild(s, d):
 def index_table(s, d):
     path = scratch_path(s, "index")
     ix.write_index(ix.index_rows(fx.gold(s, d)), path, 64)
+    millionth = lambda w, i: F.concat(i.cast("string"), F.lit(":"), F.round(w * 1000000).cast("bigint").cast("string"))
+    cells = F.filter(F.transform("embedding", lambda w, i: F.when(w != 0, millionth(w, i))), lambda c: c.isNotNull())
     return s.read.parquet(path).select(
         "event_id", "station", ts_text("start_ts").alias("start_ts"),
         ts_text("end_ts").alias("end_ts"), "current_state", "current_task", "current_sub_task",
         F.round(F.col("duration_s").cast("double"), 3).alias("duration_s"), "is_anomaly",
-        "log_text", "embed_text", F.size("embedding").alias("dim"),
+        "log_text", "embed_text", F.size("embedding").alias("dim"), joined(cells).alias("vector"),
     )
 
 

@@ -159,10 +159,15 @@ def export_silver(silver: DataFrame, path: str) -> None:
 
 
 def rebuild_gold(episodes: DataFrame, path: str) -> None:
-    """Replace the episode table; the first row per episode_id wins."""
+    """Replace the episode table; the first row per episode_id wins.
+
+    Laid out by range of (station, start): a file holds one stretch of a station's time, and a large station has many.
+    """
     rest = [c for c in episodes.columns if c != "episode_id"]
     first = episodes.groupBy("episode_id").agg(
         F.min_by(F.struct(*rest), F.struct("start_ts", "end_ts", "current_state", "current_task"))
         .alias("_row")
     ).select("episode_id", "_row.*")
-    first.write.mode("overwrite").partitionBy("station").parquet(path)
+    order = ["station", "start_ts", "episode_id"]
+    laid = first.repartitionByRange(*order).sortWithinPartitions(*order)
+    laid.write.mode("overwrite").partitionBy("station").parquet(path)
