@@ -4,7 +4,7 @@ Level 1 splits all vectors into `top` cells, level 2 splits every cell into `sub
 top x sub and no task holds more than one matrix of `top` or `sub` centroids per key. Both levels are trained alike, by
 Lloyd rounds: a task multiplies its chunks with the centroids of their key and emits one partial sum per centroid it
 used; partial sums are added per component. Rows are stored in folders of their top cell, sorted by list.
-A search reads the folders that some probe named and scores only rows of probed lists, in the tiles of `knn`.
+A search reads the folders that some probe named and scores only rows of probed lists, in the cells of `knn`.
 """
 
 from __future__ import annotations
@@ -91,6 +91,11 @@ def lloyd(rows: DataFrame, n: int, rounds: int = ROUNDS) -> DataFrame:
     return centroids
 
 
+def _lists(rows: np.ndarray) -> pa.ListArray:
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(rows.ravel()))
+
+
 def _nearest(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(batch.num_rows):
@@ -98,8 +103,7 @@ def _nearest(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBat
             best = np.argsort(-scores, axis=1, kind="stable")[:, :n]
             yield pa.RecordBatch.from_pydict({
                 "event_id": pa.array(ids, pa.string()), "key": pa.array([key] * len(ids), pa.string()),
-                "unit": pa.array(list(x), pa.list_(pa.float64())), "cells": pa.array(list(cells[best].astype(np.int32)), pa.list_(pa.int32())),
-                "scores": pa.array(list(np.take_along_axis(scores, best, 1)), pa.list_(pa.float64()))})
+                "unit": _lists(x), "cells": _lists(cells[best].astype(np.int32)), "scores": _lists(np.take_along_axis(scores, best, 1))})
 
 
 def nearest_cells(rows: DataFrame, centroids: DataFrame, n: int = 1) -> DataFrame:
@@ -133,8 +137,7 @@ class ListIndex:
         lists = materialise(self.probe(asked.select(F.col("probe_id").alias("event_id"), knn.unit(F.col("embedding")).alias("unit")), nprobe), "probed_lists")
         near = knn.only(self.rows, lists.where("top >= 0"), ["top"])
         keyed = lists.select(F.col("event_id").alias("probe_id"), F.col("list_id").alias("key")).join(asked, "probe_id")
-        hits = knn.tile_hits(near, keyed, "list_id").join(asked.select("probe_id", "lim"), "probe_id")
-        return knn.best(hits, F.col("lim")).drop("lim")
+        return knn.tile_best(near, keyed, "list_id")
 
 
 def build(vectors: DataFrame, path: str, top: int, sub: int, rounds: int = ROUNDS) -> ListIndex:

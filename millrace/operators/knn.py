@@ -7,20 +7,21 @@ becomes one key per slot it touches; days without a probe are pruned from the sc
 equi-join on the key and a range condition before any product. So what is scored grows with the windows, not with the
 index.
 
-Probes without a window are searched in tiles. Vectors stay where they are and are packed into chunks as they are
-read; probes are packed into blocks, and blocks into groups of at most GROUP_BYTES. A group is broadcast, so
-its size is bounded by construction, and more probes mean more groups. A tile is one chunk against one block of the
-same key: a matrix product that keeps at most `lim` rows per probe. A first pass over one row in LEAD finds a floor
-for every probe; the full pass returns only rows that reach it. There is no other plan for few or for many probes.
+Probes without a window are searched in cells. The rows of a key (or all rows, for probes without a key) are dealt
+by hash into parts, its probes likewise, each part at most GROUP_BYTES; a cell is one part of rows against one part of
+probes, brought together by a cogroup. So nothing passes through the driver, a task holds two parts whatever
+the sizes, and a frequent key has many cells. In a cell, products in single precision tell which pairs can reach the
+probe's floor, with room for their error; only these are scored in double precision. Where a probe meets more than
+FEW_PARTS parts, a search over one row in LEAD finds its floor first. There is no other plan for few or for many probes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,13 +32,19 @@ DAY_US = 86_400_000_000
 SLOT_US = 600_000_000
 GROUP_BYTES = 32 << 20
 TILE_BYTES = 1 << 20
-LEAD = 64
+LEAD = 8
+MOST_LEADS = 4
+FEW_PARTS = 8
+#: Cells per core, and rows of a part that are worth a cell of their own.
+CELLS, LEAST = 4, 2048
+#: Probes and rows of one product.
+PRODUCT = (1024, 4096)
 SCORE_DIGITS = 9
 NO_TIME = -(2**62)
 
 HITS = "probe_id string, event_id string, score double"
 CHUNK = "key string, ids array<string>, data binary"
-_BLOCK = "block string, `group` string, q_key string, probe_ids array<string>, lims array<int>, q_data binary"
+_BLOCK = "key string, probe_ids array<string>, lims array<int>, floors array<double>, q_data binary"
 
 
 def unit(vector: Column) -> Column:
@@ -95,10 +102,10 @@ def window_pairs(vectors: DataFrame, probes: DataFrame) -> DataFrame:
 
 
 def window_hits(vectors: DataFrame, probes: DataFrame) -> DataFrame:
-    """(probe_id, event_id, score): the best `lim` rows inside each probe's window."""
+    """(probe_id, event_id, score, probe_rank): the best `lim` rows inside each probe's window."""
     product = F.aggregate(F.zip_with("unit", "probe", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
     scored = window_pairs(vectors, probes).select("probe_id", "event_id", F.round(product, SCORE_DIGITS).alias("score"), "lim")
-    return best(scored, F.col("lim")).drop("lim", "probe_rank")
+    return best(scored, F.col("lim")).drop("lim")
 
 
 def best(hits: DataFrame, lim: Column) -> DataFrame:
@@ -111,116 +118,165 @@ def _matrix(column: pa.Array, rows: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1)
 
 
-def _changes(keys: list) -> list[int]:
-    return [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.RecordBatch]]:
+    """Each key of a batch with its rows, in pieces of at most TILE_BYTES."""
+    if not batch.num_rows:
+        return
+    codes = batch.column("key").dictionary_encode()
+    numbers = codes.indices.to_numpy()
+    batch = batch.take(pa.array(np.argsort(numbers, kind="stable")))
+    step = max(1, TILE_BYTES // (8 * max(1, len(batch.column("unit")[0]))))
+    ends = np.cumsum(np.bincount(numbers))
+    for name, lo, hi in zip(codes.dictionary.to_pylist(), [0, *ends[:-1]], ends):
+        for at in range(lo, hi, step):
+            yield name, batch.slice(at, min(step, hi - at))
+
+
+def _one(part: pa.RecordBatch, column: str) -> pa.ListArray:
+    """A column's values as one list."""
+    values = part.column(column)
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (event_id, key, unit) as chunks of one key."""
+    """Rows (event_id, key, unit) in any order as chunks of one key."""
     for batch in batches:
-        keys = batch.column("key").to_pylist()
-        for lo, hi in zip(_changes(keys)[:-1], _changes(keys)[1:]):
-            size = len(batch.column("unit")[lo]) if hi > lo else 1
-            step = max(1, TILE_BYTES // (8 * max(1, size)))
-            for at in range(lo, hi, step):
-                part = batch.slice(at, min(step, hi - at))
-                data = _matrix(part.column("unit"), part.num_rows)
-                yield pa.RecordBatch.from_pydict({
-                    "key": pa.array([keys[at]], pa.string()), "ids": pa.array([part.column("event_id").to_pylist()], pa.list_(pa.string())),
-                    "data": pa.array([data.tobytes()], pa.binary())})
+        for key, part in _runs(batch):
+            data = _matrix(part.column("unit"), part.num_rows).tobytes()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([key], pa.string()), _one(part, "event_id"), pa.array([data], pa.binary())], names=["key", "ids", "data"])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows (task, key, probe_id, lim, unit) as blocks of one key; a group's blocks stay under GROUP_BYTES."""
-    number = held = group = 0
-    for batch in batches:
-        keys, tasks = batch.column("key").to_pylist(), batch.column("task").to_pylist()
-        for lo, hi in zip(_changes(keys)[:-1], _changes(keys)[1:]):
-            size = len(batch.column("unit")[lo]) if hi > lo else 1
-            step = max(1, TILE_BYTES // (8 * max(1, size)))
-            for at in range(lo, hi, step):
-                part = batch.slice(at, min(step, hi - at))
-                data = _matrix(part.column("unit"), part.num_rows).tobytes()
-                if held and held + len(data) > GROUP_BYTES:
-                    held, group = 0, group + 1
-                held += len(data) + 64 * part.num_rows
-                number += 1
-                yield pa.RecordBatch.from_pydict({
-                    "block": pa.array([f"{tasks[at]}-{number}"]), "group": pa.array([f"{tasks[at]}-{group}"]),
-                    "q_key": pa.array([keys[at]], pa.string()), "probe_ids": pa.array([part.column("probe_id").to_pylist()], pa.list_(pa.string())),
-                    "lims": pa.array([part.column("lim").to_pylist()], pa.list_(pa.int32())), "q_data": pa.array([data], pa.binary())})
-
-
-def _tiles(batches: Iterator[pa.RecordBatch], full: bool) -> Iterator[pa.RecordBatch]:
-    """The best `lim` rows per probe of each tile that reach the probe's floor, which rises with every tile seen.
-
-    full: return only the lim-th score of tiles' probes that have so many rows, for floors.
-    """
-    floors: dict[str, np.ndarray] = {}
+    """Rows (key, probe_id, lim, floor, unit) as blocks of one key."""
     for batch in batches:
-        for n in range(batch.num_rows):
-            row = {c: batch.column(c)[n] for c in batch.schema.names}
-            lims = np.array(row["lims"].as_py())
-            q = np.frombuffer(row["q_data"].as_buffer(), np.float64).reshape(len(lims), -1)
-            ids = np.array(row["ids"].as_py(), dtype=object)
-            x = np.frombuffer(row["data"].as_buffer(), np.float64).reshape(len(ids), -1)
-            block = row["block"].as_py()
-            if block not in floors:
-                given = row["floors"].as_py() or []
-                floors[block] = np.full(len(lims), -np.inf)
-                for f in given:
-                    floors[block][f["at"]] = f["floor"]
-            floor = floors[block]
-            scores = np.round(q @ x.T, SCORE_DIGITS)
-            most = int(lims.max())
-            if len(ids) >= most:
-                at = len(ids) - most
-                np.maximum(floor, np.partition(scores, at, axis=1)[:, at], out=floor)
-            i, j = np.nonzero(scores >= floor[:, None])
-            order = np.lexsort((ids[j], -scores[i, j], i))
-            i, j = i[order], j[order]
+        for key, part in _runs(batch):
+            data = _matrix(part.column("unit"), part.num_rows).tobytes()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([key], pa.string()), _one(part, "probe_id"), _one(part, "lim"), _one(part, "floor"), pa.array([data], pa.binary())],
+                names=["key", "probe_ids", "lims", "floors", "q_data"])
+
+
+def _stacked(column: pa.ChunkedArray, widths: list[int]) -> np.ndarray:
+    parts = [np.frombuffer(b.as_buffer(), np.float64).reshape(n, -1) for b, n in zip(column, widths)]
+    return np.concatenate(parts)
+
+
+def _flat(column: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays([c.flatten() for c in column.chunks])
+
+
+def _best_of(q: np.ndarray, x: np.ndarray, lims: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(probe, row, score) of the best `lims` rows of each probe that reach its floor, ties to the smaller row number."""
+    room = (x.shape[1] + 8) * 2.0**-23 + 10.0**-SCORE_DIGITS  # error of a product of unit vectors in single precision
+    q32, x32 = q.astype(np.float32), x.astype(np.float32)
+    floor, most = floor.copy(), int(lims.max())
+    i, j, s = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for at in range(0, len(x), PRODUCT[1]):
+        near = q32 @ x32[at:at + PRODUCT[1]].T
+        low = floor - room
+        if np.isneginf(floor).any() and near.shape[1] >= most:
+            place = near.shape[1] - most
+            low = np.fmax(low, np.partition(near, place, axis=1)[:, place] - 2 * room)
+        n, m = np.divmod(np.flatnonzero(near >= low[:, None].astype(np.float32)), near.shape[1])
+        m += at
+        score = np.round(np.einsum("ij,ij->i", q[n], x[m]), SCORE_DIGITS)
+        enough = score >= floor[n]
+        held.append((n[enough], m[enough], score[enough]))
+        if sum(len(h[0]) for h in held) >= 4 * len(q) or at + PRODUCT[1] >= len(x):
+            i, j, s = (np.concatenate([a, *b]) for a, b in zip((i, j, s), zip(*held)))
+            order = np.lexsort((j, -s, i))
+            i, j, s, held = i[order], j[order], s[order], []
             place = np.arange(len(i)) - np.searchsorted(i, i)
+            last = place == lims[i] - 1
+            floor[i[last]] = np.maximum(floor[i[last]], s[last])
             keep = place < lims[i]
-            i, j = i[keep], j[keep]
-            names = np.array(row["probe_ids"].as_py(), dtype=object)
-            out = {"probe_id": pa.array(names[i], pa.string()), "event_id": pa.array(ids[j], pa.string()), "score": pa.array(scores[i, j])}
-            if full:
-                out |= {"block": pa.array([block] * len(i), pa.string()), "at": pa.array(i.astype(np.int32)), "lim": pa.array(lims[i].astype(np.int32))}
-            yield pa.RecordBatch.from_pydict(out)
-
-
-def packed_probes(probes: DataFrame) -> DataFrame:
-    """Blocks of (probe_id, key, lim, embedding), stored; keys stay together and a key with many probes has many blocks."""
-    size = probes.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
-    tasks = max(1, -(-size["n"] * 8 * max(1, size["d"] or 1) // GROUP_BYTES))
-    rows = probes.repartitionByRange(tasks, "key", "probe_id").sortWithinPartitions("key", "probe_id").select(
-        F.spark_partition_id().alias("task"), "key", "probe_id", F.col("lim").cast("int").alias("lim"), unit(F.col("embedding")).alias("unit"))
-    return materialise(rows.mapInArrow(_blocks, _BLOCK), "probe_blocks")
+            i, j, s = i[keep], j[keep], s[keep]
+    return i, j, s
+
+
+def _cell(rows: pa.Table, probes: pa.Table) -> pa.Table:
+    """The best rows of each probe of a cell."""
+    out = {"probe_id": [], "event_id": [], "score": [], "lim": []}
+    if rows.num_rows and probes.num_rows:
+        ids, lims = _flat(rows["ids"]), _flat(probes["lims"]).to_numpy()
+        names, floors = _flat(probes["probe_ids"]), _flat(probes["floors"]).to_numpy()
+        x = _stacked(rows["data"], pc.list_value_length(rows["ids"]).to_pylist())
+        q = _stacked(probes["q_data"], pc.list_value_length(probes["probe_ids"]).to_pylist())
+        order = pc.sort_indices(ids)  # so that the smaller number is the smaller id
+        ids, x = ids.take(order), x[order.to_numpy()]
+        for at in range(0, len(q), PRODUCT[0]):
+            part = slice(at, at + PRODUCT[0])
+            i, j, s = _best_of(q[part], x, lims[part], floors[part])
+            out["probe_id"].append(names.take(pa.array(i + at)))
+            out["event_id"].append(ids.take(pa.array(j)))
+            out["score"].append(pa.array(s))
+            out["lim"].append(pa.array(lims[i + at]))
+    types = {"probe_id": pa.string(), "event_id": pa.string(), "score": pa.float64(), "lim": pa.int32()}
+    return pa.table({c: pa.chunked_array(v, types[c]) for c, v in out.items()})
+
+
+def _cells(rows: DataFrame, probes: DataFrame, sizes: DataFrame, side: int) -> DataFrame:
+    """(probe_id, event_id, score, lim): the best rows of each cell of rows (event_id, key, unit) and probes
+    (probe_id, key, lim, unit, floor); sizes has the rows and probes of each key, side the rows or probes of a part."""
+    cuts = sizes.select("key", F.ceil(F.col("n_rows") / side).cast("int").alias("r"), F.ceil(F.col("n_probes") / side).cast("int").alias("p"))
+    name = lambda number: F.concat_ws("#", number, "key")
+    cells = cuts.select("key", F.explode(F.sequence(F.lit(0), F.col("r") - 1)).alias("r"), "p").select(
+        "key", "r", F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("p")).select(
+        F.concat_ws("#", "r", "p", "key").alias("cell"), name(F.col("r")).alias("row_key"), name(F.col("p")).alias("probe_key"))
+    packed = rows.join(cuts, "key").select(
+        "event_id", name(F.pmod(F.hash("event_id"), "r")).alias("key"), "unit").mapInArrow(chunks, CHUNK)
+    blocks = probes.join(cuts, "key").select(
+        name(F.pmod(F.hash("probe_id"), "p")).alias("key"), "probe_id", "lim", "floor", "unit").mapInArrow(_blocks, _BLOCK)
+    left = packed.join(cells, F.col("key") == F.col("row_key")).select(F.col("cell").alias("row_cell"), "ids", "data").groupBy("row_cell")
+    right = blocks.join(cells, F.col("key") == F.col("probe_key")).select(
+        F.col("cell").alias("probe_cell"), "probe_ids", "lims", "floors", "q_data").groupBy("probe_cell")
+    return left.cogroup(right).applyInArrow(_cell, HITS + ", lim int")
 
 
 def tile_hits(vectors: DataFrame, probes: DataFrame, key: str = "station") -> DataFrame:
-    """(probe_id, event_id, score, lim): a superset of the best `lim` rows of each probe among rows of its key.
+    """(probe_id, event_id, score): a superset of the best `lim` rows of each probe among rows of its key.
 
-    A probe (probe_id, key, lim, embedding) without a key meets all rows.
+    A probe (probe_id, key, lim, embedding) without a key meets all rows; one without a vector finds nothing.
     """
-    blocks = packed_probes(probes)
-    groups = [r["group"] for r in blocks.select("group").distinct().collect()]
-    if not groups:
-        return vectors.sparkSession.createDataFrame([], HITS)
-    rows = vectors.select("event_id", F.col(key).cast("string").alias("key"), "unit")
-
-    def pass_over(rows: DataFrame, blocks: DataFrame, full: bool) -> DataFrame:
-        packed = rows.mapInArrow(chunks, CHUNK)
-        schema = HITS + (", block string, at int, lim int" if full else "")
-        meets = F.col("q_key").isNull() | (F.col("q_key") == F.col("key"))
-        return reduce(DataFrame.unionByName, [
-            packed.join(F.broadcast(blocks.where(F.col("group") == g).drop("group")), meets).mapInArrow(partial(_tiles, full=full), schema)
-            for g in groups
-        ])
-
-    none = F.lit(None).cast("array<struct<at:int,floor:double>>")
-    lead = pass_over(rows.where(F.pmod(F.xxhash64("event_id"), F.lit(LEAD)) == 0), blocks.withColumn("floors", none), True)
-    order = Window.partitionBy("block", "at").orderBy(F.col("score").desc())
-    floors = lead.withColumn("n", F.row_number().over(order)).where("n = lim").groupBy("block").agg(
-        F.collect_list(F.struct("at", F.col("score").alias("floor"))).alias("floors"))
-    return pass_over(rows, blocks.join(materialise(floors, "floors"), "block", "left"), False)
+    return _found(vectors, probes, key).drop("lim")
+
+
+def tile_best(vectors: DataFrame, probes: DataFrame, key: str = "station") -> DataFrame:
+    """(probe_id, event_id, score, probe_rank): the best `lim` rows of each probe among rows of its key."""
+    return best(_found(vectors, probes, key), F.col("lim")).drop("lim")
+
+
+def _found(vectors: DataFrame, probes: DataFrame, key: str) -> DataFrame:
+    spark = vectors.sparkSession
+    marked = F.concat(F.lit("="), "key")
+    asked = materialise(probes.where("embedding IS NOT NULL").select(
+        "probe_id", F.coalesce(marked, F.lit("")).alias("key"), F.col("lim").cast("int").alias("lim"), unit(F.col("embedding")).alias("unit")), "probe_units")
+    rows = vectors.select("event_id", F.col(key).cast("string").alias("key"), "unit").select(
+        "event_id", F.explode(F.array_compact(F.array(F.lit(""), marked))).alias("key"), "unit")
+    sizes = materialise(
+        asked.groupBy("key").agg(F.count(F.lit(1)).alias("n_probes")).join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n_rows")), "key"), "sizes")
+    total = sizes.agg(F.sum(F.col("n_probes") * F.col("n_rows")).alias("pairs"), F.max("n_rows").alias("most")).first()
+    width = asked.agg(F.max(F.size("unit"))).first()[0] or 1
+    if not total["pairs"]:
+        return spark.createDataFrame([], HITS + ", lim int")
+
+    def side(pairs: float) -> int:
+        worth = (pairs / (CELLS * spark.sparkContext.defaultParallelism)) ** 0.5
+        return max(1, min(GROUP_BYTES // (8 * width), max(LEAST, int(worth))))
+
+    leads = 0
+    while total["most"] / LEAD**leads / side(total["pairs"] / LEAD**leads) > FEW_PARTS and leads < MOST_LEADS:
+        leads += 1
+    floors = None
+    for level in range(leads, -1, -1):
+        share = LEAD**level
+        some = rows.where(F.pmod(F.xxhash64("event_id"), F.lit(share)) == 0) if level else rows
+        none = F.lit(float("-inf"))
+        floored = asked.withColumn("floor", none) if floors is None else asked.join(floors, "probe_id", "left").withColumn("floor", F.coalesce("floor", none))
+        hits = _cells(some, floored, sizes.withColumn("n_rows", F.ceil(F.col("n_rows") / share)), side(total["pairs"] / share))
+        if level:
+            ranked = best(hits, F.col("lim")).where("probe_rank = lim")
+            floors = materialise(ranked.groupBy("probe_id").agg(F.min("score").alias("floor")), "floors")
+    return hits

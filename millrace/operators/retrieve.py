@@ -55,18 +55,18 @@ def nearest(index: DataFrame, probes: DataFrame, k: int = TOP_K, fallback: bool
     `index` is an index table or a stored layout (`knn.store`), whose folders are pruned. Windows are searched by key
     first; only probes without a window, or with an empty one, go through the tiles.
     """
-    vectors, probes = knn.laid_out(index), materialise(probes, "probes")
+    vectors, probes = index if "unit" in index.columns else materialise(knn.laid_out(index), "layout"), materialise(probes, "probes")
     windowed = F.col("lo_us").isNotNull() & F.col("hi_us").isNotNull()
     inside = materialise(knn.window_hits(vectors, probes), "window_hits")
     empty = probes.where(windowed).join(inside.select("probe_id").distinct(), "probe_id", "left_anti")
     rest = probes.where(~windowed).unionByName(empty) if fallback else probes.where(~windowed)
-    found = knn.tile_hits(vectors, rest.select("probe_id", F.col("station").alias("key"), "lim", "embedding"))
+    found = knn.tile_best(vectors, rest.select("probe_id", F.col("station").alias("key"), "lim", "embedding"))
     return _ranked(inside, probes, True).unionByName(_ranked(found, probes, False))
 
 
 def _ranked(hits: DataFrame, probes: DataFrame, in_window: bool) -> DataFrame:
-    info = probes.select("probe_id", "question_id", "lim")
-    ranked = knn.best(hits.join(info, "probe_id"), F.col("lim"))
+    """`hits` (probe_id, event_id, score, probe_rank) with the question of their probe."""
+    ranked = hits.join(probes.select("probe_id", "question_id"), "probe_id")
     return ranked.select("question_id", "probe_id", "event_id", "score", "probe_rank", F.lit(in_window).alias("in_window"))
 
 
@@ -275,17 +275,17 @@ def ann_search(
 
     An index that is trained, stored by list and reused is `ann.build`.
     """
-    rows = assign_lists(knn.laid_out(index), centroids)
+    rows = materialise(assign_lists(knn.laid_out(index), centroids), "listed")
     probes = materialise(vector_probes(questions, k), "probes")
     probed = ann.nearest_cells(
         probes.select(F.col("probe_id").alias("event_id"), F.lit("").alias("key"), knn.unit(F.col("embedding")).alias("unit")),
         _cells(centroids), nprobe)
     keyed = probed.select(F.col("event_id").alias("probe_id"), F.explode(F.col("cells").cast("array<string>")).alias("key")).join(probes, "probe_id")
-    found = knn.tile_hits(rows, keyed.select("probe_id", "key", "lim", "embedding"), "list_id")
+    found = knn.tile_best(rows, keyed.select("probe_id", "key", "lim", "embedding"), "list_id")
     return _ranked(found, probes, False)
 
 
 def trained_search(questions: DataFrame, index: ann.ListIndex, nprobe: int, k: int) -> DataFrame:
     """The same against a trained index: only folders that some question probes are read."""
     probes = materialise(vector_probes(questions, k), "probes")
-    return _ranked(index.search(probes, nprobe).drop("probe_rank"), probes, False)
+    return _ranked(index.search(probes, nprobe), probes, False)

@@ -3,6 +3,7 @@ from collections import Counter
 from datetime import datetime
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,6 +119,46 @@ def test_ties_go_to_the_smaller_id(spark):
     assert knn.tile_hits(knn.laid_out(vectors), probes.limit(0)).count() == 0
 
 
+def test_rows_in_any_order_make_few_chunks():
+    keys = [str(i % 5) for i in range(500)]
+    batch = pa.RecordBatch.from_pydict({
+        "event_id": pa.array([f"e{i:03}" for i in range(500)]), "key": pa.array(keys),
+        "unit": pa.array([[float(i), 1.0] for i in range(500)], pa.list_(pa.float64()))})
+    got = list(knn.chunks(iter([batch])))
+    assert [c["key"][0].as_py() for c in got] == list("01234")
+    ids = got[2]["ids"][0].as_py()
+    x = np.frombuffer(got[2]["data"][0].as_py()).reshape(-1, 2)
+    assert ids == [f"e{i:03}" for i in range(2, 500, 5)] and x[:, 0].tolist() == list(range(2, 500, 5))
+
+
+def test_vectors_of_probes_are_not_broadcast(world):
+    index, questions = world
+    found = knn.tile_hits(knn.laid_out(index), rt.vector_probes(questions).select("probe_id", F.col("station").alias("key"), "lim", "embedding"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "q_data" in plan and "broadcast" not in plan and found.count() > 0
+
+
+def test_floors_of_shares_leave_the_best(spark, monkeypatch):
+    monkeypatch.setattr(knn, "GROUP_BYTES", 8 * 8 * 20)
+    monkeypatch.setattr(knn, "FEW_PARTS", 2)
+    monkeypatch.setattr(knn, "PRODUCT", (7, 16))
+    rng = np.random.default_rng(1)
+    x = np.round(rng.normal(size=(300, 8)), 1)
+    index = spark.createDataFrame(
+        [(f"e{i:03}", "AB"[i % 2], None, v) for i, v in enumerate(x.tolist())], "event_id string, station string, start_ts timestamp, embedding array<double>")
+    probes = spark.createDataFrame(
+        [(f"p{i:02}", [None, "A", "B", "C"][i % 4], 1 + i % 5, x[i].tolist()) for i in range(40)] + [("none", None, 3, None)],
+        "probe_id string, key string, lim int, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = set()
+    for i in range(40):
+        key, scores = [None, "A", "B", "C"][i % 4], np.round(unit @ unit[i], 9)
+        ids = [n for n in range(300) if key is None or "AB"[n % 2] == key]
+        want |= {(f"p{i:02}", f"e{n:03}", k + 1) for k, n in enumerate(sorted(ids, key=lambda n: (-scores[n], n))[:1 + i % 5])}
+    got = {(r.probe_id, r.event_id, r.probe_rank) for r in knn.tile_best(knn.laid_out(index), probes).collect()}
+    assert got == want
+
+
 @pytest.fixture(scope="module")
 def stored(spark, world, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("vectors"))
