@@ -6,7 +6,9 @@ term by falling weight, BLOCK to a row, with the block's highest weight; a term
 shards, so that no task sorts or reads a frequent term alone.
 
 A search finds a floor first: the k best texts by the first blocks of a query's few weightiest terms, scored in full,
-give a score that the k-th best reaches at least. Terms whose highest weights add up to less than the floor can't bring
+give a score that the k-th best reaches at least. If the postings that then remain to be read are more than the texts,
+texts are scored in one scan: chunks of texts against blocks of queries, each a product of weights and terms, of which only
+scores that reach the floor leave the task. Otherwise postings are read: terms whose highest weights add up to less than the floor can't bring
 a text there alone; their postings aren't read. Of the others, a block is read only if its highest weight and those of all
 other terms reach the floor. Every posting of a text above the floor lies in such a block, so sums over them bound what remains;
 texts still in reach are scored in full from `texts`. Results equal those of scoring everything.
@@ -15,9 +17,11 @@ texts still in reach are scored in full from `texts`. Results equal those of sco
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +36,8 @@ RRF_K = 60
 BLOCK = 256
 SHARD = 65_536
 LEADING_TERMS = 8
+#: Queries of a block, texts and terms of a chunk, texts of one product.
+QUERIES, TEXTS, TERMS, ROWS = 256, 1024, 1 << 17, 256
 #: Room for the order of additions in comparisons with bounds.
 SLACK = 1e-6
 
@@ -71,6 +77,58 @@ def counted(docs: DataFrame, doc_id: str, text: Column) -> DataFrame:
     return rows.mapInArrow(_counted, f"doc_id {kind}, len long, terms array<string>, tfs array<long>")
 
 
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, len, terms, tfs) as chunks of at most TEXTS texts and about TERMS terms."""
+    for batch in batches:
+        ends = np.cumsum(batch.column("terms").value_lengths().to_numpy())
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            n = min(TEXTS, max(1, int(np.searchsorted(ends, before + TERMS)) - at), batch.num_rows - at)
+            part, at = batch.slice(at, n), at + n
+            one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+            yield pa.RecordBatch.from_arrays(
+                [one(part.column("doc_id")), one(part.column("len")), one(part.column("terms").value_lengths()),
+                 one(part.column("terms").flatten()), one(part.column("tfs").flatten())], names=["doc_ids", "lens", "sizes", "words", "tfs"])
+
+
+def _scan(batches: Iterator[pa.RecordBatch], k: int, names: tuple[str, str, str]) -> Iterator[pa.RecordBatch]:
+    """(query, doc_id, bm25) of chunks beside blocks of queries: positive scores that reach the query's floor, which rises."""
+    weights: dict[int, tuple[pa.Array, np.ndarray]] = {}
+    floors: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for n in range(batch.num_rows):
+            values = {c: batch.column(c)[n].values for c in ("doc_ids", "lens", "sizes", "words", "tfs", "queries")}
+            block, queries = batch.column("block")[n].as_py(), values["queries"]
+            if block not in weights:
+                asked = queries.field("terms")
+                owner = np.repeat(np.arange(len(queries)), asked.value_lengths().to_numpy())
+                codes = asked.flatten().field("term").dictionary_encode()
+                matrix = np.zeros((len(codes.dictionary), len(queries)))
+                np.add.at(matrix, (codes.indices.to_numpy(), owner), asked.flatten().field("idf").to_numpy())
+                weights[block], floors[block] = (codes.dictionary, matrix), queries.field("floor").to_numpy().copy()
+            (known, matrix), floor = weights[block], floors[block]
+            code = pc.index_in(values["words"], value_set=known)
+            held = code.is_valid().to_numpy(zero_copy_only=False)
+            lens, tf = values["lens"].to_numpy(), values["tfs"].to_numpy()[held]
+            owner = np.repeat(np.arange(len(lens)), values["sizes"].to_numpy())[held]
+            norm = K1 * (1.0 - B + B * lens / batch.column("avg_len")[n].as_py())
+            share = tf * (K1 + 1.0) / (tf + norm[owner])
+            code = code.drop_null().to_numpy()
+            scores = np.empty((len(lens), len(queries)))
+            for at in range(0, len(lens), ROWS):
+                lo, hi = np.searchsorted(owner, [at, at + ROWS])
+                dense = np.zeros((min(ROWS, len(lens) - at), len(known)))
+                dense[owner[lo:hi] - at, code[lo:hi]] = share[lo:hi]
+                scores[at:at + ROWS] = dense @ matrix
+            scores = np.round(scores, 9)
+            if len(lens) >= k:
+                np.maximum(floor, np.partition(scores, len(lens) - k, axis=0)[len(lens) - k], out=floor)
+            d, q = np.nonzero((scores > 0) & (scores >= floor))
+            yield pa.RecordBatch.from_arrays(
+                [queries.field("query").take(pa.array(q)), values["doc_ids"].take(pa.array(d)), pa.array(scores[d, q])], names=list(names))
+
+
 def term_queries(queries: DataFrame, query_id: str, text: str) -> DataFrame:
     return queries.select(query_id, F.explode(F.array_distinct(tokenize(F.col(text)))).alias("term"))
 
@@ -107,10 +165,27 @@ class TextIndex:
         """(query, doc_id, bm25, rank): the k best texts that share a term with the query, ties to the smaller id."""
         asked = materialise(term_queries(queries, query_id, text).join(self.terms, "term").select(query_id, "term", "idf", "top", "shards"), "query_terms")
         floors = materialise(self.floors(asked, k, query_id), "floors")
+        wanted = self.blocks_to_read(asked, floors, query_id).where("shard = 0").join(self.terms.select("term", "df"), "term")
+        sums = wanted.agg(F.sum("df").alias("postings")).join(self.size).first()
+        if (sums["postings"] or 0) > sums["n_docs"]:
+            return _top(self.scan(asked, floors, k, query_id), k, query_id)
         pairs = materialise(self.in_reach(asked, floors, query_id), "in_reach")
         full = self.scored(pairs.select(query_id, "doc_id"), asked, query_id, "doc_id").where("bm25 > 0")
         return _top(full, k, query_id)
 
+    def scan(self, asked: DataFrame, floors: DataFrame, k: int, query_id: str) -> DataFrame:
+        """(query, doc_id, bm25) with all of the k best texts per query: every text against every query, in products."""
+        per_query = asked.where(F.col(query_id).isNotNull()).groupBy(query_id).agg(F.sort_array(F.collect_list(F.struct("term", "idf"))).alias("terms"))
+        floored = per_query.join(floors, query_id, "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)) - SLACK)
+        n = per_query.count()
+        blocks = materialise(floored.groupBy(F.pmod(F.hash(query_id), F.lit(-(-n // QUERIES) or 1)).alias("block")).agg(
+            F.collect_list(F.struct(F.col(query_id).alias("query"), "floor", "terms")).alias("queries")), "query_blocks")
+        kind, asks = (df.schema[c].dataType.simpleString() for df, c in ((self.texts, "doc_id"), (asked, query_id)))
+        chunks = self.texts.where("doc_id IS NOT NULL").select("doc_id", "len", "terms", "tfs").mapInArrow(
+            _chunks, f"doc_ids array<{kind}>, lens array<bigint>, sizes array<int>, words array<string>, tfs array<bigint>")
+        beside = chunks.crossJoin(blocks.join(self.size.select("avg_len")))
+        return beside.mapInArrow(partial(_scan, k=k, names=(query_id, "doc_id", "bm25")), f"{query_id} {asks}, doc_id {kind}, bm25 double")
+
     def floors(self, asked: DataFrame, k: int, query_id: str) -> DataFrame:
         """(query, floor): a score that the k-th best text reaches; queries with fewer texts in view have none."""
         leading = Window.partitionBy(query_id).orderBy(F.col("top").desc(), "term")

@@ -309,6 +309,27 @@ def test_blocks_below_the_floor_are_not_read(spark, tmp_path, monkeypatch):
     assert [r.doc_id for r in index.search(queries, 5, "item_id", "text").orderBy("rank").collect()] == [1000 + i for i in range(5)]
 
 
+def test_common_words_are_scored_in_one_scan(spark, tmp_path, monkeypatch):
+    for name, value in {"QUERIES": 2, "TEXTS": 7, "TERMS": 20, "ROWS": 3}.items():
+        monkeypatch.setattr(lx, name, value)
+    monkeypatch.setattr(lx.TextIndex, "in_reach", lambda *_: pytest.fail("postings of common words were read"))
+    rng = np.random.default_rng(2)
+    words = lambda n: " ".join(rng.choice(list("abcdefg"), n))
+    docs = {i: words(int(rng.integers(0, 12))) for i in range(90)}
+    queries = {i: words(4) for i in range(9)} | {9: "nowhere"}
+    index = lx.build(spark.createDataFrame([*docs.items(), (None, "a b c")], "doc_id long, text string"), str(tmp_path / "texts"))
+    # the text without an id counts in the corpus and is no result
+    want = exhaustive({i: t.split() for i, t in docs.items()} | {-1: list("abc")}, {i: t.split() for i, t in queries.items()}, 95)
+    want = sorted((q, d, s) for q, d, _, s in want if d != -1)
+    got = lx.bm25_topk(spark.createDataFrame([*queries.items()], "item_id long, text string"), index, 95)
+    assert sorted((r.item_id, r.doc_id, round(r.bm25, 6)) for r in got.collect()) == want
+    few = lx.bm25_topk(spark.createDataFrame([*queries.items()], "item_id long, text string"), index, 3).collect()
+    kept = {}
+    for q, d, s in sorted(want, key=lambda r: (r[0], -r[2], r[1])):
+        kept.setdefault(q, []).append(d)
+    assert {(r.item_id, r.rank): r.doc_id for r in few} == {(q, n + 1): d for q, ids in kept.items() for n, d in enumerate(ids[:3])}
+
+
 def test_frequent_terms_lie_in_many_shards(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(lx, "SHARD", 50)
     monkeypatch.setattr(lx, "BLOCK", 10)
