@@ -44,7 +44,7 @@ def fold(text: Column) -> Column:
     """Lower case without accents; exact for every character that can reach a token.
 
     One `translate` covers the one-to-one foldings. The few characters that expand to several are
-    replaced only in rows that contain one.
+    replaced only in rows that contain one. Texts of one byte per character need none of it.
     """
     source, target, many = fold_tables()
     rare = char_class([c for c, _ in many])
@@ -57,7 +57,8 @@ def fold(text: Column) -> Column:
         full = F.aggregate(present, low, lambda acc, p: F.replace(acc, p["c"], p["x"]))
         return F.when(low.rlike(rare), full).otherwise(low)
 
-    return let(F.translate(F.lower(text), source, target), expand)
+    folded = let(F.translate(F.lower(text), source, target), expand)
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(folded)
 
 
 def tokenize(text: Column) -> Column:
