@@ -137,7 +137,8 @@ class ListIndex:
         lists = materialise(self.probe(asked.select(F.col("probe_id").alias("event_id"), knn.unit(F.col("embedding")).alias("unit")), nprobe), "probed_lists")
         near = knn.only(self.rows, lists.where("top >= 0"), ["top"])
         keyed = lists.select(F.col("event_id").alias("probe_id"), F.col("list_id").alias("key")).join(asked, "probe_id")
-        return knn.tile_best(near, keyed, "list_id")
+        hits = knn.tile_best(near, keyed, "list_id").drop("probe_rank").join(asked.select("probe_id", "lim"), "probe_id")
+        return knn.best(hits, F.col("lim")).drop("lim")
 
 
 def build(vectors: DataFrame, path: str, top: int, sub: int, rounds: int = ROUNDS) -> ListIndex:

@@ -65,8 +65,9 @@ def nearest(index: DataFrame, probes: DataFrame, k: int = TOP_K, fallback: bool
 
 
 def _ranked(hits: DataFrame, probes: DataFrame, in_window: bool) -> DataFrame:
-    """`hits` (probe_id, event_id, score, probe_rank) with the question of their probe."""
-    ranked = hits.join(probes.select("probe_id", "question_id"), "probe_id")
+    """`hits` (probe_id, event_id, score) with the question of their probe; rows of a repeated probe count each time."""
+    info = probes.select("probe_id", "question_id", "lim")
+    ranked = knn.best(hits.select("probe_id", "event_id", "score").join(info, "probe_id"), F.col("lim"))
     return ranked.select("question_id", "probe_id", "event_id", "score", "probe_rank", F.lit(in_window).alias("in_window"))
 
 

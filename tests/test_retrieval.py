@@ -131,6 +131,15 @@ def test_rows_in_any_order_make_few_chunks():
     assert ids == [f"e{i:03}" for i in range(2, 500, 5)] and x[:, 0].tolist() == list(range(2, 500, 5))
 
 
+def test_rows_of_a_repeated_probe_count_each_time(spark):
+    index = spark.createDataFrame(
+        [(f"e{i}", "A", None, [1.0, float(i)]) for i in range(9)], "event_id string, station string, start_ts timestamp, embedding array<double>")
+    probe = ("p", "q", None, None, None, 8, [1.0, 0.0])
+    probes = spark.createDataFrame([probe, probe], "probe_id string, question_id string, station string, lo_us long, hi_us long, lim int, embedding array<double>")
+    got = sorted((r.probe_rank, r.event_id) for r in rt.nearest(index, probes).collect())
+    assert got == [(n + 1, f"e{n // 4}") for n in range(8)]  # two probes, each joined with two
+
+
 def test_vectors_of_probes_are_not_broadcast(world):
     index, questions = world
     found = knn.tile_hits(knn.laid_out(index), rt.vector_probes(questions).select("probe_id", F.col("station").alias("key"), "lim", "embedding"))
