@@ -39,11 +39,14 @@ def neutral(answer: Column) -> Column:
 
 def swap_numbers(answer: Column, question: Column, contexts: Column) -> Column:
     """Shift the first two numbers that the context supports to values it does not contain;
-    the decimal mark is kept. Null without such a number."""
-    known = numbers_in(F.array_join(contexts, " "))
-    numbers = F.struct(
-        known.alias("known"), F.array_union(known, numbers_in(question)).alias("allowed")
-    )
+    the decimal mark is kept. Null without such a number.
+
+    Contexts are the longest text here: they are read once, and only for an answer that has a number.
+    """
+    def with_allowed(known: Column) -> Column:
+        return F.struct(known.alias("known"), F.array_union(known, numbers_in(question)).alias("allowed"))
+
+    numbers = let(numbers_in(F.array_join(contexts, " ")), with_allowed)
     cited = F.array_distinct(F.regexp_extract_all(answer, F.lit(NUMBER), F.lit(0)))
 
     def swaps(n: Column) -> Column:
@@ -55,7 +58,7 @@ def swap_numbers(answer: Column, question: Column, contexts: Column) -> Column:
             s.alias("old"), _shifted(s, i, n["allowed"]).alias("new")
         ))
 
-    changed = F.aggregate(
+    swapped = F.aggregate(
         let(numbers, swaps), answer,
         lambda text, p: F.regexp_replace(
             text,
@@ -66,7 +69,8 @@ def swap_numbers(answer: Column, question: Column, contexts: Column) -> Column:
             p["new"],
         ),
     )
-    return F.when(changed != answer, changed)
+    changed = let(swapped, lambda text: F.when(text != answer, text))
+    return F.when(answer.rlike(NUMBER) & (F.size(contexts) > 0), changed)
 
 
 def _shifted(number: Column, position: Column, allowed: Column) -> Column:
