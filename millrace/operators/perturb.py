@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.columns import let
@@ -148,6 +148,8 @@ def _station_sets(answers: DataFrame) -> DataFrame:
 
 #: Branches of a node of the counting tree, as a power of two.
 FAN_BITS = 6
+#: First places of a pool that are looked at directly, and answers of a run with one id above which its answers go through the tree.
+FRONT, CROWDED = 1000, 64
 
 
 def _subsets(items: Column) -> Column:
@@ -161,11 +163,15 @@ def _subsets(items: Column) -> Column:
     return F.transform(every, lambda d: F.struct(d["sign"].alias("sign"), F.unhex(F.md5(F.array_join(d["part"], "\x1f"))).alias("part")))
 
 
-def _marks(rows: DataFrame, *columns: str) -> DataFrame:
-    """One row per subset of what a row shares with others: its retrieved ids and its question."""
+def _shared() -> Column:
+    """What a row shares with others: its retrieved ids and its question."""
     ids = F.filter("retrieved_ids", lambda x: x.isNotNull())
-    shared = F.array_sort(F.array_distinct(F.concat(ids, F.array(F.concat(F.lit("q:"), "id")))))
-    return rows.select(*columns, F.inline(_subsets(shared)))
+    return F.array_sort(F.array_distinct(F.concat(ids, F.array(F.concat(F.lit("q:"), "id")))))
+
+
+def _marks(rows: DataFrame, *columns: str) -> DataFrame:
+    """One row per subset of what a row shares with others."""
+    return rows.select(*columns, F.inline(_subsets(_shared())))
 
 
 def _count_tree(places: DataFrame, key: list[str], levels: int) -> DataFrame:
@@ -197,30 +203,88 @@ def _step_over(at: Column, n: Column) -> Column:
         F.when(found, at["left"]).otherwise(at["left"] - n).alias("left"), found.alias("found"))
 
 
+def _allowed(asked: DataFrame, pool: DataFrame) -> DataFrame:
+    """(run, ans_key, ctx_set): distinct station sets on both sides that have no station in common; compares sets and not rows."""
+    sets = asked.select("run", "ans_key").distinct().withColumn(
+        "_ans", F.filter(F.split("ans_key", r"\|"), lambda c: c != "")
+    )
+    return sets.join(pool.select("run", "ctx_set").distinct(), "run").where(
+        ~F.arrays_overlap("_ans", "ctx_set")
+    ).select("run", "ans_key", "ctx_set")
+
+
+def _front(pool: DataFrame, allowed: DataFrame) -> DataFrame:
+    """The first FRONT places of each pool, counted from 0. The limit of a context set comes before its rows move."""
+    order = ["id", "system"]
+    first = pool.select("run", "ctx_set", *order, "retrieved_ids").withColumn(
+        "_no", F.row_number().over(Window.partitionBy("run", "ctx_set").orderBy(*order))).where(F.col("_no") <= FRONT)
+    place = F.row_number().over(Window.partitionBy("run", "ans_key").orderBy(*order))
+    numbered = first.join(allowed, ["run", "ctx_set"]).withColumn("_no", place).where(F.col("_no") <= FRONT)
+    return numbered.select("run", "ans_key", *order, "retrieved_ids", (F.col("_no") - 1).alias("_no"))
+
+
+def _settle(asked: DataFrame, pool: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(chosen rows, asked rows left over): answers whose wanted place is told by the first FRONT places of their pool.
+
+    The number of free places n only matters if it is not above len(answer). An answer without a crowded id rules out CROWDED
+    places per id at most, so in a larger pool the wanted place is free place number len(answer), and only ruled out places before it
+    have to be known.
+    """
+    who, key = ["run", "id", "system"], ["run", "ans_key"]
+    mark = F.explode(_shared()).alias("mark")
+    allowed = materialise(_allowed(asked, pool), "foreign-allowed")
+    counts = pool.groupBy("run", "ctx_set").agg(F.count(F.lit(1)).alias("n"))
+    sizes = materialise(counts.join(allowed, ["run", "ctx_set"]).groupBy(*key).agg(F.sum("n").alias("_pool")), "foreign-sizes")
+    crowded = materialise(
+        pool.select("run", mark).groupBy("run", "mark").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWDED).select("run", "mark"),
+        "foreign-crowded")
+    front = materialise(_front(pool, allowed), "foreign-front")
+    slow = asked.select(*who, mark).join(crowded, ["run", "mark"], "left_semi").select(*who).distinct()
+    places = front.dropna(subset=who).select(*key, "_no", mark)
+    out = asked.select(*who, "ans_key", mark).join(places, [*key, "mark"]).groupBy(*who, "ans_key").agg(
+        F.sort_array(F.collect_set("_no")).alias("out"))
+    rows = asked.join(sizes, key).join(out, [*who, "ans_key"], "left").join(slow.withColumn("_slow", F.lit(True)), who, "left")
+    rows = rows.withColumn("out", F.coalesce("out", F.array().cast("array<int>"))).withColumns({
+        "_whole": F.col("_pool") <= FRONT, "_n": F.col("_pool") - F.size("out"),
+        "_sure": F.col("_pool") - CROWDED * F.size(_shared()) > F.col("_len")})
+    wanted = F.when(F.col("_whole"), F.when(F.col("_n") > 0, F.col("_len") % F.col("_n"))).otherwise(F.col("_len")).cast("int")
+    place = F.aggregate("out", wanted, lambda at, o: F.when(o <= at, at + 1).otherwise(at))
+    rows = rows.withColumn("_no", place)
+    told = F.col("_slow").isNull() & (F.col("_whole") | (F.col("_sure") & (F.col("_no") < FRONT)))
+    rows = materialise(rows.select(*asked.columns, "_no", F.coalesce(told, F.lit(False)).alias("_told")), "foreign-settled")
+    names = front.select(*key, "_no", F.col("id").alias("foreign_id"), F.col("system").alias("foreign_system"))
+    chosen = rows.where("_told").select(*who, "ans_key", "_no").join(names, [*key, "_no"]).select(*who, "foreign_id", "foreign_system")
+    return chosen, rows.where("not _told").select(*asked.columns)
+
+
 def foreign_context(asked: DataFrame, answers: DataFrame) -> DataFrame:
     """For each asked answer the (id, system) of another question of its run that shares no
     retrieved id and whose contexts name none of the answer's stations: number len(answer) mod n
     in (id, system) order.
 
     `asked` is the sample under study, `answers` the whole pool. The admissible pool depends only
-    on the station set of the answer, of which there are few, and is numbered once per set. How many
-    positions up to some point an answer's own few ids rule out is a sum over the subsets of these ids, with alternating signs,
-    of the rows that have the whole subset. These counts are kept in a tree over positions, and the wanted row is found by
-    descending it, one branch per level: nothing of the size (answers x answers that share an id) is made.
+    on the station set of the answer, of which there are few. Most answers are settled by the first places of their pool
+    (`_settle`); the others, with an id that many answers share or a place far behind, by a counting tree (`_search`).
     """
     pool = materialise(_station_sets(answers.where(
         F.col("system").startswith("rag_") & (F.size("retrieved_contexts") > 0)
     )), "foreign-pool")
     asked = materialise(_station_sets(asked).drop("ctx_set", "_contexts"), "foreign-asked")
+    chosen, rest = _settle(asked, pool)
+    return chosen if rest.isEmpty() else chosen.unionByName(_search(rest, pool))
+
+
+def _search(asked: DataFrame, pool: DataFrame) -> DataFrame:
+    """The rows of `foreign_context` by a descent of a counting tree.
+
+    The pool is numbered once per station set of an answer. How many
+    positions up to some point an answer's own few ids rule out is a sum over the subsets of these ids, with alternating signs,
+    of the rows that have the whole subset. These counts are kept in a tree over positions, and the wanted row is found by
+    descending it, one branch per level: nothing of the size (answers x answers that share an id) is made.
+    """
     key = ["run", "ans_key"]
     who = ["run", "id", "system"]
-    sets = asked.select(*key).distinct().withColumn(
-        "_ans", F.filter(F.split("ans_key", r"\|"), lambda c: c != "")
-    )
-    # Distinct station sets on both sides, so this compares sets and not rows.
-    allowed = sets.join(pool.select("run", "ctx_set").distinct(), "run").where(
-        ~F.arrays_overlap("_ans", "ctx_set")
-    ).select(*key, "ctx_set")
+    allowed = _allowed(asked, pool)
     numbered = row_numbers(
         pool.select(*who, "ctx_set").join(allowed, ["run", "ctx_set"]).select(*key, "id", "system"),
         key, ["id", "system"], "_no",
