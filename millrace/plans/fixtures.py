@@ -50,8 +50,10 @@ def _station(code: Column) -> Column:
     return F.element_at(F.array(*[F.lit(s) for s in STATIONS]), (code % len(STATIONS) + 1).cast("int"))
 
 
-def factory_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = spread(table(spark, sf_dir, "events"))
+def factory_events(spark: SparkSession, sf_dir: str, ids: DataFrame | None = None) -> DataFrame:
+    """The machine log; with `ids` (event_id) only those events, chosen before anything is parsed or moved."""
+    ev = table(spark, sf_dir, "events")
+    ev = spread(ev) if ids is None else ev.join(ids, "event_id", "left_semi")
     work = F.create_map(*[F.lit(x) for kv in WORK_TASKS.items() for x in kv])
     kind = F.col("event_type")
     return ev.select(
@@ -135,8 +137,12 @@ PAIR_WINDOW_S = 60.0
 
 
 def index_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events with a vector in the role of the searchable table."""
-    ev = factory_events(spark, sf_dir).drop("split")
+    """The searchable table, written once per session and folder as the pipeline would keep it; questions read it several times."""
+    return spark.read.parquet(_stored(spark, sf_dir, "index_rows", lambda path: index_rows(spark, sf_dir).write.parquet(path)))
+
+
+def index_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with a vector."""
     vec = table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("event_id"), "embedding", "label"
     )
@@ -145,6 +151,7 @@ def index_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("Estação "), "station", F.lit(" ficou "), "current_state", F.lit(" por "),
         num1(F.col("current_task_duration")), F.lit("s, leitura k "), F.col("sensors")["k"],
         F.lit(" m "), F.col("sensors")["m"], F.lit("."),
+    ev = factory_events(spark, sf_dir, vec.select("event_id")).drop("split")
     )
     return rows.select(
         F.col("event_id").alias("vec_id"),

@@ -352,3 +352,9 @@ def test_fusion_ties_follow_dense_order(spark):
     df = spark.createDataFrame(rows, "question_id string, event_id string, rank int, bm25 double")
     got = {(r.question_id, r.event_id): r.rank for r in lx.fuse(df).collect()}
     assert got == {("q", "a"): 1, ("q", "b"): 2, ("one", "a"): 1}
+
+
+def test_questions_read_the_stored_index_rows(spark):
+    """The log is read once for the index rows, not by every reader of questions."""
+    files = fx.questions(spark, SMALL).inputFiles()
+    assert files and not any("events.parquet" in f for f in files)
