@@ -151,8 +151,7 @@ def _generation_columns(df: DataFrame) -> DataFrame:
 @query
 def read_generations(s, d):
     path = scratch_path(s, "generations")
-    rows = _generation_columns(fx.generations(s, d))
-    rows.withColumn("folder", rs.run_slug(F.col("model"))).write.partitionBy("folder").json(path)
+    rs.write_generations(_generation_columns(fx.generations(s, d)), path, fx.RUNS)
     return _generation_view(rs.read_generations(s, path))
 
 

@@ -69,6 +69,16 @@ def run_folder(model: Column, prompt: Column, rerank: Column, legacy_model: str)
     )
 
 
+def write_generations(rows: DataFrame, path: str, models: Sequence[str]) -> None:
+    """JSONL under <path>/<run folder>/, a pass over the rows per model of `models`.
+
+    A single partitioned write sorts the wide rows of a task by folder, which holds them all in memory.
+    """
+    for model in models:
+        slug = rows.sparkSession.range(1).select(run_slug(F.lit(model))).first()[0]
+        rows.where(F.col("model") == model).write.json(f"{path}/folder={slug}")
+
+
 def read_generations(spark: SparkSession, path: str) -> DataFrame:
     """JSONL under <path>/<run folder>/; a missing model name falls back to the folder."""
     rows = spark.read.schema(GENERATION_SCHEMA).option("recursiveFileLookup", "true").json(path)
