@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.session import materialise
+
 GOLDEN_SCHEMA = (
     "id string, tier string, subtype string, question string, reference string, "
     "evidence_episode_ids array<string>, evidence_mode string, "
@@ -70,10 +72,11 @@ def run_folder(model: Column, prompt: Column, rerank: Column, legacy_model: str)
 
 
 def write_generations(rows: DataFrame, path: str, models: Sequence[str]) -> None:
-    """JSONL under <path>/<run folder>/, a pass over the rows per model of `models`.
+    """JSONL under <path>/<run folder>/, a pass over the stored rows per model of `models`.
 
     A single partitioned write sorts the wide rows of a task by folder, which holds them all in memory.
     """
+    rows = materialise(rows, "generations")
     for model in models:
         slug = rows.sparkSession.range(1).select(run_slug(F.lit(model))).first()[0]
         rows.where(F.col("model") == model).write.json(f"{path}/folder={slug}")
