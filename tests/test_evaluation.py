@@ -258,3 +258,71 @@ def test_foreign_context_with_an_id_that_a_third_retrieves(spark, monkeypatch, f
 def test_common_questions_and_pairs(spark):
     rows = table(spark, [("r1", "s", "1"), ("r2", "s", "1"), ("r1", "s", "2")], "run string, system string, id string")
     assert [tuple(r) for r in mt.common_questions(rows).collect()] == [("s", "1")]
+
+
+@pytest.mark.parametrize("front", [5, 1000])
+def test_foreign_context_is_settled_by_first_places(spark, monkeypatch, front):
+    """Answers whose ids few others share need no counting tree; those with a place behind the first ones still get it."""
+    monkeypatch.setattr(pt, "FRONT", front)
+    if front == 1000:
+        monkeypatch.setattr(pt, "_count_tree", None)
+    rng = random.Random(front)
+    rows = [
+        ("r", f"q{k // 2:04}", ("rag_a", "rag_b")[k % 2], [f"e{(k + j) // 3}" for j in range(rng.randint(0, 3))],
+         [f"em {rng.choice(['MM_1', 'EC_1', 'SM_1'])}"], "x" * rng.randint(0, 90) + rng.choice(["", " MM_1", " EC_1 MM_1"]))
+        for k in range(300)
+    ]
+    df = spark.createDataFrame(rows, "run string, id string, system string, retrieved_ids array<string>, retrieved_contexts array<string>, answer string")
+    got = {(r.run, r.id, r.system): (r.foreign_id, r.foreign_system) for r in pt.foreign_context(df, df).collect()}
+    assert got == foreign_by_hand(df.collect())
+
+
+def test_foreign_context_beyond_the_front_of_a_large_pool(spark, monkeypatch):
+    """A pool larger than the front, where the wanted place is told without the size of the pool."""
+    monkeypatch.setattr(pt, "FRONT", 60)
+    monkeypatch.setattr(pt, "CROWDED", 4)
+    rng = random.Random(7)
+    rows = [("r", f"q{k:04}", "rag_a", [f"e{k // 2}"], [f"em {rng.choice(['MM_1', 'EC_1'])}"], "x" * rng.randint(0, 70) + rng.choice(["", " MM_1"]))
+            for k in range(300)]
+    df = spark.createDataFrame(rows, "run string, id string, system string, retrieved_ids array<string>, retrieved_contexts array<string>, answer string")
+    got = {(r.run, r.id, r.system): (r.foreign_id, r.foreign_system) for r in pt.foreign_context(df, df).collect()}
+    assert got == foreign_by_hand(df.collect())
+
+
+def plan_of(df, capsys):
+    capsys.readouterr()
+    df.explain(True)
+    return capsys.readouterr().out.split("== Analyzed Logical Plan ==")[1].split("== Optimized Logical Plan ==")[0]
+
+
+def test_contexts_are_read_once_for_a_swap(spark, capsys):
+    df = spark.createDataFrame([("a 3.2", "q", ["3.2"])], "a string, q string, c array<string>")
+    plan = plan_of(df.select(pt.swap_numbers(F.col("a"), F.col("q"), F.col("c")).alias("x")), capsys)
+    assert plan.count("array_join(c") == 1
+
+
+def test_no_number_and_no_context_are_left_alone(spark):
+    df = spark.createDataFrame([("a 3.2", "q", None), ("a 3.2", "q", []), (None, "q", ["3.2"]), ("a 3.2", None, ["3.2"])], "a string, q string, c array<string>")
+    got = [r.x for r in df.select(pt.swap_numbers(F.col("a"), F.col("q"), F.col("c")).alias("x")).collect()]
+    assert got == [None, None, None, "a 10.5"]
+
+
+def written(monkeypatch):
+    labels, write = [], st.materialise
+    monkeypatch.setattr(st, "materialise", lambda df, label: labels.append(label) or write(df, label))
+    return labels
+
+
+def test_pairs_are_made_once_for_means_and_replicates(spark, monkeypatch):
+    labels = written(monkeypatch)
+    df = spark.createDataFrame([("r", 1.0, 0.5), ("r", 0.5, 0.5)], "run string, a double, b double")
+    assert st.paired_bootstrap(df, ["run"], 20).first()["diff"] == 0.25
+    assert st.bootstrap_ci(df, ["run"], "a", 20).first()["mean"] == 0.75
+    assert labels == ["differences", "values"]
+
+
+def test_label_pool_is_made_once(spark, monkeypatch):
+    labels = written(monkeypatch)
+    df = spark.createDataFrame([("r", "s", f"{k}", k / 10) for k in range(10)], "run string, system string, id string, faithfulness double")
+    assert st.label_sample(df, 3).count() == 3
+    assert labels[0] == "label-pool"
