@@ -237,15 +237,10 @@ def sensor_delta(start: Column, end: Column) -> Column:
     changed = F.filter(
         keys, lambda k: ~_same_value(F.try_element_at(start, k), F.try_element_at(end, k))
     )
-    return F.map_from_arrays(
-        changed,
-        F.transform(
-            changed,
-            lambda k: F.struct(
-                F.try_element_at(start, k).alias("start"), F.try_element_at(end, k).alias("end")
-            ),
-        ),
-    )
+    # Entries, so that the comparison is made once and not for keys and values.
+    return F.map_from_entries(F.transform(changed, lambda k: F.struct(k.alias("key"), F.struct(
+        F.try_element_at(start, k).alias("start"), F.try_element_at(end, k).alias("end")
+    ).alias("value"))))
 
 
 def _milliseconds(duration: Column) -> Column:

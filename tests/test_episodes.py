@@ -182,3 +182,12 @@ def test_runs_reach_over_arrow_batches(spark, records):
         assert numbers.where("a <> b").count() == 0
     finally:
         spark.conf.set(name, old)
+
+
+def test_changes_are_compared_once(spark, capsys):
+    df = spark.createDataFrame([({"a": "1", "b": "2"}, {"a": "1.0", "b": "3"})], "s map<string,string>, e map<string,string>")
+    out = df.select(ep.sensor_delta(F.col("s"), F.col("e")).alias("d"))
+    assert {k: tuple(v) for k, v in out.first().d.items()} == {"b": ("2", "3")}
+    out.explain(True)
+    plan = capsys.readouterr().out.split("== Analyzed Logical Plan ==")[1].split("== Optimized Logical Plan ==")[0]
+    assert plan.count("array_union(") == 1
