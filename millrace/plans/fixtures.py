@@ -32,14 +32,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Rows of a source that one task parses and sorts.
+ROWS_PER_TASK = 250_000
+
+
 def spread(rows: DataFrame) -> DataFrame:
-    """The rows over all cores if the source has fewer splits than there are cores.
+    """The rows over all cores, at most about ROWS_PER_TASK to a task, if the source has fewer splits than that takes.
 
-    Parsing is bound by the processor, and a test file is one row group; a table of many files is
-    left where it is.
+    Parsing is bound by the processor, and parsed lines are sorted by the task that parsed them; a source has a split per
+    core or per row group, whatever its rows. A table of many files is left where it is.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    tasks = max(cores, -(-rows.count() // ROWS_PER_TASK))
+    return rows.repartition(tasks) if rows.rdd.getNumPartitions() < tasks else rows
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,12 +151,12 @@ def index_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     vec = table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("event_id"), "embedding", "label"
     )
+    ev = factory_events(spark, sf_dir, vec.select("event_id")).drop("split")
     rows = ev.join(vec, "event_id")
     log = F.concat(
         F.lit("Estação "), "station", F.lit(" ficou "), "current_state", F.lit(" por "),
         num1(F.col("current_task_duration")), F.lit("s, leitura k "), F.col("sensors")["k"],
         F.lit(" m "), F.col("sensors")["m"], F.lit("."),
-    ev = factory_events(spark, sf_dir, vec.select("event_id")).drop("split")
     )
     return rows.select(
         F.col("event_id").alias("vec_id"),

@@ -1,3 +1,4 @@
+from millrace.plans import fixtures as fx
 from millrace.sources import results as rs
 from millrace.sources import silver as sv
 
@@ -85,3 +86,15 @@ def test_run_names(spark):
         rs.run_folder(F.lit("M x"), F.lit("brando"), F.lit("bm25"), "m").alias("folder"),
     ).first()
     assert tuple(row) == ("qwen2.5-7b", "qwen", "7b", "m[brando]+bm25", ".", "m-x__brando__bm25")
+
+
+def test_tasks_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(fx, "ROWS_PER_TASK", 50)
+    assert fx.spread(spark.range(1000)).rdd.getNumPartitions() == 20
+
+
+def test_generations_are_written_by_run_folder(spark, tmp_path):
+    rows = spark.createDataFrame([("a:7b", "1"), ("b:9b", "2"), ("b:9b", "3")], "model string, id string")
+    rs.write_generations(rows, str(tmp_path / "g"), ("a:7b", "b:9b"))
+    assert sorted(p.name for p in (tmp_path / "g").iterdir() if p.is_dir()) == ["folder=a-7b", "folder=b-9b"]
+    assert sorted((r.model, r.id) for r in rs.read_generations(spark, str(tmp_path / "g")).collect()) == [("a:7b", "1"), ("b:9b", "2"), ("b:9b", "3")]
