@@ -12,15 +12,15 @@ half of the pieces are left, since pieces of a kind that fills no bin won't in a
 from __future__ import annotations
 
 import os
-import sys
+import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,12 +34,17 @@ REOPEN = 0.95
 #: Bins of a room that are tried for an exchange of one piece for two, and shortest pieces of a full bin that form pairs.
 TRIED_BINS = 4
 PAIRED_PIECES = 5
-#: Chunks of text whose ids a task remembers before it starts anew, and bytes of text handled at once.
+#: Words and other chunks whose ids a task remembers before it keeps only short ones, and bytes of text handled at once.
 REMEMBERED = 500_000
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 8 << 20
 SHORT = 8
+#: Words that go to the library's model in one call.
+LINE_WORDS = 200
 #: Marks that form one pre-token of their own behind letters.
 MARKS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
+#: A word with such marks. Its last letter may be none that lower case or NFC takes apart, as they do some from U+0130, U+0900 and U+FB1D on:
+#: the mark this leaves is no letter, and forms one pre-token with those behind it.
+WORD_AND_MARKS = rf"^(?P<word>\pL*[^\PL\x{{130}}\x{{900}}-\x{{fff}}\x{{fb1d}}-\x{{fb4f}}])(?P<marks>[{re.escape(MARKS)}]+)$"
 
 PIECES = "doc_id {id}, piece int, start long, length long, ids array<int>, ids_crc32 long"
 
@@ -57,60 +62,76 @@ def _library(path: str):
     return Tokenizer.from_file(path)
 
 
+@lru_cache(maxsize=2)
+def _model_alone(path: str):
+    """The library's model for words between blanks, which are neither normalised nor split."""
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+    out = Tokenizer.from_file(path)
+    out.normalizer = normalizers.Sequence([])
+    out.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
+    return out
+
+
 class Ids:
-    """Ids of whole texts as little-endian 32-bit bytes, by the library, remembered by chunks between blanks.
+    """Ids of whole texts by the library, remembered by words and by other chunks between blanks.
 
-    White space separates pre-tokens in vocabularies that drop it, so chunks are independent.
+    White space separates pre-tokens in vocabularies that drop it, so chunks are independent; letters and the
+    marks behind them are two pre-tokens, each with ids of its own.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core already
-        self.library = _library(path)
+        self.library, self.model = _library(path), _model_alone(path)
         self.known: dict[str, bytes] = {"": b""}
 
-    def _encode(self, chunks: list[str]) -> list[bytes]:
-        """A word of Latin-1 letters is one pre-token, which goes to the library's model as it is;
-        any other chunk goes through the library's whole chain."""
-        tokenize, encode = self.library.model.tokenize, self.library.encode
-        out = []
+    def _encode_words(self, words: list[str]) -> None:
+        """A word of Latin-1 letters is one pre-token: it goes to the library's model as it is, many in a line."""
+        shown = [w.lower().encode().decode("latin-1").translate(_SHOWN) for w in words]
+        for start in range(0, len(words), LINE_WORDS):
+            line = self.model.encode(" ".join(shown[start : start + LINE_WORDS]), add_special_tokens=False)
+            ids = np.array(line.ids, "<u4").tobytes()
+            ends = (4 * np.cumsum(np.bincount(line.word_ids))).tolist()
+            part = words[start : start + LINE_WORDS]
+            self.known.update(zip(part, map(ids.__getitem__, map(slice, [0, *ends], ends)), strict=True))
+
+    def _learn(self, chunks: list[str]) -> None:
+        """A chunk that isn't a word of Latin-1 letters goes through the library's whole chain."""
+        words = []
         for c in chunks:
+            if c in self.known:
+                continue
             if c.isalpha() and (c.isascii() or max(c) <= "\xff"):
-                ids = [t.id for t in tokenize(c.lower().encode().decode("latin-1").translate(_SHOWN))]
-            else:
-                ids = encode(c, add_special_tokens=False).ids
-            out.append(np.array(ids, "<u4").tobytes() if sys.byteorder == "big" else array("I", ids).tobytes())
-        return out
-
-    def _learn(self, chunks: set[str]) -> None:
-        known = self.known
-        new = [c for c in chunks if c not in known]
-        # Letters with marks behind them are two pre-tokens, each with ids of its own.
-        plain, marked = set(), []
-        for c in new:
-            base = c.rstrip(MARKS)
-            if len(base) < len(c) and base.isalpha():
-                tail = c[len(base) :]
-                marked.append((c, base, tail))
-                plain.add(base)
-                plain.add(tail)
+                words.append(c)
             else:
-                plain.add(c)
-        todo = [c for c in plain if c not in known]
-        known.update(zip(todo, self._encode(todo)))
-        for c, base, tail in marked:
-            known[c] = known[base] + known[tail]
+                self.known[c] = np.array(self.library.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
+        self._encode_words(words)
 
     def _forget(self) -> None:
         """Keep short chunks, which come back most often; all go if these alone are too many."""
         short = {c: ids for c, ids in self.known.items() if len(c) <= SHORT}
         self.known = short if len(short) < REMEMBERED // 2 else {"": b""}
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [_folded(t).split(" ") for t in texts]
+    def _of_chunks(self, chunks: pa.Array) -> pa.Array:
+        """Ids of each distinct chunk, as bytes."""
+        word, marks = pc.extract_regex(chunks, WORD_AND_MARKS).flatten()  # nulls where a chunk is anything else
+        parts = pa.concat_arrays([pc.coalesce(word, chunks), pc.fill_null(marks, "")]).dictionary_encode()
+        names = parts.dictionary.to_pylist()
+        self._learn(names)
+        ids = pa.array(map(self.known.__getitem__, names), pa.large_binary()).take(parts.indices)
+        return pc.binary_join_element_wise(ids[: len(chunks)], ids[len(chunks) :], pa.scalar(b"", pa.large_binary()))
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and how many each one has."""
         if len(self.known) > REMEMBERED:
             self._forget()
-        self._learn(set().union(*split))
-        return [b"".join(map(self.known.__getitem__, chunks)) for chunks in split]
+        split = pc.split_pattern(_folded(texts), " ")
+        chunks = split.flatten().dictionary_encode()
+        ids = self._of_chunks(chunks.dictionary).take(chunks.indices)
+        ends = np.concatenate([[0], np.cumsum(pc.binary_length(ids).to_numpy() // 4)])
+        n = int(ends[-1])
+        flat = np.frombuffer(ids.buffers()[2], "<u4", n) if n else np.empty(0, "<u4")
+        return flat, np.diff(ends[split.offsets.to_numpy()])
 
 
 @lru_cache(maxsize=1)
@@ -119,15 +140,10 @@ def _ids(path: str) -> Ids:
     return Ids(path)
 
 
-def _folded(text: str) -> str:
+def _folded(texts: pa.Array) -> pa.Array:
     """Line ends as blanks; lower case where that can't change an id: Latin-1 without special strings."""
-    if "<|" not in text:
-        try:
-            text.encode("latin-1")
-            text = text.lower()
-        except UnicodeEncodeError:
-            pass
-    return text.replace("\n", " ")
+    kept = pc.or_(pc.match_substring(texts, "<|"), pc.match_substring_regex(texts, r"[^\x00-\x{ff}]"))
+    return pc.replace_substring(pc.if_else(kept, texts, pc.utf8_lower(texts)), "\n", " ")
 
 
 def tokenised(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0) -> DataFrame:
@@ -139,25 +155,27 @@ def tokenised(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0) -
     handled as the library does by default.
     """
     schema = PIECES.format(id=docs.schema["doc_id"].dataType.simpleString())
-    end = np.uint32(end_id).astype("<u4").tobytes()
-    step = 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = _ids(tokenizer)
         for batch in batches:
             for part in slices(batch, "text", BATCH_BYTES):
-                docs_ids = [x + end for x in ids_of([t or "" for t in part.column("text").to_pylist()])]
-                cuts = [(i, a, x[a : a + step]) for i, x in enumerate(docs_ids) for a in range(0, len(x), step)]
-                flat = np.frombuffer(b"".join(x for _, _, x in cuts), "<u4").astype(np.int32)
-                lengths = np.array([len(x) // 4 for _, _, x in cuts], np.int64)
-                offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-                starts = np.array([a // 4 for _, a, _ in cuts], np.int64)
+                flat, sizes = ids_of(pc.fill_null(part.column("text"), ""))
+                flat = np.insert(flat, np.cumsum(sizes), end_id)
+                sizes = sizes + 1
+                cuts = -(-sizes // capacity)
+                doc = np.repeat(np.arange(len(sizes)), cuts)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+                starts = piece * capacity
+                lengths = np.minimum(sizes[doc] - starts, capacity)
+                offsets = np.concatenate([[0], np.cumsum(lengths)])
+                raw, at = memoryview(flat).cast("B"), (4 * offsets).tolist()
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("doc_id").take(pa.array([i for i, _, _ in cuts], pa.int64())),
-                        pa.array(starts // capacity, pa.int32()), pa.array(starts), pa.array(lengths),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
-                        pa.array([zlib.crc32(x) for _, _, x in cuts], pa.int64()),
+                        part.column("doc_id").take(pa.array(doc)),
+                        pa.array(piece, pa.int32()), pa.array(starts), pa.array(lengths),
+                        pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat.astype(np.int32))),
+                        pa.array([zlib.crc32(raw[a:b]) for a, b in zip(at, at[1:])], pa.int64()),
                     ],
                     ["doc_id", "piece", "start", "length", "ids", "ids_crc32"],
                 )

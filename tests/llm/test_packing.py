@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -131,3 +132,47 @@ def test_rows(spark, monkeypatch):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert packing.packed(packing.tokenised(docs, PATH, 64), 64).count() == 0
+
+
+ODD_TEXTS = [
+    "", "\n", " ", "a  b \n c", "a<|endoftext|>B <|endoftext|>,", "<|StartOfText|>X", "ÄÖÜ, ß µ ª º ÿ Ÿ.", "Слово, слово. СЛОВО!", "it's we'll I'd 'tis a.'",
+    "a\tb\xa0c\x85d", "e\u0301, \u00e9, a\u0338,", "word,. word,<x> <y> a<b", "數據，數據, 数。", "x²³ ½ 1,000.50", "İ, Bİ. İstanbul,", "क़, ग़. בּ,", "ΟΔΟΣ. Å, ſ.",
+    "a\x00b, \x00,", "ﬁ, ŉ.", "🙂 a🙂, ",
+]
+
+
+@pytest.mark.parametrize("remembered", [0, 1_000])
+def test_ids_are_the_librarys(monkeypatch, remembered):
+    """Also for letters that lower case or NFC takes apart into a letter and a mark, with marks behind them."""
+    monkeypatch.setattr(packing, "REMEMBERED", remembered)
+    texts = ODD_TEXTS + [c + tail for c in map(chr, range(0x250)) for tail in ("", ",", "A.", " b")]
+    library, ids_of = Tokenizer.from_file(PATH), packing.Ids(PATH)
+    for start in range(0, len(texts), 500):
+        part = texts[start : start + 500]
+        flat, sizes = ids_of(pa.array(part))
+        expected = [library.encode(t, add_special_tokens=False).ids for t in part]
+        assert sizes.tolist() == list(map(len, expected))
+        assert flat.tolist() == [i for ids in expected for i in ids]
+
+
+def test_words_go_to_the_library_many_at_a_time(monkeypatch):
+    """Words the task has not seen are what ids cost: one call for LINE_WORDS of them, none for known ones with other marks."""
+    monkeypatch.setattr(packing, "LINE_WORDS", 50)
+    ids_of = packing.Ids(PATH)
+    calls = []
+
+    class Counted:
+        def __init__(self, encoder):
+            self.encoder = encoder
+
+        def encode(self, text, **more):
+            calls.append(text)
+            return self.encoder.encode(text, **more)
+
+    ids_of.model, ids_of.library = Counted(ids_of.model), Counted(ids_of.library)
+    words = [f"{a}{b}word" for a in "abcdefghij" for b in "klmnopqrst"]
+    first = ids_of(pa.array([" ".join(words[:60]), " ".join(words[40:])]))
+    assert len(calls) == 2
+    again = ids_of(pa.array([" ".join(f"{w.upper()}," for w in words)]))
+    assert calls[2:] == [","]
+    assert first[1].sum() + sum(again[1]) == len(first[0]) + len(again[0])
