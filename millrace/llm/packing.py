@@ -11,6 +11,7 @@ half of the pieces are left, since pieces of a kind that fills no bin won't in a
 
 from __future__ import annotations
 
+import codecs
 import os
 import re
 import zlib
@@ -35,24 +36,26 @@ REOPEN = 0.95
 TRIED_BINS = 4
 PAIRED_PIECES = 5
 #: Words and other chunks whose ids a task remembers before it keeps only short ones, and bytes of text handled at once.
-REMEMBERED = 500_000
-BATCH_BYTES = 8 << 20
+REMEMBERED = 1_000_000
+BATCH_BYTES = 16 << 20
 SHORT = 8
 #: Words that go to the library's model in one call.
 LINE_WORDS = 200
 #: Marks that form one pre-token of their own behind letters.
 MARKS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
-#: A word with such marks. Its last letter may be none that lower case or NFC takes apart, as they do some from U+0130, U+0900 and U+FB1D on:
-#: the mark this leaves is no letter, and forms one pre-token with those behind it.
-WORD_AND_MARKS = rf"^(?P<word>\pL*[^\PL\x{{130}}\x{{900}}-\x{{fff}}\x{{fb1d}}-\x{{fb4f}}])(?P<marks>[{re.escape(MARKS)}]+)$"
+LATIN_WORD = "^[A-Za-zªµºÀ-ÖØ-öø-ÿ]+$"
+#: A word with such marks. Letters that lower case or NFC takes apart, some from U+0130, U+0900 and U+FB1D on, may leave a mark
+#: at its end, which forms one pre-token with those behind it.
+WORD_AND_MARKS = rf"^(?P<word>[^\PL\x{{130}}\x{{900}}-\x{{fff}}\x{{fb1d}}-\x{{fb4f}}]+)(?P<marks>[{re.escape(MARKS)}]+)$"
+
 
 PIECES = "doc_id {id}, piece int, start long, length long, ids array<int>, ids_crc32 long"
 
 
 # Tokens
 
-#: Character that byte-level vocabularies show for each byte.
-_SHOWN = dict(enumerate(byte_alphabet()))
+#: Character that byte-level vocabularies show for each byte; a blank stays one.
+_SHOWN = "".join(" " if b == 32 else c for b, c in enumerate(byte_alphabet()))
 
 
 @lru_cache(maxsize=2)
@@ -83,49 +86,58 @@ class Ids:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core already
         self.library, self.model = _library(path), _model_alone(path)
-        self.known: dict[str, bytes] = {"": b""}
+        self.names, self.ids = pa.array([""]), pa.array([b""], pa.large_binary())
 
-    def _encode_words(self, words: list[str]) -> None:
+    def _encode_words(self, words: pa.Array) -> pa.Array:
         """A word of Latin-1 letters is one pre-token: it goes to the library's model as it is, many in a line."""
-        shown = [w.lower().encode().decode("latin-1").translate(_SHOWN) for w in words]
-        for start in range(0, len(words), LINE_WORDS):
-            line = self.model.encode(" ".join(shown[start : start + LINE_WORDS]), add_special_tokens=False)
-            ids = np.array(line.ids, "<u4").tobytes()
-            ends = (4 * np.cumsum(np.bincount(line.word_ids))).tolist()
-            part = words[start : start + LINE_WORDS]
-            self.known.update(zip(part, map(ids.__getitem__, map(slice, [0, *ends], ends)), strict=True))
-
-    def _learn(self, chunks: list[str]) -> None:
-        """A chunk that isn't a word of Latin-1 letters goes through the library's whole chain."""
-        words = []
-        for c in chunks:
-            if c in self.known:
-                continue
-            if c.isalpha() and (c.isascii() or max(c) <= "\xff"):
-                words.append(c)
-            else:
-                self.known[c] = np.array(self.library.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
-        self._encode_words(words)
+        names = words.to_pylist()
+        ids, sizes = [np.empty(0, "<u4")], [np.empty(0, np.int64)]
+        for start in range(0, len(names), LINE_WORDS):
+            raw = " ".join(names[start : start + LINE_WORDS]).lower().encode()
+            line = self.model.encode(codecs.charmap_decode(raw, "strict", _SHOWN)[0], add_special_tokens=False)
+            ids.append(np.array(line.ids, "<u4"))
+            sizes.append(np.bincount(line.word_ids))
+        ends = 4 * np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+        if len(ends) != len(names) + 1:
+            raise ValueError("this operator takes vocabularies that give every word a token")
+        return pa.Array.from_buffers(pa.large_binary(), len(names), [None, pa.py_buffer(ends), pa.py_buffer(np.concatenate(ids))])
+
+    def _encode(self, chunk: str) -> bytes:
+        return np.array(self.library.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, chunks: pa.Array) -> None:
+        """Chunks that aren't words of Latin-1 letters go through the library's whole chain."""
+        plain = pc.match_substring_regex(chunks, LATIN_WORD)
+        others = pa.array(map(self._encode, chunks.filter(pc.invert(plain)).to_pylist()), pa.large_binary())
+        ids = pa.concat_arrays([self._encode_words(chunks.filter(plain)), others])
+        place = np.argsort(np.argsort(~plain.to_numpy(zero_copy_only=False), kind="stable"))
+        self.names = pa.concat_arrays([self.names, chunks])
+        self.ids = pa.concat_arrays([self.ids, ids.take(pa.array(place))])
 
     def _forget(self) -> None:
         """Keep short chunks, which come back most often; all go if these alone are too many."""
-        short = {c: ids for c, ids in self.known.items() if len(c) <= SHORT}
-        self.known = short if len(short) < REMEMBERED // 2 else {"": b""}
+        short = pc.less_equal(pc.utf8_length(self.names), SHORT)
+        if pc.sum(short).as_py() >= REMEMBERED // 2:
+            short = pc.equal(self.names, "")
+        self.names, self.ids = self.names.filter(short), self.ids.filter(short)
 
     def _of_chunks(self, chunks: pa.Array) -> pa.Array:
         """Ids of each distinct chunk, as bytes."""
         word, marks = pc.extract_regex(chunks, WORD_AND_MARKS).flatten()  # nulls where a chunk is anything else
         parts = pa.concat_arrays([pc.coalesce(word, chunks), pc.fill_null(marks, "")]).dictionary_encode()
-        names = parts.dictionary.to_pylist()
-        self._learn(names)
-        ids = pa.array(map(self.known.__getitem__, names), pa.large_binary()).take(parts.indices)
+        at = pc.index_in(parts.dictionary, value_set=self.names)
+        if at.null_count:
+            new, first = at.is_null(), len(self.names)
+            self._learn(parts.dictionary.filter(new))
+            at = pc.replace_with_mask(at, new, pa.array(np.arange(first, len(self.names)), at.type))
+        ids = self.ids.take(at.take(parts.indices))
         return pc.binary_join_element_wise(ids[: len(chunks)], ids[len(chunks) :], pa.scalar(b"", pa.large_binary()))
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and how many each one has."""
-        if len(self.known) > REMEMBERED:
+        if len(self.names) > REMEMBERED:
             self._forget()
-        split = pc.split_pattern(_folded(texts), " ")
+        split = pc.split_pattern(_folded(texts.cast(pa.string())), " ")
         chunks = split.flatten().dictionary_encode()
         ids = self._of_chunks(chunks.dictionary).take(chunks.indices)
         ends = np.concatenate([[0], np.cumsum(pc.binary_length(ids).to_numpy() // 4)])
@@ -239,6 +251,7 @@ class Search:
         self.lengths_at = [0] * (capacity + 1)
         self.holders: dict[int, set[int]] = {}
         self.pairs: dict[int, list[int]] = {}  # full bins by sums of two of their shortest pieces
+        self.short: dict[int, list[tuple[int, int, int]]] = {}  # what _short_pairs found, until the bin changes
         for b in range(len(self.bins)):
             self._enter(b)
 
@@ -250,8 +263,8 @@ class Search:
         if not self.bins[b]:
             return
         if not r:
-            for x, y in combinations(self._shortest(b), 2):
-                self.pairs.setdefault(self.length[x] + self.length[y], []).append(b)
+            for total, _, _ in self._short_pairs(b):
+                self.pairs.setdefault(total, []).append(b)
             return
         self.members[r].add(b)
         self.fresh[r].add(b)
@@ -290,6 +303,8 @@ class Search:
             self.bins[target].remove(j)
         self.bins[target] += out
         self.bins[source] += back
+        self.short.pop(source, None)
+        self.short.pop(target, None)
         moved = sum(self.length[i] for i in out) - sum(self.length[j] for j in back)
         self.room[source] += moved
         self.room[target] -= moved
@@ -315,8 +330,8 @@ class Search:
         """(bin, two of its shortest pieces) that are shorter together than `size` and leave room for it."""
         for r in _bits(self.rooms & ((1 << min(size, self.capacity + 1)) - 1)):
             for b in islice(self.members[r], TRIED_BINS):
-                for x, y in combinations(self._shortest(b), 2):
-                    gain = size - self.length[x] - self.length[y]
+                for total, x, y in self._short_pairs(b):
+                    gain = size - total
                     if 0 < gain <= r and gain + room > r:
                         return b, [x, y]
         return None
@@ -355,8 +370,14 @@ class Search:
                 return True
         return False
 
-    def _shortest(self, b: int) -> list[int]:
-        return sorted(self.bins[b], key=self.length.__getitem__)[:PAIRED_PIECES]
+    def _short_pairs(self, b: int) -> list[tuple[int, int, int]]:
+        """(length together, piece, piece) of any two of the bin's shortest pieces."""
+        found = self.short.get(b)
+        if found is None:
+            length = self.length
+            shortest = sorted(self.bins[b], key=length.__getitem__)[:PAIRED_PIECES]
+            found = self.short[b] = [(length[x] + length[y], x, y) for x, y in combinations(shortest, 2)]
+        return found
 
     def _split(self, source: int) -> bool:
         """Change a piece for two of a full bin that are as long together: shorter pieces fit elsewhere."""
@@ -365,7 +386,7 @@ class Search:
             full = self.pairs.get(size, [])
             while full:
                 target = full.pop()
-                back = next(([x, y] for x, y in combinations(self._shortest(target), 2) if self.length[x] + self.length[y] == size), None)
+                back = next(([x, y] for total, x, y in self._short_pairs(target) if total == size), None)
                 if back:  # the bin may have changed since it was noted
                     self._exchange([i], back, source, target)
                     self.changes["split"] += 1

@@ -149,7 +149,7 @@ def test_ids_are_the_librarys(monkeypatch, remembered):
     library, ids_of = Tokenizer.from_file(PATH), packing.Ids(PATH)
     for start in range(0, len(texts), 500):
         part = texts[start : start + 500]
-        flat, sizes = ids_of(pa.array(part))
+        flat, sizes = ids_of(pa.array(part, pa.large_string()))
         expected = [library.encode(t, add_special_tokens=False).ids for t in part]
         assert sizes.tolist() == list(map(len, expected))
         assert flat.tolist() == [i for ids in expected for i in ids]
