@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.columns import micros
+from millrace.functions.columns import let, micros
 from millrace.session import materialise
 
 DAY_US = 86_400_000_000
@@ -37,8 +37,9 @@ MOST_LEADS = 4
 FEW_PARTS = 8
 #: Cells per core, and rows of a part that are worth a cell of their own.
 CELLS, LEAST = 4, 2048
-#: Probes and rows of one product.
-PRODUCT = (1024, 4096)
+#: Probes and rows of one product, small enough to be compared where it was computed; pairs a probe gathers before they
+#: are ranked, on average; pairs of vectors that are scored at once.
+PRODUCT, GATHER, PAIRS = (1024, 512), 16, 1 << 16
 SCORE_DIGITS = 9
 NO_TIME = -(2**62)
 
@@ -48,9 +49,12 @@ _BLOCK = "key string, probe_ids array<string>, lims array<int>, floors array<dou
 
 
 def unit(vector: Column) -> Column:
-    x = F.transform(vector, lambda v: v.cast("double"))
-    norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v))
-    return F.when(norm == 0, x).otherwise(F.transform(x, lambda v: v / norm))
+    """The vector with length 1; its length is computed once per vector, not once per element."""
+    def scaled(x: Column) -> Column:
+        norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v))
+        return let(norm, lambda n: F.when(n == 0, x).otherwise(F.transform(x, lambda v: v / n)))
+
+    return let(F.transform(vector, lambda v: v.cast("double")), scaled)
 
 
 def laid_out(index: DataFrame) -> DataFrame:
@@ -166,33 +170,59 @@ def _flat(column: pa.ChunkedArray) -> pa.Array:
     return pa.concat_arrays([c.flatten() for c in column.chunks])
 
 
+def _marked(flags: np.ndarray) -> np.ndarray:
+    """np.flatnonzero for a few marks among many: eight flags at a time are passed over."""
+    flat = flags.reshape(-1)
+    if flat.size % 8:
+        return np.flatnonzero(flat)
+    eights = np.flatnonzero(flat.view(np.uint64))
+    n, m = np.nonzero(flat.reshape(-1, 8)[eights])
+    return eights[n] * 8 + m
+
+
+def _scores(q: np.ndarray, x: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Rounded products of pairs in double precision."""
+    parts = [np.einsum("ij,ij->i", q[n[at:at + PAIRS]], x[m[at:at + PAIRS]]) for at in range(0, len(n), PAIRS)]
+    return np.round(np.concatenate([np.empty(0), *parts]), SCORE_DIGITS)
+
+
 def _best_of(q: np.ndarray, x: np.ndarray, lims: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(probe, row, score) of the best `lims` rows of each probe that reach its floor, ties to the smaller row number."""
+    """(probe, row, score) of the best `lims` rows of each probe that reach its floor, ties to the smaller row number.
+
+    Pairs are ranked in single precision, with room for its error, and scored in double precision at the end, or earlier if
+    so many are close to each other that this doesn't tell them apart.
+    """
     room = (x.shape[1] + 8) * 2.0**-23 + 10.0**-SCORE_DIGITS  # error of a product of unit vectors in single precision
     q32, x32 = q.astype(np.float32), x.astype(np.float32)
-    floor, most = floor.copy(), int(lims.max())
-    i, j, s = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    low, most = floor - room, int(lims.max())
+    i, j, s, rough = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, np.float32)
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for at in range(0, len(x), PRODUCT[1]):
         near = q32 @ x32[at:at + PRODUCT[1]].T
-        low = floor - room
-        if np.isneginf(floor).any() and near.shape[1] >= most:
-            place = near.shape[1] - most
-            low = np.fmax(low, np.partition(near, place, axis=1)[:, place] - 2 * room)
-        n, m = np.divmod(np.flatnonzero(near >= low[:, None].astype(np.float32)), near.shape[1])
-        m += at
-        score = np.round(np.einsum("ij,ij->i", q[n], x[m]), SCORE_DIGITS)
-        enough = score >= floor[n]
-        held.append((n[enough], m[enough], score[enough]))
-        if sum(len(h[0]) for h in held) >= 4 * len(q) or at + PRODUCT[1] >= len(x):
-            i, j, s = (np.concatenate([a, *b]) for a, b in zip((i, j, s), zip(*held)))
-            order = np.lexsort((j, -s, i))
-            i, j, s, held = i[order], j[order], s[order], []
-            place = np.arange(len(i)) - np.searchsorted(i, i)
-            last = place == lims[i] - 1
-            floor[i[last]] = np.maximum(floor[i[last]], s[last])
-            keep = place < lims[i]
-            i, j, s = i[keep], j[keep], s[keep]
+        width, end = near.shape[1], at + PRODUCT[1] >= len(x)
+        if np.isneginf(low).any() and width >= most:
+            low = np.fmax(low, -np.partition(-near, most - 1, axis=1)[:, most - 1] - 2 * room)
+        reach = _marked(near >= low[:, None].astype(np.float32))
+        held.append((reach // width, reach % width + at, near.reshape(-1)[reach]))
+        if sum(len(h[0]) for h in held) >= GATHER * len(q) or end:
+            i, j, rough = (np.concatenate([a, *b]) for a, b in zip((i, j, rough), zip(*held)))
+            held = []
+            order = np.argsort(4.0 * i - rough)  # by probe, then by falling product, which lies between -1 and 1
+            i, j, rough = i[order], j[order], rough[order]
+            last = np.arange(len(i)) - np.searchsorted(i, i) == lims[i] - 1
+            low[i[last]] = np.maximum(low[i[last]], rough[last] - 2 * room)
+            reach = rough >= low[i]
+            i, j, rough = i[reach], j[reach], rough[reach]
+            if end or len(i) > 2 * lims.sum():
+                s = _scores(q, x, i, j)
+                order = np.lexsort((j, -s, i))
+                order = order[(s >= floor[i])[order]]
+                i, j, s, rough = i[order], j[order], s[order], rough[order]
+                place = np.arange(len(i)) - np.searchsorted(i, i)
+                last = place == lims[i] - 1
+                low[i[last]] = np.maximum(low[i[last]], s[last] - room)
+                keep = place < lims[i]
+                i, j, s, rough = i[keep], j[keep], s[keep], rough[keep]
     return i, j, s
 
 

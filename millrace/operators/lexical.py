@@ -25,6 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.columns import let
 from millrace.functions.text import hit_text, tokenize
 from millrace.session import materialise, scratch_path
 
@@ -151,9 +152,9 @@ class TextIndex:
         per_query = terms.groupBy(query_id).agg(F.sort_array(F.collect_list(F.struct("term", "idf"))).alias("_terms"))
 
         def add(total: Column, q: Column) -> Column:
-            at = F.array_position("_words", q["term"]).cast("int")
-            tf = F.get("_tfs", at - 1)
-            return total + F.when(at > 0, term_weight(q["idf"], tf, F.col("_len"), F.col("avg_len"))).otherwise(0.0)
+            tf = F.get("_tfs", F.array_position("_words", q["term"]).cast("int") - 1)
+            weight = let(tf, lambda n: term_weight(q["idf"], n, F.col("_len"), F.col("avg_len")))  # a term is looked up once
+            return total + F.coalesce(weight, F.lit(0.0))
 
         texts = self.texts.select(
             F.col("doc_id").alias(doc_id), F.col("len").alias("_len"), F.col("terms").alias("_words"), F.col("tfs").alias("_tfs"))

@@ -212,6 +212,10 @@ CONFIGS = (
 )
 
 
+# Name of a search that stands for both.
+BOTH = "ambas"
+
+
 def ablation_hits(
     questions: DataFrame, index: DataFrame, k: int = TOP_K, window_s: int = 5,
     dedup_s: float = DEDUP_S, texts: Texts = None,
@@ -221,31 +225,34 @@ def ablation_hits(
     Candidates of both searches come from one pass: the question id carries the search name.
     """
     parsed = parse_questions(questions, window_s)
+    # Where no question of an id names a station, both searches ask the same: it is asked once, under the name BOTH.
+    same = parsed.groupBy("question_id").agg(F.bool_and(F.coalesce(F.size("stations") == 0, F.lit(False))).alias("_same"))
+    parsed = materialise(parsed.join(same, "question_id", "left"), "parsed")
+    alike = F.coalesce("_same", F.lit(False))
     named = lambda df, name: df.withColumn(
         "question_id", F.concat(F.lit(f"{name}|"), "question_id")
     )
-    all_plain = named(parsed, "vetorial")
-    filtered = named(parsed, "filtrado")
+    once, apart = named(parsed.where(alike), BOTH), parsed.where(~alike)
+    plain, filtered = named(apart, "vetorial"), named(apart, "filtrado")
     probes = (
-        vector_probes(all_plain, k)
+        vector_probes(once.unionByName(plain).unionByName(filtered.where(F.size("stations") == 0)), k)
         .unionByName(station_probes(filtered, k))
-        .unionByName(vector_probes(filtered.where(F.size("stations") == 0), k))
     )
     pooled = pool(nearest(index, probes, k))
-    both = named(questions, "vetorial").unionByName(named(questions, "filtrado"))
-    # A bounded number of candidates per question, read by both rankings: scored once.
-    scored = materialise(lexical.score_hits(pooled, both, texts or index), "candidates")
-    config = lambda df, mark: df.withColumn(
-        "question_id", F.concat("question_id", F.lit(mark))
-    )
-    ranked = config(scored.select("question_id", "event_id", "score", "rank"), "|").unionByName(
-        config(lexical.fuse(scored).select("question_id", "event_id", "score", "rank"), "|+BM25")
+    asked = once.unionByName(plain).unionByName(filtered)
+    # A candidate is scored and gets its index columns once; both rankings are read from it.
+    fused = with_fields(lexical.fuse(lexical.score_hits(pooled, asked, texts or index)), index)
+    ranks = F.array(*[F.struct(F.lit(mark).alias("mark"), F.col(rank).alias("rank")) for mark, rank in (("|", "dense_rank"), ("|+BM25", "rank"))])
+    ranked = fused.select("question_id", "event_id", "score", *HIT_FIELDS, F.inline(ranks)).withColumn(
+        "question_id", F.concat("question_id", "mark")
     )
-    kept = time_dedup(with_fields(ranked, index), k, dedup_s)
+    kept = time_dedup(ranked, k, dedup_s)
     parts = F.split("question_id", r"\|")
-    return kept.withColumn(
-        "config", F.concat(F.element_at(parts, 1), F.element_at(parts, -1))
-    ).withColumn("question_id", F.element_at(parts, 2))
+    search = F.element_at(parts, 1)
+    names = F.when(search == BOTH, F.array(F.lit("vetorial"), F.lit("filtrado"))).otherwise(F.array(search))
+    return kept.withColumn("_search", F.explode(names)).withColumn(
+        "config", F.concat("_search", F.element_at(parts, -1))
+    ).withColumn("question_id", F.element_at(parts, 2)).drop("_search")
 
 
 def assign_lists(vectors: DataFrame, centroids: DataFrame) -> DataFrame:

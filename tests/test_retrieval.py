@@ -358,3 +358,64 @@ def test_questions_read_the_stored_index_rows(spark):
     """The log is read once for the index rows, not by every reader of questions."""
     files = fx.questions(spark, SMALL).inputFiles()
     assert files and not any("events.parquet" in f for f in files)
+
+
+def test_a_vector_length_is_computed_once(spark):
+    assert str(knn.unit(F.col("v"))).count("aggregate") == 1
+    rows = [([3.0, 4.0],), ([0.0, 0.0],), (None,), ([],), ([1.0, None],)]
+    got = [r.u for r in spark.createDataFrame(rows, "v array<float>").select(knn.unit(F.col("v")).alias("u")).collect()]
+    assert got == [[0.6, 0.8], [0.0, 0.0], None, [], [None, None]]
+
+
+def test_few_pairs_of_a_cell_are_scored_in_double(monkeypatch):
+    scored = []
+    products = knn._scores
+    monkeypatch.setattr(knn, "_scores", lambda q, x, n, m: scored.append(len(n)) or products(q, x, n, m))
+    rng = np.random.default_rng(4)
+    length = lambda a: a / np.linalg.norm(a, axis=1, keepdims=True)
+    x, q, lims = length(rng.standard_normal((20_000, 16))), length(rng.standard_normal((50, 16))), rng.integers(1, 20, 50)
+    x[5_000:9_000:7] = x[3]  # rows that tie
+    q[7] = x[3]
+    for floor in (np.full(50, -np.inf), np.full(50, 0.4)):
+        i, j, s = knn._best_of(q, x, lims, floor)
+        every = np.round(q @ x.T, knn.SCORE_DIGITS)
+        for probe in range(50):
+            want = [r for r in np.lexsort((np.arange(len(x)), -every[probe])) if every[probe, r] >= floor[probe]][:lims[probe]]
+            assert j[i == probe].tolist() == want
+            assert np.allclose(s[i == probe], every[probe, want], atol=1e-8)
+    assert sum(scored) < 2 * 50 * 2 * 20 + 4_000
+
+
+ASKED = ("O que ocorreu?", "O que a estação MM_1 fez?", "O que as estações MM_1 e SM_1 faziam?", "Em 2024-01-01 00:00:30 MM_1", None)
+
+
+def ablation(spark, texts):
+    rng = np.random.default_rng(6)
+    vector = lambda: [float(v) for v in rng.standard_normal(4)]
+    index = spark.createDataFrame(
+        [(f"e{n:03d}", ("MM_1", "SM_1", "OV_1")[n % 3], datetime(2024, 1, 1, 0, n // 20, n % 20 * 3), "not ready", f"task {n % 4}", "sub", 1.0, n % 5 == 0,
+          f"{('MM_1', 'SM_1', 'OV_1')[n % 3]} fez {n % 7}", vector()) for n in range(120)],
+        "event_id string, station string, start_ts timestamp, current_state string, current_task string, current_sub_task string, duration_s double, "
+        "is_anomaly boolean, log_text string, embedding array<float>").withColumn("end_ts", F.col("start_ts"))
+    questions = spark.createDataFrame([(i, t, vector()) for i, t in texts], "question_id string, question string, embedding array<float>")
+    return questions, index
+
+
+def test_ablation_asks_once_what_both_searches_ask(spark, monkeypatch):
+    """Hits equal those of the four separate calls; a question without a station is one probe, also if its id repeats."""
+    texts = [(f"q{n}", t) for n, t in enumerate(ASKED)] + [("twice", ASKED[0]), ("twice", "O que fez?"), ("mixed", ASKED[0]), ("mixed", ASKED[1])]
+    questions, index = ablation(spark, texts)
+    asked = []
+    nearest = rt.nearest
+    monkeypatch.setattr(rt, "nearest", lambda rows, probes, *a, **k: asked.append(probes.count()) or nearest(rows, probes, *a, **k))
+    hits = rt.ablation_hits(questions, index, 3, 30, 5).collect()
+    assert asked == [3 + 3 * 2 + 1 + 1 + 4]  # q0 and both of "twice" once; q1 to q3, one of them with two stations; q4; "mixed"
+    got = sorted((r.config, r.question_id, r["rank"], r.event_id) for r in hits)
+    want = []
+    for config, filtered, rerank in rt.CONFIGS:
+        if filtered:
+            part = rt.retrieve_filtered(questions, index, 3, rerank, 30, 5)
+        else:
+            part = rt.retrieve_vector(questions, index, 3, rerank, 5)
+        want += [(config, r.question_id, r["rank"], r.event_id) for r in part.collect()]
+    assert got == sorted(want)
