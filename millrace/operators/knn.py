@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.columns import let, micros
-from millrace.session import materialise
+from millrace.session import materialise, shuffle_partitions
 
 DAY_US = 86_400_000_000
 SLOT_US = 600_000_000
@@ -35,8 +35,8 @@ TILE_BYTES = 1 << 20
 LEAD = 8
 MOST_LEADS = 4
 FEW_PARTS = 8
-#: Cells per core, and rows of a part that are worth a cell of their own.
-CELLS, LEAST = 4, 2048
+#: Cells per core, rows of a part that are worth a cell of their own, and shuffle partitions per full cell.
+CELLS, LEAST, ROOM = 4, 2048, 4
 #: Probes and rows of one product, small enough to be compared where it was computed; pairs a probe gathers before they
 #: are ranked, on average; pairs of vectors that are scored at once.
 PRODUCT, GATHER, PAIRS = (1024, 512), 16, 1 << 16
@@ -247,9 +247,10 @@ def _cell(rows: pa.Table, probes: pa.Table) -> pa.Table:
     return pa.table({c: pa.chunked_array(v, types[c]) for c, v in out.items()})
 
 
-def _cells(rows: DataFrame, probes: DataFrame, sizes: DataFrame, side: int) -> DataFrame:
+def _cells(rows: DataFrame, probes: DataFrame, sizes: DataFrame, side: int, tasks: int) -> DataFrame:
     """(probe_id, event_id, score, lim): the best rows of each cell of rows (event_id, key, unit) and probes
-    (probe_id, key, lim, unit, floor); sizes has the rows and probes of each key, side the rows or probes of a part."""
+    (probe_id, key, lim, unit, floor); sizes has the rows and probes of each key, side the rows or probes of a part; cells are dealt over `tasks`
+    partitions if that is more than a shuffle has anyway."""
     cuts = sizes.select("key", F.ceil(F.col("n_rows") / side).cast("int").alias("r"), F.ceil(F.col("n_probes") / side).cast("int").alias("p"))
     name = lambda number: F.concat_ws("#", number, "key")
     cells = cuts.select("key", F.explode(F.sequence(F.lit(0), F.col("r") - 1)).alias("r"), "p").select(
@@ -259,10 +260,11 @@ def _cells(rows: DataFrame, probes: DataFrame, sizes: DataFrame, side: int) -> D
         "event_id", name(F.pmod(F.hash("event_id"), "r")).alias("key"), "unit").mapInArrow(chunks, CHUNK)
     blocks = probes.join(cuts, "key").select(
         name(F.pmod(F.hash("probe_id"), "p")).alias("key"), "probe_id", "lim", "floor", "unit").mapInArrow(_blocks, _BLOCK)
-    left = packed.join(cells, F.col("key") == F.col("row_key")).select(F.col("cell").alias("row_cell"), "ids", "data").groupBy("row_cell")
-    right = blocks.join(cells, F.col("key") == F.col("probe_key")).select(
-        F.col("cell").alias("probe_cell"), "probe_ids", "lims", "floors", "q_data").groupBy("probe_cell")
-    return left.cogroup(right).applyInArrow(_cell, HITS + ", lim int")
+    left = packed.join(cells, F.col("key") == F.col("row_key")).select(F.col("cell").alias("row_cell"), "ids", "data")
+    right = blocks.join(cells, F.col("key") == F.col("probe_key")).select(F.col("cell").alias("probe_cell"), "probe_ids", "lims", "floors", "q_data")
+    if tasks > shuffle_partitions(rows.sparkSession):  # else several full cells often meet in a task while cores wait
+        left, right = left.repartition(tasks, "row_cell"), right.repartition(tasks, "probe_cell")
+    return left.groupBy("row_cell").cogroup(right.groupBy("probe_cell")).applyInArrow(_cell, HITS + ", lim int")
 
 
 def tile_hits(vectors: DataFrame, probes: DataFrame, key: str = "station") -> DataFrame:
@@ -305,7 +307,9 @@ def _found(vectors: DataFrame, probes: DataFrame, key: str) -> DataFrame:
         some = rows.where(F.pmod(F.xxhash64("event_id"), F.lit(share)) == 0) if level else rows
         none = F.lit(float("-inf"))
         floored = asked.withColumn("floor", none) if floors is None else asked.join(floors, "probe_id", "left").withColumn("floor", F.coalesce("floor", none))
-        hits = _cells(some, floored, sizes.withColumn("n_rows", F.ceil(F.col("n_rows") / share)), side(total["pairs"] / share))
+        pairs = total["pairs"] / share
+        tasks = int(ROOM * pairs / side(pairs) ** 2)
+        hits = _cells(some, floored, sizes.withColumn("n_rows", F.ceil(F.col("n_rows") / share)), side(pairs), tasks)
         if level:
             ranked = best(hits, F.col("lim")).where("probe_rank = lim")
             floors = materialise(ranked.groupBy("probe_id").agg(F.min("score").alias("floor")), "floors")

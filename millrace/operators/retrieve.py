@@ -89,12 +89,19 @@ def time_dedup(hits: DataFrame, k: int = TOP_K, window_s: float = DEDUP_S) -> Da
 
     The list per question is bounded by the over-fetch, so the fold is a short array expression.
     """
-    gap = int(window_s * 1_000_000)
-    fields = ["rank", "event_id", "score", *HIT_FIELDS]
     extra = [c for c in ("bm25", "rrf_score") if c in hits.columns]
-    ordered = hits.groupBy("question_id").agg(
-        F.sort_array(F.collect_list(F.struct(*fields, *extra))).alias("_hits")
-    )
+    fields = ["event_id", "score", *HIT_FIELDS, *extra]
+    return _walked(_lists(hits, "rank", *fields).select("question_id", F.sort_array("_hits").alias("_hits")), fields, k, window_s)
+
+
+def _lists(hits: DataFrame, *fields: str) -> DataFrame:
+    """(question_id, _hits): the hits of each question. They are moved first: lists of single hits are no smaller than hits."""
+    return hits.repartition("question_id").groupBy("question_id").agg(F.collect_list(F.struct(*fields)).alias("_hits"))
+
+
+def _walked(lists: DataFrame, fields: list[str], k: int, window_s: float) -> DataFrame:
+    """What `time_dedup` keeps of lists in rank order, with their other columns."""
+    gap = int(window_s * 1_000_000)
 
     def step(kept: Column, h: Column) -> Column:
         repeats = F.exists(
@@ -108,9 +115,9 @@ def time_dedup(hits: DataFrame, k: int = TOP_K, window_s: float = DEDUP_S) -> Da
         )
 
     kept = F.aggregate("_hits", F.slice("_hits", 1, 0), step)
-    return ordered.select("question_id", F.posexplode(kept).alias("_pos", "_hit")).select(
-        "question_id", (F.col("_pos") + 1).alias("rank"),
-        *[F.col(f"_hit.{c}").alias(c) for c in fields[1:] + extra],
+    names = [c for c in lists.columns if c != "_hits"]
+    return lists.select(*names, F.posexplode(kept).alias("_pos", "_hit")).select(
+        *names, (F.col("_pos") + 1).alias("rank"), *[F.col(f"_hit.{c}").alias(c) for c in fields]
     )
 
 
@@ -240,19 +247,20 @@ def ablation_hits(
     )
     pooled = pool(nearest(index, probes, k))
     asked = once.unionByName(plain).unionByName(filtered)
-    # A candidate is scored and gets its index columns once; both rankings are read from it.
+    # A candidate is scored, gets its index columns and is moved once; both rankings are read from its question's list.
     fused = with_fields(lexical.fuse(lexical.score_hits(pooled, asked, texts or index)), index)
-    ranks = F.array(*[F.struct(F.lit(mark).alias("mark"), F.col(rank).alias("rank")) for mark, rank in (("|", "dense_rank"), ("|+BM25", "rank"))])
-    ranked = fused.select("question_id", "event_id", "score", *HIT_FIELDS, F.inline(ranks)).withColumn(
-        "question_id", F.concat("question_id", "mark")
+    fields = ["event_id", "score", *HIT_FIELDS]
+    by = lambda rank: F.sort_array(
+        F.transform("_hits", lambda h: F.struct(h[rank].alias("rank"), *[h[c].alias(c) for c in fields]))
     )
-    kept = time_dedup(ranked, k, dedup_s)
+    rankings = F.array(*[F.struct(F.lit(mark).alias("_mark"), by(rank).alias("_hits")) for mark, rank in (("", "dense_rank"), ("+BM25", "rank"))])
+    kept = _walked(_lists(fused, "dense_rank", "rank", *fields).select("question_id", F.inline(rankings)), fields, k, dedup_s)
     parts = F.split("question_id", r"\|")
     search = F.element_at(parts, 1)
     names = F.when(search == BOTH, F.array(F.lit("vetorial"), F.lit("filtrado"))).otherwise(F.array(search))
-    return kept.withColumn("_search", F.explode(names)).withColumn(
-        "config", F.concat("_search", F.element_at(parts, -1))
-    ).withColumn("question_id", F.element_at(parts, 2)).drop("_search")
+    return kept.withColumn("_search", F.explode(names)).withColumn("config", F.concat("_search", "_mark")).withColumn(
+        "question_id", F.element_at(parts, 2)
+    ).drop("_search", "_mark")
 
 
 def assign_lists(vectors: DataFrame, centroids: DataFrame) -> DataFrame:

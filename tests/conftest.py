@@ -22,3 +22,9 @@ def spark(tmp_path_factory):
     from millrace.session import tune
 
     return tune(session)
+
+
+def pytest_collection_modifyitems(items):
+    """In a file, tests on the cached tables of `world` run last: what is cached stands behind every equal plan after it."""
+    files = list(dict.fromkeys(t.fspath for t in items))
+    items.sort(key=lambda t: (files.index(t.fspath), "world" in t.fixturenames))

@@ -419,3 +419,23 @@ def test_ablation_asks_once_what_both_searches_ask(spark, monkeypatch):
             part = rt.retrieve_vector(questions, index, 3, rerank, 5)
         want += [(config, r.question_id, r["rank"], r.event_id) for r in part.collect()]
     assert got == sorted(want)
+
+
+def test_many_cells_have_partitions_of_their_own(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = spark.createDataFrame([(f"e{n:03d}", "A", [float(v) for v in rng.standard_normal(4)]) for n in range(200)], "event_id string, station string, embedding array<double>")
+    probes = spark.createDataFrame([(f"p{n}", None, 3, [float(v) for v in rng.standard_normal(4)]) for n in range(60)], "probe_id string, key string, lim int, embedding array<double>")
+    vectors = rows.withColumn("unit", knn.unit(F.col("embedding")))
+    want = sorted(map(tuple, knn.tile_best(vectors, probes).collect()))
+    monkeypatch.setattr(knn, "LEAST", 20)
+    monkeypatch.setattr(knn, "GROUP_BYTES", 8 * 4 * 30)  # 200 * 60 / 20**2 full cells, times 4
+    hits = knn.tile_hits(vectors, probes)
+    assert hits.rdd.getNumPartitions() > 8
+    assert sorted(map(tuple, knn.tile_best(vectors, probes).collect())) == want
+
+
+def test_lists_of_hits_are_gathered_where_they_arrive(spark):
+    """Hits are moved once, before they are gathered; no lists of single hits are sorted and moved."""
+    plan = rt.time_dedup(ranked(spark, [0, 8, 16]))._jdf.queryExecution().executedPlan().toString()
+    gathered, moved = plan.index("collect_list"), plan.index("Exchange")
+    assert plan.count("Exchange") == 1 and plan.rindex("collect_list") < moved and gathered < moved
